@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from kinloom.llm.common import SPACE, ascii_lower, intake, outgo
 
 
-@F.arrow_udf("string")
 def _without(text: pa.Array, dropped: pa.Array) -> pa.Array:
     """The text's lines but those at the dropped positions."""
     out = []
@@ -56,7 +55,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .agg(F.collect_set("_pos").alias("_dropped"))
     )
     joined = base.withColumn("_tag", F.xxhash64("_text")).join(dropped, ["_id", "_tag"], "left")
-    kept = F.when(F.col("_dropped").isNull(), F.col("_text")).otherwise(_without(F.col("_text"), F.col("_dropped")))
+    kept = F.when(F.col("_dropped").isNull(), F.col("_text")).otherwise(F.arrow_udf(_without, "string")(F.col("_text"), F.col("_dropped")))
     return outgo(
         joined,
         names,
