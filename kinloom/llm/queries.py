@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from kinloom.llm import embedding_dedup, html_text, jaccard_join, line_dedup, mixing, ogg_media, packing, quality, token_counts
+from kinloom.llm import embedding_dedup, html_text, jaccard_join, line_dedup, lm_scoring, mixing, ogg_media, packing, quality, token_counts
 from kinloom.session import ship
 
 _MODULES = {
@@ -17,6 +17,7 @@ _MODULES = {
     "op4_token_counts": token_counts,
     "op5_quality_classifier": quality,
     "op6_embedding_near_dedup": embedding_dedup,
+    "op7_lm_scoring": lm_scoring,
     "op8_ngram_jaccard_join": jaccard_join,
     "op9_best_fit_packing": packing,
     "op10_ogg_media": ogg_media,
