@@ -118,25 +118,33 @@ def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
 
 
 # ------------------------------------------------- fragments of the order
-# A blob holds, for one fragment: how many documents, their ids, the two digests
-# of their whole sets, the sizes of these, how many of their n-grams fall into
-# the fragment, and these, 48 bits each.
-_HEAD = (("id", "<i8"), ("s1", "<u8"), ("s2", "<u8"), ("n", "<i4"), ("k", "<i4"))
+# A blob holds, for one fragment: how many documents, their ids as distances from
+# the least one, the digests and sizes of their whole sets, how many of their
+# n-grams fall into the fragment, and these, 40 bits each.  Ids and counts take
+# the narrow type where all of the blob's fit it.
+_HEAD = (("id", "<u4", "<i8"), ("s", "<u8", "<u8"), ("n", "<u4", "<u4"), ("k", "<u2", "<u4"))
 
 
 def _blob(head: dict, grams: np.ndarray) -> bytes:
-    parts = [np.int64(len(head["id"])).tobytes(), *(head[c].astype(t).tobytes() for c, t in _HEAD)]
-    return b"".join([*parts, grams.astype("<u4").tobytes(), (grams >> np.uint64(32)).astype("<u2").tobytes()])
+    least = int(head["id"].min())
+    head = head | {"id": head["id"] - least}
+    kinds = [narrow if int(head[c].max()) <= np.iinfo(narrow).max else wide for c, narrow, wide in _HEAD]
+    first = np.array([len(head["id"]), least, *(k == wide for k, (_, _, wide) in zip(kinds, _HEAD))], "<i8")
+    parts = [first.tobytes(), *(head[c].astype(k).tobytes() for k, (c, _, _) in zip(kinds, _HEAD))]
+    return b"".join([*parts, grams.astype("<u4").tobytes(), (grams >> np.uint64(32)).astype("u1").tobytes()])
 
 
 def _unblob(raw: bytes) -> tuple[dict, np.ndarray]:
-    many, at, head = int(np.frombuffer(raw, "<i8", 1)[0]), 8, {}
-    for c, t in _HEAD:
-        head[c] = np.frombuffer(raw, t, many, at)
+    many, least, *wide = np.frombuffer(raw, "<i8", 2 + len(_HEAD)).tolist()
+    at, head = 8 * (2 + len(_HEAD)), {}
+    for use, (c, narrow, broad) in zip(wide, _HEAD):
+        head[c] = np.frombuffer(raw, broad if use else narrow, many, at)
         at += head[c].nbytes
+        head[c] = head[c] if c == "s" else head[c].astype(np.int64)
+    head["id"] = head["id"] + least
     total = int(head["k"].sum())
     low = np.frombuffer(raw, "<u4", total, at).astype(np.uint64)
-    return head, low | np.frombuffer(raw, "<u2", total, at + 4 * total).astype(np.uint64) << np.uint64(32)
+    return head, low | np.frombuffer(raw, "u1", total, at + 4 * total).astype(np.uint64) << np.uint64(32)
 
 
 def _splitter(fragments: int, n: int):
@@ -147,14 +155,14 @@ def _splitter(fragments: int, n: int):
         flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
         owner = np.repeat(np.arange(len(sets)), sizes)
         with np.errstate(over="ignore"):
-            sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(flat + np.uint64(c)))]) for c in (3, 5)]
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(flat + np.uint64(3)))])
             edge = np.concatenate([[0], np.cumsum(sizes)])
-            s1, s2 = (s[edge[1:]] - s[edge[:-1]] for s in sums)
-        home = (s1 % np.uint64(fragments)).astype(np.int64)
+            digest = _mix(sums[edge[1:]] - sums[edge[:-1]])
+        home = (digest % np.uint64(fragments)).astype(np.int64)
         ids = np.array(ids, np.int64)
         part = (((flat >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(part, kind="stable")
-        part, owner, grams = part[order], owner[order], flat[order] & np.uint64((1 << 48) - 1)
+        part, owner, grams = part[order], owner[order], flat[order] & np.uint64((1 << 40) - 1)
         cuts = np.searchsorted(part, np.arange(fragments + 1))
         blobs = []
         for f in range(fragments):
@@ -162,7 +170,7 @@ def _splitter(fragments: int, n: int):
             count = np.bincount(owner[a:b], minlength=len(sets))
             here = np.flatnonzero((count > 0) | (home == f))
             if len(here):
-                blobs.append((f, _blob({"id": ids[here], "s1": s1[here], "s2": s2[here], "n": sizes[here], "k": count[here]}, grams[a:b])))
+                blobs.append((f, _blob({"id": ids[here], "s": digest[here], "n": sizes[here], "k": count[here]}, grams[a:b])))
         return pa.record_batch([pa.array([f for f, _ in blobs], pa.int32()), pa.array([x for _, x in blobs], pa.binary())], names=["fragment", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,12 +198,12 @@ def _fragment(fragments: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         f = key[0].as_py()
         read = [_unblob(x.as_py()) for x in table.column("blob")]
-        head = {c: np.concatenate([h[c] for h, _ in read]) for c, _ in _HEAD}
+        head = {c: np.concatenate([h[c] for h, _ in read]) for c, _, _ in _HEAD}
         grams = np.concatenate([g for _, g in read])
         # Equal sets have one representative, the smallest id; empty sets each their own.
-        order = np.lexsort((head["id"], head["n"], head["s2"], head["s1"]))
+        order = np.lexsort((head["id"], head["n"], head["s"]))
         new = np.ones(len(order), bool)
-        for c in ("s1", "s2", "n"):
+        for c in ("s", "n"):
             new[1:] &= head[c][order][1:] == head[c][order][:-1]
         new[1:] = ~new[1:]
         new[:1] = True
@@ -216,8 +224,8 @@ def _fragment(fragments: int):
         sizes = np.bincount(owner, minlength=len(order))
         docs = np.flatnonzero(sizes)
         offsets = pa.array(np.concatenate([[0], np.cumsum(sizes[docs])]), pa.int32())
-        full = grams.astype(np.int64) | np.int64(f) << np.int64(48)
-        mine = np.flatnonzero((head["s1"] % np.uint64(fragments)).astype(np.int64) == f)
+        full = grams.astype(np.int64) | np.int64(f) << np.int64(40)
+        mine = np.flatnonzero((head["s"] % np.uint64(fragments)).astype(np.int64) == f)
         empty = pa.nulls(len(mine), pa.list_(pa.int64())), pa.nulls(len(mine), pa.list_(pa.int32()))
         columns = [
             pa.array(np.repeat([True, False], [len(mine), len(docs)])),
@@ -417,11 +425,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     fewer words is one shingle.  Null, empty and blank texts have no shingles
     and stand alone.  A null id is never linked (component null).  Rows that
     repeat an id are one document, of which the greatest text counts.  Shingles
-    are compared by 64-bit hashes (48 bits and the fragment once split).  An
+    are compared by 64-bit hashes (40 bits and the fragment
+    once split, and 64 bits and the size for whole sets).  An
     empty table gives an empty one.
     """
     spark = docs.sparkSession
-    fragments = min(fragments or int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << 14)
+    fragments = min(fragments or int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << 22)
     base, names = intake(docs, id_col, text_col)
     texts = base.where("_w0 is not null").select(F.col("_w0").cast("long").alias("id"), F.coalesce("_w1", F.lit("")).alias("text"))
     if texts.select("id").groupBy("id").count().where("count > 1").limit(1).count():
