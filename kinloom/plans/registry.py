@@ -1,11 +1,140 @@
-"""All queries of the library by name."""
+"""All queries of the library by name, and their SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from kinloom.operators import ancestry, connections, genotypes, pedigrees, reconstruct, relationships, segments, unrelated
+from kinloom.plans.oracles import SQL
+from kinloom.session import ship
+from kinloom.sources.overlays import view, with_views
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _seg(s, d):
+    return view(s, d, "ov_segments")
+
+
+def _genome(s, d):
+    return view(s, d, "ov_genome")
+
+
+def _fam(s, d):
+    return view(s, d, "ov_fam")
+
+
+def _people(s, d):
+    g = _genome(s, d)
+    return g.select(F.explode(F.array("iid1", "iid2")).alias("iid")).distinct()
+
+
+def _classes(s, d):
+    return relationships.classify(_genome(s, d), relationships.synthetic_kde(s))
+
+
+def _members(s, d):
+    return relationships.networks(_people(s, d), relationships.related_edges(_genome(s, d), 0.45))
+
+
+def _mask(s, d):
+    return segments.merge_intervals(_seg(s, d).where("cm >= 49 and ibd = 2").select("chrom", "start_bp", (F.col("start_bp") + 8_000_000).alias("end_bp")), 1_000_000)
+
+
+def _families(s, d):
+    """Two sets of founders with sampled descendants, from the pedigree."""
+    fam = _fam(s, d)
+    anc = pedigrees.ancestors(fam, 3)
+    founders = pedigrees.founders(fam).where("founder").select(F.col("iid").alias("founder"), (F.col("iid") % 2).cast("long").alias("network_id"))
+    depth = anc.join(founders.select(F.col("founder").alias("ancestor")), "ancestor", "left_semi").select(F.col("ancestor").alias("founder"), "iid", "depth").where("iid <= 60 and depth <= 2")
+    return founders, depth
+
+
+def _scored(s, d):
+    founders, depth = _families(s, d)
+    m = segments.models(_seg(s, d))
+    null = m.groupBy("id1", "id2").agg(F.first("ll_null").alias("ll_null"))
+    return connections.composite(connections.candidates(founders, depth), depth, connections.degree_lnl(m), null)
+
+
+def _rank(s, d):
+    seg = segments.rollup(_seg(s, d))
+    return seg.select((F.col("id1") % 10).alias("network_id"), "id1", "id2", (F.col("n_segments") % 3).alias("flags"), F.col("longest_cm").alias("lnl"), (F.col("id2") % 2).alias("generations"), (F.col("id2") % 4).alias("dummies"))
+
+
+def _pcs1(s, d):
+    return view(s, d, "ov_pcs").select("iid", F.element_at("pcs", 1).cast("double").alias("pc1"))
+
+
+def _sub(s, d):
+    return view(s, d, "ov_genotypes").where("iid < 60")
+
+
+QUERIES: dict[str, Query] = {
+    "segment_pair_rollup": lambda s, d: segments.rollup(_seg(s, d)),
+    "segment_degree_mle": lambda s, d: segments.best_model(segments.models(_seg(s, d))),
+    "degree_ci": lambda s, d: segments.intervals(segments.models(_seg(s, d))),
+    "degree_override": lambda s, d: segments.overrides(_seg(s, d)),
+    "degree_bucket_weights": lambda s, d: segments.bucket_weights(segments.models(_seg(s, d))),
+    "vector_fusion": lambda s, d: relationships.fuse(_classes(s, d), segments.bucket_weights(segments.models(_seg(s, d)))),
+    "control_stats": lambda s, d: segments.control_stats(_seg(s, d)),
+    "overlap_density": lambda s, d: segments.overlap_density(_seg(s, d)),
+    "mask_merge": _mask,
+    "mask_clip": lambda s, d: segments.clip_to_mask(_seg(s, d), _mask(s, d)),
+    "map_interpolate": lambda s, d: segments.map_position(_seg(s, d).select("chrom", (F.col("start_bp") + 500_000).alias("pos")), view(s, d, "ov_map")),
+    "dedup_keep_last": lambda s, d: segments.keep_last(_seg(s, d), ["id1", "id2", "chrom", "start_bp"], ["cm", "ibd"]),
+    "ibd2_sweep": lambda s, d: segments.ibd2_sweep(view(s, d, "ov_diploid")),
+    "related_edges": lambda s, d: relationships.related_edges(_genome(s, d)),
+    "relationship_class": _classes,
+    "mz_pairs": lambda s, d: _classes(s, d).where("mz").select("iid1", "iid2"),
+    "family_networks": _members,
+    "network_density": lambda s, d: relationships.density(_members(s, d), relationships.related_edges(_genome(s, d), 0.45)),
+    "max_unrelated_set": lambda s, d: unrelated.unrelated_sets(_members(s, d), relationships.related_edges(_genome(s, d), 0.45), relationships.fold_traits(view(s, d, "ov_traits")).select("iid", "affected")),
+    "trait_fold": lambda s, d: relationships.fold_traits(view(s, d, "ov_traits")),
+    "pedigree_relations": lambda s, d: pedigrees.relations(_fam(s, d)),
+    "relation_table": lambda s, d: pedigrees.relation_table(pedigrees.relations(_fam(s, d))),
+    "ancestor_closure": lambda s, d: pedigrees.ancestors(_fam(s, d)),
+    "genetic_relatives": lambda s, d: pedigrees.relatives(_fam(s, d)),
+    "founders_leafs": lambda s, d: pedigrees.founders(_fam(s, d)),
+    "generation_levels": lambda s, d: pedigrees.generations(_fam(s, d)),
+    "age_flags": lambda s, d: pedigrees.age_flags(pedigrees.relations(_fam(s, d)), _fam(s, d)),
+    "sex_conflicts": lambda s, d: pedigrees.sex_conflicts(_fam(s, d)),
+    "pedigree_score": lambda s, d: pedigrees.pedigree_scores(pedigrees.relations(_fam(s, d)), _classes(s, d)),
+    "pedigree_rank": lambda s, d: pedigrees.rank_pedigrees(_rank(s, d), ["network_id"]),
+    "score_summary": lambda s, d: pedigrees.score_summary(_rank(s, d), ["network_id"]),
+    "unnecessary_placeholders": lambda s, d: pedigrees.unnecessary_placeholders(_fam(s, d), _fam(s, d).where("iid % 5 <> 0").select("iid")),
+    "reconstruct_pedigrees": lambda s, d: reconstruct.reconstruct(_classes(s, d).where("pi_hat > 0.45"), _fam(s, d).select("iid", "sex", "age")),
+    "degree_lnl": lambda s, d: connections.degree_lnl(segments.models(_seg(s, d))),
+    "connection_composite": _scored,
+    "connection_best": lambda s, d: connections.best_connections(_scored(s, d)),
+    "connection_significance": lambda s, d: connections.pair_significance(segments.best_model(segments.models(_seg(s, d)))),
+    "bonferroni": lambda s, d: connections.corrected_level(_families(s, d)[0], 10),
+    "variant_dups": lambda s, d: genotypes.duplicates(view(s, d, "ov_variants")),
+    "autosomes": lambda s, d: genotypes.autosomes(view(s, d, "ov_variants")),
+    "strand_flip": lambda s, d: genotypes.strand_actions(view(s, d, "ov_variants"), view(s, d, "ov_ref_variants")),
+    "thin_variants": lambda s, d: genotypes.thin_by_distance(view(s, d, "ov_variants")),
+    "allele_freq": lambda s, d: genotypes.frequencies(view(s, d, "ov_genotypes")),
+    "sample_stats": lambda s, d: genotypes.sample_stats(view(s, d, "ov_genotypes")),
+    "genotype_qc": lambda s, d: genotypes.cleaned(view(s, d, "ov_genotypes")),
+    "ibs_pairs": lambda s, d: genotypes.ibs_pairs(view(s, d, "ov_genotypes")),
+    "aim_scan": lambda s, d: genotypes.aim_scan(view(s, d, "ov_genotypes"), _pcs1(s, d)),
+    "haploid_match": lambda s, d: genotypes.haploid_match(view(s, d, "ov_haploid")),
+    "ancestry_split": lambda s, d: ancestry.split(view(s, d, "ov_pcs")),
+    "ancestry_scale": lambda s, d: ancestry.scaled(view(s, d, "ov_pcs")),
+    "admixture_flag": lambda s, d: ancestry.admixture(view(s, d, "ov_pcs").where("is_ref")),
+    "ancestry_predict": lambda s, d: ancestry.predict(view(s, d, "ov_pcs")),
+}
+
+
+def _ready(query: Query) -> Query:
+    return lambda spark, sf_dir: query(ship(spark), sf_dir)
+
+
+def queries() -> dict[str, Query]:
+    return {name: _ready(q) for name, q in QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: with_views(sql) for name, sql in SQL.items()}
