@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 from kinloom.operators.recovery import checkpointed
 
 #: Words whose ids a worker keeps; beyond, it starts anew.
-MAX_WORDS = 400_000
+MAX_WORDS = 1_000_000
 #: Rows of one bucket, within which pieces of one length are ranked.
 BUCKET_ROWS = 50_000
 
@@ -28,6 +29,7 @@ _tokenizers: dict[str, tuple] = {}
 def _tokenizer(path: str) -> tuple:
     """The library's tokenizer and the ids of the words it has met, as bytes."""
     if path not in _tokenizers:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         _tokenizers[path] = Tokenizer.from_file(path), {}
