@@ -23,6 +23,8 @@ BUCKET_ROWS = 50_000
 _ODD = re.compile("[\x1c-\x1f]")
 _WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
+_SIGNS = ".,;:!?%*#$&|()"
+
 _tokenizers: dict[str, tuple] = {}
 
 
@@ -36,19 +38,30 @@ def _tokenizer(path: str) -> tuple:
     return _tokenizers[path]
 
 
+def _parts(word: str) -> tuple[str, str]:
+    """Letters and the signs after them, which the tokenizer takes apart anyway."""
+    core = word.rstrip(_SIGNS)
+    if not core.isalpha():
+        return word, ""
+    return (core.lower() if core.isascii() else core), word[len(core) :]
+
+
 def encode(texts: list[str], path: str) -> list[bytes]:
     """The library's ids (little-endian 32 bits) of each text.
 
-    The tokenizer drops white space and no rule of it looks past white space,
-    so every word is encoded once and its ids are kept.
+    The tokenizer drops white space, lower-cases, parts letters from signs, and no
+    rule of it looks further, so every such part is encoded once and kept.
     """
     tokenizer, known = _tokenizer(path)
     if len(known) > MAX_WORDS:
         known.clear()
     split = [[w for w in _WHITE.split(t) if w] if _ODD.search(t) else t.split() for t in texts]
-    new = list({w for words in split for w in words if w not in known})
-    for e, w in zip(tokenizer.encode_batch_fast(new, add_special_tokens=False), new):
-        known[w] = np.array(e.ids, "<u4").tobytes()
+    new = {w: _parts(w) for w in {w for words in split for w in words if w not in known}}
+    cores = list({c for pair in new.values() for c in pair if c and c not in known})
+    for e, c in zip(tokenizer.encode_batch_fast(cores, add_special_tokens=False), cores):
+        known[c] = np.array(e.ids, "<u4").tobytes()
+    for w, (core, tail) in new.items():
+        known[w] = known[core] + known[tail] if tail else known[core]
     return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
