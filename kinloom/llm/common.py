@@ -13,7 +13,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 #: Texts are handed to numpy in groups of about this many bytes.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 20
 
 
 def intake(df: DataFrame, *wanted: str) -> tuple[DataFrame, list[str]]:

@@ -180,7 +180,7 @@ def _splitter(fragments: int, n: int):
                 ids.append(i)
                 texts.append(t.as_py() or b"")
                 size += len(texts[-1])
-                if size > 4 * GROUP_BYTES:
+                if size > 8 * GROUP_BYTES:
                     yield emit(ids, shingle_sets(texts, n))
                     ids, texts, size = [], [], 0
         if ids:

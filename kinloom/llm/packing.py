@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 from kinloom.operators.recovery import checkpointed
 
 #: Words whose ids a worker keeps; beyond, it starts anew.
-MAX_WORDS = 1_000_000
+MAX_WORDS = 500_000
 #: Rows of one bucket, within which pieces of one length are ranked.
 BUCKET_ROWS = 50_000
 
@@ -84,7 +84,7 @@ def _cutter(path: str, capacity: int, schema: pa.Schema):
                 ids.append(i)
                 texts.append(t.as_py() or "")
                 size += len(texts[-1])
-                if size > 4 << 20:
+                if size > 1 << 20:
                     yield pieces(ids, texts)
                     ids, texts, size = [], [], 0
             if ids:
