@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinloom.llm.common import GROUP_BYTES, LOWER, SPACE, UPPER, intake, outgo
+from kinloom.llm.common import GROUP_BYTES, LOWER, SPACE, UPPER, intake, outgo, release_memory
 from kinloom.operators.components import connected_components
 from kinloom.operators.recovery import checkpointed
 
@@ -185,6 +185,7 @@ def _splitter(fragments: int, n: int):
                     ids, texts, size = [], [], 0
         if ids:
             yield emit(ids, shingle_sets(texts, n))
+        release_memory()
 
     return run
 
@@ -235,6 +236,7 @@ def _fragment(fragments: int):
             pa.chunked_array([empty[0], pa.ListArray.from_arrays(offsets, pa.array(full))]),
             pa.chunked_array([empty[1], pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int32)))]),
         ]
+        release_memory()
         return pa.table(columns, names=["head", "id", "rep", "n", "grams", "counts"])
 
     return run

@@ -12,10 +12,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
+from kinloom.llm.common import release_memory
 from kinloom.operators.recovery import checkpointed
 
 #: Words whose ids a worker keeps; beyond, it starts anew.
-MAX_WORDS = 500_000
+MAX_WORDS = 1_000_000
 #: Rows of one bucket, within which pieces of one length are ranked.
 BUCKET_ROWS = 50_000
 
@@ -89,6 +90,7 @@ def _cutter(path: str, capacity: int, schema: pa.Schema):
                     ids, texts, size = [], [], 0
             if ids:
                 yield pieces(ids, texts)
+        release_memory()
 
     return run
 
