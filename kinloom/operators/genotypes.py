@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 #: Limits on missingness, rare alleles and ancestry markers.
 MIND, GENO, MAF, AIM_P = 0.1, 0.05, 0.1, 1e-5
+#: Most different and most unknown sites of haploid sequences that match.
+HAPLOID_DIFFERENT, HAPLOID_UNKNOWN = 0.01, 0.05
 
 
 def duplicates(variants: DataFrame) -> DataFrame:
@@ -44,10 +46,10 @@ def sample_stats(g: DataFrame) -> DataFrame:
     return g.groupBy("iid").agg(F.round(1 - F.count("dosage") / F.count("*"), 8).alias("missing"), F.round(F.sum((F.col("dosage") == 1).cast("int")) / F.count("dosage"), 8).alias("het"))
 
 
-def cleaned(g: DataFrame) -> DataFrame:
+def cleaned(g: DataFrame, mind: float = MIND, geno: float = GENO, maf: float = MAF) -> DataFrame:
     """Genotypes without samples and variants that miss too many calls or are too rare (Q2)."""
-    good = frequencies(g).where((F.col("missing") <= GENO * 4) & F.least("freq", 1 - F.col("freq")).between(MAF, 0.5)).select("vid")
-    people = g.groupBy("iid").agg((1 - F.count("dosage") / F.count("*")).alias("m")).where(F.col("m") <= MIND).select("iid")
+    good = frequencies(g).where((F.col("missing") <= geno) & F.least("freq", 1 - F.col("freq")).between(maf, 0.5)).select("vid")
+    people = g.groupBy("iid").agg((1 - F.count("dosage") / F.count("*")).alias("m")).where(F.col("m") <= mind).select("iid")
     return g.join(good, "vid", "left_semi").join(people, "iid", "left_semi")
 
 
@@ -77,7 +79,7 @@ def aim_scan(g: DataFrame, pcs: DataFrame) -> DataFrame:
     return out.select("vid", "n", F.round("beta", 6).alias("beta"), F.round("r2", 6).alias("r2"), F.round(F.signum("beta") * F.sqrt(F.col("r2") * (F.col("n") - 2) / (1 - F.col("r2"))), 5).alias("t"))
 
 
-def haploid_match(h: DataFrame, rate: float = 0.3, unknown: float = 0.2) -> DataFrame:
+def haploid_match(h: DataFrame, rate: float = HAPLOID_DIFFERENT, unknown: float = HAPLOID_UNKNOWN) -> DataFrame:
     """Match (1), mismatch (0) or unknown (-1) of all pairs of haploid sequences."""
     a, b = h.select("site", F.col("iid").alias("iid1"), F.col("allele").alias("x")), h.select("site", F.col("iid").alias("iid2"), F.col("allele").alias("y"))
     blank = (F.col("x") == "0") | (F.col("y") == "0")

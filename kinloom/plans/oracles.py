@@ -164,5 +164,6 @@ SELECT vid, n, round(beta, 6) AS beta, round(r2, 6) AS r2, round(sign(beta) * sq
     "ancestry_split": """SELECT iid, pop, CASE pop WHEN 'CEU' THEN 'EUR' WHEN 'FIN' THEN 'EUR' WHEN 'CHB' THEN 'EAS' WHEN 'JPT' THEN 'EAS' WHEN 'YRI' THEN 'AFR' WHEN 'LWK' THEN 'AFR' WHEN 'ASW' THEN 'AFR' WHEN 'GIH' THEN 'SAS' WHEN 'PUR' THEN 'AMR' ELSE pop END AS continent,
  CASE WHEN is_ref THEN 'train' ELSE 'test' END AS part FROM ov_pcs""",
     "ancestry_scale": """WITH f AS (SELECT iid, is_ref, CAST(unnest(generate_series(0, 9)) AS INT) AS k, CAST(unnest(pcs[1:10]) AS DOUBLE) AS x FROM ov_pcs), s AS (SELECT k, avg(x) AS m, stddev_pop(x) AS s FROM f WHERE is_ref GROUP BY k) SELECT iid, k, round((x - m) / s, 5) AS z FROM f JOIN s USING (k)""",
-    "admixture_flag": "SELECT string_agg(DISTINCT pop, ',' ORDER BY pop) AS pops, true AS admixed FROM ov_pcs WHERE is_ref",
+    "admixture_flag": """SELECT string_agg(DISTINCT pop, ',' ORDER BY pop) AS pops, bool_or(pop IN ('ACB', 'ASW', 'CLM', 'GIH', 'MEX', 'MKK', 'MXL', 'PEL', 'PUR')) OR count(DISTINCT CASE WHEN pop IN ('CEU', 'FIN') THEN 'EUR' WHEN pop IN ('CHB', 'JPT') THEN 'EAS' WHEN pop IN ('YRI', 'LWK', 'ASW') THEN 'AFR' END) > 1 AS admixed
+ FROM ov_pcs WHERE is_ref""",
 }

@@ -117,10 +117,10 @@ QUERIES: dict[str, Query] = {
     "thin_variants": lambda s, d: genotypes.thin_by_distance(view(s, d, "ov_variants")),
     "allele_freq": lambda s, d: genotypes.frequencies(view(s, d, "ov_genotypes")),
     "sample_stats": lambda s, d: genotypes.sample_stats(view(s, d, "ov_genotypes")),
-    "genotype_qc": lambda s, d: genotypes.cleaned(view(s, d, "ov_genotypes")),
+    "genotype_qc": lambda s, d: genotypes.cleaned(view(s, d, "ov_genotypes"), geno=0.2),
     "ibs_pairs": lambda s, d: genotypes.ibs_pairs(view(s, d, "ov_genotypes")),
     "aim_scan": lambda s, d: genotypes.aim_scan(view(s, d, "ov_genotypes"), _pcs1(s, d)),
-    "haploid_match": lambda s, d: genotypes.haploid_match(view(s, d, "ov_haploid")),
+    "haploid_match": lambda s, d: genotypes.haploid_match(view(s, d, "ov_haploid"), 0.3, 0.2),
     "ancestry_split": lambda s, d: ancestry.split(view(s, d, "ov_pcs")),
     "ancestry_scale": lambda s, d: ancestry.scaled(view(s, d, "ov_pcs")),
     "admixture_flag": lambda s, d: ancestry.admixture(view(s, d, "ov_pcs").where("is_ref")),
