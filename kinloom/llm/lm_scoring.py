@@ -20,7 +20,7 @@ EDGE = COMMON + HASHED
 #: Neighbours that predict a token, by distance.
 WINDOW = (-2, -1, 1, 2)
 EMBED, HIDDEN = 16, 32
-BATCH = 4096
+BATCH = 512
 #: Networks averaged by one task.
 FAN_IN = 32
 
@@ -72,8 +72,9 @@ class Trainer:
         net, n = self.net, len(target)
         x = net.embed[context].reshape(n, -1)
         hidden = np.tanh(x @ net.w1 + net.b1)
-        z = hidden @ net.w2 + net.b2
-        p = np.exp(z - z.max(1, keepdims=True))
+        p = hidden @ net.w2 + net.b2
+        p -= p.max(1, keepdims=True)
+        np.exp(p, out=p)
         p /= p.sum(1, keepdims=True)
         p[np.arange(n), target] -= 1
         p /= n
@@ -153,8 +154,8 @@ def common_words(texts: DataFrame) -> np.ndarray:
     return np.sort(rows.word.to_numpy(np.int64).view(np.uint64))
 
 
-def _learner(start: bytes, common: np.ndarray, every: int, rate: float, turn: int):
-    """A partition's texts to the network trained on them, and how many tokens taught it."""
+def _learner(start: bytes, common: np.ndarray, rounds: int, rate: float, turn: int):
+    """A partition's texts to the network trained on this turn's share of their tokens, and how many taught it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer, taught = Trainer(WindowNet.unpack(start), rate), 0
@@ -162,7 +163,7 @@ def _learner(start: bytes, common: np.ndarray, every: int, rate: float, turn: in
         for batch in batches:
             for texts in _grouped(batch.column(0)):
                 kinds, _ = _joined(texts, common)
-                at = np.flatnonzero(kinds != EDGE)[turn % every :: every]
+                at = np.flatnonzero(kinds != EDGE)[turn::rounds]
                 at = np.random.default_rng(len(at)).permutation(at)
                 context = np.concatenate([rest[0], kinds[at[:, None] + np.array(WINDOW)]])
                 target = np.concatenate([rest[1], kinds[at]])
@@ -191,15 +192,16 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([(total / weight).astype("<f4").tobytes()], pa.binary()), pa.array([weight], pa.int64())], names=["net", "n"])
 
 
-def fit_window_net(texts: DataFrame, common: np.ndarray, rounds: int = 2, every: int = 8, rate: float = 0.004, seed: int = 23) -> WindowNet:
-    """Train on every text: in each round all partitions train from the same
-    network, on one token in ``every``, and a tree of tasks averages the results.
+def fit_window_net(texts: DataFrame, common: np.ndarray, rounds: int = 2, rate: float = 0.004, seed: int = 23) -> WindowNet:
+    """Train on every token of every text: in each round all partitions train from
+    the same network, and a tree of tasks averages the results.  Round r takes the
+    tokens r, r + rounds, ..., so each token is a target once, whatever ``rounds``.
 
     Only one network (``FAN_IN`` at most) reaches the driver, whatever the input.
     """
     net = WindowNet.fresh(seed)
     for turn in range(rounds):
-        nets = checkpointed(texts.mapInArrow(_learner(net.pack(), common, every, rate, turn), "net binary, n long"))
+        nets = checkpointed(texts.mapInArrow(_learner(net.pack(), common, rounds, rate, turn), "net binary, n long"))
         many = nets.count()
         while many > 1:
             many = -(-many // FAN_IN)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers as P
 from kinloom.llm import embedding_dedup, html_text, jaccard_join, line_dedup, lm_scoring, mixing, ogg_media, packing, quality, token_counts
+from kinloom.operators.recovery import checkpointed
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, source string, TEXT_ string, _rest int, n_tokens string, component_id string, size string, score string, h long, n_lines int"
@@ -206,6 +207,19 @@ def test_lm_scoring(docs, empty):
     assert lm_scoring.score_texts(empty).count() == 0
 
 
+def test_every_token_is_a_target_once(docs, monkeypatch):
+    texts, taught = docs.select(F.coalesce("text", F.lit("")).alias("text")).coalesce(1), []
+
+    def spy(df):
+        out = checkpointed(df)
+        taught.append(out.agg(F.sum("n")).first()[0])
+        return out
+
+    monkeypatch.setattr(lm_scoring, "checkpointed", spy)
+    lm_scoring.fit_window_net(texts, np.zeros(0, np.uint64))
+    assert sum(taught) == sum(len(WORD.findall(r[1] or "")) for r in corpus())
+
+
 def test_probabilities_sum_to_one():
     net = lm_scoring.WindowNet.fresh(1)
     context = np.random.default_rng(0).integers(0, lm_scoring.EDGE + 1, (1, 4))
