@@ -49,7 +49,10 @@ MAIN_NAMES = ("articlebody", "article-body", "post-content", "entry-content", "a
 SHORT, LONG, STOP_LOW, STOP_HIGH, LINKS = 70, 200, 0.2, 0.3, 0.5
 
 # The loop over a tag's inside never backs up, so broken quotes cost no more than their length.
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]{0,9999}\"|'[^']{0,9999}'|[\"'])*+)>", re.S)
+# A quoted value has any length; one with "<" in it ends where a value can end, at a quote before a space, "/" or ">",
+# or is short: else its closing quote is missing, and the next tag's quote would swallow the text between.
+_VALUE = r"{0}(?:[^<{0}]*+{0}|[^{0}]*+{0}(?=[\s/>])|[^{0}]{{0,9999}}{0})"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|{_VALUE.format('"')}|{_VALUE.format("'")}|[\"'])*+)>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
 _NAME = re.compile(r"[^a-z0-9]+")
 

@@ -71,6 +71,16 @@ def test_html():
         html_text.main_text(broken)
 
 
+@pytest.mark.parametrize("value", ["A" * 12_000, "{'html': '<b>it</b>'} " * 800, "data:,>" * 3000])
+def test_html_long_attributes(value):
+    rest = '<p>Second paragraph, it is here.</p><p>Third with a "quote" in it.</p></article>'
+    for q in "\"'":
+        v = value.replace("'", "") if q == "'" else value
+        assert html_text.main_text(f'<article><p>First of them.</p><img src={q}{v}{q} alt="x">{rest}') == 'First of them.\n\nSecond paragraph, it is here.\n\nThird with a "quote" in it.'
+    open_ = f'<article><p>First of <a href="it>them</a>.</p><p>{"So it was. " * 1000}</p><p><a href="x">Last</a> of the text.</p></article>'
+    assert html_text.main_text(open_) == f"First of them.\n\n{('So it was. ' * 1000).strip()}\n\nLast of the text."
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, None, "x"), (1, "", "x"), (2, "<p>Only text", None)], "page_id long, html string, Text string")
     out = html_text.extract_text(pages).collect()
