@@ -21,6 +21,10 @@ EDGE = COMMON + HASHED
 WINDOW = (-2, -1, 1, 2)
 EMBED, HIDDEN = 16, 32
 BATCH = 512
+#: About so many of the commonest words are sent to tasks with their counts; those of all others are joined.
+HEAD = 1 << 16
+#: Logarithms of counts are summed as whole multiples of its inverse, so that sums do not hang on their order.
+SCALE = 10**8
 #: Networks averaged by one task.
 FAN_IN = 32
 
@@ -94,37 +98,36 @@ class Trainer:
             w -= self.rate * (m / (1 - 0.9**self.step)) / (np.sqrt(v / (1 - 0.99**self.step)) + 1e-6)
 
 
-def classes_of(texts: list[bytes], common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Token classes of all texts, two edges around each, and the tokens of each text."""
-    parts, counts = [], []
-    edge = np.full(2, EDGE, np.int64)
-    for text in texts:
-        hashes = np.concatenate([word_hashes(p)[0] for p in _pieces(text.translate(_LOWER))])
-        kind = COMMON + (hashes % np.uint64(HASHED)).astype(np.int64)
-        if len(common):
-            at = np.searchsorted(common, hashes)
-            at[at == len(common)] = 0
-            kind = np.where(common[at] == hashes, at, kind)
-        parts += [edge, kind]
-        counts.append(len(kind))
-    return np.concatenate([*parts, edge]), np.array(counts, np.int64)
-
-
-def _joined(texts: list[bytes], common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """As :func:`classes_of`, hashing short texts together."""
+def _kinds(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
+    kind = COMMON + (hashes % np.uint64(HASHED)).astype(np.int64)
+    at, known = _placed(hashes, common)
+    return np.where(known, at, kind)
+
+
+def _placed(hashes: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a sorted array of hashes, and which of them are there."""
+    if not len(among):
+        return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+    at = np.searchsorted(among, hashes)
+    at[at == len(among)] = 0
+    return at, among[at] == hashes
+
+
+def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of all texts one after another, and the words of each text; short texts are hashed together."""
     if sum(map(len, texts)) > 8 << 20 or any(len(t) > 4 << 20 for t in texts):
-        return classes_of(texts, common)
+        parts = [np.concatenate([word_hashes(p)[0] for p in _pieces(t.translate(_LOWER))]) for t in texts]
+        return np.concatenate([np.zeros(0, np.uint64), *parts]), np.array([len(p) for p in parts], np.int64)
     hashes, starts = word_hashes(b"\n".join(texts).translate(_LOWER))
-    cuts = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
-    counts = np.diff(cuts)
-    kind = COMMON + (hashes % np.uint64(HASHED)).astype(np.int64)
-    if len(common):
-        at = np.searchsorted(common, hashes)
-        at[at == len(common)] = 0
-        kind = np.where(common[at] == hashes, at, kind)
-    out = np.full(len(kind) + 2 * (len(texts) + 1), EDGE, np.int64)
-    out[np.arange(len(kind)) + 2 * np.repeat(np.arange(1, len(texts) + 1), counts)] = kind
-    return out, counts
+    return hashes, np.diff(np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)])))
+
+
+def _joined(texts: list[bytes], common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token classes of all texts, two edges around each; the tokens of each text; all tokens' hashes."""
+    hashes, counts = words_of(texts)
+    out = np.full(len(hashes) + 2 * (len(texts) + 1), EDGE, np.int64)
+    out[np.arange(len(hashes)) + 2 * np.repeat(np.arange(1, len(texts) + 1), counts)] = _kinds(hashes, common)
+    return out, counts, hashes
 
 
 def _grouped(column: pa.Array, size: int = 1 << 20) -> Iterator[list[bytes]]:
@@ -147,11 +150,70 @@ def _word_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.record_batch([pa.array(words.view(np.int64)), pa.array(counts.astype(np.int64))], names=["word", "n"])
 
 
-def common_words(texts: DataFrame) -> np.ndarray:
-    """Hashes of the COMMON commonest words of the whole corpus, sorted."""
-    counts = texts.mapInArrow(_word_counter, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    rows = counts.orderBy(F.desc("n"), "word").limit(COMMON).select("word").toPandas()
-    return np.sort(rows.word.to_numpy(np.int64).view(np.uint64))
+@dataclass
+class Vocabulary:
+    """Counts of every word of the corpus: a table (word, n), and what tasks hold of it."""
+
+    counts: DataFrame
+    common: np.ndarray
+    head: np.ndarray
+    #: ln of the head's counts and of the counts of all classes, in units of 1 / SCALE; 0 where the class is a word.
+    head_logs: np.ndarray
+    class_logs: np.ndarray
+
+
+def _logs(n: np.ndarray) -> np.ndarray:
+    return np.round(np.log(np.maximum(n, 1)) * SCALE).astype(np.int64)
+
+
+def vocabulary(texts: DataFrame) -> Vocabulary:
+    """Count all words; the COMMON commonest are classes of their own."""
+    counts = checkpointed(texts.mapInArrow(_word_counter, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    top = counts.orderBy(F.desc("n"), "word").limit(COMMON).toPandas()
+    common = np.sort(top.word.to_numpy(np.int64).view(np.uint64))
+    step = F.floor(F.log2("n") * 8)
+    sizes = counts.groupBy(step.alias("step")).agg(F.count("*").alias("k")).orderBy(F.desc("step")).toPandas()
+    fits = sizes.step[sizes.k.cumsum() <= HEAD]
+    known = counts.where(step >= int(fits.min())).toPandas() if len(fits) else counts.limit(0).toPandas()
+    known = known.assign(key=known.word.to_numpy(np.int64).view(np.uint64)).sort_values("key")
+    head, n = known.key.to_numpy(np.uint64), known.n.to_numpy(np.int64)
+    total = np.zeros(EDGE + 1, np.int64)
+    for r in counts.groupBy(F.col("word").bitwiseAND(HASHED - 1).alias("kind")).agg(F.sum("n").alias("n")).collect():
+        total[COMMON + r["kind"]] = r["n"]
+    np.subtract.at(total, COMMON + (top.word.to_numpy(np.int64) & (HASHED - 1)), top.n.to_numpy(np.int64))
+    logs = _logs(n)
+    logs[_placed(head, common)[1]] = 0
+    return Vocabulary(counts, common, head, logs, _logs(total))
+
+
+def _tail_words(head: np.ndarray, common: np.ndarray):
+    """Texts' keys to a row for each of their tokens that the head lacks; ``first`` is 1 once a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, row = [batch.column(c).to_numpy() for c in ("k1", "k2")], 0
+            for texts in _grouped(batch.column("text")):
+                hashes, counts = words_of(texts)
+                rare = ~_placed(hashes, head)[1] & ~_placed(hashes, common)[1]
+                owner = row + np.repeat(np.arange(len(texts)), counts)[rare]
+                row += len(texts)
+                first = np.diff(owner, prepend=-1) != 0
+                for a in range(0, len(owner), 1 << 17):
+                    w = slice(a, a + (1 << 17))
+                    yield pa.record_batch([pa.array(keys[0][owner[w]]), pa.array(keys[1][owner[w]]), pa.array(hashes[rare][w].view(np.int64)), pa.array(first[w].astype(np.int64))], names=["k1", "k2", "word", "first"])
+
+    return run
+
+
+def tail_logs(keyed: DataFrame, words: Vocabulary) -> DataFrame:
+    """(k1, k2, tail): for every distinct text, the sum of ln count over its tokens outside the head.
+
+    Equal texts share a key, so their sum is divided by how many they are.
+    """
+    rows = keyed.mapInArrow(_tail_words(words.head, words.common), "k1 long, k2 long, word long, first long")
+    value = F.round(F.ln("n") * SCALE).cast("long")
+    found = rows.join(words.counts.select("word", value.alias("v")), "word").groupBy("k1", "k2")
+    return found.agg(F.sum(F.col("v").cast("decimal(20,0)")).alias("v"), F.sum("first").alias("copies")).select("k1", "k2", (F.col("v") / F.col("copies") / SCALE).cast("double").alias("tail"))
 
 
 def _learner(start: bytes, common: np.ndarray, rounds: int, rate: float, turn: int):
@@ -162,7 +224,7 @@ def _learner(start: bytes, common: np.ndarray, rounds: int, rate: float, turn: i
         rest = np.zeros((0, len(WINDOW)), np.int64), np.zeros(0, np.int64)
         for batch in batches:
             for texts in _grouped(batch.column(0)):
-                kinds, _ = _joined(texts, common)
+                kinds, _, _ = _joined(texts, common)
                 at = np.flatnonzero(kinds != EDGE)[turn::rounds]
                 at = np.random.default_rng(len(at)).permutation(at)
                 context = np.concatenate([rest[0], kinds[at[:, None] + np.array(WINDOW)]])
@@ -213,21 +275,25 @@ def fit_window_net(texts: DataFrame, common: np.ndarray, rounds: int = 2, rate:
     return net
 
 
-def _scorer(net: bytes, common: np.ndarray):
+def _scorer(net: bytes, common: np.ndarray, head: np.ndarray, head_logs: np.ndarray, class_logs: np.ndarray):
     def run(text: pa.Array) -> pa.Array:
         # Products in double precision and sums rounded, so that a text's score does not hang on where matrix products place it.
         model, sums, sizes = WindowNet.unpack(net, np.float64), [], []
         for texts in _grouped(text):
-            kinds, counts = _joined(texts, common)
+            kinds, counts, hashes = _joined(texts, common)
             at = np.flatnonzero(kinds != EDGE)
             scores = np.empty(len(at))
             for a in range(0, len(at), BATCH):
                 p = at[a : a + BATCH]
                 scores[a : a + BATCH] = model.log_probabilities(kinds[p[:, None] + np.array(WINDOW)], kinds[p])
+            place, known = _placed(hashes, head)
+            inside = -class_logs[kinds[at]]
+            inside[known] += head_logs[place[known]]
             total, some = np.zeros(len(counts)), counts > 0
             if some.any():
-                total[some] = np.add.reduceat(scores, (np.cumsum(counts) - counts)[some])
-            sums.append(np.round(total, 6))
+                firsts = (np.cumsum(counts) - counts)[some]
+                total[some] = np.round(np.add.reduceat(scores, firsts), 6) + np.add.reduceat(inside, firsts) / SCALE
+            sums.append(total)
             sizes.append(counts)
         empty = np.zeros(0)
         return pa.StructArray.from_arrays([pa.array(np.concatenate([*sizes, empty.astype(np.int64)])), pa.array(np.concatenate([*sums, empty]))], ["n_tokens", "log_likelihood"])
@@ -239,21 +305,29 @@ def _scorer(net: bytes, common: np.ndarray):
 def score_texts(docs: DataFrame, text_col: str = "text", **training) -> DataFrame:
     """Add ``n_tokens``, ``log_likelihood`` and ``perplexity`` to every document.
 
-    Tokens are words in lower case, of COMMON + HASHED classes: the corpus's
-    commonest words, counted over all texts, and hashed classes for the rest.
-    ``log_likelihood`` sums log p(token | two tokens on each side) over all
-    tokens of the whole text; ``perplexity`` is exp(-mean).  Null, empty and
-    blank texts have 0 tokens, likelihood 0 and no perplexity.  Equal texts
-    score alike, to six decimals; other columns stay whatever their names and nulls; an empty
-    table gives an empty one.
+    Tokens are words in lower case.  p(token | two tokens on each side) is
+    p(class | classes of these) by the network, times p(word | class), the
+    word's share of its class in the whole corpus.  Classes are the COMMON
+    commonest words and HASHED classes for the rest; the words are all those of
+    the corpus, in a table that grows with it and is joined by word.
+    ``log_likelihood`` sums log p over all tokens of the whole text;
+    ``perplexity`` is exp(-mean).  Null, empty and blank texts have 0 tokens,
+    likelihood 0 and no perplexity.  Equal texts score alike, to six decimals;
+    other columns stay whatever their names and nulls; an empty table gives an
+    empty one.
     """
     base, names = intake(docs, text_col)
-    texts = base.select(F.coalesce("_w0", F.lit("")).alias("text"))
-    common = common_words(texts)
-    net = fit_window_net(texts, common, **training)
-    scored = base.withColumn("_s", _scorer(net.pack(), common)(F.coalesce(F.col("_w0"), F.lit(""))))
-    mean = F.col("_s.log_likelihood") / F.nullif(F.col("_s.n_tokens"), F.lit(0))
-    return outgo(scored, names, {text_col: F.col("_w0"), "n_tokens": F.col("_s.n_tokens"), "log_likelihood": F.col("_s.log_likelihood"), "perplexity": F.exp(-mean)})
+    text = F.coalesce("_w0", F.lit(""))
+    texts = base.select(text.alias("text"))
+    words = vocabulary(texts)
+    net = fit_window_net(texts, words.common, **training)
+    keys = F.xxhash64(text), F.xxhash64(F.lit(1), text)
+    tail = tail_logs(base.select(keys[0].alias("k1"), keys[1].alias("k2"), text.alias("text")), words)
+    scored = base.withColumn("_s", _scorer(net.pack(), words.common, words.head, words.head_logs, words.class_logs)(text)).withColumn("_k1", keys[0]).withColumn("_k2", keys[1])
+    scored = scored.join(tail.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "tail"), ["_k1", "_k2"], "left")
+    likelihood = F.round(F.col("_s.log_likelihood") + F.coalesce("tail", F.lit(0.0)), 6)
+    mean = likelihood / F.nullif(F.col("_s.n_tokens"), F.lit(0))
+    return outgo(scored, names, {text_col: F.col("_w0"), "n_tokens": F.col("_s.n_tokens"), "log_likelihood": likelihood, "perplexity": F.exp(-mean)})
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

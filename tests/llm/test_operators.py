@@ -217,6 +217,33 @@ def test_lm_scoring(docs, empty):
     assert lm_scoring.score_texts(empty).count() == 0
 
 
+@pytest.mark.parametrize("head", [0, 60, 1 << 16])
+def test_lm_words_within_their_class(spark, monkeypatch, head):
+    """The likelihood against the classes' and the words' shares, with any part of the words joined in Spark."""
+    monkeypatch.setattr(lm_scoring, "HEAD", head)
+    rng = random.Random(3)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.3))}" for _ in range(rng.randint(1, 40))) for _ in range(80)]
+    texts += [texts[0]] * 5 + [None, "", texts[1].upper()]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string").repartition(3)
+    nets = []
+    monkeypatch.setattr(lm_scoring, "fit_window_net", lambda *a, f=lm_scoring.fit_window_net, **b: nets.append(f(*a, **b)) or nets[-1])
+    got = {r["i"]: r["log_likelihood"] for r in lm_scoring.score_texts(df).collect()}
+    words = [lower(t).split() for t in texts]
+    n = {}
+    for w in sum(words, []):
+        n[w] = n.get(w, 0) + 1
+    key = {w: int(lm_scoring.word_hashes(w.encode())[0][0]) for w in n}
+    common = sorted(sorted(n, key=lambda w: (-n[w], (key[w] + 2**63) % 2**64))[: lm_scoring.COMMON], key=key.get)
+    kind = {w: common.index(w) if w in common else lm_scoring.COMMON + key[w] % lm_scoring.HASHED for w in n}
+    total = {k: sum(n[w] for w in n if kind[w] == k) for k in set(kind.values())}
+    net = lm_scoring.WindowNet.unpack(nets[0].pack(), np.float64)
+    for i, ws in enumerate(words):
+        k = [lm_scoring.EDGE] * 2 + [kind[w] for w in ws] + [lm_scoring.EDGE] * 2
+        want = sum(net.log_probabilities(np.array([[k[j], k[j + 1], k[j + 3], k[j + 4]]]), np.array([k[j + 2]]))[0] + np.log(n[w] / total[kind[w]]) for j, w in enumerate(ws))
+        assert abs(got[i] - want) < 1e-4
+    assert got[0] == got[80] == got[84] and got[1] == got[len(texts) - 1]
+
+
 def test_every_token_is_a_target_once(docs, monkeypatch):
     texts, taught = docs.select(F.coalesce("text", F.lit("")).alias("text")).coalesce(1), []
 
