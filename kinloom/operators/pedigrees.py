@@ -55,18 +55,21 @@ def relation_table(rel: DataFrame) -> DataFrame:
     return j.agg(F.array_join(F.array_sort(F.collect_set("to2")), ",").alias("rels12"), F.array_join(F.array_sort(F.collect_set("to1")), ",").alias("rels21"))
 
 
-def ancestors(fam: DataFrame, most: int = 12) -> DataFrame:
-    """(iid, ancestor, depth) closed over parents, least depth."""
+def ancestors(fam: DataFrame) -> DataFrame:
+    """(iid, ancestor, depth) closed over parents, least depth.
+
+    Rounds go on until one finds no new pair, which also ends cycles.
+    """
     p = parents(fam).select(F.col("child").alias("iid"), F.col("parent").alias("ancestor"))
-    step = p.withColumn("depth", F.lit(1))
-    levels = [step]
     edge = p.select(F.col("iid").alias("ancestor"), F.col("ancestor").alias("next"))
-    for depth in range(2, most + 1):
-        step = checkpointed(step.join(edge, "ancestor").select("iid", F.col("next").alias("ancestor"), F.lit(depth).alias("depth")).distinct())
-        if step.isEmpty():
-            break
-        levels.append(step)
-    return reduce(DataFrame.unionByName, levels).groupBy("iid", "ancestor").agg(F.min("depth").alias("depth"))
+    step = known = checkpointed(p.withColumn("depth", F.lit(1)))
+    depth = 1
+    while not step.isEmpty():
+        depth += 1
+        found = step.join(edge, "ancestor").select("iid", F.col("next").alias("ancestor")).distinct()
+        step = checkpointed(found.join(known, ["iid", "ancestor"], "left_anti").select("iid", "ancestor", F.lit(depth).alias("depth")))
+        known = known.unionByName(step)
+    return known
 
 
 def relatives(fam: DataFrame) -> DataFrame:
@@ -85,21 +88,31 @@ def founders(fam: DataFrame) -> DataFrame:
 
 
 def generations(fam: DataFrame) -> DataFrame:
-    """(iid, level): longest line of known ancestors; and the span is max - min + 1."""
-    depth = ancestors_longest(fam)
-    return fam.join(depth, "iid", "left").select("iid", F.coalesce("level", F.lit(0)).alias("level"))
-
-
-def ancestors_longest(fam: DataFrame, most: int = 12) -> DataFrame:
-    p = parents(fam).select(F.col("child").alias("iid"), F.col("parent").alias("at"))
-    step, levels = p.select("iid", "at"), [p.select("iid", F.lit(1).alias("level")).distinct()]
-    edge = p.select(F.col("iid").alias("at"), F.col("at").alias("next"))
-    for depth in range(2, most + 1):
-        step = checkpointed(step.join(edge, "at").select("iid", F.col("next").alias("at")).distinct())
-        if step.isEmpty():
+    """(iid, level): longest line of known ancestors; and the span is max - min + 1.
+
+    The level is null where it has none: in a cycle, and below one.
+    """
+    depth = ancestors_longest(fam).withColumn("child", F.lit(True))
+    return fam.join(depth, "iid", "left").select("iid", F.when(F.col("child"), F.col("level")).otherwise(0).alias("level"))
+
+
+def ancestors_longest(fam: DataFrame) -> DataFrame:
+    """(iid, level) of everyone with a known parent, null in and below cycles.
+
+    Round k lets go of people whose parents have all gone; it is their level.
+    """
+    left = checkpointed(parents(fam).select(F.col("child").alias("iid"), F.col("parent").alias("at")))
+    many, levels = left.count(), []
+    none = left.select("iid", F.lit(None).cast("int").alias("level")).limit(0)
+    while many:
+        stay = checkpointed(left.join(left.select(F.col("iid").alias("at")).distinct(), "at", "left_semi").select("iid", "at"))
+        now = stay.count()
+        if now == many:  # no one went: what is left is in or below a cycle
+            levels.append(left.select("iid", F.lit(None).cast("int").alias("level")).distinct())
             break
-        levels.append(step.select("iid", F.lit(depth).alias("level")).distinct())
-    return reduce(DataFrame.unionByName, levels).groupBy("iid").agg(F.max("level").alias("level"))
+        levels.append(left.join(stay, "iid", "left_anti").select("iid", F.lit(len(levels) + 1).alias("level")).distinct())
+        left, many = stay, now
+    return reduce(DataFrame.unionByName, levels, none)
 
 
 def age_flags(rel: DataFrame, fam: DataFrame) -> DataFrame:

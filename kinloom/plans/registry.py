@@ -46,7 +46,7 @@ def _mask(s, d):
 def _families(s, d):
     """Two sets of founders with sampled descendants, from the pedigree."""
     fam = _fam(s, d)
-    anc = pedigrees.ancestors(fam, 3)
+    anc = pedigrees.ancestors(fam)
     founders = pedigrees.founders(fam).where("founder").select(F.col("iid").alias("founder"), (F.col("iid") % 2).cast("long").alias("network_id"))
     depth = anc.join(founders.select(F.col("founder").alias("ancestor")), "ancestor", "left_semi").select(F.col("ancestor").alias("founder"), "iid", "depth").where("iid <= 60 and depth <= 2")
     return founders, depth

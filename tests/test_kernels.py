@@ -6,6 +6,7 @@ import time
 
 import pytest
 
+from kinloom.operators import pedigrees
 from kinloom.operators.components import connected_components
 from kinloom.operators.reconstruct import search
 from kinloom.operators.unrelated import best_set, maximal_sets
@@ -70,3 +71,16 @@ def test_components(spark, seed):
 
 def test_components_of_nothing(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_closures_are_as_deep_as_the_pedigree(spark):
+    # A line of 16 with a shorter way to its end, and a cycle of two with a child.
+    rows = [(i, i - 1 if i > 1 else 0, 0) for i in range(1, 17)] + [(17, 16, 2), (30, 31, 0), (31, 30, 0), (32, 31, 5)]
+    fam = spark.createDataFrame(rows, "iid long, pid long, mid long")
+    levels = {r["iid"]: r["level"] for r in pedigrees.generations(fam).collect()}
+    assert levels == {i: i - 1 for i in range(1, 18)} | {30: None, 31: None, 32: None}
+    depth = {(r["iid"], r["ancestor"]): r["depth"] for r in pedigrees.ancestors(fam).collect()}
+    want = {(i, j): i - j for i in range(1, 17) for j in range(1, i)} | {(17, j): 17 - j for j in range(3, 17)} | {(17, 2): 1, (17, 1): 2}
+    want |= {(30, 31): 1, (31, 30): 1, (30, 30): 2, (31, 31): 2, (32, 31): 1, (32, 30): 2} | {(32, j): 6 - j for j in range(1, 6)}
+    assert depth == want
+    assert (17, 3) in {tuple(r) for r in pedigrees.relatives(fam).collect()}
