@@ -14,8 +14,10 @@ from kinloom.operators.recovery import checkpointed
 
 #: Members of a shared n-gram that meet in one task; larger groups meet by blocks.
 BLOCK = 2048
-#: Vertical slices whose partial overlaps are counted apart.
+#: Ranges of the global order (runs of fragments) whose partial overlaps are counted apart.
 SLICES = 4
+#: Bytes of text that one fragment's n-grams come from, on average.
+FRAGMENT_BYTES = 64 << 20
 #: Bits of a document's bitmap, which bounds overlaps from above.
 BITS = 2048
 
@@ -190,7 +192,27 @@ def _splitter(fragments: int, n: int):
     return run
 
 
-FRAGMENT = "head boolean, id long, rep long, n int, grams array<long>, counts array<int>"
+FRAGMENT = "head boolean, f int, id long, rep long, n int, m int, grams binary"
+
+
+def _packed(grams: np.ndarray, sixth: np.ndarray) -> bytes:
+    """Six bytes for each n-gram: its 40 bits and one more byte."""
+    out = np.empty((len(grams), 6), np.uint8)
+    out[:, :5] = grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    out[:, 5] = sixth
+    return out.tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    """What :func:`_packed` made, as 48-bit numbers."""
+    wide = np.zeros((len(raw) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return wide.view("<u8").ravel()
+
+
+def _steps(counts: np.ndarray) -> np.ndarray:
+    """Counts as steps of one byte, eight for each doubling; what is more frequent is never lower."""
+    return np.minimum(255, np.floor(8 * np.log2(counts))).astype(np.uint8)
 
 
 def _fragment(fragments: int):
@@ -221,44 +243,61 @@ def _fragment(fragments: int):
         counts = np.empty(len(by), np.int64)
         counts[by] = np.repeat(np.diff(np.append(edge, len(by))), np.diff(np.append(edge, len(by))))
         shared = counts > 1
-        owner, grams, counts = owner[shared], grams[shared], counts[shared]
+        owner, packed = owner[shared], _packed(grams[shared], _steps(counts[shared]))
         sizes = np.bincount(owner, minlength=len(order))
         docs = np.flatnonzero(sizes)
-        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes[docs])]), pa.int32())
-        full = grams.astype(np.int64) | np.int64(f) << np.int64(40)
+        ends = 6 * np.cumsum(sizes[docs])
+        offsets = pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64).tobytes())
+        parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(docs), [None, offsets, pa.py_buffer(packed)]).cast(pa.binary())
         mine = np.flatnonzero((head["s"] % np.uint64(fragments)).astype(np.int64) == f)
-        empty = pa.nulls(len(mine), pa.list_(pa.int64())), pa.nulls(len(mine), pa.list_(pa.int32()))
+        both = np.concatenate([mine, docs])
         columns = [
             pa.array(np.repeat([True, False], [len(mine), len(docs)])),
-            pa.array(np.concatenate([head["id"][mine], head["id"][docs]])),
-            pa.array(np.concatenate([rep[mine], rep[docs]])),
-            pa.array(np.concatenate([head["n"][mine], head["n"][docs]]).astype(np.int32)),
-            pa.chunked_array([empty[0], pa.ListArray.from_arrays(offsets, pa.array(full))]),
-            pa.chunked_array([empty[1], pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int32)))]),
+            pa.array(np.full(len(both), f, np.int32)),
+            pa.array(head["id"][both]),
+            pa.array(rep[both]),
+            pa.array(head["n"][both].astype(np.int32)),
+            pa.array(np.concatenate([np.zeros(len(mine)), sizes[docs]]).astype(np.int32)),
+            pa.chunked_array([pa.nulls(len(mine), pa.binary()), parts]),
         ]
         release_memory()
-        return pa.table(columns, names=["head", "id", "rep", "n", "grams", "counts"])
+        return pa.table(columns, names=["head", "f", "id", "rep", "n", "m", "grams"])
 
     return run
 
 
-def _prefixer(percent: int):
-    """(id, n, grams, counts) to the rare n-grams that any partner must share one of, and a bitmap."""
+SETS = "id long, n int, m long, keys array<long>, bits binary, parts array<binary>"
+
+
+def _prefixer(percent: int, fragments: int):
+    """(id, n, fragments' shared n-grams) to the rare n-grams of which any partner must
+    share one, a bitmap, and the n-grams by slice of the global order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, maps = [], []
-            n = batch.column("n").to_numpy()
-            for k, (g, c) in enumerate(zip(batch.column("grams"), batch.column("counts"))):
-                g, c = g.values.to_numpy(), c.values.to_numpy()
-                least = -(-percent * int(n[k]) // 100)
+            keys, maps, parts, sizes = [], [], [], []
+            for n, found in zip(batch.column("n").to_pylist(), batch.column("found")):
+                f = found.values.field("f").to_numpy()
+                read = [_unpacked(x.as_py()) for x in found.values.field("grams")]
+                low = np.concatenate(read)
+                of = np.repeat(f, [len(x) for x in read]).astype(np.uint64)
+                step, low = low >> np.uint64(40), low & np.uint64((1 << 40) - 1)
+                grams = of << np.uint64(40) | low
+                least = -(-percent * n // 100)
                 # n-grams of no other set stand first in the order and need no lookup.
-                many = int(n[k]) - least + 1 - (int(n[k]) - len(g))
-                keys.append(g[np.lexsort((g, c))[:many]])
+                many = n - least + 1 - (n - len(grams))
+                keys.append(grams[np.lexsort((grams, step))[:many]].view(np.int64))
                 bits = np.zeros(BITS, bool)
-                bits[_mix(g.astype(np.uint64)) % np.uint64(BITS)] = True
+                bits[_mix(grams) % np.uint64(BITS)] = True
                 maps.append(np.packbits(bits).tobytes())
-            yield pa.record_batch([batch.column("id"), batch.column("n"), batch.column("grams"), pa.array(keys, pa.list_(pa.int64())), pa.array(maps, pa.binary())], names=["id", "n", "grams", "keys", "bits"])
+                order = np.sort(grams)
+                cuts = np.searchsorted((order >> np.uint64(40)) * np.uint64(SLICES) // np.uint64(fragments), np.arange(SLICES + 1))
+                parts.append([_packed(g, (g >> np.uint64(40)).astype(np.uint8)) for g in (order[a:b] for a, b in zip(cuts, cuts[1:]))])
+                sizes.append(len(grams))
+            yield pa.record_batch(
+                [batch.column("id"), batch.column("n"), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(maps, pa.binary()), pa.array(parts, pa.list_(pa.binary()))],
+                names=["id", "n", "m", "keys", "bits", "parts"],
+            )
 
     return run
 
@@ -354,14 +393,30 @@ def _crossing(percent: int):
     return solve
 
 
+def _partial_overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (x, y, nx, ny, px, py) of one slice each to the n-grams that px and py share."""
+    for whole in batches:
+        for a in range(0, whole.num_rows, 4096):
+            batch = whole.slice(a, 4096)
+            marked = []
+            for c in ("px", "py"):
+                raw = [x.as_py() for x in batch.column(c)]
+                row = np.repeat(np.arange(len(raw), dtype=np.uint64), [len(r) // 6 for r in raw])
+                marked.append(row << np.uint64(48) | _unpacked(b"".join(raw)))
+            both = np.sort(np.concatenate(marked), kind="stable")
+            shared = (both[:-1][both[1:] == both[:-1]] >> np.uint64(48)).astype(np.int64)
+            o = np.bincount(shared, minlength=batch.num_rows)
+            yield pa.record_batch([*(batch.column(c) for c in ("x", "y", "nx", "ny")), pa.array(o.astype(np.int64))], names=["x", "y", "nx", "ny", "o"])
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that link: partial overlaps counted slice by slice and summed per pair."""
-    slices = F.array(*[F.struct(F.lit(s).alias("slice"), F.expr(f"filter(grams, g -> pmod(g, {SLICES}) = {s})").alias("part")) for s in range(SLICES)])
-    parts = sets.select("id", "n", F.explode(slices).alias("p")).select("id", "n", "p.slice", "p.part")
+    """The pairs that link: partial overlaps are counted in every slice of the order and summed per pair."""
+    parts = sets.select("id", "n", F.posexplode("parts").alias("slice", "part"))
     each = pairs.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
     x, y = (parts.select(F.col("id").alias(c), "slice", F.col("n").alias(f"n{c}"), F.col("part").alias(f"p{c}")) for c in "xy")
-    counted = each.join(y, ["y", "slice"]).join(x, ["x", "slice"]).select("x", "y", "nx", "ny", F.size(F.array_intersect("px", "py")).alias("o"))
-    total = counted.groupBy("x", "y").agg(F.sum("o").alias("o"), F.max("nx").alias("nx"), F.max("ny").alias("ny"))
+    # Sets grow with the input, so neither side is ever a broadcast.
+    met = each.join(y.hint("merge"), ["y", "slice"]).join(x.hint("merge"), ["x", "slice"]).select("x", "y", "nx", "ny", "px", "py")
+    total = met.mapInArrow(_partial_overlaps, "x long, y long, nx int, ny int, o long").groupBy("x", "y").agg(F.sum("o").alias("o"), F.max("nx").alias("nx"), F.max("ny").alias("ny"))
     return total.where(100 * F.col("o") >= percent * (F.col("nx") + F.col("ny") - F.col("o"))).select("x", "y")
 
 
@@ -374,9 +429,10 @@ def _groups(postings: DataFrame) -> DataFrame:
 def _class_links(sets: DataFrame, percent: int) -> DataFrame:
     """Links (x, y) between representatives that connect all that the exact join would."""
     postings = sets.select("id", F.explode("keys").alias("gram"))
-    groups = _groups(postings)
-    facts = sets.select("id", "n", F.size("grams").cast("long").alias("m"), "bits")
-    members = checkpointed(postings.join(groups, "gram"))
+    # Written apart from the join, so that a frequent n-gram's postings can be split over tasks.
+    groups = checkpointed(_groups(postings))
+    facts = sets.select("id", "n", "m", "bits").hint("merge")
+    members = checkpointed(postings.join(groups.hint("merge"), "gram"))
     rich = members.join(facts, "id").withColumn("blocks", F.expr(f"(size + {BLOCK - 1}) div {BLOCK}"))
     own = rich.withColumn("own", F.expr("pmod(xxhash64(id), blocks)"))
     # Every block meets itself and the first block, which ties the blocks together.
@@ -391,7 +447,8 @@ def _class_links(sets: DataFrame, percent: int) -> DataFrame:
     counts = marked.groupBy("gram", "component").agg(F.count("*").alias("k"))
     split = counts.groupBy("gram").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.sum("k").alias("size"), F.max("k").alias("most"), F.count("*").alias("parts")).where("parts > 1")
     split = split.withColumn("rest_blocks", F.expr(f"(size - most + {BLOCK - 1}) div {BLOCK}")).withColumn("main_blocks", F.expr(f"(most + {BLOCK - 1}) div {BLOCK}"))
-    open_ = marked.join(split.select("gram", "main", "rest_blocks", "main_blocks"), "gram").join(facts, "id")
+    split = checkpointed(split.select("gram", "main", "rest_blocks", "main_blocks"))
+    open_ = marked.join(split.hint("merge"), "gram").join(facts, "id")
     is_main = F.col("component") == F.col("main")
     zero = F.lit(0).cast("long")
     block = F.when(is_main, F.col("rest_blocks") + F.expr("pmod(xxhash64(id), main_blocks)")).otherwise(F.expr("pmod(xxhash64(id), rest_blocks)"))
@@ -412,14 +469,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     reachable by links, itself included).
 
     The global order of n-grams, by hash, is cut into ``fragments`` (default:
-    the session's shuffle partitions).  In a fragment, equal sets are folded to
-    their smallest id and the n-grams of several sets are counted.  What a set
+    one for each FRAGMENT_BYTES of text, and no fewer than the session's shuffle
+    partitions, so that a fragment fits its task at any size).  In a fragment,
+    equal sets are folded to their smallest id and the n-grams of several sets
+    are counted.  What a set
     shares with nobody stands first in its order by count, so a set without
     enough shared n-grams leaves here; the others are looked up by the rarest
     n-grams of their prefix.  A group around an n-gram first tries links that
     would span it; only members of different components are compared further,
-    by bitmaps that bound the overlap from above.  Candidates are verified by
-    partial overlaps, counted slice by slice and summed per pair.  No link
+    by bitmaps that bound the overlap from above.  What decides a candidate is
+    its overlap: the fragments' n-grams, in SLICES runs of fragments, are
+    intersected apart, and the partial overlaps are summed per pair.  No link
     between components is lost, and a group of near copies costs about as many
     pairs as it has members.
 
@@ -432,17 +492,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     empty table gives an empty one.
     """
     spark = docs.sparkSession
-    fragments = min(fragments or int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << 22)
     base, names = intake(docs, id_col, text_col)
     texts = base.where("_w0 is not null").select(F.col("_w0").cast("long").alias("id"), F.coalesce("_w1", F.lit("")).alias("text"))
     if texts.select("id").groupBy("id").count().where("count > 1").limit(1).count():
         texts = texts.groupBy("id").agg(F.max("text").alias("text"))
+    if fragments is None:
+        size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        fragments = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FRAGMENT_BYTES))
+    fragments = min(fragments, 1 << 22)
     blobs = texts.mapInArrow(_splitter(fragments, words), "fragment int, blob binary")
     read = checkpointed(blobs.groupBy("fragment").applyInArrow(_fragment(fragments), FRAGMENT))
     heads = read.where("head").select("id", "rep", "n")
-    shared = read.where("not head").groupBy("id").agg(F.max("n").alias("n"), F.flatten(F.collect_list("grams")).alias("grams"), F.flatten(F.collect_list("counts")).alias("counts"))
-    able = shared.where(100 * F.size("grams") >= percent * F.col("n"))
-    sets = checkpointed(able.mapInArrow(_prefixer(percent), "id long, n int, grams array<long>, keys array<long>, bits binary"))
+    shared = read.where("not head").groupBy("id").agg(F.max("n").alias("n"), F.sum("m").alias("m"), F.collect_list(F.struct("f", "grams")).alias("found"))
+    able = shared.where(100 * F.col("m") >= percent * F.col("n")).select("id", "n", "found")
+    sets = checkpointed(able.mapInArrow(_prefixer(percent, fragments), SETS))
     parts = connected_components(_class_links(sets, percent), "x", "y")
     found = heads.join(parts.select(F.col("id").alias("rep"), "component"), "rep", "left").select(F.col("id").alias("_id"), F.col("n").cast("long").alias("_n"), F.coalesce("component", "rep").alias("_component"))
     rows = base.join(found, base["_w0"].cast("long") == F.col("_id"), "left")
