@@ -48,21 +48,41 @@ class WindowNet:
         return b"".join(getattr(self, f.name).astype("<f4").tobytes() for f in fields(self))
 
     @staticmethod
-    def unpack(raw: bytes, kind: type = np.float32) -> "WindowNet":
+    def unpack(raw: bytes) -> "WindowNet":
         out, at = WindowNet.fresh(0), 0
         for f in fields(out):
             shape = getattr(out, f.name).shape
             n = math.prod(shape)
-            setattr(out, f.name, np.frombuffer(raw, "<f4", n, at).reshape(shape).astype(kind))
+            setattr(out, f.name, np.frombuffer(raw, "<f4", n, at).reshape(shape).astype(np.float32))
             at += 4 * n
         return out
 
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """log p(target | its neighbours on both sides)."""
-        hidden = np.tanh(self.embed[context].reshape(len(context), -1) @ self.w1 + self.b1)
-        z = (hidden @ self.w2 + self.b2).astype(np.float32)
-        top = z.max(1)
-        return (z[np.arange(len(z)), target] - top - np.log(np.exp(z - top[:, None]).sum(1))).astype(np.float64)
+        """log p(target | its neighbours on both sides).
+
+        The last product is in double precision, so that what a row gives does
+        not hang on its place among others.
+        """
+        tables = [self.embed @ self.w1[k * EMBED : (k + 1) * EMBED] for k in range(len(WINDOW))]
+        tables[0] = tables[0] + self.b1
+        w2, b2, bounded = self.w2.astype(np.float64), self.b2.astype(np.float64), self.bounded()
+        out = np.empty(len(target))
+        for a in range(0, len(target), BATCH):
+            c, t = context[a : a + BATCH], target[a : a + BATCH]
+            hidden = tables[0][c[:, 0]]
+            for k in range(1, len(WINDOW)):
+                hidden += tables[k][c[:, k]]
+            z = np.tanh(hidden, out=hidden).astype(np.float64) @ w2
+            z = np.add(z, b2, out=np.empty(z.shape, np.float32), casting="unsafe")
+            if not bounded:
+                z -= z.max(1, keepdims=True)
+            at = z[np.arange(len(t)), t].astype(np.float64)
+            out[a : a + BATCH] = at - np.log(np.exp(z, out=z).sum(1).astype(np.float64))
+        return out
+
+    def bounded(self) -> bool:
+        """Whether no input can make exp overflow, as hidden values are within -1 and 1."""
+        return float((np.abs(self.w2).sum(0) + np.abs(self.b2)).max()) < 80
 
 
 class Trainer:
@@ -75,13 +95,16 @@ class Trainer:
     def learn(self, context: np.ndarray, target: np.ndarray) -> None:
         net, n = self.net, len(target)
         x = net.embed[context].reshape(n, -1)
-        hidden = np.tanh(x @ net.w1 + net.b1)
-        p = hidden @ net.w2 + net.b2
-        p -= p.max(1, keepdims=True)
+        hidden = x @ net.w1
+        hidden += net.b1
+        np.tanh(hidden, out=hidden)
+        p = hidden @ net.w2
+        p += net.b2
+        if not net.bounded():
+            p -= p.max(1, keepdims=True)
         np.exp(p, out=p)
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(n), target] -= 1
-        p /= n
+        p *= (1 / (n * (p @ np.ones(EDGE, np.float32))))[:, None]
+        p[np.arange(n), target] -= np.float32(1 / n)
         dh = (p @ net.w2.T) * (1 - hidden**2)
         dx = (dh @ net.w1.T).reshape(n, len(WINDOW), EMBED)
         g = {"w2": hidden.T @ p, "b2": p.sum(0), "w1": x.T @ dh, "b1": dh.sum(0)}
@@ -254,7 +277,7 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([(total / weight).astype("<f4").tobytes()], pa.binary()), pa.array([weight], pa.int64())], names=["net", "n"])
 
 
-def fit_window_net(texts: DataFrame, common: np.ndarray, rounds: int = 2, rate: float = 0.004, seed: int = 23) -> WindowNet:
+def fit_window_net(texts: DataFrame, common: np.ndarray, rounds: int = 2, rate: float = 0.012, seed: int = 23) -> WindowNet:
     """Train on every token of every text: in each round all partitions train from
     the same network, and a tree of tasks averages the results.  Round r takes the
     tokens r, r + rounds, ..., so each token is a target once, whatever ``rounds``.
@@ -277,15 +300,15 @@ def fit_window_net(texts: DataFrame, common: np.ndarray, rounds: int = 2, rate:
 
 def _scorer(net: bytes, common: np.ndarray, head: np.ndarray, head_logs: np.ndarray, class_logs: np.ndarray):
     def run(text: pa.Array) -> pa.Array:
-        # Products in double precision and sums rounded, so that a text's score does not hang on where matrix products place it.
-        model, sums, sizes = WindowNet.unpack(net, np.float64), [], []
+        # Sums are rounded, so that a text's score does not hang on where it stands.
+        model, sums, sizes = WindowNet.unpack(net), [], []
         for texts in _grouped(text):
             kinds, counts, hashes = _joined(texts, common)
             at = np.flatnonzero(kinds != EDGE)
             scores = np.empty(len(at))
-            for a in range(0, len(at), BATCH):
-                p = at[a : a + BATCH]
-                scores[a : a + BATCH] = model.log_probabilities(kinds[p[:, None] + np.array(WINDOW)], kinds[p])
+            for a in range(0, len(at), 64 * BATCH):
+                p = at[a : a + 64 * BATCH]
+                scores[a : a + 64 * BATCH] = model.log_probabilities(kinds[p[:, None] + np.array(WINDOW)], kinds[p])
             place, known = _placed(hashes, head)
             inside = -class_logs[kinds[at]]
             inside[known] += head_logs[place[known]]

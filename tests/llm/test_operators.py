@@ -236,7 +236,7 @@ def test_lm_words_within_their_class(spark, monkeypatch, head):
     common = sorted(sorted(n, key=lambda w: (-n[w], (key[w] + 2**63) % 2**64))[: lm_scoring.COMMON], key=key.get)
     kind = {w: common.index(w) if w in common else lm_scoring.COMMON + key[w] % lm_scoring.HASHED for w in n}
     total = {k: sum(n[w] for w in n if kind[w] == k) for k in set(kind.values())}
-    net = lm_scoring.WindowNet.unpack(nets[0].pack(), np.float64)
+    net = lm_scoring.WindowNet.unpack(nets[0].pack())
     for i, ws in enumerate(words):
         k = [lm_scoring.EDGE] * 2 + [kind[w] for w in ws] + [lm_scoring.EDGE] * 2
         want = sum(net.log_probabilities(np.array([[k[j], k[j + 1], k[j + 3], k[j + 4]]]), np.array([k[j + 2]]))[0] + np.log(n[w] / total[kind[w]]) for j, w in enumerate(ws))
@@ -257,6 +257,28 @@ def test_every_token_is_a_target_once(docs, monkeypatch):
     assert sum(taught) == sum(len(WORD.findall(r[1] or "")) for r in corpus())
 
 
+def test_lm_knows_more_than_word_counts(spark):
+    """On documents whose ids it never saw, a token is likelier by its neighbours than by its share of the corpus."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").dropDuplicates(["text"])
+    seen, unseen = docs.where("doc_id % 5 <> 0"), docs.where("doc_id % 5 = 0")
+    words = lm_scoring.vocabulary(seen.select(F.coalesce("text", F.lit("")).alias("text")))
+    net = lm_scoring.fit_window_net(seen.select(F.coalesce("text", F.lit("")).alias("text")), words.common)
+    texts = [(r[0] or "").encode() for r in unseen.select("text").collect()]
+    kinds, _, _ = lm_scoring._joined(texts, words.common)
+    at = np.flatnonzero(kinds != lm_scoring.EDGE)
+    shares = np.bincount(lm_scoring._joined([(r[0] or "").encode() for r in seen.select("text").collect()], words.common)[0], minlength=lm_scoring.EDGE + 1)[: lm_scoring.EDGE] + 1
+    shares = np.log(shares / shares.sum())
+    assert net.log_probabilities(kinds[at[:, None] + np.array(lm_scoring.WINDOW)], kinds[at]).mean() > shares[kinds[at]].mean() + 0.1
+
+
+def test_scores_do_not_hang_on_the_place():
+    net, rng = lm_scoring.WindowNet.fresh(1), np.random.default_rng(0)
+    context, target = rng.integers(0, lm_scoring.EDGE + 1, (1500, 4)), rng.integers(0, lm_scoring.EDGE, 1500)
+    whole = net.log_probabilities(context, target)
+    for k in range(0, 1500, 7):
+        assert net.log_probabilities(context[k : k + 1 + k % 5], target[k : k + 1 + k % 5])[0] == whole[k]
+
+
 def test_probabilities_sum_to_one():
     net = lm_scoring.WindowNet.fresh(1)
     context = np.random.default_rng(0).integers(0, lm_scoring.EDGE + 1, (1, 4))
