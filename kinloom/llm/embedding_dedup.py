@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,8 @@ from kinloom.operators.recovery import checkpointed
 BLOCK = 2048
 #: Buckets up to this size are compared by shifts of the whole batch.
 SMALL = 24
+#: Rows of an average bucket of the largest label, and how likely a pair at the threshold is to be found.
+BUCKET_ROWS, RECALL = 512, 0.9992
 #: The list of buckets above BLOCK is broadcast up to this many rows.
 BROADCAST_BUCKETS = 50_000
 #: Bucket, id, copies, keys of all tables, vector.
@@ -161,7 +164,13 @@ def _arrays(table: pa.Table, group: np.ndarray) -> dict:
     }
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, bits: int = 12, tables: int = 12, seed: int = 17) -> DataFrame:
+def tables_for(bits: int, threshold: float) -> int:
+    """How many tables of ``bits`` signs find a pair at the threshold with probability RECALL."""
+    one = (1 - math.acos(min(1.0, threshold)) / math.pi) ** bits
+    return 1 if one == 1 else math.ceil(math.log(1 - RECALL) / math.log(1 - one))
+
+
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, bits: int | None = None, tables: int | None = None, seed: int = 17) -> DataFrame:
     """Link vectors of one label with a cosine of ``threshold`` or more.
 
     Adds ``n_links`` (other vectors linked directly), ``component_id`` (smallest
@@ -169,8 +178,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     folded into one row with a count.  Each fold goes to one bucket in each of
     ``tables`` tables, by the signs at ``bits`` random hyperplanes; all pairs of
     a bucket are verified in double precision, a pair in the first table that
-    holds it.  A pair at cosine 0.98 shares a bucket with probability 0.9993 at
-    the defaults.  A bucket above BLOCK rows is compared block by block, so no
+    holds it.  By default ``bits`` follow the largest label (12, and one more for
+    each doubling beyond BUCKET_ROWS rows in an average bucket), and ``tables``
+    follow ``bits``, so that a pair at the threshold shares a bucket with
+    probability RECALL at any size.  A bucket above BLOCK rows is compared block by block, so no
     task holds it whole; counts and stars come out, never pairs.
 
     Null vectors, zero vectors, vectors with null or non-finite components and
@@ -182,11 +193,16 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     base, names = intake(vectors, id_col, vector_col, label_col)
     good = F.col("_w0").isNotNull() & F.col("_w2").isNotNull() & F.forall("_w1", lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x)) & F.exists("_w1", lambda x: x != 0)
     marks = {"h1": F.xxhash64("_w2", "_w1"), "h2": F.xxhash64(F.lit(9), "_w2", "_w1")}
-    valid = base.where(F.coalesce(good, F.lit(False))).select(F.col("_w0").cast("long").alias("id"), F.col("_w2").cast("long").alias("label"), F.col("_w1").alias("vector"), *[c.alias(n) for n, c in marks.items()])
+    valid = base.where(F.coalesce(good, F.lit(False))).select(F.col("_w0").cast("long").alias("id"), F.xxhash64("_w2").alias("label"), F.col("_w1").alias("vector"), *[c.alias(n) for n, c in marks.items()])
     folds = valid.select("h1", "h2", "id").distinct().groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     folds = checkpointed(folds)
     heads = valid.dropDuplicates(["h1", "h2", "id"]).join(folds, ["h1", "h2", "id"])
-    signed = checkpointed(heads.select("id", "n", "label", "vector", F.size("vector").cast("long").alias("dim"), _signer(tables, bits, seed)(F.col("vector")).alias("keys")))
+    heads = heads.select("id", "n", "label", "vector", F.size("vector").cast("long").alias("dim"))
+    if bits is None:
+        most = heads.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 1
+        bits = max(12, math.ceil(math.log2(most / BUCKET_ROWS)))
+    tables = tables or tables_for(bits, threshold)
+    signed = checkpointed(heads.withColumn("keys", _signer(tables, bits, seed)(F.col("vector"))))
 
     bucket = ["label", "dim", "table", "key"]
     slim = signed.select("label", "dim", F.posexplode("keys").alias("table", "key"))
@@ -210,7 +226,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         folds.join(counted, "id", "left").join(parts, "id", "left")
         .select("h1", "h2", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     )
-    rows = base.select("*", *[F.when(F.coalesce(good, F.lit(False)), c).alias(n) for n, c in marks.items()]).join(per_fold, ["h1", "h2"], "left")
+    # Rows that link with nothing take no part in the join, and a vector that very many rows hold can be split there.
+    per_fold, is_good = checkpointed(per_fold), F.coalesce(good, F.lit(False))
+    linked = base.where(is_good).select("*", *[c.alias(n) for n, c in marks.items()]).join(per_fold, ["h1", "h2"], "left").drop("h1", "h2")
+    rows = linked.unionByName(base.where(~is_good), allowMissingColumns=True)
     whole = F.coalesce("component_id", F.col("_w0").cast("long"))
     return outgo(
         rows,

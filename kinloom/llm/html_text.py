@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -66,6 +67,7 @@ class Block:
     aside: bool = False
     main: bool = False
     heading: bool = False
+    begun: bool = False
     text: str = ""
     label: int | None = OPEN
 
@@ -88,7 +90,9 @@ def _kind(tag: str, attributes: str) -> str:
 
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks in order, with what surrounds them."""
+    # The stack holds (tag, aside, main, within a certain aside) of what is open, so a tag costs the same at any depth.
     out, block, stack, links, at = [], Block(), [], 0, 0
+    open_tags: Counter = Counter()
     seen_main = False
 
     def close() -> None:
@@ -99,23 +103,21 @@ def blocks_of(page: str) -> list[Block]:
             out.append(block)
         block = Block()
 
-    def state() -> tuple[bool, bool]:
-        aside = main = False
-        for _, kind in stack:
-            if kind == "main!":
-                aside, main = False, True
-            elif kind == "main":
-                main = True
-            elif kind in ("aside", "hint") or kind == "header" and not main:
-                aside = True
-        return aside, main
+    def within(kind: str) -> tuple[bool, bool, bool]:
+        """What an element of this kind makes of the state around it."""
+        aside, main, certain = stack[-1][1:] if stack else (False, False, False)
+        certain = certain or kind == "aside"
+        if kind == "main!":
+            return False, True, certain
+        return aside or kind in ("aside", "hint") or kind == "header" and not main, main or kind == "main", certain
 
     aside = main = False
 
     def add(piece: str) -> None:
         if piece:
-            if not block.raw or not block.text and not "".join(block.raw).strip():
+            if not block.begun:
                 block.aside, block.main = aside, main
+                block.begun = not piece.isspace()
             block.raw.append(piece)
             if links:
                 block.linked.append(piece)
@@ -134,10 +136,11 @@ def blocks_of(page: str) -> list[Block]:
                 links = max(0, links - 1)
             if tag in BLOCK_TAGS:
                 close()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    aside, main = state()
+            while open_tags[tag]:
+                last = stack.pop()[0]
+                open_tags[last] -= 1
+                if last == tag:
+                    aside, main = stack[-1][1:3] if stack else (False, False)
                     break
             continue
         if tag == "br":
@@ -160,13 +163,14 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag in BLOCK_TAGS - {"p", "html", "body", "head"} and not (tag[0] == "h" and tag[1:].isdigit()) or tag in ("span", "p") and m[3].strip():
             kind = _kind(tag, m[3])
-            if kind == "main" and not seen_main and not any(k == "aside" for _, k in stack):
+            if kind == "main" and not seen_main and not (stack and stack[-1][3]):
                 seen_main, kind = True, "main!"
             if kind or tag in BLOCK_TAGS - {"li", "dt", "dd", "tr", "td", "th", "option", "p"}:
                 if kind in ("aside", "hint") and tag == "span":
                     kind = "" if block.raw else kind
-                stack.append((tag, kind))
-                aside, main = state()
+                stack.append((tag, *within(kind)))
+                open_tags[tag] += 1
+                aside, main = stack[-1][1:3]
     close()
     return out
 

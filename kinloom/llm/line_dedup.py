@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kinloom.llm.common import SPACE, ascii_lower, intake, outgo
+from kinloom.operators.recovery import checkpointed
 
 
 def _without(text: pa.Array, dropped: pa.Array) -> pa.Array:
@@ -27,7 +28,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ids and positions are shuffled for the count, and one join by id brings the
     dropped positions to the texts.
 
-    Null or empty text: one empty line.  Null id: the row is kept whole and
+    Texts and lines of any length are read whole; columns keep their names and
+    values, but for those named like the outputs.  Null or empty text: one empty line.  Null id: the row is kept whole and
     counts as no document.  Rows that repeat an id are one document for the
     count, and each loses its own lines.  An empty table gives an empty one.
     """
@@ -47,7 +49,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     else:
         pairs = lines.select("_h1", "_h2", "_id").distinct()
         shared = pairs.groupBy("_h1", "_h2").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).where(F.col("_n") >= min_docs)
-    shared = shared.select("_h1", "_h2", "_first")
+    # Written apart from the join, so that the join can split a line that very many documents share.
+    shared = checkpointed(shared.select("_h1", "_h2", "_first"))
     dropped = (
         lines.join(shared, ["_h1", "_h2"])
         .where(F.col("_id") > F.col("_first"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import bisect
 import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -40,11 +41,15 @@ def _tokenizer(path: str) -> tuple:
 
 
 def _parts(word: str) -> tuple[str, str]:
-    """Letters and the signs after them, which the tokenizer takes apart anyway."""
+    """Letters and the signs after them, which the tokenizer takes apart anyway.
+
+    It does so after composing and lower-casing, so what is not all letters
+    then is not parted here.
+    """
     core = word.rstrip(_SIGNS)
-    if not core.isalpha():
-        return word, ""
-    return (core.lower() if core.isascii() else core), word[len(core) :]
+    if core.isascii():
+        return (core.lower(), word[len(core) :]) if core.isalpha() else (word, "")
+    return (core, word[len(core) :]) if unicodedata.normalize("NFC", core).lower().isalpha() else (word, "")
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:

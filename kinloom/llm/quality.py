@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from kinloom.llm.common import intake, outgo
 
@@ -35,15 +35,17 @@ class ByteNet:
         x = self.embed[chunks].reshape(len(chunks), -1)
         n, length = len(chunks), chunks.shape[1] - WIDTH + 1
         s0, s1 = x.strides
-        return np.lib.stride_tricks.as_strided(x, (n, length, WIDTH * EMBED), (s0, s1 * EMBED, s1)).reshape(n * length, WIDTH * EMBED)
+        return np.ascontiguousarray(np.lib.stride_tricks.as_strided(x, (n, length, WIDTH * EMBED), (s0, s1 * EMBED, s1)))
 
     def chunk_logits(self, chunks: np.ndarray) -> np.ndarray:
+        """Each chunk is a product of its own and the small layers are in double
+        precision, so that equal chunks give equal logits wherever they stand."""
         out = np.empty(len(chunks), np.float32)
+        w1, w2 = self.w1.astype(np.float64), self.w2.astype(np.float64)
         for a in range(0, len(chunks), ROWS):
-            part = chunks[a : a + ROWS]
-            z = (self.windows(part) @ self.conv).reshape(len(part), -1, FILTERS).max(1)
-            hidden = np.maximum(np.maximum(z + self.bias, 0) @ self.w1 + self.b1, 0)
-            out[a : a + ROWS] = (hidden @ self.w2)[:, 0] + self.b2
+            z = np.matmul(self.windows(chunks[a : a + ROWS]), self.conv).max(1)
+            hidden = np.maximum(np.maximum(z + self.bias, 0).astype(np.float64) @ w1 + self.b1, 0)
+            out[a : a + ROWS] = (hidden @ w2)[:, 0] + self.b2
         return out
 
     def document_scores(self, texts: list[bytes]) -> np.ndarray:
@@ -53,7 +55,7 @@ class ByteNet:
         first = np.cumsum(counts) - counts
         mean = np.add.reduceat(logits.astype(np.float64), first) / counts
         feats = np.stack([mean, np.maximum.reduceat(logits, first), np.minimum.reduceat(logits, first), np.ones(len(texts))], 1)
-        return 1 / (1 + np.exp(-np.clip(feats @ self.mix, -40, 40)))
+        return np.round(1 / (1 + np.exp(-np.clip((feats * self.mix).sum(1), -40, 40))), 9)
 
 
 def n_chunks(size: int) -> int:
@@ -105,7 +107,7 @@ def train(chunks: np.ndarray, labels: np.ndarray, steps: int = 700, batch: int =
         short = np.where(y[:, 0] == 1, rng.integers(8, 256, batch), rng.integers(128, 384, batch))
         x = np.where((rng.random(batch) < 0.3)[:, None] & (np.arange(CHUNK) >= short[:, None]), 0, x).astype(np.uint8)
         win = net.windows(x)
-        z = (win @ net.conv).reshape(len(x), length, FILTERS)
+        z = (win.reshape(len(x) * length, -1) @ net.conv).reshape(len(x), length, FILTERS)
         at = z.argmax(1)
         top = np.take_along_axis(z, at[:, None], 1)[:, 0] + net.bias
         pooled = np.maximum(top, 0)
@@ -119,7 +121,7 @@ def train(chunks: np.ndarray, labels: np.ndarray, steps: int = 700, batch: int =
         dz = (dh @ net.w1.T) * (top > 0)
         g["bias"] = dz.sum(0)
         # Only the place of each maximum passes a gradient to its filter.
-        places = win.reshape(len(x), length, -1)[np.arange(len(x))[:, None], at]
+        places = win[np.arange(len(x))[:, None], at]
         g["conv"] = np.einsum("nfk,nf->kf", places, dz)
         back = (dz[:, :, None] * net.conv.T[None]).reshape(len(x), FILTERS, WIDTH, EMBED)
         bytes_at = x[np.arange(len(x))[:, None, None], at[:, :, None] + np.arange(WIDTH)]
@@ -152,10 +154,12 @@ def fit_mix(net: ByteNet, chunks: np.ndarray, owner: np.ndarray, labels: np.ndar
     net.mix = w
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = 1500, max_chunks: int = 6, steps: int = 700) -> ByteNet:
-    """Train on a bounded sample: ``per_label`` documents of each label, in the
-    order of a hash of the id, and ``max_chunks`` of each document's chunks, evenly
-    spaced (so at most 2 x 1500 x 6 x 512 bytes reach the driver, 9 MB).
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = 1500, label_chunks: int = 20_000, steps: int = 700) -> ByteNet:
+    """Train on a bounded sample of labelled rows: ``per_label`` documents of each
+    label, in the order of a hash of the id, as far as their chunks number at most
+    ``label_chunks`` (so at most 2 x 20,000 x 512 bytes reach the driver, 20 MB).
+    A row taken teaches with all its chunks; one that alone has over a twentieth
+    of ``label_chunks`` is not taken.
 
     Labels that are null, other than 0 and 1, or that contradict each other for
     one id are left out; without both labels the scores are constant.
@@ -169,10 +173,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     texts = docs.select(F.col(id_col).alias("i"), F.encode(F.coalesce(text_col, F.lit("")), "utf-8").alias("t"))
     size = F.octet_length("t")
     n = F.when(size <= CHUNK, 1).otherwise(1 + F.ceil((size - CHUNK) / STRIDE))
-    kept = F.least(n, F.lit(max_chunks))
-    found = texts.join(F.broadcast(chosen), "i").groupBy("i", "y", "h").agg(F.max("t").alias("t"))
-    places = F.transform(F.sequence(F.lit(0).cast("long"), kept - 1), lambda k: F.expr("0L") + F.floor(k * n / kept))
-    parts = found.select("h", "y", "i", F.explode(places).alias("k"), "t").select("h", "y", "i", "k", F.substring("t", F.col("k").cast("int") * STRIDE + 1, F.lit(CHUNK)).alias("c"))
+    found = texts.join(F.broadcast(chosen), "i").groupBy("i", "y", "h").agg(F.max("t").alias("t")).withColumn("n", n).where(F.col("n") <= label_chunks // 20)
+    # The window sees per_label rows of a label at most.
+    taken = found.withColumn("upto", F.sum("n").over(Window.partitionBy("y").orderBy("h", "i"))).where(F.col("upto") <= label_chunks)
+    parts = taken.select("h", "y", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"), "t").select("h", "y", "i", "k", F.substring("t", F.col("k").cast("int") * STRIDE + 1, F.lit(CHUNK)).alias("c"))
     rows = parts.toPandas().sort_values(["h", "i", "k"])
     if not len(rows):
         return train(np.zeros((0, CHUNK), np.uint8), np.zeros(0, int))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -81,6 +82,50 @@ def test_html_long_attributes(value):
     assert html_text.main_text(open_) == f"First of them.\n\n{('So it was. ' * 1000).strip()}\n\nLast of the text."
 
 
+def test_html_time_is_linear():
+    """Sixteen times the tags take nowhere near 256 times the time."""
+    pages = [lambda n: "<p>" + "<b>x</b> " * n + "</p>", lambda n: "<div>" * n + "text of it" + "</div>" * n, lambda n: "<div>" * n + "</span></td>" * n, lambda n: "<aside>" + "<main>" * n + "it</main>"]
+    for page in pages:
+        took = []
+        for n in (1000, 16_000):
+            start = time.process_time()
+            html_text.main_text(page(n))
+            took.append(time.process_time() - start)
+        assert took[1] < 60 * max(took[0], 0.004)
+
+
+def test_ids_of_every_letter_before_a_sign():
+    """Letters and signs are parted only where the library parts them."""
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    library, letters = Tokenizer.from_file(path), [chr(c) for c in range(0x80, 0x20000) if not 0xD800 <= c < 0xE000]
+    for sign in ".)|":
+        words = [c + sign for c in letters]
+        want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(words, add_special_tokens=False)]
+        assert packing.encode(words, path) == want
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_html_neighbours(seed):
+    """The second pass against a search from every open block."""
+    rng = random.Random(seed)
+    words = {"good": "it is of the and to be in a that was as we are for the " * 5, "bad": "zug kal mip tor fen " * 8, "open": "zug kal"}
+    kinds = rng.choices(list(words), [1, 1, 2], k=40)
+    blocks = html_text.blocks_of("".join(f"<p>{words[k]}</p>" for k in kinds))
+    html_text.classify(blocks)
+    decided = [i for i, k in enumerate(kinds) if k != "open"]
+    for i, (b, k) in enumerate(zip(blocks, kinds)):
+        near = [kinds[j] for j in decided if abs(j - i) == min((abs(x - i) for x in decided), default=0)]
+        assert b.label == (html_text.GOOD if not near or "good" in near else html_text.BAD)
+
+
+def test_html_of_nothing_and_of_much(spark):
+    pages = spark.createDataFrame([(1, "<article>" + "<p>So it was, and so it is.</p>" * 20_000 + "</article>")], "page_id long, html string")
+    assert html_text.extract_text(pages.limit(0)).count() == 0
+    assert len(html_text.extract_text(pages).first()["text"]) == 26 * 20_000 - 2
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, None, "x"), (1, "", "x"), (2, "<p>Only text", None)], "page_id long, html string, Text string")
     out = html_text.extract_text(pages).collect()
@@ -163,6 +208,23 @@ def test_quality(docs, empty, spark):
     assert len(quality.score_quality(docs, quality.fit_quality(empty, labels)).take(1)) == 1
 
 
+def test_equal_texts_have_equal_quality():
+    net, rng = quality.train(np.random.default_rng(1).integers(1, 255, (40, quality.CHUNK)).astype(np.uint8), np.arange(40) % 2, steps=3), random.Random(1)
+    texts = [bytes(rng.choices(range(32, 127), k=rng.randint(0, 3000))) for _ in range(60)]
+    mixed = [(k, texts[k]) for k in rng.choices(range(60), k=300)]
+    scores = net.document_scores([t for _, t in mixed])
+    assert len({(k, v) for (k, _), v in zip(mixed, scores.tolist())}) == len({k for k, _ in mixed})
+
+
+def test_quality_takes_whole_rows_within_its_bound(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, chr(97 + i % 26) * (3000 if i % 10 else 90_000)) for i in range(60)], "doc_id long, text string")
+    labels, seen = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int"), []
+    monkeypatch.setattr(quality, "train", lambda chunks, y, *a, f=quality.train: seen.append((chunks, y)) or f(chunks, y, 2))
+    quality.fit_quality(docs, labels, label_chunks=200)
+    chunks, y = seen[0]
+    assert len(chunks) % quality.n_chunks(3000) == 0 and 0 < (y == 0).sum() <= 200 and 0 < (y == 1).sum() <= 200
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
     out = quality.query(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()
@@ -199,6 +261,19 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_any_label(spark):
+    rows = [(1, [1.0, 0.0], "a"), (2, [2.0, 0.0], "a"), (3, [1.0, 0.0], "b"), (4, None, "a"), (5, [1.0, 0.01], "a")]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (0, 3), 4: (0, 4), 5: (2, 1)}
+
+
+def test_tables_keep_the_recall():
+    for bits in (12, 16, 20):
+        one = (1 - np.arccos(0.98) / np.pi) ** bits
+        assert 1 - (1 - one) ** embedding_dedup.tables_for(bits, 0.98) >= embedding_dedup.RECALL
+    assert embedding_dedup.tables_for(12, 0.98) == 12
+
+
 def test_embedding_blocks_give_the_same(spark, monkeypatch):
     rng = np.random.default_rng(3)
     x = rng.normal(size=16) + rng.normal(0, 0.1, (150, 16))
