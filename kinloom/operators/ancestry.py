@@ -12,8 +12,9 @@ CONTINENTS = {
     "SAS": "BEB GIH ITU PJL STU",
     "AMR": "CLM MXL PEL PUR MEX",
 }
-#: Populations admixed in themselves.
-ADMIXED = ("ACB", "ASW", "CLM", "GIH", "MEX", "MKK", "MXL", "PEL", "PUR")
+#: Populations admixed in themselves, and those that make a mixture of continents.
+ADMIXED = ("ACB", "ASW", "BEB", "CLM", "GIH", "ITU", "MXL", "PEL", "PJL", "PUR", "STU")
+UNMIXED = {"EUR": "CEU FIN GBR IBS TSI", "AFR": "ESN GWD LWK MSL YRI", "EAS": "CDX CHB CHS JPT KHV"}
 
 
 def continents(df: DataFrame, col: str = "pop") -> DataFrame:
@@ -34,12 +35,17 @@ def scaled(pcs: DataFrame, n: int = 10) -> DataFrame:
     return flat.join(F.broadcast(stats), "k").select("iid", "k", F.round((F.col("x") - F.col("m")) / F.col("s"), 5).alias("z"))
 
 
-def admixture(predicted: DataFrame, by: str = "pop") -> DataFrame:
-    """Whether the populations of a group call for care: one admixed in itself, or several of EUR, EAS and AFR."""
-    flags = continents(predicted, by).agg(
+def admixture(predicted: DataFrame, by: str = "pop", group: tuple[str, ...] = ()) -> DataFrame:
+    """Whether the populations of each group call for care: one admixed in itself, or several continents' (P16, A17)."""
+    flags = predicted.groupBy(*group).agg(
         F.array_join(F.array_sort(F.collect_set(by)), ",").alias("pops"), F.max(F.col(by).isin(*ADMIXED).cast("int")).alias("own"),
-        *[F.max((F.col("continent") == c).cast("int")).alias(c.lower()) for c in ("EUR", "EAS", "AFR")])
-    return flags.select("pops", ((F.col("own") == 1) | (F.col("eur") + F.col("eas") + F.col("afr") > 1)).alias("admixed"))
+        *[F.max(F.col(by).isin(*codes.split()).cast("int")).alias(c.lower()) for c, codes in UNMIXED.items()])
+    return flags.select(*group, "pops", ((F.col("own") == 1) | (F.col("eur") + F.col("eas") + F.col("afr") > 1)).alias("admixed"))
+
+
+def reference_samples(pcs: DataFrame, populations: DataFrame) -> DataFrame:
+    """Reference samples of the populations named, by whole code."""
+    return pcs.where("is_ref").join(populations.select("pop").distinct(), "pop", "left_semi").select("iid", "pop")
 
 
 def predict(pcs: DataFrame, n: int = 10, features: int = 100, gamma: float = 0.05, seed: int = 4) -> DataFrame:

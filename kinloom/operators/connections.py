@@ -14,16 +14,20 @@ def degree_lnl(models: DataFrame) -> DataFrame:
     return one.select("id1", "id2", "degree", F.round(F.coalesce(best, F.col("1")) - 2, 6).alias("lnl"))
 
 
-def candidates(founders: DataFrame, depth: DataFrame, most: int = 9) -> DataFrame:
+def candidates(founders: DataFrame, depth: DataFrame, lnl: DataFrame, most: int = 9) -> DataFrame:
     """Founder pairs of two networks and the degrees that may join them.
 
     ``founders(network_id, founder)``, ``depth(founder, iid, depth)``: how far below
-    the founder a sampled person stands.  Only founders meet, never all people.
+    the founder a sampled person stands; ``lnl(id1, id2, ...)``: estimated pairs.
+    Only founders above the two people of an estimated pair meet.
     """
     near = depth.groupBy("founder").agg(F.min("depth").alias("near"))
-    f = founders.join(near, "founder")
-    a, b = (f.select(F.col("network_id").alias(f"net{i}"), F.col("founder").alias(f"f{i}"), F.col("near").alias(f"near{i}")) for i in (1, 2))
-    pairs = a.join(b, F.col("net1") < F.col("net2"))
+    f = founders.join(near, "founder").withColumnRenamed("network_id", "net")
+    below = depth.join(f, "founder").select("founder", "iid", "net", "near")
+    a, b = (below.select(F.col("net").alias(f"net{i}"), F.col("founder").alias(f"f{i}"), F.col("near").alias(f"near{i}"), F.col("iid").alias(f"i{i}")) for i in (1, 2))
+    met = lnl.select("id1", "id2").distinct()
+    both = met.select(F.col("id1").alias("i1"), F.col("id2").alias("i2")).unionByName(met.select(F.col("id2").alias("i1"), F.col("id1").alias("i2")))
+    pairs = both.join(a, "i1").join(b, "i2").where("net1 < net2").select("net1", "net2", "f1", "f2", "near1", "near2").distinct()
     low, high = F.lit(1), F.lit(most) - F.col("near1") - F.col("near2")
     return pairs.where(high >= 1).select("net1", "net2", "f1", "f2", F.explode(F.sequence(low, high.cast("int"))).alias("degree"))
 
@@ -39,14 +43,21 @@ def composite(cand: DataFrame, depth: DataFrame, lnl: DataFrame, null_lnl: DataF
     top = F.greatest("lnl", "ll_null")
     far = top + F.ln(w * F.exp(F.col("lnl") - top) + (1 - w) * F.exp(F.col("ll_null") - top))
     value = F.when(F.col("total") > most, far).otherwise(F.col("lnl"))
-    return j.groupBy("net1", "net2", "f1", "f2", "degree").agg(F.round(F.sum(value), 5).alias("score"), F.round(F.sum(4 - 2 * value), 5).alias("aic"), F.round(F.sum(-2 * (F.col("ll_null") - (F.col("lnl") + 2))), 5).alias("chi2"), F.count("*").alias("n_pairs"))
+    return j.groupBy("net1", "net2", "f1", "f2", "degree").agg(F.round(F.sum(value), 5).alias("score"), F.round(F.sum(4 - 2 * value), 5).alias("aic"), F.round(F.sum(-2 * (F.col("ll_null") - (F.col("lnl") + 2))), 5).alias("chi2"), F.count("*").alias("n_pairs"),
+        F.round(F.sum(value - F.col("ll_null")), 5).alias("gain"), F.round(F.sum(4 - 2 * value + 2 * F.col("ll_null")), 5).alias("aic_gain"))
 
 
 def best_connections(scored: DataFrame, mode: str = "composite") -> DataFrame:
-    """The best founder link of each network pair with its significance."""
-    order = F.struct(F.col("aic") if mode == "aic" else -F.col("score"), F.col("f1"), F.col("f2"), F.col("degree"))
-    best = scored.groupBy("net1", "net2").agg(F.min_by(F.struct("f1", "f2", "degree", "score", "aic", "chi2", "n_pairs"), order).alias("b")).select("net1", "net2", "b.*")
-    return best.withColumn("p", F.round(chi2_sf(F.col("chi2"), F.col("n_pairs").cast("int")), 8))
+    """The best founder link of each network pair with its significance.
+
+    Links are held against none at all: what a link adds to the likelihood of
+    no relation counts, and where no link adds anything the degree is null.
+    """
+    gain = F.col("aic_gain") if mode == "aic" else -F.col("gain")
+    best = scored.groupBy("net1", "net2").agg(F.min_by(F.struct("f1", "f2", "degree", "score", "aic", "chi2", "n_pairs", gain.alias("_g")), F.struct(gain, F.col("f1"), F.col("f2"), F.col("degree"))).alias("b"))
+    none = F.col("b._g") >= 0
+    rows = best.select("net1", "net2", "b.f1", "b.f2", F.when(~none, F.col("b.degree")).alias("degree"), "b.score", "b.aic", "b.chi2", "b.n_pairs")
+    return rows.withColumn("p", F.round(chi2_sf(F.col("chi2"), F.col("n_pairs").cast("int")), 8))
 
 
 def pair_significance(best: DataFrame) -> DataFrame:

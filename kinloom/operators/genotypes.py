@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 #: Limits on missingness, rare alleles and ancestry markers.
@@ -33,7 +35,7 @@ def strand_actions(data: DataFrame, ref: DataFrame) -> DataFrame:
         F.when(F.col("r1").isNull(), "absent").when(ambiguous, "ambiguous").when(F.col("size") <= 2, "keep")
         .when(F.size(F.array_union("turned", "theirs")) <= 2, "flip").when(F.col("size") == 3, "triallelic").otherwise("weird")
     )
-    return j.select("vid", F.col("size").alias("n_alleles"), action.alias("action"))
+    return j.select("vid", F.when(F.col("r1").isNotNull(), F.col("size")).alias("n_alleles"), action.alias("action"))
 
 
 def frequencies(g: DataFrame) -> DataFrame:
@@ -79,6 +81,24 @@ def aim_scan(g: DataFrame, pcs: DataFrame) -> DataFrame:
     return out.select("vid", "n", F.round("beta", 6).alias("beta"), F.round("r2", 6).alias("r2"), F.round(F.signum("beta") * F.sqrt(F.col("r2") * (F.col("n") - 2) / (1 - F.col("r2"))), 5).alias("t"))
 
 
+def markers_to_remove(g: DataFrame, pcs: list[DataFrame], least_t: float = 4.4172) -> DataFrame:
+    """Variants that mark any of the components: |t| beyond AIM_P's normal quantile (U4)."""
+    found = [aim_scan(g, p).where(F.abs("t") > least_t).select("vid") for p in pcs]
+    return reduce(DataFrame.union, found).distinct()
+
+
+def merge_with_reference(g: DataFrame, ref: DataFrame, actions: DataFrame, geno: float = GENO, maf: float = MAF) -> DataFrame:
+    """Data and reference genotypes at the variants of both that are kept or flipped, cleaned together (Q5).
+
+    A flip renames alleles and leaves dosages; rare and ill-called variants go after the merge.
+    """
+    usable = actions.where(F.col("action").isin("keep", "flip")).select("vid")
+    shared = ref.select("vid").distinct().join(usable, "vid", "left_semi")
+    both = g.join(shared, "vid", "left_semi").select("iid", "vid", "dosage").unionByName(ref.join(g.select("vid").distinct(), "vid", "left_semi").join(usable, "vid", "left_semi").select("iid", "vid", "dosage"))
+    good = frequencies(both).where((F.col("missing") <= geno) & F.least("freq", 1 - F.col("freq")).between(maf, 0.5)).select("vid")
+    return both.join(good, "vid", "left_semi")
+
+
 def haploid_match(h: DataFrame, rate: float = HAPLOID_DIFFERENT, unknown: float = HAPLOID_UNKNOWN) -> DataFrame:
     """Match (1), mismatch (0) or unknown (-1) of all pairs of haploid sequences."""
     a, b = h.select("site", F.col("iid").alias("iid1"), F.col("allele").alias("x")), h.select("site", F.col("iid").alias("iid2"), F.col("allele").alias("y"))

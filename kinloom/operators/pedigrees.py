@@ -139,15 +139,18 @@ def sex_conflicts(fam: DataFrame) -> DataFrame:
     return named.join(fam.select("iid", "sex"), "iid").where("sex <> 0 and sex <> need").select("iid", "sex", "need")
 
 
-def pedigree_scores(rel: DataFrame, classified: DataFrame, floor: float = 1e-4) -> DataFrame:
-    """Sum of ln density of the relation that the pedigree gives each compared pair (A10)."""
+def pedigree_scores(rel: DataFrame, dens: DataFrame, fam: DataFrame, floor: float = 1e-4) -> DataFrame:
+    """For each pedigree (``fid``), the sum over its compared pairs of the ln density of
+    the class that the pedigree puts them in (A10).  ``dens`` as from :func:`relationships.densities`."""
     group = {"PC": ("P", "O"), "FS": ("F",), "HAG": ("N", "H", "G", "A", "C"), "CGH": ("GC", "HN", "HA", "GG", "1C", "GA", "GN")}
     named = rel.where("self < rel").select(F.col("self").alias("iid1"), F.col("rel").alias("iid2"), "code")
-    j = classified.join(named, ["iid1", "iid2"], "left")
+    home = fam.select("iid", "fid")
+    j = dens.join(home.select(F.col("iid").alias("iid1"), "fid"), "iid1").join(home.select(F.col("iid").alias("iid2"), F.col("fid").alias("other")), "iid2").where("fid = other")
+    j = j.join(named, ["iid1", "iid2"], "left")
     value = F.col("un")
     for c, codes in group.items():
         value = F.when(F.col("code").isin(*codes), F.col(c.lower())).otherwise(value)
-    return j.select("iid1", "iid2", F.coalesce("code", F.lit("UN")).alias("code"), F.round(F.ln(F.greatest(value, F.lit(floor))), 6).alias("lnl"))
+    return j.groupBy("fid").agg(F.count("*").alias("n_pairs"), F.count("code").alias("n_related"), F.round(F.sum(F.ln(F.greatest(value, F.lit(floor)))), 4).alias("lnl"))
 
 
 def rank_pedigrees(scores: DataFrame, key: list[str]) -> DataFrame:

@@ -7,7 +7,6 @@ states alike up to the names of placeholders are kept once.
 
 from __future__ import annotations
 
-import time
 from itertools import product
 
 import pandas as pd
@@ -15,9 +14,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from kinloom.operators.relationships import networks
 
-#: Largest number of open states and seconds for a network.
-MAX_STATES, SECONDS, MAX_PEOPLE = 2000, 10.0, 12
-OUT = "network_id int, pedigree int, iid string, pid string, mid string, sex int, lnl double, status string"
+#: Fixed value: largest number of open states of a network.  States settled for one network.
+MAX_STATES, MAX_STEPS = 100_000, 20_000
+OUT = "network_id long, pedigree int, iid string, pid string, mid string, sex int, lnl double, status string"
 
 
 class State:
@@ -137,7 +136,7 @@ class State:
                 down.setdefault(p, set()).add(c)
 
         def sign(p: str, depth: int = 0) -> str:
-            return p if p[0] != "?" else "?(" + ",".join(sorted(sign(c, depth + 1) for c in down.get(p, ()))) + ")" if depth < 5 else "?"
+            return p if p[0] != "?" else "?(" + ",".join(sorted(sign(c, depth + 1) for c in down.get(p, ()))) + ")" if depth < len(self.sex) else "?"
 
         return frozenset((c if c[0] != "?" else sign(c), tuple(sorted(map(sign, ps)))) for c, ps in self.parents.items())
 
@@ -182,37 +181,38 @@ def _settle(s: State, a: str, b: str, rel: str) -> list[State]:
     return [x for x in out if x.relation(a, b) == rel]
 
 
-def search(pairs: list[tuple], sex: dict, ages: dict) -> tuple[list[State], str]:
-    """All pedigrees of one network; pairs are (a, b, possible classes, pi_hat)."""
-    people = {x for a, b, *_ in pairs for x in (a, b)}
-    if len(people) > MAX_PEOPLE:
-        return [], "too_many_people"
-    end = time.monotonic() + SECONDS
+def search(pairs: list[tuple], sex: dict, ages: dict, max_states: int = MAX_STATES, max_steps: int = MAX_STEPS) -> tuple[list[State], str]:
+    """All pedigrees of one network; pairs are (a, b, possible classes, pi_hat).
+
+    Limits are counts, so reruns agree: of open states, and of states settled.
+    """
+    people, steps = {x for a, b, *_ in pairs for x in (a, b)}, 0
     states = [State({}, {p: sex.get(p, 0) for p in people})]
     order = {"PC": 0, "FS": 1, "HAG": 2, "CGH": 3}
     for a, b, possible, _ in sorted(pairs, key=lambda p: (min(order.get(c, 9) for c in p[2]), -p[3], p[0], p[1])):
         new: dict = {}
         for s in states:
+            steps += len(possible)
             for rel in possible:
                 for t in _settle(s, a, b, rel) if rel in order else [s]:
                     if t.valid(ages):
                         new.setdefault(t.form(), t)
-            if time.monotonic() > end:
-                return [], "timeout"
+            if steps > max_steps:
+                return [], "too_many_steps"
         states = list(new.values())
-        if len(states) > MAX_STATES:
+        if len(states) > max_states:
             return [], "too_many_states"
     allowed = {(a, b): set(possible) for a, b, possible, _ in pairs}
     fit = [s for s in states if all(s.relation(a, b) in p or p & {"DR", "UN"} for (a, b), p in allowed.items())]
     return fit, "ok" if fit else "no_pedigree"
 
 
-def reconstruct(classified: DataFrame, people: DataFrame) -> DataFrame:
+def reconstruct(classified: DataFrame, people: DataFrame, max_states: int = MAX_STATES, max_steps: int = MAX_STEPS) -> DataFrame:
     """(network_id, pedigree, iid, pid, mid, sex, lnl, status) of every pedigree.
 
     ``classified`` as from :func:`relationships.classify`, related pairs only;
-    ``people(iid, sex, age)``.  Networks are searched apart; one that is too large,
-    takes too long or fits no pedigree gives one row with its status.
+    ``people(iid, sex, age)``.  Networks are searched apart; one that goes beyond
+    ``max_states`` or ``max_steps`` or fits no pedigree gives one row with its status.
     """
     edges = classified.select("iid1", "iid2")
     members = networks(edges.select(F.explode(F.array("iid1", "iid2")).alias("iid")).distinct(), edges)
@@ -234,7 +234,7 @@ def reconstruct(classified: DataFrame, people: DataFrame) -> DataFrame:
                 sex[p] = int(x) if x == x else 0
                 if g == g:
                     ages[p] = g
-        found, status = search(pairs, sex, ages)
+        found, status = search(pairs, sex, ages, max_states, max_steps)
         scored = sorted(((round(sum(math.log(max(v[s.relation(a, b)], 1e-4)) for (a, b), v in value.items()), 6), s) for s in found), key=lambda x: (-x[0], sorted(map(str, x[1].form()))))
         out = []
         for k, (lnl, s) in enumerate(scored, 1):

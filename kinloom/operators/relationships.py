@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kinloom.operators.components import connected_components
 
@@ -15,6 +15,25 @@ def related_edges(genome: DataFrame, threshold: float = 0.09375) -> DataFrame:
     return genome.where(F.col("pi_hat") > threshold).select("iid1", "iid2", "pi_hat")
 
 
+#: Least proportion shared by relatives up to a degree.
+DEGREE_THRESHOLDS = {1: 0.375, 2: 0.1875, 3: 0.09375}
+
+
+def threshold_of(degree: int) -> float:
+    """The threshold that keeps relatives up to a degree."""
+    return DEGREE_THRESHOLDS[degree]
+
+
+def degree_of(threshold: float) -> int:
+    """The farthest degree that a threshold of one's own keeps."""
+    return 3 if threshold < 0.1 else 2 if threshold < 0.2 else 1
+
+
+def network_edges(classified: DataFrame, threshold: float = 0.09375) -> DataFrame:
+    """Pairs above the threshold that join networks: not those that can only be unrelated."""
+    return classified.where((F.col("pi_hat") > threshold) & (F.col("possible") != "UN")).select("iid1", "iid2", "pi_hat")
+
+
 def synthetic_kde(spark: SparkSession, step: int = 10) -> DataFrame:
     """A stand-in for trained densities: Gaussians about each class's expected sharing.
 
@@ -37,8 +56,8 @@ def grid_point(z0: Column, z1: Column, z2: Column) -> tuple[Column, Column, Colu
     return k0, F.when(fold, F.least(F.lit(1000), k1 + k2)).otherwise(k1), F.when(fold, 0).otherwise(k2)
 
 
-def classify(genome: DataFrame, kde: DataFrame, cutoff: float = 0.3, step: int = 10) -> DataFrame:
-    """Likelihood vector, likeliest class, possible classes and twin flag of each pair."""
+def densities(genome: DataFrame, kde: DataFrame, step: int = 10) -> DataFrame:
+    """Density of every class at each pair's sharing, with hard limits where no density reaches, and twin flag."""
     k0, k1, k2 = grid_point(F.col("z0"), F.col("z1"), F.col("z2"))
     g = genome.withColumns({"k0": k0, "k1": k1, "k2": k2}).withColumns({"g0": F.expr(f"k0 div {step} * {step}"), "g1": F.expr(f"k1 div {step} * {step}")})
     names = [c.lower() for c in CLASSES]
@@ -48,13 +67,18 @@ def classify(genome: DataFrame, kde: DataFrame, cutoff: float = 0.3, step: int =
     d["pc"] = d["pc"] + F.when(F.col("k1") > 800, 1.0).otherwise(0.0)
     none = sum(d.values(), F.lit(0.0)) < 1e-6
     mz = none & (F.col("k2") > 800)
-    # Hard limits where no density reaches.
     hag = none & ~mz & (F.col("k1") > 600) & (F.col("k1") < 800) & (F.col("k0") + F.col("k1") > 900)
     un = none & ~mz & (F.col("k1") < 100) & (F.col("k0") + F.col("k2") > 900)
     d["fs"] = d["fs"] + F.when(mz, 100.0).otherwise(0.0)
     d["hag"] = d["hag"] + F.when(hag, 100.0).otherwise(0.0)
     d["un"] = d["un"] + F.when(un, 100.0).otherwise(0.0)
-    j = j.select("iid1", "iid2", "pi_hat", mz.alias("mz"), *[c.alias(n) for n, c in d.items()])
+    return j.select("iid1", "iid2", "pi_hat", mz.alias("mz"), *[c.alias(n) for n, c in d.items()])
+
+
+def classify(genome: DataFrame, kde: DataFrame, cutoff: float = 0.3, step: int = 10) -> DataFrame:
+    """Likelihood vector, likeliest class, possible classes and twin flag of each pair."""
+    names = [c.lower() for c in CLASSES]
+    j = densities(genome, kde, step)
     total = sum((F.col(c) for c in names), F.lit(0.0))
     j = j.withColumn("total", total).select("iid1", "iid2", "pi_hat", "mz", *[F.when(F.col("total") > 0, F.col(c) / F.col("total")).otherwise(0.0).alias(c) for c in names])
     both = (F.col("pc") > cutoff) & (F.col("hag") > cutoff)
@@ -80,10 +104,58 @@ def fuse(classified: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def networks(people: DataFrame, edges: DataFrame) -> DataFrame:
-    """(network_id, iid) for every person, numbered by smallest member."""
+    """(network_id, iid) for every person; a network is called by its smallest member."""
     parts = connected_components(edges, "iid1", "iid2").select(F.col("id").alias("iid"), "component")
-    every = people.join(parts, "iid", "left").select("iid", F.coalesce("component", "iid").alias("component"))
-    return every.select(F.dense_rank().over(Window.orderBy("component")).alias("network_id"), "iid")
+    return people.join(parts, "iid", "left").select(F.coalesce("component", "iid").alias("network_id"), "iid")
+
+
+def twin_nodes(classified: DataFrame) -> DataFrame:
+    """(iid, node): identical twins, triplets ... are one node, named by all of them."""
+    parts = connected_components(classified.where("mz"), "iid1", "iid2")
+    names = parts.groupBy("component").agg(F.array_join(F.transform(F.array_sort(F.collect_set("id")), lambda i: i.cast("string")), ":").alias("node"))
+    return parts.join(names, "component").select(F.col("id").alias("iid"), "node")
+
+
+def network_pairs(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """All unordered pairs inside a network, with what they share where it is above the threshold."""
+    a, b = (members.select("network_id", F.col("iid").alias(f"iid{i}")) for i in (1, 2))
+    return a.join(b, "network_id").where("iid1 < iid2").join(edges, ["iid1", "iid2"], "left").select("network_id", "iid1", "iid2", "pi_hat")
+
+
+def sample_relatedness(best: DataFrame, members: DataFrame) -> DataFrame:
+    """Every estimated pair by where its people stand: in one network, in two, one or both in none."""
+    size = members.groupBy("network_id").agg(F.count("*").alias("n"))
+    at = members.join(size, "network_id")
+    one, two = (at.select(F.col("iid").alias(f"id{i}"), F.col("network_id").alias(f"net{i}"), (F.col("n") > 1).alias(f"in{i}")) for i in (1, 2))
+    j = best.join(one, "id1").join(two, "id2")
+    kind = F.when(F.col("net1") == F.col("net2"), "within").when(F.col("in1") & F.col("in2"), "between").when(F.col("in1") | F.col("in2"), "unrelated and network").otherwise("unrelated")
+    return j.select("id1", "id2", "net1", "net2", kind.alias("kind"), "ancestors", "degree", "lnl", "ll_null")
+
+
+def dataset_summary(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """How many networks, people in and outside of them, and related pairs (K9)."""
+    size = members.groupBy("network_id").agg(F.count("*").alias("n"))
+    real = F.col("n") > 1
+    sums = size.agg(F.count(F.when(real, 1)).alias("n_networks"), F.coalesce(F.sum(F.when(real, F.col("n"))), F.lit(0)).alias("n_related"), F.count(F.when(~real, 1)).alias("n_unrelated"), F.max("n").alias("largest"))
+    return sums.join(edges.agg(F.count("*").alias("n_pairs"), F.round(F.avg("pi_hat"), 6).alias("mean_pi_hat")))
+
+
+def possibility_counts(classified: DataFrame, members: DataFrame) -> DataFrame:
+    """How many relationships the possible classes leave to each network, in all."""
+    j = classified.join(members.select(F.col("iid").alias("iid1"), "network_id"), "iid1").join(members.select(F.col("iid").alias("iid2"), F.col("network_id").alias("other")), "iid2").where("network_id = other")
+    return j.groupBy("network_id").agg(F.count("*").alias("n_pairs"), F.sum(F.size(F.split("possible", ","))).alias("n_possible"))
+
+
+def attribute_gaps(people: DataFrame, attributes: DataFrame) -> DataFrame:
+    """People who lack an attribute, and attributes of nobody (P20)."""
+    have = attributes.select("iid").distinct()
+    lack = people.select("iid").distinct()
+    return lack.join(have, "iid", "left_anti").select("iid", F.lit("no attribute").alias("gap")).unionByName(have.join(lack, "iid", "left_anti").select("iid", F.lit("nobody").alias("gap")))
+
+
+def known_networks(members: DataFrame, fam: DataFrame) -> DataFrame:
+    """Networks that share a sample with a reference pedigree."""
+    return members.join(fam.select("iid"), "iid", "left_semi").groupBy("network_id").agg(F.count("*").alias("n_shared"))
 
 
 def density(members: DataFrame, edges: DataFrame) -> DataFrame:

@@ -90,6 +90,33 @@ def bucket_weights(m: DataFrame) -> DataFrame:
     return shifted.groupBy(*PAIR).agg(*[F.round(part(a, b), 6).alias(c) for c, a, b in (("p2", 2, 2), ("p3", 3, 3), ("p4_7", 4, 7), ("p8", 8, 40))])
 
 
+def sibling_overrides(segments: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """Pairs whose segments on both homologs fit full siblings better than chance.
+
+    The longest k of them are a sibling's and the rest background, whose rate is
+    scaled by the share of the genome in single sharing; the best k counts.
+    """
+    kept = canonical(segments).where((F.round("cm", 2) >= s.load_cm) & (F.abs("cm") >= s.min_cm))
+    single = kept.where("ibd is null or ibd <> 2").groupBy(*PAIR).agg(F.sum("cm").alias("ibd1_cm"))
+    two = splits(kept.where("ibd = 2"), s).join(single, PAIR)
+    b = F.col("s") - F.col("k")
+    back = L.poisson_ln(s.pois_mean * F.col("ibd1_cm") / s.genome, b, F.col("bf")) + b * F.log(F.lit(s.rate)) - F.col("bx") * s.rate
+    lnl = back + L.ibd2_sibling_ln(F.col("k"), F.col("rx"), F.col("rf"), s)
+    best = two.groupBy(*PAIR).agg(F.max("s").alias("n_ibd2"), F.max(lnl).alias("lnl"), F.max(F.when(F.col("k") == 0, back)).alias("ll_null"))
+    return best.select(*PAIR, "n_ibd2", F.round("lnl", 6).alias("lnl"), F.round("ll_null", 6).alias("ll_null"), (F.col("lnl") > F.col("ll_null") + s.margin).alias("sibling"))
+
+
+def split_at_locus(segments: DataFrame, chrom: int | str, position: int) -> DataFrame:
+    """A segment over the ascertained locus becomes two, its cM shared by length."""
+    over = (F.col("chrom") == chrom) & (F.col("start_bp") < position) & (F.col("end_bp") > position)
+    part = lambda a, b: F.struct(a.alias("start_bp"), b.alias("end_bp"))
+    cut = F.lit(position).cast("long")
+    parts = F.when(over, F.array(part(F.col("start_bp"), cut), part(cut, F.col("end_bp")))).otherwise(F.array(part(F.col("start_bp"), F.col("end_bp"))))
+    rows = segments.withColumn("p", F.explode(parts))
+    share = F.coalesce((F.col("p.end_bp") - F.col("p.start_bp")) / F.nullif(F.col("end_bp") - F.col("start_bp"), F.lit(0)), F.lit(1.0))
+    return rows.select("id1", "id2", "chrom", F.col("p.start_bp").alias("start_bp"), F.col("p.end_bp").alias("end_bp"), F.round(F.col("cm") * share, 6).alias("cm"), "ibd")
+
+
 def control_stats(segments: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Mean count per pair (pairs without segments too) and mean length of control segments."""
     kept = canonical(segments).where(F.abs("cm").between(s.min_cm, s.max_cm))
@@ -100,18 +127,31 @@ def control_stats(segments: DataFrame, s: Settings = Settings()) -> DataFrame:
     return seen.join(F.broadcast(totals)).select("people", (F.col("n") / pairs).alias("pois_mean"), "mean_cm", (1 / (F.col("mean_cm") - s.min_cm)).alias("exp_rate"))
 
 
-def overlap_density(segments: DataFrame, width: int = 20_000_000) -> DataFrame:
+def overlap_density(segments: DataFrame, width: int = 1_000_000) -> DataFrame:
     """cM that other segments of the chromosome lay over each segment.
 
-    Segments meet in bins of ``width``; a pair counts in the first bin both touch.
+    No pair is formed: with C(x) and L(x), the starts less ends and the covered
+    length to the left of x, a segment meets as many others as start up to its
+    end and do not end before its start, over a length of L(end) - L(start) less
+    its own.  Running sums are taken within bins of ``width``, on top of those
+    of the bins before, so no task holds a chromosome.
     """
-    s = segments.withColumn("sid", F.xxhash64("id1", "id2", "chrom", "start_bp", "end_bp", "cm", "ibd")).dropDuplicates(["sid"])
-    bins = s.withColumn("bin", F.explode(F.sequence(F.expr(f"start_bp div {width}"), F.expr(f"end_bp div {width}"))))
-    a, b = bins.alias("a"), bins.select("sid", "chrom", "bin", "start_bp", "end_bp").alias("b")
-    met = a.join(b, (F.col("a.chrom") == F.col("b.chrom")) & (F.col("a.bin") == F.col("b.bin")) & (F.col("a.start_bp") <= F.col("b.end_bp")) & (F.col("b.start_bp") <= F.col("a.end_bp")) & (F.col("a.sid") != F.col("b.sid")))
-    met = met.where(F.col("a.bin") == F.expr(f"greatest(a.start_bp, b.start_bp) div {width}"))
-    over = F.least("a.end_bp", "b.end_bp") - F.greatest("a.start_bp", "b.start_bp")
-    return met.groupBy("a.id1", "a.id2", "a.chrom", "a.start_bp", "a.end_bp", "a.cm", "a.ibd").agg(F.count("*").alias("n_over"), F.round(F.sum(F.col("a.cm") * over / (F.col("a.end_bp") - F.col("a.start_bp"))), 4).alias("shared_cm"))
+    s = segments.select("id1", "id2", "chrom", "start_bp", "end_bp", "cm", "ibd").distinct()
+    one = lambda c, a, b: F.struct(F.col(c).alias("pos"), F.lit(a).alias("s"), F.lit(b).alias("e"))
+    ends = s.select("chrom", F.explode(F.array(one("start_bp", 1, 0), one("end_bp", 0, 1))).alias("p")).select("chrom", "p.*")
+    at = ends.groupBy("chrom", "pos").agg(F.sum("s").alias("s"), F.sum("e").alias("e"))
+    at = at.select("chrom", "pos", F.expr(f"pos div {width}").alias("bin"), "s", "e", (F.col("pos") * (F.col("e") - F.col("s"))).alias("x"))
+    earlier = Window.partitionBy("chrom").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = at.groupBy("chrom", "bin").agg(*[F.sum(c).alias(c) for c in "sex"])
+    bins = bins.select("chrom", "bin", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}0") for c in "sex"])
+    upto = Window.partitionBy("chrom", "bin").orderBy("pos")
+    sums = at.join(bins, ["chrom", "bin"]).select("chrom", "pos", "e", *[(F.col(f"{c}0") + F.sum(c).over(upto)).alias(f"{c}s") for c in "sex"])
+    length = F.col("pos") * (F.col("ss") - F.col("es")) + F.col("xs")
+    left = sums.select("chrom", F.col("pos").alias("start_bp"), (F.col("es") - F.col("e")).alias("ended"), length.alias("l0"))
+    right = sums.select("chrom", F.col("pos").alias("end_bp"), F.col("ss").alias("started"), length.alias("l1"))
+    met = s.join(left, ["chrom", "start_bp"]).join(right, ["chrom", "end_bp"])
+    own = F.col("end_bp") - F.col("start_bp")
+    return met.select("id1", "id2", "chrom", "start_bp", "end_bp", "cm", "ibd", (F.col("started") - F.col("ended") - 1).alias("n_over"), F.round(F.col("cm") * (F.col("l1") - F.col("l0") - own) / own, 4).alias("shared_cm")).where("n_over > 0")
 
 
 def merge_intervals(rows: DataFrame, gap: int = 0) -> DataFrame:
@@ -175,3 +215,11 @@ def ibd2_sweep(haploid: DataFrame) -> DataFrame:
     out = met.groupBy(*key, F.col("b").alias("start_bp"), F.col("e").alias("end_bp")).agg(F.array_sort(F.collect_set(F.col("hap1") * 2 + F.col("hap2"))).alias("combos"), first.alias("cm"))
     two = F.col("combos") == F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))
     return out.select(*key, "start_bp", "end_bp", F.round("cm", 6).alias("cm"), F.when(two, 2).otherwise(1).alias("ibd"))
+
+
+def ibd2_table(segments: DataFrame, haploid: DataFrame, min_cm: float = 5.0) -> DataFrame:
+    """Diploid segments and the pieces shared on both homologs, of ``min_cm`` or more; of
+    segments at one place the last counts, that is the piece, then the longer one (I2, U1, W4)."""
+    two = ibd2_sweep(haploid).where((F.col("ibd") == 2) & (F.col("cm") >= min_cm))
+    one = segments.where(F.col("cm") >= min_cm).select(*two.columns[:-1], F.lit(1).alias("ibd"))
+    return keep_last(one.unionByName(two), ["id1", "id2", "chrom", "start_bp", "end_bp"], ["ibd", "cm"])

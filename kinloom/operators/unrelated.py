@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import time
-
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -40,12 +38,12 @@ def pruned_set(near: dict, score: dict) -> set:
     return alive
 
 
-def maximal_sets(near: dict, deadline: float):
+def maximal_sets(near: dict):
     """All maximal independent sets: cliques of the complement, with pivots."""
     nodes = set(near)
     free = {v: nodes - near[v] - {v} for v in nodes}
     stack = [(frozenset(), frozenset(nodes), frozenset())]
-    while stack and time.monotonic() < deadline:
+    while stack:
         r, p, x = stack.pop()
         if not p:
             if not x:
@@ -57,37 +55,76 @@ def maximal_sets(near: dict, deadline: float):
             p, x = p - {v}, x | {v}
 
 
-def best_set(near: dict, score: dict, seconds: float = 5.0) -> tuple[set, str]:
-    """The largest set, the highest trait total on ties (G4, O6); big networks are broken up first."""
-    value = lambda s: (len(s), sum(score.get(v, 0) for v in s), tuple(-v for v in sorted(s)))
-    n = len(near)
+def parts_of(near: dict) -> list[dict]:
+    """The connected parts of a network, the one with the smallest member first."""
+    out, left = [], set(near)
+    for v in sorted(near):
+        if v in left:
+            part, queue = set(), [v]
+            while queue:
+                x = queue.pop()
+                if x not in part:
+                    part.add(x)
+                    queue += near[x] - part
+            out.append({x: near[x] for x in part})
+            left -= part
+    return out
+
+
+def without(near: dict, gone: set) -> dict:
+    return {v: n - gone for v, n in near.items() if v not in gone}
+
+
+def value(found: set, score: dict) -> tuple:
+    """Larger sets first, then the trait's total, then smaller ids."""
+    return len(found), round(sum(score.get(v, 0) for v in found), 9), tuple(-v for v in sorted(found))
+
+
+def largest_set(near: dict, score: dict, steps: list[int]) -> set:
+    """The most valued set of unrelated people, by branching on the person with most relatives.
+
+    Someone with no relative left, or one who is worth no more, is taken at
+    once; parts that no pair joins are solved apart.  ``steps`` holds how many
+    branches are left; without any, the best of two simple ways is taken, so
+    reruns agree.
+    """
+    taken: set = set()
+    while True:
+        v = next((v for v in sorted(near) if not near[v] or len(near[v]) == 1 and score.get(v, 0) >= score.get(next(iter(near[v])), 0)), None)
+        if v is None:
+            break
+        taken.add(v)
+        near = without(near, near[v] | {v})
+    if not near:
+        return taken
+    parts = parts_of(near)
+    if len(parts) > 1:
+        return taken.union(*(largest_set(p, score, steps) for p in parts))
+    steps[0] -= 1
+    if steps[0] < 0:
+        return taken | max((greedy_set(near), pruned_set(near, score)), key=lambda s: value(s, score))
+    hub = max(near, key=lambda v: (len(near[v]), -score.get(v, 0), -v))
+    ways = largest_set(without(near, {hub}), score, steps), {hub} | largest_set(without(near, near[hub] | {hub}), score, steps)
+    return taken | max(ways, key=lambda s: value(s, score))
+
+
+def best_set(near: dict, score: dict, most_steps: int = 20_000) -> tuple[set, str]:
+    """The largest set, the highest trait total on ties (G4, O6); big networks are broken up first.
+
+    The status is 'exact', 'broken' where people were set aside because of the
+    network's size, or 'bounded' where ``most_steps`` branches did not do.
+    """
+    n, steps = len(near), [most_steps]
     edges = sum(map(len, near.values())) / 2
     if n > 60 and n > cap(2 * edges / (n * (n - 1))):
         hub = max(near, key=lambda v: (len(near[v]), -score.get(v, 0), v))  # O4
-        rest = {v: k - {hub} for v, k in near.items() if v != hub}
         found, out = set(), "broken"
-        while rest:
-            part, queue = set(), [min(rest)]
-            while queue:
-                v = queue.pop()
-                if v not in part:
-                    part.add(v)
-                    queue += rest[v] - part
-            found |= best_set({v: rest[v] for v in part}, score, seconds)[0]
-            rest = {v: k for v, k in rest.items() if v not in part}
-        options = [found]
+        for part in parts_of(without(near, {hub})):
+            found |= best_set(part, score, most_steps)[0]
     else:
-        out, options = "exact", []
-        best = None
-        end = time.monotonic() + seconds
-        for s in maximal_sets(near, end):
-            if best is None or value(s) > value(best):
-                best = s
-        if time.monotonic() >= end:
-            out = "timeout"
-        options = [set(best)] if best else []
-    options += [greedy_set(near), pruned_set(near, score)]
-    return max(options, key=value), out
+        found = largest_set(near, score, steps)
+        out = "exact" if steps[0] >= 0 else "bounded"
+    return max((found, greedy_set(near), pruned_set(near, score)), key=lambda s: value(s, score)), out
 
 
 def unrelated_sets(members: DataFrame, edges: DataFrame, traits: DataFrame | None = None) -> DataFrame:
@@ -111,5 +148,5 @@ def unrelated_sets(members: DataFrame, edges: DataFrame, traits: DataFrame | Non
         found, status = best_set(graph, score)
         return pd.DataFrame({"network_id": pdf.network_id.iloc[0], "iid": sorted(found), "status": status})
 
-    solved = near.where("near is not null").select("network_id", "iid", "near", "affected").groupBy("network_id").applyInPandas(solve, "network_id int, iid long, status string")
+    solved = near.where("near is not null").select("network_id", "iid", "near", "affected").groupBy("network_id").applyInPandas(solve, "network_id long, iid long, status string")
     return single.unionByName(solved)

@@ -54,11 +54,12 @@ classes AS (SELECT *, CASE WHEN greatest(pc, fs, hag, cgh, dr, un) < .3 THEN 'FA
   WHEN hag >= greatest(pc, fs) THEN 'HAG' WHEN fs >= pc THEN 'FS' ELSE 'PC' END AS rel,
   concat_ws(',', CASE WHEN pc > .3 THEN 'PC' END, CASE WHEN fs > .3 THEN 'FS' END, CASE WHEN hag > .3 THEN 'HAG' END, CASE WHEN cgh > .3 THEN 'CGH' END, CASE WHEN dr > .3 THEN 'DR' END, CASE WHEN un > .3 THEN 'UN' END) AS possible FROM rd)
 """
-COMPONENTS = """
-e AS (SELECT iid1 AS a, iid2 AS b FROM ov_genome WHERE pi_hat > 0.45 UNION SELECT iid2, iid1 FROM ov_genome WHERE pi_hat > 0.45),
+COMPONENTS = CLASSES + """,
+ed AS (SELECT iid1, iid2, pi_hat FROM classes WHERE pi_hat > 0.09375 AND possible <> 'UN'),
+e AS (SELECT iid1 AS a, iid2 AS b FROM ed UNION SELECT iid2, iid1 FROM ed),
 p AS (SELECT DISTINCT iid1 AS iid FROM ov_genome UNION SELECT iid2 FROM ov_genome),
 reach(a, b) AS (SELECT iid, iid FROM p UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
-members AS (SELECT CAST(dense_rank() OVER (ORDER BY c) AS INT) AS network_id, iid FROM (SELECT a AS iid, min(b) AS c FROM reach GROUP BY a))
+members AS (SELECT a AS iid, min(b) AS network_id FROM reach GROUP BY a)
 """
 PO = """
 po AS (SELECT pid AS p, iid AS c FROM ov_fam WHERE pid <> 0 UNION SELECT mid, iid FROM ov_fam WHERE mid <> 0)
@@ -110,7 +111,7 @@ SELECT id1, id2, chrom, b AS start_bp, e AS end_bp, round(max(CASE WHEN rn = 1 T
     "relationship_class": f"WITH {CLASSES} SELECT * FROM classes",
     "mz_pairs": f"WITH {CLASSES} SELECT iid1, iid2 FROM classes WHERE mz",
     "family_networks": f"WITH RECURSIVE {COMPONENTS} SELECT * FROM members",
-    "network_density": f"""WITH RECURSIVE {COMPONENTS}, s AS (SELECT network_id, count(*) AS n FROM members GROUP BY 1), k AS (SELECT network_id, count(*) AS e FROM ov_genome JOIN members ON iid = iid1 WHERE pi_hat > .45 GROUP BY 1)
+    "network_density": f"""WITH RECURSIVE {COMPONENTS}, s AS (SELECT network_id, count(*) AS n FROM members GROUP BY 1), k AS (SELECT network_id, count(*) AS e FROM ed JOIN members ON iid = iid1 GROUP BY 1)
 SELECT network_id, n, coalesce(k.e, 0) AS e, round(2.0 * coalesce(k.e, 0) / (n * (n - 1)), 6) AS density FROM s LEFT JOIN k USING (network_id) WHERE n > 1""",
     "trait_fold": "SELECT iid, round(abs(qtrait - (SELECT avg(qtrait) FROM ov_traits)), 6) AS fold, CASE btrait WHEN 2 THEN 1 WHEN 1 THEN 0 END AS affected FROM ov_traits",
     "pedigree_relations": f"WITH {RELATIONS} SELECT * FROM rel",
@@ -130,8 +131,9 @@ f AS (SELECT self, rel, code, CASE
  WHEN code IN ('A', 'HA', 'N', 'HN') THEN CASE WHEN CASE WHEN code IN ('A', 'HA') THEN gap ELSE -gap END < -10 THEN 'avuncular too young' WHEN CASE WHEN code IN ('A', 'HA') THEN gap ELSE -gap END > 50 THEN 'avuncular too old' END
  WHEN code IN ('GA', 'GN') THEN CASE WHEN CASE code WHEN 'GA' THEN gap ELSE -gap END < -20 THEN 'great-avuncular too young' WHEN CASE code WHEN 'GA' THEN gap ELSE -gap END > 100 THEN 'great-avuncular too old' END
  WHEN code IN ('F', 'H') AND abs(gap) > 25 THEN 'siblings too far apart' WHEN code = '1C' AND abs(gap) > 30 THEN 'cousins too far apart' END AS reason FROM j) SELECT * FROM f WHERE reason IS NOT NULL""",
-    "pedigree_score": f"""WITH {RELATIONS}, {CLASSES}, n AS (SELECT iid1, iid2, coalesce(code, 'UN') AS code, CASE WHEN code IN ('P', 'O') THEN pc WHEN code = 'F' THEN fs WHEN code IN ('N', 'H', 'G', 'A', 'C') THEN hag
- WHEN code IN ('GC', 'HN', 'HA', 'GG', '1C', 'GA', 'GN') THEN cgh ELSE un END AS v FROM classes LEFT JOIN (SELECT self, rel AS other, code FROM rel WHERE self < rel) r ON iid1 = self AND iid2 = other) SELECT iid1, iid2, code, round(ln(greatest(v, 1e-4)), 6) AS lnl FROM n""",
+    "pedigree_score": f"""WITH {RELATIONS}, {CLASSES}, n AS (SELECT x.fid, code, CASE WHEN code IN ('P', 'O') THEN pc WHEN code = 'F' THEN fs WHEN code IN ('N', 'H', 'G', 'A', 'C') THEN hag
+ WHEN code IN ('GC', 'HN', 'HA', 'GG', '1C', 'GA', 'GN') THEN cgh ELSE un END AS v FROM hard JOIN ov_fam x ON x.iid = iid1 JOIN ov_fam y ON y.iid = iid2 AND y.fid = x.fid LEFT JOIN (SELECT self, rel AS other, code FROM rel WHERE self < rel) r ON iid1 = self AND iid2 = other)
+SELECT fid, count(*) AS n_pairs, count(code) AS n_related, round(sum(ln(greatest(v, 1e-4))), 4) AS lnl FROM n GROUP BY fid""",
     "pedigree_rank": f"WITH {RANKS} SELECT *, CAST(rank() OVER (PARTITION BY network_id ORDER BY flags, lnl DESC, generations, dummies) AS INT) AS rank FROM rk",
     "score_summary": f"""WITH {RANKS}, t AS (SELECT *, max(lnl) OVER (PARTITION BY network_id) AS top FROM rk) SELECT network_id, min(lnl) AS low, max(lnl) AS high, round(avg(lnl), 6) AS mean, round(median(lnl), 6) AS median,
  count(*) FILTER (lnl = top) AS n_at_max, count(*) FILTER (flags = 0) AS n_unflagged FROM t GROUP BY network_id""",
@@ -140,7 +142,7 @@ f AS (SELECT self, rel, code, CASE
     "degree_lnl": f"""WITH {MODELS}, o AS (SELECT id1, id2, degree, max(CASE WHEN ancestors = 1 THEN lnl END) AS a, max(CASE WHEN ancestors = 2 THEN lnl END) AS b FROM models WHERE ancestors > 0 GROUP BY 1, 2, 3)
 SELECT id1, id2, degree, round(CASE WHEN a > coalesce(b, -1e300) THEN a ELSE coalesce(b, a) END - 2, 6) AS lnl FROM o""",
     "connection_significance": f"WITH {MODELS}, {BEST} SELECT id1, id2, round(CASE WHEN lnl <= ll_null THEN 1.0 ELSE exp(ll_null - lnl) END, 8) AS p FROM best_model",
-    "bonferroni": """WITH n AS (SELECT iid % 2 AS network_id, count(DISTINCT iid) AS f FROM ov_fam WHERE pid = 0 AND mid = 0 GROUP BY 1), t AS (SELECT 1 + (sum(f) * sum(f) - sum(f * f)) / 2.0 + sum(f) * 10.0 + 100.0 AS comparisons FROM n)
+    "bonferroni": """WITH n AS (SELECT 2 * fid + iid % 2 AS network_id, count(DISTINCT iid) AS f FROM ov_fam WHERE pid = 0 AND mid = 0 GROUP BY 1), t AS (SELECT 1 + (sum(f) * sum(f) - sum(f * f)) / 2.0 + sum(f) * 10.0 + 100.0 AS comparisons FROM n)
 SELECT CAST(comparisons AS DOUBLE) AS comparisons, CAST(0.05 / comparisons AS DOUBLE) AS p_cut FROM t""",
     "variant_dups": "SELECT vid, snp_id, chrom, pos, n_id, n_place FROM (SELECT *, count(*) OVER (PARTITION BY snp_id) AS n_id, count(*) OVER (PARTITION BY chrom, pos) AS n_place FROM ov_variants) WHERE n_id > 1 OR n_place > 1",
     "autosomes": "SELECT * FROM ov_variants WHERE chrom BETWEEN 1 AND 22",
@@ -164,6 +166,53 @@ SELECT vid, n, round(beta, 6) AS beta, round(r2, 6) AS r2, round(sign(beta) * sq
     "ancestry_split": """SELECT iid, pop, CASE pop WHEN 'CEU' THEN 'EUR' WHEN 'FIN' THEN 'EUR' WHEN 'CHB' THEN 'EAS' WHEN 'JPT' THEN 'EAS' WHEN 'YRI' THEN 'AFR' WHEN 'LWK' THEN 'AFR' WHEN 'ASW' THEN 'AFR' WHEN 'GIH' THEN 'SAS' WHEN 'PUR' THEN 'AMR' ELSE pop END AS continent,
  CASE WHEN is_ref THEN 'train' ELSE 'test' END AS part FROM ov_pcs""",
     "ancestry_scale": """WITH f AS (SELECT iid, is_ref, CAST(unnest(generate_series(0, 9)) AS INT) AS k, CAST(unnest(pcs[1:10]) AS DOUBLE) AS x FROM ov_pcs), s AS (SELECT k, avg(x) AS m, stddev_pop(x) AS s FROM f WHERE is_ref GROUP BY k) SELECT iid, k, round((x - m) / s, 5) AS z FROM f JOIN s USING (k)""",
-    "admixture_flag": """SELECT string_agg(DISTINCT pop, ',' ORDER BY pop) AS pops, bool_or(pop IN ('ACB', 'ASW', 'CLM', 'GIH', 'MEX', 'MKK', 'MXL', 'PEL', 'PUR')) OR count(DISTINCT CASE WHEN pop IN ('CEU', 'FIN') THEN 'EUR' WHEN pop IN ('CHB', 'JPT') THEN 'EAS' WHEN pop IN ('YRI', 'LWK', 'ASW') THEN 'AFR' END) > 1 AS admixed
- FROM ov_pcs WHERE is_ref""",
+    "admixture_flag": """SELECT iid % 50 - iid % 2 AS batch, string_agg(DISTINCT pop, ',' ORDER BY pop) AS pops, bool_or(pop IN ('ASW', 'ACB', 'MXL', 'CLM', 'PEL', 'PUR', 'GIH', 'BEB', 'ITU', 'PJL', 'STU')) OR
+ CAST(bool_or(pop IN ('CEU', 'TSI', 'FIN', 'GBR', 'IBS')) AS INT) + CAST(bool_or(pop IN ('YRI', 'LWK', 'GWD', 'MSL', 'ESN')) AS INT) + CAST(bool_or(pop IN ('CHB', 'CHS', 'JPT', 'CDX', 'KHV')) AS INT) > 1 AS admixed
+ FROM ov_pcs WHERE is_ref GROUP BY 1""",
+    "network_edges": f"WITH {CLASSES} SELECT iid1, iid2, pi_hat FROM classes WHERE pi_hat > 0.09375 AND possible <> 'UN'",
+    "network_pairs": f"WITH RECURSIVE {COMPONENTS} SELECT a.network_id, a.iid AS iid1, b.iid AS iid2, pi_hat FROM members a JOIN members b ON a.network_id = b.network_id AND a.iid < b.iid LEFT JOIN ed ON iid1 = a.iid AND iid2 = b.iid",
+    "sample_relatedness": f"""WITH RECURSIVE {COMPONENTS}, {MODELS}, {BEST}, stand AS (SELECT iid, network_id, count(*) OVER (PARTITION BY network_id) > 1 AS inn FROM members)
+SELECT id1, id2, a.network_id AS net1, b.network_id AS net2, CASE WHEN a.network_id = b.network_id THEN 'within' WHEN a.inn AND b.inn THEN 'between' WHEN a.inn OR b.inn THEN 'unrelated and network' ELSE 'unrelated' END AS kind, ancestors, degree, lnl, ll_null
+ FROM best_model JOIN stand a ON a.iid = id1 JOIN stand b ON b.iid = id2""",
+    "dataset_summary": f"""WITH RECURSIVE {COMPONENTS}, s AS (SELECT network_id, count(*) AS n FROM members GROUP BY 1) SELECT count(*) FILTER (n > 1) AS n_networks, CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS n_related, count(*) FILTER (n = 1) AS n_unrelated, max(n) AS largest,
+ (SELECT count(*) FROM ed) AS n_pairs, (SELECT round(avg(pi_hat), 6) FROM ed) AS mean_pi_hat FROM s""",
+    "possibility_counts": f"""WITH RECURSIVE {COMPONENTS} SELECT a.network_id, count(*) AS n_pairs, CAST(sum(len(string_split(possible, ','))) AS BIGINT) AS n_possible FROM classes JOIN members a ON a.iid = iid1 JOIN members b ON b.iid = iid2 AND a.network_id = b.network_id GROUP BY 1""",
+    "twin_nodes": f"""WITH RECURSIVE {CLASSES}, t AS (SELECT iid1 AS a, iid2 AS b FROM classes WHERE mz UNION SELECT iid2, iid1 FROM classes WHERE mz), w(a, b) AS (SELECT a, a FROM t UNION SELECT w.a, t.b FROM w JOIN t ON w.b = t.a)
+SELECT a AS iid, string_agg(CAST(b AS VARCHAR), ':' ORDER BY b) AS node FROM w GROUP BY a""",
+    "attribute_gaps": """WITH p AS (SELECT iid1 AS iid FROM ov_genome UNION SELECT iid2 FROM ov_genome), t AS (SELECT iid FROM ov_traits WHERE btrait <> 0)
+SELECT iid, 'no attribute' AS gap FROM p WHERE iid NOT IN (SELECT iid FROM t) UNION ALL SELECT iid, 'nobody' FROM t WHERE iid NOT IN (SELECT iid FROM p)""",
+    "known_networks": f"WITH RECURSIVE {COMPONENTS} SELECT network_id, count(*) AS n_shared FROM members WHERE iid IN (SELECT iid FROM ov_fam WHERE age > 80) GROUP BY 1",
+    "reference_samples": "SELECT iid, pop FROM ov_pcs WHERE is_ref AND pop IN ('CEU', 'ASW', 'JP')",
+    "ascertained_split": """SELECT id1, id2, chrom, start_bp, end_bp, cm, ibd FROM ov_segments WHERE NOT (chrom = 6 AND start_bp < 32500000 AND end_bp > 32500000)
+ UNION ALL SELECT id1, id2, chrom, start_bp, 32500000, round(cm * (32500000 - start_bp) / (end_bp - start_bp), 6), ibd FROM ov_segments WHERE chrom = 6 AND start_bp < 32500000 AND end_bp > 32500000
+ UNION ALL SELECT id1, id2, chrom, 32500000, end_bp, round(cm * (end_bp - 32500000) / (end_bp - start_bp), 6), ibd FROM ov_segments WHERE chrom = 6 AND start_bp < 32500000 AND end_bp > 32500000""",
+    "markers_to_remove": """WITH o AS (SELECT vid, k, count(*) AS n, regr_slope(dosage, x) AS beta, regr_r2(dosage, x) AS r2 FROM (SELECT vid, dosage, unnest([1, 2]) AS k, CAST(unnest(pcs[1:2]) AS DOUBLE) AS x FROM ov_genotypes JOIN ov_pcs USING (iid) WHERE dosage IS NOT NULL) GROUP BY vid, k)
+SELECT DISTINCT vid FROM o WHERE n > 2 AND r2 < 1 AND round(sqrt(r2 * (n - 2) / (1 - r2)), 5) > 1.5""",
 }
+SQL["ibd2_table"] = f"""WITH sweep AS ({SQL["ibd2_sweep"]}), u AS (SELECT id1, id2, chrom, start_bp, end_bp, cm, 1 AS ibd FROM ov_segments WHERE cm >= 5 UNION ALL SELECT * FROM sweep WHERE ibd = 2 AND cm >= 5)
+SELECT id1, id2, chrom, start_bp, end_bp, cm, ibd FROM (SELECT *, row_number() OVER (PARTITION BY id1, id2, chrom, start_bp, end_bp ORDER BY ibd DESC, cm DESC) AS rn FROM u) WHERE rn = 1"""
+SQL["merge_with_reference"] = f"""WITH act AS ({SQL["strand_flip"]}), both_ AS (SELECT vid FROM ov_genotypes WHERE vid IN (SELECT vid FROM act WHERE action IN ('keep', 'flip')) GROUP BY vid HAVING bool_or(iid % 2 = 0) AND bool_or(iid % 2 = 1)),
+f AS (SELECT vid FROM ov_genotypes WHERE vid IN (SELECT vid FROM both_) GROUP BY vid HAVING round(1 - count(dosage) / count(*), 8) <= .2 AND least(round(sum(dosage) / (2.0 * count(dosage)), 8), 1 - round(sum(dosage) / (2.0 * count(dosage)), 8)) BETWEEN .1 AND .5)
+SELECT iid, vid, dosage FROM ov_genotypes WHERE vid IN (SELECT vid FROM f)"""
+SQL["sibling_override"] = f"""WITH k AS (SELECT * FROM ov_segments WHERE cm >= 5), one AS (SELECT id1, id2, sum(cm) AS t FROM k WHERE ibd <> 2 GROUP BY 1, 2),
+x AS (SELECT id1, id2, cm - 2.5 AS x, row_number() OVER (PARTITION BY id1, id2 ORDER BY cm DESC, chrom DESC, start_bp DESC, end_bp DESC) AS k FROM k WHERE ibd = 2),
+c AS (SELECT id1, id2, k, sum(x) OVER (PARTITION BY id1, id2 ORDER BY k) AS rx FROM x UNION ALL SELECT DISTINCT id1, id2, 0, 0.0 FROM x),
+w AS (SELECT c.*, max(k) OVER (PARTITION BY id1, id2) AS s, max(rx) OVER (PARTITION BY id1, id2) AS tx, 13.73 * t / {G!r} AS l FROM c JOIN one USING (id1, id2)),
+v AS (SELECT id1, id2, k, s, -l + (s - k) * ln(l) - lgamma(s - k + 1) + (s - k) * ln({RATE!r}) - (tx - rx) * {RATE!r} AS bg, {(G / 100 + 22) / 4 * 2.718281828459045 ** -0.1!r} AS r, rx FROM w)
+SELECT id1, id2, max(s) AS n_ibd2, round(max(bg - r + k * ln(r) - lgamma(k + 1) - k * ln(25.0) - rx / 25.0), 6) AS lnl, round(max(CASE WHEN k = 0 THEN bg END), 6) AS ll_null,
+ max(bg - r + k * ln(r) - lgamma(k + 1) - k * ln(25.0) - rx / 25.0) > max(CASE WHEN k = 0 THEN bg END) + {MARGIN} AS sibling FROM v GROUP BY 1, 2"""
+_COMPOSITE = f"""{MODELS}, {PO}, anc(iid, ancestor, depth) AS (SELECT c, p, 1 FROM po UNION SELECT anc.iid, po.p, depth + 1 FROM anc JOIN po ON anc.ancestor = po.c),
+dl AS (SELECT id1, id2, degree, max(CASE WHEN ancestors = 1 THEN lnl END) AS a, max(CASE WHEN ancestors = 2 THEN lnl END) AS b FROM models WHERE ancestors > 0 GROUP BY 1, 2, 3),
+dg AS (SELECT id1, id2, degree, round(CASE WHEN a > coalesce(b, -1e300) THEN a ELSE coalesce(b, a) END - 2, 6) AS lnl FROM dl), nul AS (SELECT id1, id2, any_value(ll_null) AS ll_null FROM models GROUP BY 1, 2),
+dep AS (SELECT a.ancestor AS f, a.iid, min(a.depth) AS d, any_value(2 * fid + f.iid % 2) AS net FROM anc a JOIN ov_fam f ON f.iid = a.ancestor AND f.pid = 0 AND f.mid = 0 WHERE a.iid IN (SELECT id1 FROM ov_segments UNION SELECT id2 FROM ov_segments) GROUP BY 1, 2),
+dn AS (SELECT *, min(d) OVER (PARTITION BY f) AS near FROM dep),
+cand AS (SELECT DISTINCT x.net AS net1, y.net AS net2, x.f AS f1, y.f AS f2, x.near + y.near AS nn FROM dn x JOIN dn y ON x.net < y.net JOIN nul ON id1 = least(x.iid, y.iid) AND id2 = greatest(x.iid, y.iid)),
+cd AS (SELECT net1, net2, f1, f2, unnest(generate_series(1, 9 - nn)) AS degree FROM cand WHERE nn <= 8),
+pr AS (SELECT cd.*, least(x.iid, y.iid) AS id1, greatest(x.iid, y.iid) AS id2, degree + x.d + y.d AS total FROM cd JOIN dep x ON x.f = f1 JOIN dep y ON y.f = f2),
+vl AS (SELECT pr.*, lnl, ll_null, CASE WHEN total > 9 THEN greatest(lnl, ll_null) + ln(pow(.5, total - 9) * exp(lnl - greatest(lnl, ll_null)) + (1 - pow(.5, total - 9)) * exp(ll_null - greatest(lnl, ll_null))) ELSE lnl END AS v
+ FROM pr JOIN dg ON dg.id1 = pr.id1 AND dg.id2 = pr.id2 AND dg.degree = least(total, 9) JOIN nul ON nul.id1 = pr.id1 AND nul.id2 = pr.id2),
+composite AS (SELECT net1, net2, f1, f2, degree, round(sum(v), 5) AS score, round(sum(4 - 2 * v), 5) AS aic, round(sum(-2 * (ll_null - (lnl + 2))), 5) AS chi2, count(*) AS n_pairs, round(sum(v - ll_null), 5) AS gain, round(sum(4 - 2 * v + 2 * ll_null), 5) AS aic_gain FROM vl GROUP BY 1, 2, 3, 4, 5)"""
+SQL["connection_composite"] = f"WITH RECURSIVE {_COMPOSITE} SELECT * FROM composite"
+SQL["connection_best"] = f"""WITH RECURSIVE {_COMPOSITE}, b AS (SELECT *, row_number() OVER (PARTITION BY net1, net2 ORDER BY gain DESC, f1, f2, degree) AS rn FROM composite)
+SELECT net1, net2, f1, f2, CASE WHEN gain > 0 THEN degree END AS degree, score, aic, chi2, n_pairs, CASE WHEN chi2 <= 0 THEN 1.0 WHEN chi2 > 1400 THEN 0.0
+ ELSE round(exp(-chi2 / 2) * list_sum(list_transform(generate_series(0, n_pairs - 1), lambda i: exp(i * ln(chi2 / 2) - lgamma(i + 1)))), 8) END AS p FROM b WHERE rn = 1"""

@@ -35,8 +35,16 @@ def _classes(s, d):
     return relationships.classify(_genome(s, d), relationships.synthetic_kde(s))
 
 
+def _edges(s, d):
+    return relationships.network_edges(_classes(s, d))
+
+
 def _members(s, d):
-    return relationships.networks(_people(s, d), relationships.related_edges(_genome(s, d), 0.45))
+    return relationships.networks(_people(s, d), _edges(s, d))
+
+
+def _best(s, d):
+    return segments.best_model(segments.models(_seg(s, d)))
 
 
 def _mask(s, d):
@@ -44,11 +52,11 @@ def _mask(s, d):
 
 
 def _families(s, d):
-    """Two sets of founders with sampled descendants, from the pedigree."""
-    fam = _fam(s, d)
-    anc = pedigrees.ancestors(fam)
-    founders = pedigrees.founders(fam).where("founder").select(F.col("iid").alias("founder"), (F.col("iid") % 2).cast("long").alias("network_id"))
-    depth = anc.join(founders.select(F.col("founder").alias("ancestor")), "ancestor", "left_semi").select(F.col("ancestor").alias("founder"), "iid", "depth").where("iid <= 60 and depth <= 2")
+    """Founders of each pedigree by sex, as two networks, and the people below them who have segments."""
+    fam, seg = _fam(s, d), _seg(s, d)
+    sampled = seg.select("id1").union(seg.select("id2")).distinct().toDF("iid")
+    founders = pedigrees.founders(fam).where("founder").join(fam.select("iid", "fid"), "iid").select(F.col("iid").alias("founder"), (2 * F.col("fid") + F.col("iid") % 2).cast("long").alias("network_id"))
+    depth = pedigrees.ancestors(fam).join(founders.select(F.col("founder").alias("ancestor")), "ancestor", "left_semi").join(sampled, "iid", "left_semi").select(F.col("ancestor").alias("founder"), "iid", "depth")
     return founders, depth
 
 
@@ -56,7 +64,8 @@ def _scored(s, d):
     founders, depth = _families(s, d)
     m = segments.models(_seg(s, d))
     null = m.groupBy("id1", "id2").agg(F.first("ll_null").alias("ll_null"))
-    return connections.composite(connections.candidates(founders, depth), depth, connections.degree_lnl(m), null)
+    lnl = connections.degree_lnl(m)
+    return connections.composite(connections.candidates(founders, depth, null), depth, lnl, null)
 
 
 def _rank(s, d):
@@ -68,8 +77,8 @@ def _pcs1(s, d):
     return view(s, d, "ov_pcs").select("iid", F.element_at("pcs", 1).cast("double").alias("pc1"))
 
 
-def _sub(s, d):
-    return view(s, d, "ov_genotypes").where("iid < 60")
+def _pcs2(s, d):
+    return view(s, d, "ov_pcs").select("iid", F.element_at("pcs", 2).cast("double").alias("pc1"))
 
 
 QUERIES: dict[str, Query] = {
@@ -90,8 +99,8 @@ QUERIES: dict[str, Query] = {
     "relationship_class": _classes,
     "mz_pairs": lambda s, d: _classes(s, d).where("mz").select("iid1", "iid2"),
     "family_networks": _members,
-    "network_density": lambda s, d: relationships.density(_members(s, d), relationships.related_edges(_genome(s, d), 0.45)),
-    "max_unrelated_set": lambda s, d: unrelated.unrelated_sets(_members(s, d), relationships.related_edges(_genome(s, d), 0.45), relationships.fold_traits(view(s, d, "ov_traits")).select("iid", "affected")),
+    "network_density": lambda s, d: relationships.density(_members(s, d), _edges(s, d)),
+    "max_unrelated_set": lambda s, d: unrelated.unrelated_sets(_members(s, d), _edges(s, d), relationships.fold_traits(view(s, d, "ov_traits")).select("iid", "affected")),
     "trait_fold": lambda s, d: relationships.fold_traits(view(s, d, "ov_traits")),
     "pedigree_relations": lambda s, d: pedigrees.relations(_fam(s, d)),
     "relation_table": lambda s, d: pedigrees.relation_table(pedigrees.relations(_fam(s, d))),
@@ -101,11 +110,11 @@ QUERIES: dict[str, Query] = {
     "generation_levels": lambda s, d: pedigrees.generations(_fam(s, d)),
     "age_flags": lambda s, d: pedigrees.age_flags(pedigrees.relations(_fam(s, d)), _fam(s, d)),
     "sex_conflicts": lambda s, d: pedigrees.sex_conflicts(_fam(s, d)),
-    "pedigree_score": lambda s, d: pedigrees.pedigree_scores(pedigrees.relations(_fam(s, d)), _classes(s, d)),
+    "pedigree_score": lambda s, d: pedigrees.pedigree_scores(pedigrees.relations(_fam(s, d)), relationships.densities(_genome(s, d), relationships.synthetic_kde(s)), _fam(s, d)),
     "pedigree_rank": lambda s, d: pedigrees.rank_pedigrees(_rank(s, d), ["network_id"]),
     "score_summary": lambda s, d: pedigrees.score_summary(_rank(s, d), ["network_id"]),
     "unnecessary_placeholders": lambda s, d: pedigrees.unnecessary_placeholders(_fam(s, d), _fam(s, d).where("iid % 5 <> 0").select("iid")),
-    "reconstruct_pedigrees": lambda s, d: reconstruct.reconstruct(_classes(s, d).where("pi_hat > 0.45"), _fam(s, d).select("iid", "sex", "age")),
+    "reconstruct_pedigrees": lambda s, d: reconstruct.reconstruct(_classes(s, d).join(_edges(s, d).select("iid1", "iid2"), ["iid1", "iid2"], "left_semi"), _fam(s, d).select("iid", "sex", "age")),
     "degree_lnl": lambda s, d: connections.degree_lnl(segments.models(_seg(s, d))),
     "connection_composite": _scored,
     "connection_best": lambda s, d: connections.best_connections(_scored(s, d)),
@@ -123,7 +132,21 @@ QUERIES: dict[str, Query] = {
     "haploid_match": lambda s, d: genotypes.haploid_match(view(s, d, "ov_haploid"), 0.3, 0.2),
     "ancestry_split": lambda s, d: ancestry.split(view(s, d, "ov_pcs")),
     "ancestry_scale": lambda s, d: ancestry.scaled(view(s, d, "ov_pcs")),
-    "admixture_flag": lambda s, d: ancestry.admixture(view(s, d, "ov_pcs").where("is_ref")),
+    "admixture_flag": lambda s, d: ancestry.admixture(view(s, d, "ov_pcs").where("is_ref").withColumn("batch", F.col("iid") % 50 - F.col("iid") % 2), group=("batch",)),
+    "ibd2_table": lambda s, d: segments.ibd2_table(_seg(s, d), view(s, d, "ov_diploid")),
+    "sibling_override": lambda s, d: segments.sibling_overrides(_seg(s, d)),
+    "ascertained_split": lambda s, d: segments.split_at_locus(_seg(s, d), 6, 32_500_000),
+    "twin_nodes": lambda s, d: relationships.twin_nodes(_classes(s, d)),
+    "network_edges": _edges,
+    "network_pairs": lambda s, d: relationships.network_pairs(_members(s, d), _edges(s, d)),
+    "sample_relatedness": lambda s, d: relationships.sample_relatedness(_best(s, d), _members(s, d)),
+    "dataset_summary": lambda s, d: relationships.dataset_summary(_members(s, d), _edges(s, d)),
+    "possibility_counts": lambda s, d: relationships.possibility_counts(_classes(s, d), _members(s, d)),
+    "attribute_gaps": lambda s, d: relationships.attribute_gaps(_people(s, d), view(s, d, "ov_traits").where("btrait <> 0")),
+    "known_networks": lambda s, d: relationships.known_networks(_members(s, d), _fam(s, d).where("age > 80")),
+    "reference_samples": lambda s, d: ancestry.reference_samples(view(s, d, "ov_pcs"), s.createDataFrame([("CEU",), ("ASW",), ("JP",)], "pop string")),
+    "markers_to_remove": lambda s, d: genotypes.markers_to_remove(view(s, d, "ov_genotypes"), [_pcs1(s, d), _pcs2(s, d)], 1.5),
+    "merge_with_reference": lambda s, d: genotypes.merge_with_reference(view(s, d, "ov_genotypes").where("iid % 2 = 1"), view(s, d, "ov_genotypes").where("iid % 2 = 0"), genotypes.strand_actions(view(s, d, "ov_variants"), view(s, d, "ov_ref_variants")), 0.2),
     "ancestry_predict": lambda s, d: ancestry.predict(view(s, d, "ov_pcs")),
 }
 

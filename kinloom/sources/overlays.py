@@ -17,20 +17,23 @@ SELECT CAST(LEAST(a,b) AS BIGINT) AS id1, CAST(GREATEST(a,b) AS BIGINT) AS id2,
  CASE WHEN l_suppkey % 5 = 0 THEN 2 ELSE 1 END AS ibd FROM {lineitem}) t WHERE a <> b""",
     "ov_genome": """
 SELECT i AS iid1, j AS iid2, z0, z1, 1000 - z0 - z1 AS z2, (z1 + 2*(1000 - z0 - z1)) / CAST(2000 AS DOUBLE) AS pi_hat FROM (
- SELECT i, j, z0, CASE WHEN h2 % 4 = 0 THEN (1000 - z0) - (1000 - z0) % 4 ELSE 1000 - z0 END AS z1 FROM (
- SELECT x.c_custkey + 1 AS i, y.c_custkey + 1 AS j, CASE WHEN (x.c_custkey*7919 + y.c_custkey*104729) % 97 < 3 THEN (x.c_custkey*31+y.c_custkey*17) % 900 ELSE 1000 - (x.c_custkey*13+y.c_custkey*29) % 90 END AS z0, x.c_custkey*3+y.c_custkey*5 AS h2
- FROM {customer} x JOIN {customer} y ON x.c_custkey < y.c_custkey WHERE x.c_custkey < 120 AND y.c_custkey < 120) a) b""",
+ SELECT i, j, CASE WHEN h % 211 = 0 THEN 10 ELSE z0 END AS z0, CASE WHEN h % 211 = 0 THEN 50 WHEN h2 % 4 = 0 THEN (1000 - z0) - (1000 - z0) % 4 ELSE 1000 - z0 END AS z1 FROM (
+ SELECT x.c_custkey + 1 AS i, y.c_custkey + 1 AS j, CASE WHEN (x.c_custkey*7919 + y.c_custkey*104729) % 97 < 3 THEN (x.c_custkey*31+y.c_custkey*17) % 900 ELSE 1000 - (x.c_custkey*13+y.c_custkey*29) % 90 END AS z0,
+ x.c_custkey*3+y.c_custkey*5 AS h2, x.c_custkey*7919 + y.c_custkey*104729 AS h
+ FROM {customer} x JOIN {customer} y ON x.c_custkey - x.c_custkey % 40 = y.c_custkey - y.c_custkey % 40 AND x.c_custkey < y.c_custkey) a) b""",
     "ov_fam": """
-SELECT k AS iid, CASE WHEN k < 5 THEN 0 ELSE 2*c + 1 END AS pid, CASE WHEN k < 5 THEN 0 WHEN k >= 16 AND k % 11 = 0 THEN 2*c ELSE 2*c + 2 END AS mid, CASE WHEN k % 2 = 1 THEN 1 ELSE 2 END AS sex, 20 + k % 70 AS age FROM (
- SELECT c_custkey + 1 AS k, CAST((c_custkey + 1 - (c_custkey + 1) % 8) / 8 AS BIGINT) AS c FROM {customer} WHERE c_custkey < 200) t""",
+SELECT b + k AS iid, CASE WHEN k < 5 OR k BETWEEN 61 AND 70 THEN 0 WHEN k BETWEEN 140 AND 144 THEN b + 61 + 2*(k - 140) ELSE b + 2*c + 1 END AS pid,
+ CASE WHEN k < 5 OR k BETWEEN 61 AND 70 THEN 0 WHEN k BETWEEN 140 AND 144 THEN b + 62 + 2*(k - 140) WHEN k >= 16 AND k % 11 = 0 THEN b + 2*c ELSE b + 2*c + 2 END AS mid,
+ CASE WHEN k % 23 = 0 THEN 1 + k % 2 WHEN k % 2 = 1 THEN 1 ELSE 2 END AS sex, 20 + k % 70 AS age, b AS fid FROM (
+ SELECT c_custkey - c_custkey % 200 AS b, c_custkey % 200 + 1 AS k, CAST((c_custkey % 200 + 1 - (c_custkey % 200 + 1) % 8) / 8 AS BIGINT) AS c FROM {customer}) t""",
     "ov_traits": """
 SELECT c_custkey + 1 AS iid, CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE CAST(c_acctbal AS DOUBLE) END AS qtrait,
  CASE WHEN c_custkey % 17 = 0 THEN 0 WHEN c_mktsegment = 'BUILDING' THEN 2 ELSE 1 END AS btrait FROM {customer}""",
     "ov_variants": """
 SELECT p_partkey AS vid, CONCAT('rs', CAST(p_partkey - p_partkey % 40 % 3 AS STRING)) AS snp_id, 1 + p_partkey % 26 AS chrom, CAST(p_size AS BIGINT) * 1000 + p_partkey % 7 AS pos,
- SUBSTRING('ACGTAC', CAST(p_partkey % 6 + 1 AS INT), 1) AS a1, SUBSTRING('TGCAGT', CAST(p_partkey * 7 % 6 + 1 AS INT), 1) AS a2 FROM {part}""",
+ SUBSTRING('AACG0A', CAST(p_partkey % 6 + 1 AS INT), 1) AS a1, SUBSTRING('CGTAAT', CAST(p_partkey % 6 + 1 AS INT), 1) AS a2 FROM {part}""",
     "ov_ref_variants": """
-SELECT p_partkey AS vid, CONCAT('rs', CAST(p_partkey - p_partkey % 40 % 3 AS STRING)) AS snp_id, SUBSTRING('TGCAGT', CAST(p_partkey * 5 % 6 + 1 AS INT), 1) AS r1, SUBSTRING('ACGTAC', CAST(p_partkey * 11 % 6 + 1 AS INT), 1) AS r2 FROM {part} WHERE p_partkey % 3 <> 1""",
+SELECT p_partkey AS vid, CONCAT('rs', CAST(p_partkey - p_partkey % 40 % 3 AS STRING)) AS snp_id, SUBSTRING('ATCGAG', CAST((p_partkey - p_partkey % 6) / 6 AS INT) % 6 + 1, 1) AS r1, SUBSTRING('CGTATT', CAST((p_partkey - p_partkey % 6) / 6 AS INT) % 6 + 1, 1) AS r2 FROM {part} WHERE p_partkey % 7 <> 1""",
     "ov_genotypes": """
 SELECT iid, vid, CASE WHEN MIN(h) % 23 = 0 THEN NULL ELSE CAST(MIN(h) % 3 AS INT) END AS dosage FROM (
  SELECT l_orderkey % 200 AS iid, l_partkey % 500 AS vid, l_linenumber + l_suppkey % 11 AS h FROM {lineitem}) t GROUP BY iid, vid""",

@@ -2,7 +2,6 @@
 
 import itertools
 import random
-import time
 
 import pytest
 
@@ -27,8 +26,11 @@ def test_maximal_sets(seed):
         if rng.random() < 0.4:
             near[a].add(b), near[b].add(a)
     want = independent_sets(near)
-    assert set(maximal_sets(near, time.monotonic() + 9)) == want
-    assert len(best_set(near, {})[0]) == max(map(len, want))
+    assert set(maximal_sets(near)) == want
+    score = {v: rng.random() for v in near}
+    found, status = best_set(near, score)
+    assert status == "exact" and frozenset(found) == max(want, key=lambda s: (len(s), sum(score[v] for v in s)))
+    assert best_set(near, score, 0)[1] in ("exact", "bounded")
 
 
 def test_parent_and_child_have_two_directions():
@@ -49,7 +51,8 @@ def test_trio_with_sibs():
 
 def test_limits_are_reported():
     pairs = [(f"a{i}", f"b{i}", ("PC",), 0.5) for i in range(10)]
-    assert search(pairs, {}, {})[1] == "too_many_people"
+    assert search(pairs, {}, {}, max_states=50)[1] == "too_many_states"
+    assert search(pairs, {}, {}, max_steps=50)[1] == "too_many_steps"
 
 
 @pytest.mark.parametrize("seed", range(3))
