@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from kinloom.llm import embedding_dedup, html_text, jaccard_join, line_dedup, lm_scoring, mixing, ogg_media, packing, quality, token_counts
 from kinloom.session import ship
 
@@ -29,9 +28,8 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _shipped(module.query) for name, module in _MODULES.items()} | {"pipeline": corpus_pipeline.run}
+    return {name: _shipped(module.query) for name, module in _MODULES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {name: module.SQL for name, module in _MODULES.items() if hasattr(module, "SQL")}
-    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {name: module.SQL for name, module in _MODULES.items() if hasattr(module, "SQL")}
