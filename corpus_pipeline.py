@@ -6,7 +6,7 @@ frame.  All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from kinloom.llm import jaccard_join, line_dedup, mixing, packing, quality
 from kinloom.operators.recovery import checkpointed
@@ -17,34 +17,40 @@ ORACLE_SQL = None
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts, trained on the labels not held out."""
+    """Documents that the quality classifier accepts, trained on the labels not held out; a null text is scored as an empty one."""
     labels = ship(spark).read.parquet(f"{sf_dir}/labels.parquet").where(~quality.held_out())
     net = quality.fit_quality(docs, labels)
     return quality.score_quality(docs, net).where("predicted = 1").select(*docs.columns)
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that a smaller id holds; ``n_chars`` follows the text."""
+    """Documents without the lines that a smaller id holds; ``n_chars`` follows the text, which is empty where it was null."""
     out = line_dedup.dedup_lines(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of every group of near duplicates; rows that repeat an id become one."""
+    """The smallest id of every group of near duplicates.
+
+    Rows that repeat an id become the one with the greatest text; rows without
+    an id, and texts without words, are groups of their own.
+    """
     out = jaccard_join.jaccard_components(docs).where("component_id is null or component_id = doc_id").select(*docs.columns)
     named = docs.where("doc_id is not null").select("doc_id")
     if named.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
+        order = Window.partitionBy("doc_id").orderBy(F.desc("text"), F.xxhash64(*docs.columns))
+        one = out.where("doc_id is not null").withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
+        out = one.unionByName(out.where("doc_id is null"))
     return out
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it whole."""
+    """Each document as often as the mix takes it whole; one without words is not taken."""
     return mixing.take_copies(docs).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces, placed in sequences of at most 2048 tokens."""
+    """The documents' pieces, placed in sequences of at most 2048 tokens; copies are packed as documents of their own."""
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))

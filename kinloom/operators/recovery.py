@@ -11,12 +11,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read from there.
 
     The folder is the session's ``spark.checkpoint.dir``; a temporary one is
-    set only when the session names none, as in tests.  Spark's cleaner
+    set only when the session names none and runs in one process, as in tests.  Spark's cleaner
     removes the files once nothing refers to the frame.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="kinloom-checkpoints-"))
     return df.checkpoint(eager=True)
