@@ -48,25 +48,52 @@ def reference_samples(pcs: DataFrame, populations: DataFrame) -> DataFrame:
     return pcs.where("is_ref").join(populations.select("pop").distinct(), "pop", "left_semi").select("iid", "pop")
 
 
-def predict(pcs: DataFrame, n: int = 10, features: int = 100, gamma: float = 0.05, seed: int = 4) -> DataFrame:
-    """Population and probabilities of the test samples (M2-M4).
-
-    Logistic regression on random Fourier features of the standardized
-    components, which approximate the radial kernel.
-    """
+def _features(pcs: DataFrame, n: int, features: int, gamma: float, seed: int) -> DataFrame:
+    """(iid, pop, is_ref, features): random Fourier features of the standardized components, which approximate the radial kernel."""
     import numpy as np
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import StringIndexer
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import array_to_vector
 
     rng = np.random.default_rng(seed)
     w = rng.normal(0, (2 * gamma) ** 0.5, (features, n)).tolist()
     b = rng.uniform(0, 2 * np.pi, features).tolist()
     rows = scaled(pcs, n).groupBy("iid").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "z"))), lambda p: p["z"]).alias("z"))
     dots = F.transform(F.arrays_zip(F.lit(w).alias("w"), F.lit(b).alias("b")), lambda f: F.cos(F.aggregate(F.zip_with(f["w"], F.col("z"), lambda p, q: p * q), f["b"], lambda a, v: a + v)))
-    data = rows.join(pcs.select("iid", "pop", "is_ref"), "iid").withColumn("features", array_to_vector(dots))
-    index = StringIndexer(inputCol="pop", outputCol="label", handleInvalid="keep").fit(data.where("is_ref"))
-    model = LogisticRegression(maxIter=30, regParam=0.01).fit(index.transform(data.where("is_ref")))
+    return rows.join(pcs.select("iid", "pop", "is_ref"), "iid").withColumn("features", array_to_vector(dots))
+
+
+def _model():
+    from pyspark.ml.classification import LogisticRegression
+
+    return LogisticRegression(maxIter=30, regParam=0.01)
+
+
+def probabilities(pcs: DataFrame, n: int = 10, features: int = 100, gamma: float = 0.05, seed: int = 4) -> DataFrame:
+    """(iid, pop, probability) of every population for every test sample, by logistic regression."""
+    from pyspark.ml.feature import StringIndexer
+    from pyspark.ml.functions import vector_to_array
+
+    data = _features(pcs, n, features, gamma, seed)
+    known = data.where("is_ref")
+    index = StringIndexer(inputCol="pop", outputCol="label").fit(known)
+    out = _model().fit(index.transform(known)).transform(data.where("not is_ref").select("iid", "features"))
     names = F.array(*[F.lit(x) for x in index.labels])
-    out = model.transform(data.where("not is_ref"))
-    return out.select("iid", F.element_at(names, (F.col("prediction") + 1).cast("int")).alias("predicted"), F.round(F.array_max(vector_to_array("probability")), 6).alias("probability"))
+    return out.select("iid", F.explode(F.arrays_zip(names.alias("pop"), vector_to_array("probability").alias("p"))).alias("x")).select("iid", "x.pop", F.round("x.p", 6).alias("probability"))
+
+
+def predict(pcs: DataFrame, n: int = 10, features: int = 100, gamma: float = 0.05, seed: int = 4) -> DataFrame:
+    """The likeliest population of each test sample and its probability (M2-M4)."""
+    every = probabilities(pcs, n, features, gamma, seed)
+    best = every.groupBy("iid").agg(F.max_by(F.struct("pop", "probability"), F.struct("probability", "pop")).alias("b"))
+    return best.select("iid", F.col("b.pop").alias("predicted"), "b.probability")
+
+
+def cross_validated(pcs: DataFrame, folds: int = 5, n: int = 10, features: int = 100, gamma: float = 0.05, seed: int = 4) -> DataFrame:
+    """Accuracy of the classifier on each fold of the reference samples, trained on the others (M3)."""
+    from functools import reduce
+
+    from pyspark.ml.feature import StringIndexer
+
+    data = _features(pcs.where("is_ref"), n, features, gamma, seed)
+    data = StringIndexer(inputCol="pop", outputCol="label").fit(data).transform(data).withColumn("fold", F.pmod(F.xxhash64("iid"), F.lit(folds)))
+    parts = [_model().fit(data.where(F.col("fold") != k)).transform(data.where(F.col("fold") == k)).select("fold", (F.col("prediction") == F.col("label")).cast("int").alias("right")) for k in range(folds)]
+    return reduce(DataFrame.unionByName, parts).groupBy("fold").agg(F.count("*").alias("n"), F.round(F.avg("right"), 6).alias("accuracy"))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -14,11 +15,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     set only when the session names none and runs in one process, as in tests.  Spark's cleaner
     removes the files once nothing refers to the frame.
     """
-    spark = df.sparkSession
+    _shared(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def fresh_folder(spark: SparkSession) -> str:
+    """A path that nothing holds yet, in the shared folder; it goes when that folder goes."""
+    return f"{_shared(spark)}/{uuid.uuid4().hex}"
+
+
+def _shared(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="kinloom-checkpoints-"))
-    return df.checkpoint(eager=True)
+    return context._jsc.sc().getCheckpointDir().get()

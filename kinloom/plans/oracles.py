@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from kinloom.plans import files
+
 G = 3525.48101
 RATE = 1 / (3.197036753 - 2.5)
 SIB = 0.75 * 22 + G / 100 * 4 * 0.1875
@@ -216,3 +218,10 @@ SQL["connection_composite"] = f"WITH RECURSIVE {_COMPOSITE} SELECT * FROM compos
 SQL["connection_best"] = f"""WITH RECURSIVE {_COMPOSITE}, b AS (SELECT *, row_number() OVER (PARTITION BY net1, net2 ORDER BY gain DESC, f1, f2, degree) AS rn FROM composite)
 SELECT net1, net2, f1, f2, CASE WHEN gain > 0 THEN degree END AS degree, score, aic, chi2, n_pairs, CASE WHEN chi2 <= 0 THEN 1.0 WHEN chi2 > 1400 THEN 0.0
  ELSE round(exp(-chi2 / 2) * list_sum(list_transform(generate_series(0, n_pairs - 1), lambda i: exp(i * ln(chi2 / 2) - lgamma(i + 1)))), 8) END AS p FROM b WHERE rn = 1"""
+SQL |= files.sql(MODELS, BEST)
+SQL["mask_clip"] = f"""WITH RECURSIVE {MERGED}, k AS (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY start_bp, end_bp) AS i FROM mask), g AS (SELECT row_number() OVER () AS sid, id1, id2, chrom, start_bp, end_bp, cm FROM ov_segments),
+w(sid, chrom, i, b, e) AS (SELECT sid, chrom, 0, start_bp, end_bp FROM g UNION ALL
+ SELECT sid, w.chrom, k.i, CASE WHEN k.start_bp <= b + 1000000 AND k.end_bp > b THEN least(k.end_bp, e) ELSE b END,
+ CASE WHEN k.end_bp >= e - 1000000 AND k.start_bp < e AND NOT (k.start_bp <= b + 1000000 AND k.end_bp > b) THEN greatest(k.start_bp, b) ELSE e END FROM w JOIN k ON k.chrom = w.chrom AND k.i = w.i + 1),
+l AS (SELECT sid, arg_max(b, i) AS b, arg_max(e, i) AS e FROM w GROUP BY sid)
+SELECT id1, id2, chrom, start_bp, end_bp, b AS new_begin, e AS new_end, round(cm * (e - b) / (end_bp - start_bp), 4) AS new_cm FROM g JOIN l USING (sid)"""

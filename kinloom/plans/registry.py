@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kinloom.operators import ancestry, connections, genotypes, pedigrees, reconstruct, relationships, segments, unrelated
+from kinloom.plans import files
 from kinloom.plans.oracles import SQL
 from kinloom.session import ship
 from kinloom.sources.overlays import view, with_views
@@ -147,6 +148,8 @@ QUERIES: dict[str, Query] = {
     "reference_samples": lambda s, d: ancestry.reference_samples(view(s, d, "ov_pcs"), s.createDataFrame([("CEU",), ("ASW",), ("JP",)], "pop string")),
     "markers_to_remove": lambda s, d: genotypes.markers_to_remove(view(s, d, "ov_genotypes"), [_pcs1(s, d), _pcs2(s, d)], 1.5),
     "merge_with_reference": lambda s, d: genotypes.merge_with_reference(view(s, d, "ov_genotypes").where("iid % 2 = 1"), view(s, d, "ov_genotypes").where("iid % 2 = 0"), genotypes.strand_actions(view(s, d, "ov_variants"), view(s, d, "ov_ref_variants")), 0.2),
+    "ancestry_probabilities": lambda s, d: ancestry.probabilities(view(s, d, "ov_pcs")),
+    "ancestry_folds": lambda s, d: ancestry.cross_validated(view(s, d, "ov_pcs")),
     "ancestry_predict": lambda s, d: ancestry.predict(view(s, d, "ov_pcs")),
 }
 
@@ -156,7 +159,7 @@ def _ready(query: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {name: _ready(q) for name, q in QUERIES.items()}
+    return {name: _ready(q) for name, q in (QUERIES | files.QUERIES).items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from conftest import DATA
 
+from kinloom.operators import ancestry, relationships
 from kinloom.plans import registry
 
 SQL = registry.oracle_sql()
@@ -61,6 +62,23 @@ def test_ancestry_prediction_covers_the_test_samples(spark):
     assert len(out) and out.probability.between(0, 1).all()
 
 
+def test_ancestry_of_populations_apart(spark):
+    """Populations well apart are told apart, in the test samples and in every fold."""
+    rng = np.random.default_rng(1)
+    rows = [(i, (rng.normal(0, 0.3, 10) + 3 * np.eye(10)[i % 3]).tolist(), ("CEU", "CHB", "YRI")[i % 3], i % 2 == 0) for i in range(240)]
+    pcs = spark.createDataFrame(rows, "iid long, pcs array<double>, pop string, is_ref boolean")
+    out = ancestry.predict(pcs).join(pcs, "iid").toPandas()
+    assert len(out) == 120 and (out.predicted == out["pop"]).mean() > 0.95
+    every = ancestry.probabilities(pcs).toPandas()
+    assert len(every) == 360 and np.allclose(every.groupby("iid").probability.sum(), 1, atol=1e-5)
+    folds = ancestry.cross_validated(pcs).toPandas()
+    assert len(folds) == 5 and folds.n.sum() == 120 and folds.accuracy.min() > 0.9
+
+
+def test_thresholds_and_degrees():
+    assert [relationships.degree_of(relationships.threshold_of(d)) for d in (1, 2, 3)] == [1, 2, 3]
+
+
 def test_connections(spark):
     out = registry.queries()["connection_best"](spark, DATA).toPandas()
     assert (out.net1 < out.net2).all() and out.p.between(0, 1).all()
