@@ -244,4 +244,6 @@ def reconstruct(classified: DataFrame, people: DataFrame, max_states: int = MAX_
                 out.append((net, k, n, known.get(1), known.get(2), s.sex[n], lnl, status))
         return pd.DataFrame(out or [(net, 0, None, None, None, None, None, status)], columns=["network_id", "pedigree", "iid", "pid", "mid", "sex", "lnl", "status"]).astype({"sex": "Int32"})
 
-    return rows.groupBy("network_id").applyInPandas(solve, OUT)
+    # Few bytes and long searches: a stated number of partitions keeps Spark from joining them into few tasks.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "network_id").groupBy("network_id").applyInPandas(solve, OUT)

@@ -148,5 +148,7 @@ def unrelated_sets(members: DataFrame, edges: DataFrame, traits: DataFrame | Non
         found, status = best_set(graph, score)
         return pd.DataFrame({"network_id": pdf.network_id.iloc[0], "iid": sorted(found), "status": status})
 
-    solved = near.where("near is not null").select("network_id", "iid", "near", "affected").groupBy("network_id").applyInPandas(solve, "network_id long, iid long, status string")
+    # Few bytes and long searches: a stated number of partitions keeps Spark from joining them into few tasks.
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    solved = near.where("near is not null").select("network_id", "iid", "near", "affected").repartition(parts, "network_id").groupBy("network_id").applyInPandas(solve, "network_id long, iid long, status string")
     return single.unionByName(solved)
