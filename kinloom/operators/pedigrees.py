@@ -47,6 +47,16 @@ def relations(fam: DataFrame) -> DataFrame:
     return every.groupBy("a", "b").agg(F.min_by("code", "place").alias("code")).select(F.col("a").alias("self"), F.col("b").alias("rel"), "code")
 
 
+#: Degrees of the relations.
+DEGREES = {1: ("P", "O", "F"), 2: ("N", "H", "G", "A", "C"), 3: ("GC", "HN", "HA", "GG", "1C", "GA", "GN")}
+
+
+def pedigree_degrees(rel: DataFrame) -> DataFrame:
+    """(iid1, iid2, degree) of every related pair of a pedigree, the nearest of both directions."""
+    degree = F.coalesce(*[F.when(F.col("code").isin(*codes), d) for d, codes in DEGREES.items()])
+    return rel.groupBy(F.least("self", "rel").alias("iid1"), F.greatest("self", "rel").alias("iid2")).agg(F.min(degree).alias("degree"))
+
+
 def relation_table(rel: DataFrame) -> DataFrame:
     """One row per unordered pair with the sorted relations of both directions."""
     one = rel.where("self < rel").select(F.col("self").alias("iid1"), F.col("rel").alias("iid2"), F.col("code").alias("to2"))

@@ -119,6 +119,7 @@ SELECT network_id, n, coalesce(k.e, 0) AS e, round(2.0 * coalesce(k.e, 0) / (n *
     "pedigree_relations": f"WITH {RELATIONS} SELECT * FROM rel",
     "relation_table": f"""WITH {RELATIONS} SELECT coalesce(a.self, b.rel) AS iid1, coalesce(a.rel, b.self) AS iid2, coalesce(a.code, '') AS rels12, coalesce(b.code, '') AS rels21
  FROM (SELECT * FROM rel WHERE self < rel) a FULL JOIN (SELECT * FROM rel WHERE self > rel) b ON a.self = b.rel AND a.rel = b.self""",
+    "pedigree_degrees": f"""WITH {RELATIONS} SELECT least(self, rel) AS iid1, greatest(self, rel) AS iid2, CAST(min(CASE WHEN code IN ('P', 'O', 'F') THEN 1 WHEN code IN ('N', 'H', 'G', 'A', 'C') THEN 2 ELSE 3 END) AS INT) AS degree FROM rel GROUP BY 1, 2""",
     "ancestor_closure": f"WITH RECURSIVE {PO}, anc(iid, ancestor, depth) AS (SELECT c, p, 1 FROM po UNION SELECT anc.iid, po.p, depth + 1 FROM anc JOIN po ON anc.ancestor = po.c) SELECT iid, ancestor, CAST(min(depth) AS INT) AS depth FROM anc GROUP BY 1, 2",
     "genetic_relatives": f"""WITH RECURSIVE {PO}, anc(iid, ancestor) AS (SELECT iid, iid FROM ov_fam UNION SELECT anc.iid, po.p FROM anc JOIN po ON anc.ancestor = po.c)
 SELECT DISTINCT x.iid, y.iid AS relative FROM anc x JOIN (SELECT * FROM anc UNION SELECT p, p FROM po) y ON x.ancestor = y.ancestor WHERE x.iid <> y.iid""",

@@ -105,6 +105,7 @@ QUERIES: dict[str, Query] = {
     "trait_fold": lambda s, d: relationships.fold_traits(view(s, d, "ov_traits")),
     "pedigree_relations": lambda s, d: pedigrees.relations(_fam(s, d)),
     "relation_table": lambda s, d: pedigrees.relation_table(pedigrees.relations(_fam(s, d))),
+    "pedigree_degrees": lambda s, d: pedigrees.pedigree_degrees(pedigrees.relations(_fam(s, d))),
     "ancestor_closure": lambda s, d: pedigrees.ancestors(_fam(s, d)),
     "genetic_relatives": lambda s, d: pedigrees.relatives(_fam(s, d)),
     "founders_leafs": lambda s, d: pedigrees.founders(_fam(s, d)),
