@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 #: Limits on missingness, rare alleles and ancestry markers.
 MIND, GENO, MAF, AIM_P = 0.1, 0.05, 0.1, 1e-5
@@ -112,3 +112,123 @@ def thin_by_distance(variants: DataFrame, gap: int = 2000) -> DataFrame:
     """One variant, the first, of every window of ``gap`` on a chromosome (Q6, Q9)."""
     w = Window.partitionBy("chrom", F.expr(f"pos div {gap}")).orderBy("pos", "vid")
     return variants.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("vid", "snp_id", "chrom", "pos")
+
+
+#: Variants of a window and largest r2 within it; unrelated samples that need no reference.
+LD_WINDOW, LD_R2, LEAST_UNRELATED = 10, 0.2, 50
+
+
+def variant_windows(variants: DataFrame, size: int = LD_WINDOW, width: int = 1_000_000) -> DataFrame:
+    """(vid, chrom, place, block): every ``size`` variants in a row on a chromosome.
+
+    Places are counted in bins of ``width`` and added to the counts of the bins before.
+    """
+    at = variants.select("vid", "chrom", "pos", F.expr(f"pos div {width}").alias("bin"))
+    earlier = Window.partitionBy("chrom").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    before = at.groupBy("chrom", "bin").count().select("chrom", "bin", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("chrom", "bin").orderBy("pos", "vid"))
+    place = at.withColumn("k", inside - 1).join(before, ["chrom", "bin"]).withColumn("place", F.col("before") + F.col("k"))
+    return place.select("vid", "chrom", "place", F.expr(f"place div {size}").alias("block"))
+
+
+def ld_prune(variants: DataFrame, g: DataFrame, size: int = LD_WINDOW, limit: float = LD_R2, least: int = 3) -> DataFrame:
+    """(vid, chrom, kept): windows of ``size`` variants side by side, pruned by correlation (Q6).
+
+    Pairs of a window go in order of place; of two that still stand and whose
+    dosages have r2 above ``limit`` over at least ``least`` people, the one with
+    the rarer allele goes, the later one on ties.  Only pairs of a window are formed.
+    """
+    at = variant_windows(variants, size)
+    rare = frequencies(g).select("vid", F.least("freq", 1 - F.col("freq")).alias("maf"))
+    calls = g.where("dosage is not null").join(at.join(rare, "vid"), "vid")
+    a, b = (calls.select("chrom", "block", "iid", F.col("vid").alias(f"v{i}"), F.col("place").alias(f"p{i}"), F.col("maf").alias(f"m{i}"), F.col("dosage").alias(f"d{i}")) for i in (1, 2))
+    met = a.join(b, ["chrom", "block", "iid"]).where("p1 < p2")
+    n, x, y, xx, yy, xy = F.count("*"), F.sum("d1"), F.sum("d2"), F.sum(F.col("d1") * F.col("d1")), F.sum(F.col("d2") * F.col("d2")), F.sum(F.col("d1") * F.col("d2"))
+    sums = met.groupBy("chrom", "block", "p1", "p2", "v1", "v2", "m1", "m2").agg(n.alias("n"), (n * xy - x * y).alias("c"), (n * xx - x * x).alias("s1"), (n * yy - y * y).alias("s2"))
+    # Whole numbers up to here, so the comparison is exact.
+    tied = sums.where(F.col("n") >= least).where(F.col("c") * F.col("c") > F.lit(limit) * F.col("s1") * F.col("s2"))
+    pairs = tied.groupBy("chrom", "block").agg(F.array_sort(F.collect_list(F.struct("p1", "p2", "v1", "v2", "m1", "m2"))).alias("pairs"))
+
+    def fold(gone, p):
+        loser = F.when(p["m1"] < p["m2"], p["v1"]).otherwise(p["v2"])
+        return F.when(F.array_contains(gone, p["v1"]) | F.array_contains(gone, p["v2"]), gone).otherwise(F.concat(gone, F.array(loser)))
+
+    gone = pairs.select(F.explode(F.aggregate("pairs", F.array().cast("array<bigint>"), fold)).alias("vid")).withColumn("_gone", F.lit(True))
+    return at.join(gone, "vid", "left").select("vid", "chrom", F.col("_gone").isNull().alias("kept"))
+
+
+def genotype_components(g: DataFrame, k: int = 10, extra: int = 5, rounds: int = 8) -> DataFrame:
+    """(iid, pcs): the people's ``k`` principal components, of unit length each (Q7).
+
+    Dosages are standardized by each variant's frequency; what is not called
+    counts as the mean.  Subspace iteration: ``k + extra`` vectors over people go
+    to variants and back, as two joins and sums a round, and are made orthogonal
+    by their small matrix of products, the only thing the driver sees.  They
+    start from hashes, so reruns agree to rounding.  Variants of one allele are
+    left out; a component's largest entry is positive; with less rank than ``k``
+    the rest are noise of no length in the data.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    from kinloom.operators.recovery import checkpointed
+
+    p = frequencies(g).where("freq > 0 and freq < 1").select("vid", F.col("freq").alias("p"))
+    z = checkpointed(g.where("dosage is not null").join(p, "vid").select("iid", "vid", ((F.col("dosage") - 2 * F.col("p")) / F.sqrt(2 * F.col("p") * (1 - F.col("p")))).alias("z")))
+    people = z.select("iid").distinct()
+    width = min(k + extra, people.count())
+    if not width:
+        return people.select("iid", F.array().cast("array<double>").alias("pcs"))
+    names = [f"c{i}" for i in range(width)]
+    x = people.select("iid", *[(F.xxhash64("iid", F.lit(i)) / F.lit(2.0**63)).alias(c) for i, c in enumerate(names)])
+
+    def turned(x: DataFrame, by: np.ndarray) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                out = np.column_stack([batch.column(c).to_numpy() for c in names]) @ by
+                yield pa.RecordBatch.from_arrays([batch.column("iid"), *map(pa.array, out.T)], ["iid", *names[: out.shape[1]]])
+
+        return x.select("iid", *names).mapInArrow(run, T.StructType([x.schema["iid"], *[T.StructField(c, T.DoubleType()) for c in names[: by.shape[1]]]]))
+
+    def products(x: DataFrame) -> np.ndarray:
+        """The vectors' products with each other, summed in tasks; a small matrix for each partition comes back."""
+
+        def run(batches):
+            total = np.zeros((width, width))
+            for batch in batches:
+                rows = np.column_stack([batch.column(c).to_numpy() for c in names])
+                total += rows.T @ rows
+            yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()])], ["p"])
+
+        place = F.posexplode("p").alias("i", "v")
+        sums = x.select(*names).mapInArrow(run, "p array<double>").select(place).groupBy("i").agg(F.sum("v").alias("v")).collect()
+        out = np.zeros(width * width)
+        for r in sums:
+            out[r["i"]] = r["v"]
+        return out.reshape(width, width)
+
+    for last in [False] * rounds + [True]:
+        values, vectors = np.linalg.eigh(products(x))
+        values = np.maximum(values, 1e-12 * max(values.max(), 1e-300))
+        x = checkpointed(turned(x, vectors[:, ::-1] / np.sqrt(values[::-1])))
+        y = checkpointed(z.join(x, "iid").groupBy("vid").agg(*[F.sum(F.col("z") * F.col(c)).alias(c) for c in names]))
+        if last:
+            # The rotation within the subspace that makes variants' scores orthogonal, by size.
+            x = turned(x, np.linalg.eigh(products(y))[1][:, ::-1][:, :k])
+        else:
+            x = checkpointed(z.join(y, "vid").groupBy("iid").agg(*[F.sum(F.col("z") * F.col(c)).alias(c) for c in names]))
+    names = names[:k]
+    x = checkpointed(x)
+    top = x.agg(*[F.max_by(c, F.abs(c)).alias(c) for c in names]).first()
+    return x.select("iid", F.array(*[F.col(c) * (1.0 if top[c] >= 0 else -1.0) for c in names]).alias("pcs"))
+
+
+def analysis_branch(admixed: DataFrame, unrelated: DataFrame, remove_aims: bool = False, keep_aims: bool = False, least: int = LEAST_UNRELATED) -> DataFrame:
+    """For each batch, whether ancestry markers go and whether its own unrelated samples give the frequencies (Q11).
+
+    ``admixed``: (batch, admixed); ``unrelated``: (batch, iid), distinct people are counted.
+    """
+    n = unrelated.groupBy("batch").agg(F.countDistinct("iid").alias("n_unrelated"))
+    j = admixed.join(n, "batch", "left").select("batch", "admixed", F.coalesce("n_unrelated", F.lit(0)).alias("n_unrelated"))
+    drop = (F.col("admixed") | F.lit(remove_aims)) & ~F.lit(keep_aims)
+    return j.select("batch", "n_unrelated", drop.alias("remove_markers"), F.when(F.col("n_unrelated") >= least, "own").otherwise("reference").alias("frequencies"))

@@ -170,3 +170,8 @@ def fold_traits(traits: DataFrame) -> DataFrame:
     mean = traits.agg(F.avg("qtrait").alias("mean"))
     recoded = F.when(F.col("btrait") == 2, 1).when(F.col("btrait") == 1, 0)
     return traits.join(F.broadcast(mean)).select("iid", F.round(F.abs(F.col("qtrait") - F.col("mean")), 6).alias("fold"), recoded.alias("affected"))
+
+
+def unresolved_relatives(edges: DataFrame, degrees: DataFrame) -> DataFrame:
+    """Pairs above the threshold that a pedigree does not relate (R18); ``degrees`` as from :func:`pedigrees.pedigree_degrees`."""
+    return edges.join(degrees, ["iid1", "iid2"], "left_anti").select("iid1", "iid2", "pi_hat")

@@ -154,6 +154,26 @@ def overlap_density(segments: DataFrame, width: int = 1_000_000) -> DataFrame:
     return met.select("id1", "id2", "chrom", "start_bp", "end_bp", "cm", "ibd", (F.col("started") - F.col("ended") - 1).alias("n_over"), F.round(F.col("cm") * (F.col("l1") - F.col("l0") - own) / own, 4).alias("shared_cm")).where("n_over > 0")
 
 
+def null_exceedances(segments: DataFrame, iterations: int = 100, genome_cm: int = 3525) -> DataFrame:
+    """How often segments placed at random are overlain as much as each one is.
+
+    Each iteration lays every segment somewhere on a genome of ``genome_cm``, at
+    a place drawn from a digest of the segment and the iteration, in hundredths
+    of a cM, so reruns agree.  ``expected_cm`` is the mean overlap when placed so.
+    """
+    s = segments.select("id1", "id2", "chrom", "start_bp", "end_bp", "cm", "ibd").where("end_bp > start_bp").distinct()
+    key = ["id1", "id2", "chrom", "start_bp", "end_bp", "ibd"]
+    drawn = F.conv(F.substring(F.md5(F.concat_ws("|", "iteration", *key)), 1, 8), 16, 10).cast("long")
+    length = F.round(F.col("cm") * 100).cast("long")
+    laid = s.withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(iterations)))).withColumns({"at": drawn % F.greatest(F.lit(1), 100 * genome_cm - length), "length": length})
+    laid = laid.select(F.struct(*key).alias("id1"), F.lit(0).alias("id2"), F.col("iteration").alias("chrom"), (F.col("at") * 10_000).alias("start_bp"), ((F.col("at") + F.col("length")) * 10_000).alias("end_bp"), "cm", F.lit(0).alias("ibd"))
+    met = overlap_density(laid).select("id1.*", "cm", F.col("shared_cm").alias("by_chance"))
+    seen = s.join(overlap_density(s).select(*key, "cm", "shared_cm"), [*key, "cm"], "left").select(*key, "cm", F.coalesce("shared_cm", F.lit(0.0)).alias("shared_cm"))
+    sums = seen.join(met, [*key, "cm"], "left").groupBy(*key, "cm", "shared_cm").agg(F.count("by_chance").alias("n"), F.count(F.when(F.col("by_chance") >= F.col("shared_cm"), 1)).alias("over"), F.coalesce(F.sum("by_chance"), F.lit(0.0)).alias("total"))
+    none = F.when(F.col("shared_cm") <= 0, iterations - F.col("n")).otherwise(0)
+    return sums.select(*key, "cm", "shared_cm", (F.col("over") + none).alias("n_exceed"), F.round(F.col("total") / iterations, 4).alias("expected_cm"))
+
+
 def merge_intervals(rows: DataFrame, gap: int = 0) -> DataFrame:
     """(chrom, start_bp, end_bp) with overlaps and gaps up to ``gap`` closed."""
     w = Window.partitionBy("chrom").orderBy("start_bp", "end_bp")

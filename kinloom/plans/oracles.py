@@ -194,6 +194,33 @@ SELECT DISTINCT vid FROM o WHERE n > 2 AND r2 < 1 AND round(sqrt(r2 * (n - 2) /
 }
 SQL["ibd2_table"] = f"""WITH sweep AS ({SQL["ibd2_sweep"]}), u AS (SELECT id1, id2, chrom, start_bp, end_bp, cm, 1 AS ibd FROM ov_segments WHERE cm >= 5 UNION ALL SELECT * FROM sweep WHERE ibd = 2 AND cm >= 5)
 SELECT id1, id2, chrom, start_bp, end_bp, cm, ibd FROM (SELECT *, row_number() OVER (PARTITION BY id1, id2, chrom, start_bp, end_bp ORDER BY ibd DESC, cm DESC) AS rn FROM u) WHERE rn = 1"""
+_LINES = "up(iid, top) AS (SELECT iid, iid FROM ov_fam UNION ALL SELECT up.iid, f.{0} FROM up JOIN ov_fam f ON top = f.iid WHERE f.{0} <> 0), line AS (SELECT up.iid, top AS line FROM up JOIN ov_fam f ON top = f.iid WHERE f.{0} = 0)"
+for _name, _parent, _male in (("maternal_conflicts", "mid", ""), ("paternal_conflicts", "pid", " AND iid1 IN (SELECT iid FROM ov_fam WHERE sex = 1) AND iid2 IN (SELECT iid FROM ov_fam WHERE sex = 1)")):
+    SQL[_name] = f"WITH RECURSIVE {_LINES.format(_parent)}, hm AS ({SQL['haploid_match'].replace('> .2 THEN', '> .99 THEN').replace('<= .3 THEN', '<= .01 THEN')}) SELECT iid1, iid2, a.line, ndiff, length FROM hm JOIN line a ON a.iid = iid1 JOIN line b ON b.iid = iid2 AND a.line = b.line WHERE match = 0{_male}"
+SQL["subpedigrees"] = f"WITH RECURSIVE {PO}, e AS (SELECT p AS a, c AS b FROM po UNION SELECT c, p FROM po), reach(a, b) AS (SELECT iid, iid FROM ov_fam UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a) SELECT min(b) AS subpedigree, a AS iid FROM reach GROUP BY a"
+SQL["inferred_sexes"] = """WITH f AS (SELECT iid, CASE WHEN iid % 3 = 0 THEN 0 ELSE sex END AS sex, iid IN (SELECT pid FROM ov_fam) AS father, iid IN (SELECT mid FROM ov_fam) AS mother FROM ov_fam)
+SELECT iid, CASE WHEN sex <> 0 THEN sex WHEN father AND mother THEN NULL WHEN father THEN 1 WHEN mother THEN 2 ELSE 0 END AS sex FROM f"""
+_LISTED = "l AS (SELECT fid, count(*) AS n, string_agg(concat_ws(',', iid - fid, CASE WHEN pid = 0 THEN 0 ELSE pid - fid END, CASE WHEN mid = 0 THEN 0 ELSE mid - fid END, sex), ';' ORDER BY iid) AS listed FROM ov_fam GROUP BY fid)"
+SQL["pedigree_forms"] = f"WITH {_LISTED} SELECT fid, n, min(fid) OVER (PARTITION BY listed) AS same_as FROM l"
+SQL["expected_pedigrees"] = f"WITH {_LISTED} SELECT a.fid, b.fid AS expected FROM l a JOIN l b ON a.listed = b.listed WHERE b.fid = 0"
+SQL["unresolved_relatives"] = f"WITH {CLASSES}, {RELATIONS} SELECT iid1, iid2, pi_hat FROM classes WHERE pi_hat > 0.09375 AND possible <> 'UN' AND (iid1, iid2) NOT IN (SELECT (least(self, rel), greatest(self, rel)) FROM rel)"
+SQL["analysis_branch"] = f"""WITH adm AS ({SQL["admixture_flag"]}), n AS (SELECT iid % 50 - iid % 2 AS batch, count(DISTINCT iid) AS n FROM ov_pcs WHERE NOT is_ref GROUP BY 1)
+SELECT batch, coalesce(n, 0) AS n_unrelated, admixed AS remove_markers, CASE WHEN coalesce(n, 0) >= 50 THEN 'own' ELSE 'reference' END AS frequencies FROM adm LEFT JOIN n USING (batch)"""
+SQL["ld_prune"] = """WITH RECURSIVE at_ AS (SELECT vid, chrom, row_number() OVER (PARTITION BY chrom ORDER BY pos, vid) - 1 AS place FROM ov_variants),
+f AS (SELECT vid, round(sum(dosage) / (2.0 * count(dosage)), 8) AS q FROM ov_genotypes GROUP BY vid),
+c AS (SELECT chrom, place // 10 AS block, place, iid, g.vid, least(q, 1 - q) AS maf, dosage AS d FROM ov_genotypes g JOIN at_ USING (vid) JOIN f USING (vid) WHERE dosage IS NOT NULL),
+s AS (SELECT a.chrom, a.block, a.place AS p1, b.place AS p2, a.vid AS v1, b.vid AS v2, a.maf AS m1, b.maf AS m2, count(*) AS n, count(*) * sum(a.d * b.d) - sum(a.d) * sum(b.d) AS cv, count(*) * sum(a.d * a.d) - sum(a.d) * sum(a.d) AS s1, count(*) * sum(b.d * b.d) - sum(b.d) * sum(b.d) AS s2
+ FROM c a JOIN c b ON a.chrom = b.chrom AND a.block = b.block AND a.iid = b.iid AND a.place < b.place GROUP BY ALL),
+pr AS (SELECT *, row_number() OVER (PARTITION BY chrom, block ORDER BY p1, p2) AS k FROM s WHERE n >= 3 AND CAST(cv AS DOUBLE) * CAST(cv AS DOUBLE) > CAST(0.2 AS DOUBLE) * CAST(s1 AS DOUBLE) * CAST(s2 AS DOUBLE)),
+fold(chrom, block, k, gone) AS (SELECT DISTINCT chrom, block, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM pr
+ UNION ALL SELECT pr.chrom, pr.block, pr.k, CASE WHEN list_contains(gone, v1) OR list_contains(gone, v2) THEN gone ELSE list_append(gone, CASE WHEN m1 < m2 THEN v1 ELSE v2 END) END FROM fold JOIN pr ON pr.chrom = fold.chrom AND pr.block = fold.block AND pr.k = fold.k + 1)
+SELECT vid, chrom, vid NOT IN (SELECT unnest(gone) FROM fold) AS kept FROM at_"""
+SQL["null_exceedances"] = """WITH s AS (SELECT DISTINCT id1, id2, chrom, start_bp, end_bp, cm, ibd FROM ov_segments WHERE end_bp > start_bp), k AS (SELECT *, row_number() OVER (ORDER BY id1, id2, chrom, start_bp, end_bp, ibd) AS id FROM s),
+o AS (SELECT a.id, sum(a.cm * (least(a.end_bp, b.end_bp) - greatest(a.start_bp, b.start_bp)) / (a.end_bp - a.start_bp)) AS shared FROM k a JOIN k b ON a.chrom = b.chrom AND a.start_bp <= b.end_bp AND b.start_bp <= a.end_bp WHERE a.id <> b.id GROUP BY a.id),
+t AS (SELECT id, i, CAST(concat('0x', substr(md5(concat_ws('|', i, id1, id2, chrom, start_bp, end_bp, ibd)), 1, 8)) AS BIGINT) % greatest(1, 352500 - CAST(round(cm * 100) AS BIGINT)) AS x, CAST(round(cm * 100) AS BIGINT) AS w FROM k, (SELECT unnest([1, 2]) AS i)),
+z AS (SELECT a.id, a.i, sum(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) / 100.0 AS chance FROM t a JOIN t b ON a.i = b.i AND a.x <= b.x + b.w AND b.x <= a.x + a.w WHERE a.id <> b.id GROUP BY a.id, a.i)
+SELECT id1, id2, chrom, start_bp, end_bp, ibd, cm, round(coalesce(o.shared, 0), 4) AS shared_cm, count(*) FILTER (coalesce(round(chance, 4), 0) >= round(coalesce(o.shared, 0), 4)) AS n_exceed, round(coalesce(sum(chance), 0) / 2, 4) AS expected_cm
+FROM k LEFT JOIN o USING (id) JOIN (SELECT id, i FROM t) USING (id) LEFT JOIN z USING (id, i) GROUP BY ALL"""
 SQL["merge_with_reference"] = f"""WITH act AS ({SQL["strand_flip"]}), both_ AS (SELECT vid FROM ov_genotypes WHERE vid IN (SELECT vid FROM act WHERE action IN ('keep', 'flip')) GROUP BY vid HAVING bool_or(iid % 2 = 0) AND bool_or(iid % 2 = 1)),
 f AS (SELECT vid FROM ov_genotypes WHERE vid IN (SELECT vid FROM both_) GROUP BY vid HAVING round(1 - count(dosage) / count(*), 8) <= .2 AND least(round(sum(dosage) / (2.0 * count(dosage)), 8), 1 - round(sum(dosage) / (2.0 * count(dosage)), 8)) BETWEEN .1 AND .5)
 SELECT iid, vid, dosage FROM ov_genotypes WHERE vid IN (SELECT vid FROM f)"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinloom.operators import ancestry, connections, genotypes, pedigrees, reconstruct, relationships, segments, unrelated
+from kinloom.operators import ancestry, connections, forms, genotypes, pedigrees, reconstruct, relationships, segments, unrelated
 from kinloom.plans import files
 from kinloom.plans.oracles import SQL
 from kinloom.session import ship
@@ -82,6 +82,16 @@ def _pcs2(s, d):
     return view(s, d, "ov_pcs").select("iid", F.element_at("pcs", 2).cast("double").alias("pc1"))
 
 
+def _named(s, d):
+    """Pedigrees whose people have the names they hold within their own pedigree, and those without data."""
+    fam = _fam(s, d).withColumn("name", F.col("iid") - F.col("fid"))
+    return fam, fam.where("name % 5 = 0").select("iid")
+
+
+def _batch(col="iid"):
+    return F.col(col) % 50 - F.col(col) % 2
+
+
 QUERIES: dict[str, Query] = {
     "segment_pair_rollup": lambda s, d: segments.rollup(_seg(s, d)),
     "segment_degree_mle": lambda s, d: segments.best_model(segments.models(_seg(s, d))),
@@ -134,7 +144,7 @@ QUERIES: dict[str, Query] = {
     "haploid_match": lambda s, d: genotypes.haploid_match(view(s, d, "ov_haploid"), 0.3, 0.2),
     "ancestry_split": lambda s, d: ancestry.split(view(s, d, "ov_pcs")),
     "ancestry_scale": lambda s, d: ancestry.scaled(view(s, d, "ov_pcs")),
-    "admixture_flag": lambda s, d: ancestry.admixture(view(s, d, "ov_pcs").where("is_ref").withColumn("batch", F.col("iid") % 50 - F.col("iid") % 2), group=("batch",)),
+    "admixture_flag": lambda s, d: ancestry.admixture(view(s, d, "ov_pcs").where("is_ref").withColumn("batch", _batch()), group=("batch",)),
     "ibd2_table": lambda s, d: segments.ibd2_table(_seg(s, d), view(s, d, "ov_diploid")),
     "sibling_override": lambda s, d: segments.sibling_overrides(_seg(s, d)),
     "ascertained_split": lambda s, d: segments.split_at_locus(_seg(s, d), 6, 32_500_000),
@@ -149,6 +159,18 @@ QUERIES: dict[str, Query] = {
     "reference_samples": lambda s, d: ancestry.reference_samples(view(s, d, "ov_pcs"), s.createDataFrame([("CEU",), ("ASW",), ("JP",)], "pop string")),
     "markers_to_remove": lambda s, d: genotypes.markers_to_remove(view(s, d, "ov_genotypes"), [_pcs1(s, d), _pcs2(s, d)], 1.5),
     "merge_with_reference": lambda s, d: genotypes.merge_with_reference(view(s, d, "ov_genotypes").where("iid % 2 = 1"), view(s, d, "ov_genotypes").where("iid % 2 = 0"), genotypes.strand_actions(view(s, d, "ov_variants"), view(s, d, "ov_ref_variants")), 0.2),
+    "subpedigrees": lambda s, d: forms.subpedigrees(_fam(s, d)),
+    "maternal_conflicts": lambda s, d: forms.haploid_conflicts(_fam(s, d), genotypes.haploid_match(view(s, d, "ov_haploid"), unknown=0.99)),
+    "paternal_conflicts": lambda s, d: forms.haploid_conflicts(_fam(s, d), genotypes.haploid_match(view(s, d, "ov_haploid"), unknown=0.99), "pid"),
+    "inferred_sexes": lambda s, d: forms.inferred_sexes(_fam(s, d).withColumn("sex", F.when(F.col("iid") % 3 == 0, 0).otherwise(F.col("sex")))),
+    "pruned_pedigrees": lambda s, d: forms.pruned(*_named(s, d)),
+    "pedigree_forms": lambda s, d: forms.form_classes(forms.pedigree_forms(*_named(s, d), "name")),
+    "expected_pedigrees": lambda s, d: forms.expected_matches(_named(s, d)[0], _named(s, d)[0].where("fid = 0"), _named(s, d)[0].where("name % 5 <> 0").select("name")),
+    "unresolved_relatives": lambda s, d: relationships.unresolved_relatives(_edges(s, d), pedigrees.pedigree_degrees(pedigrees.relations(_fam(s, d)))),
+    "null_exceedances": lambda s, d: segments.null_exceedances(_seg(s, d), 2),
+    "ld_prune": lambda s, d: genotypes.ld_prune(view(s, d, "ov_variants"), view(s, d, "ov_genotypes")),
+    "genotype_components": lambda s, d: genotypes.genotype_components(view(s, d, "ov_genotypes")),
+    "analysis_branch": lambda s, d: genotypes.analysis_branch(ancestry.admixture(view(s, d, "ov_pcs").where("is_ref").withColumn("batch", _batch()), group=("batch",)), view(s, d, "ov_pcs").where("not is_ref").select(_batch().alias("batch"), "iid")),
     "ancestry_probabilities": lambda s, d: ancestry.probabilities(view(s, d, "ov_pcs")),
     "ancestry_folds": lambda s, d: ancestry.cross_validated(view(s, d, "ov_pcs")),
     "ancestry_predict": lambda s, d: ancestry.predict(view(s, d, "ov_pcs")),
