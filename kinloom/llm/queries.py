@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinloom.llm import embedding_dedup, html_text, jaccard_join, line_dedup, lm_scoring, mixing, ogg_media, packing, quality, token_counts
+from kinloom.llm import collocations, embedding_dedup, html_text, jaccard_join, line_dedup, lm_scoring, mixing, ogg_media, packing, quality, token_counts
 from kinloom.session import ship
 
 _MODULES = {
@@ -20,6 +20,7 @@ _MODULES = {
     "op8_ngram_jaccard_join": jaccard_join,
     "op9_best_fit_packing": packing,
     "op10_ogg_media": ogg_media,
+    "op11_phrase_collocations": collocations,
 }
 
 
