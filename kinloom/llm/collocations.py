@@ -13,7 +13,7 @@ from kinloom.llm.jaccard_join import _BYTE, _mix, _powers
 from kinloom.operators.recovery import checkpointed, fresh_folder
 
 #: Bytes of text whose inverted lists are built together.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 #: What ends a piece, and what parts words within it.
 BREAKS = ".,;:!?\n\x0b\x0c\r"
