@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,10 +90,7 @@ class Postings:
             starts.append(s + a)
             ends.append(e + a)
             ended.append(np.flatnonzero(_BREAK[part]) + a)
-        name = np.frombuffer(lang.encode(), np.uint8)
-        seed = np.uint64(len(name))
-        for x in name:
-            seed = _mix(np.array([seed * _STEP + np.uint64(x)], np.uint64))[0]
+        seed = np.uint64(int.from_bytes(hashlib.sha256(lang.encode()).digest()[:8], "little"))
         self.text, self.starts, self.ends = text, np.concatenate(starts), np.concatenate(ends)
         self.words = _mix(np.concatenate(keys) ^ seed)
         pieces = np.searchsorted(np.concatenate(ended), self.starts)

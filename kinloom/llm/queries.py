@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinloom.llm import collocations, embedding_dedup, html_text, jaccard_join, line_dedup, lm_scoring, mixing, ogg_media, packing, quality, token_counts
+from kinloom.llm import collocations, conversation_repair, embedding_dedup, html_text, jaccard_join, line_dedup, lm_scoring, mixing, ogg_media, packing, quality, token_counts, warc
 from kinloom.session import ship
 
 _MODULES = {
@@ -21,6 +21,8 @@ _MODULES = {
     "op9_best_fit_packing": packing,
     "op10_ogg_media": ogg_media,
     "op11_phrase_collocations": collocations,
+    "op12_conversation_repair": conversation_repair,
+    "op13_warc_conversion": warc,
 }
 
 
