@@ -1,249 +1,341 @@
-"""Pedigrees consistent with a network's relationship classes, one task per network.
+"""Pedigrees consistent with a network's relationship classes.
 
-States are partial pedigrees; related pairs are settled nearest first, each in
-every way its possible classes allow; what breaks a constraint is dropped, and
-states alike up to the names of placeholders are kept once.
+A state is a partial pedigree of one network.  Related pairs are settled
+nearest first, each in every way its possible classes allow; what contradicts
+any pair, related or not, goes at once, and states alike up to the names of
+placeholders are kept once.  States are rows: each round deals them out to
+tasks, which take them some way further, and the rest is dealt out again.
 """
 
 from __future__ import annotations
 
-from itertools import product
-
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-
-from kinloom.operators.relationships import networks
-
-#: Fixed value: largest number of open states of a network.  States settled for one network.
-MAX_STATES, MAX_STEPS = 100_000, 20_000
-OUT = "network_id long, pedigree int, iid string, pid string, mid string, sex int, lnl double, status string"
-
-
-class State:
-    """Parents by person: sorted pairs of names; names of placeholders begin with '?'."""
-
-    def __init__(self, parents: dict, sex: dict):
-        self.parents, self.sex = parents, sex
-
-    def copy(self) -> "State":
-        return State(dict(self.parents), dict(self.sex))
-
-    def placeholder(self, sex: int = 0) -> str:
-        name = f"?{sum(n[0] == '?' for n in self.sex) + 1}"
-        self.sex[name] = sex
-        return name
-
-    def couple(self, child: str) -> tuple:
-        """The child's two parents, placeholders where none are known."""
-        have = list(self.parents.get(child, ()))
-        while len(have) < 2:
-            have.append(self.placeholder())
-        self.parents[child] = tuple(sorted(have))
-        return self.parents[child]
-
-    def ancestors(self, person: str) -> dict:
-        out, queue = {}, [(person, 0)]
-        while queue:
-            at, d = queue.pop()
-            for p in self.parents.get(at, ()):
-                if p not in out or out[p] > d + 1:
-                    out[p] = d + 1
-                    queue.append((p, d + 1))
-        return out
-
-    def merge(self, a: str, b: str) -> bool:
-        """Take a placeholder and another person to be one; false if it cannot be."""
-        if a == b:
-            return True
-        if a[0] != "?":
-            a, b = b, a
-        if a[0] != "?" or a in self.ancestors(b) or b in self.ancestors(a):
-            return False
-        if self.sex[a] and self.sex[b] and self.sex[a] != self.sex[b]:
-            return False
-        self.sex[b] = self.sex[b] or self.sex[a]
-        mine, theirs = self.parents.pop(a, None), self.parents.get(b)
-        self.sex.pop(a)
-        self.parents = {c: tuple(sorted(b if p == a else p for p in ps)) for c, ps in self.parents.items()}
-        if mine:
-            mine = tuple(b if p == a else p for p in mine)
-            if theirs:
-                return all(self.merge(x, y) for x, y in zip(mine, self.parents[b]))
-            self.parents[b] = tuple(sorted(mine))
-        return all(len(set(ps)) == len(ps) for ps in self.parents.values())
-
-    def add_parent(self, child: str, parent: str) -> list["State"]:
-        out = []
-        have = self.parents.get(child, ())
-        if parent in have:
-            return [self]
-        if len(have) < 2:
-            s = self.copy()
-            s.parents[child] = tuple(sorted((*have, parent)))
-            out.append(s)
-        for p in have:
-            if p[0] == "?":
-                s = self.copy()
-                if s.merge(p, parent):
-                    out.append(s)
-        return out
-
-    def relation(self, a: str, b: str) -> str:
-        """The class of two people as this pedigree has it."""
-        pa, pb = self.parents.get(a, ()), self.parents.get(b, ())
-        if a in pb or b in pa:
-            return "PC"
-        shared = set(pa) & set(pb)
-        if len(shared) == 2:
-            return "FS"
-        ua, ub = self.ancestors(a) | {a: 0}, self.ancestors(b) | {b: 0}
-        common = [(ua[x] + ub[x], x) for x in ua.keys() & ub.keys()]
-        if not common:
-            return "UN"
-        least = min(common)[0]
-        ends = sum(d == least for d, _ in common)
-        degree = least - (1 if ends >= 2 else 0)
-        return {1: "FS", 2: "HAG", 3: "CGH"}.get(degree, "DR")
-
-    def valid(self, ages: dict) -> bool:
-        roles: dict[str, int] = {n: s for n, s in self.sex.items() if s}
-        open_ = []
-        for child, ps in self.parents.items():
-            if child in self.ancestors(child):
+import json
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from kinloom.operators.pedigree_state import DEGREE, FAR, State
+from kinloom.operators.recovery import checkpointed
+from kinloom.operators.relationships import CLASSES, networks, twin_nodes
+
+#: Fixed value: most open states of a network.
+MAX_STATES = 100_000
+#: Open states that a task goes on with, states it settles, and states in one row, before it hands over what is left.
+WIDTH, TURN, CHUNK = 256, 4000, 32
+
+ROUND = "network_id long, cutoff double, step int, done boolean, lnl double, state string"
+
+
+def cutoffs(first: float = 0.3) -> list[float]:
+    """The likelihoods from which a class is possible, one try after another."""
+    out = [first]
+    while out[-1] > 0.01:
+        out.append(out[-1] / 3 if out[-1] <= 0.1 else round(out[-1] - 0.1, 10))
+    return out
+
+
+def possible_classes(likelihoods: list[float], cutoff: float) -> tuple[str, ...]:
+    """Classes above the cutoff, else the likeliest; where nothing is known, all."""
+    v = dict(zip(CLASSES, likelihoods))
+    if v["PC"] > cutoff and v["HAG"] > cutoff:
+        v["PC"], v["HAG"] = v["PC"] + v["HAG"], 0.0
+    top = max(v.values())
+    if not top:
+        return CLASSES
+    return tuple(c for c in CLASSES if v[c] > cutoff) or tuple(c for c in CLASSES if v[c] == top)
+
+
+class Family:
+    """What the data say about one network."""
+
+    def __init__(self, people: list[str], allowed: dict, sex: dict, ages: dict, mito: list = (), y: list = (), generations: int | None = None):
+        self.people = sorted(people)
+        self.allowed = {tuple(sorted(k)): frozenset(v) for k, v in allowed.items()}
+        self.sex, self.ages, self.mito, self.y, self.most = sex, ages, mito, y, generations
+        nearest = lambda k: min((DEGREE[c], c == "FS") for c in self.allowed[k])
+        self.order = sorted((k for k, v in self.allowed.items() if not v <= FAR), key=lambda k: (nearest(k), len(self.allowed[k]), k))
+
+    def start(self) -> State:
+        return State({}, {p: self.sex.get(p, 0) for p in self.people})
+
+    def agrees(self, state: State, final: bool = False) -> bool:
+        """No pair is nearer than the data allow, and in the end none is farther.
+
+        People only get nearer in later steps, so a pair that is too near now
+        stays so.  A pair that the data do not name is unrelated or distant.
+        """
+        said = state.relations(self.people)
+        for pair, rel in said.items():
+            allowed = self.allowed.get(pair, FAR)
+            if rel in allowed or rel in FAR and allowed & FAR:
+                continue
+            if final or min(DEGREE[c] for c in allowed) >= DEGREE[rel]:
                 return False
-            if len(ps) == 2:
-                open_.append(ps)
-            for p in ps:
-                if p in ages and child in ages and ages[p] <= ages[child]:
+        return not final or all(pair in said or allowed & FAR for pair, allowed in self.allowed.items())
+
+    def lines_agree(self, state: State) -> bool:
+        """No two people whose sequences differ are on one maternal or paternal line."""
+        for pairs, sex in ((self.mito, 2), (self.y, 1)):
+            for a, b in pairs:
+                if (sex == 2 or state.sex[a] == state.sex[b] == 1) and state.line(a, sex) == state.line(b, sex):
                     return False
-        changed = True
-        while changed:
-            changed = False
-            for x, y in open_:
-                for p, q in ((x, y), (y, x)):
-                    if p in roles and q not in roles:
-                        roles[q], changed = 3 - roles[p], True
-                    if p in roles and roles.get(q) == roles[p]:
-                        return False
-        self.sex |= roles
         return True
 
-    def form(self) -> frozenset:
-        """The pedigree up to placeholder names: each person's known kin by generations."""
-        down: dict[str, set] = {}
-        for c, ps in self.parents.items():
-            for p in ps:
-                down.setdefault(p, set()).add(c)
-
-        def sign(p: str, depth: int = 0) -> str:
-            return p if p[0] != "?" else "?(" + ",".join(sorted(sign(c, depth + 1) for c in down.get(p, ()))) + ")" if depth < len(self.sex) else "?"
-
-        return frozenset((c if c[0] != "?" else sign(c), tuple(sorted(map(sign, ps)))) for c, ps in self.parents.items())
-
-
-def _settle(s: State, a: str, b: str, rel: str) -> list[State]:
-    """Every way to make two people related as the class says."""
-    if s.relation(a, b) == rel:
-        return [s]
-    out: list[State] = []
-    if rel == "PC":
-        out += s.add_parent(a, b) + s.add_parent(b, a)
-    elif rel == "FS":
-        t = s.copy()
-        (p, q), (x, y) = t.couple(a), t.couple(b)
-        for one, two in (((p, x), (q, y)), ((p, y), (q, x))):
-            u = t.copy()
-            if u.merge(*one) and all(n in u.sex for n in two) and u.merge(*two):
-                out.append(u)
-    elif rel in ("HAG", "CGH"):
-        for x, y in ((a, b), (b, a)):
-            t = s.copy()
-            for p in t.couple(x):
-                up = "PC" if rel == "HAG" else None
-                if up:
-                    out += t.add_parent(p, y)  # grandparent
-                    if p[0] == "?" or p != y:
-                        out += _settle(t, p, y, "FS")  # avuncular
-                else:
-                    u = t.copy()
-                    for g in u.couple(p):
-                        out += u.add_parent(g, y) + _settle(u, g, y, "FS")  # great-grandparent, grand-avuncular
-                    if x == a:
-                        for q in u.couple(y):
-                            if q != p:
-                                out += _settle(u, p, q, "FS")  # cousins
-        if rel == "HAG":
-            t = s.copy()
-            for p, q in product(t.couple(a), t.couple(b)):
-                u = t.copy()
-                if p in u.sex and q in u.sex and u.merge(p, q):
-                    out.append(u)  # half sibs
-    return [x for x in out if x.relation(a, b) == rel]
-
-
-def search(pairs: list[tuple], sex: dict, ages: dict, max_states: int = MAX_STATES, max_steps: int = MAX_STEPS) -> tuple[list[State], str]:
-    """All pedigrees of one network; pairs are (a, b, possible classes, pi_hat).
-
-    Limits are counts, so reruns agree: of open states, and of states settled.
-    """
-    people, steps = {x for a, b, *_ in pairs for x in (a, b)}, 0
-    states = [State({}, {p: sex.get(p, 0) for p in people})]
-    order = {"PC": 0, "FS": 1, "HAG": 2, "CGH": 3}
-    for a, b, possible, _ in sorted(pairs, key=lambda p: (min(order.get(c, 9) for c in p[2]), -p[3], p[0], p[1])):
-        new: dict = {}
-        for s in states:
-            steps += len(possible)
-            for rel in possible:
-                for t in _settle(s, a, b, rel) if rel in order else [s]:
-                    if t.valid(ages):
-                        new.setdefault(t.form(), t)
-            if steps > max_steps:
-                return [], "too_many_steps"
-        states = list(new.values())
-        if len(states) > max_states:
+    def settled(self, state: State, step: int) -> Iterator[State]:
+        """The states in which one more pair is as one of its classes says."""
+        a, b = self.order[step]
+        now = state.relations([a, b]).get((a, b), "UN")
+        seen = set()
+        for rel in self.allowed[a, b]:
+            if rel in FAR or rel == now:
+                ways: Iterator[State] = iter([state]) if rel == now or now in FAR else iter(())
+            elif DEGREE[now] <= DEGREE[rel]:
+                continue
+            else:
+                ways = (s for s in state.related(a, b, rel) if s.relations([a, b]).get((a, b)) == rel)
+            for s in ways:
+                s = s.copy()
+                if not s.possible(self.ages) or not self.agrees(s) or not self.lines_agree(s):
+                    continue
+                s = s.pruned()
+                if self.most and s.generations() > self.most:
+                    continue
+                s = s.canonical()
+                if (text := s.text()) not in seen:
+                    seen.add(text)
+                    yield s
+
+
+def advance(family: Family, states: list[tuple[int, str]], width: int = WIDTH, turn: int = TURN) -> tuple[list[tuple[int, str]], list[str]]:
+    """(open, finished) after settling pairs of these states, the least settled first, until too many are open."""
+    waiting: dict[int, dict[str, None]] = {}
+    for step, text in states:
+        waiting.setdefault(step, {})[text] = None
+    settled = 0
+    while waiting:
+        step = min(waiting)
+        if step == len(family.order):
+            break
+        if sum(map(len, waiting.values())) > width or settled > turn:
+            break
+        for text in waiting.pop(step):
+            settled += 1
+            for s in family.settled(State.read(text), step):
+                waiting.setdefault(step + 1, {})[s.text()] = None
+    finished = [t for t in waiting.pop(len(family.order), ()) if family.agrees(State.read(t), True)]
+    return [(step, t) for step, texts in waiting.items() for t in texts], finished
+
+
+def search(pairs: list[tuple], sex: dict, ages: dict, people: list[str] = (), max_states: int = MAX_STATES, **lines) -> tuple[list[State], str]:
+    """All pedigrees of one network in this process; pairs are (a, b, possible classes)."""
+    people = sorted({*people, *(x for a, b, *_ in pairs for x in (a, b))})
+    family = Family(people, {(a, b): possible for a, b, possible, *_ in pairs}, sex, ages, **lines)
+    waiting, finished = [(0, family.start().canonical().text())], []
+    while waiting:
+        waiting, more = advance(family, waiting, width=max_states, turn=1 << 60)
+        finished += more
+        if len(waiting) > max_states:
             return [], "too_many_states"
-    allowed = {(a, b): set(possible) for a, b, possible, _ in pairs}
-    fit = [s for s in states if all(s.relation(a, b) in p or p & {"DR", "UN"} for (a, b), p in allowed.items())]
-    return fit, "ok" if fit else "no_pedigree"
+    found = [State.read(t) for t in dict.fromkeys(finished)]
+    return found, "ok" if found else "no_pedigree"
+
+
+def _family(facts: dict, cutoff: float, generations: int | None) -> Family:
+    sex = {p["iid"]: p.get("sex") or 0 for p in facts["people"]}
+    ages = {p["iid"]: p["age"] for p in facts["people"] if p.get("age") is not None}
+    allowed = {(p["a"], p["b"]): possible_classes(p["v"], cutoff) for p in facts["pairs"]}
+    lines = {k: [(p["a"], p["b"]) for p in facts.get(k) or ()] for k in ("mito", "y")}
+    return Family(list(sex), allowed, sex, ages, generations=generations, **lines)
+
+
+def _turn(generations: int | None):
+    """Rows (network, facts, cutoff, states of one chunk) to the states they lead to."""
 
+    def likelihood(facts: dict, state: State) -> float:
+        said = state.relations(sorted(state.sex))
+        total = 0.0
+        for p in facts["pairs"]:
+            v = dict(zip(CLASSES, p["v"]))
+            rel = said.get(tuple(sorted((p["a"], p["b"]))), "UN")
+            total += math.log(max(v[rel], v["DR"], v["UN"], 1e-4) if rel in FAR else max(v[rel], 1e-4))
+        return round(total, 6)
 
-def reconstruct(classified: DataFrame, people: DataFrame, max_states: int = MAX_STATES, max_steps: int = MAX_STEPS) -> DataFrame:
-    """(network_id, pedigree, iid, pid, mid, sex, lnl, status) of every pedigree.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple = (None, None)
+        for batch in batches:
+            for row in batch.to_pylist():
+                key = (row["network_id"], row["cutoff"])
+                if last[0] != key:
+                    facts = json.loads(row["facts"])
+                    last = (key, (facts, _family(facts, row["cutoff"], generations)))
+                facts, family = last[1]
+                states = [(s["step"], s["state"]) for s in row["states"]] if row["states"] else [(0, family.start().canonical().text())]
+                waiting, finished = advance(family, states)
+                out = [(*key, step, False, None, t) for step, t in waiting] + [(*key, 0, True, likelihood(facts, State.read(t)), t) for t in finished]
+                if out:
+                    kinds = [pa.int64(), pa.float64(), pa.int32(), pa.bool_(), pa.float64(), pa.string()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["network_id", "cutoff", "step", "done", "lnl", "state"])
 
-    ``classified`` as from :func:`relationships.classify`, related pairs only;
-    ``people(iid, sex, age)``.  Networks are searched apart; one that goes beyond
-    ``max_states`` or ``max_steps`` or fits no pedigree gives one row with its status.
+    return run
+
+
+def _facts(classified: DataFrame, people: DataFrame, mito: DataFrame | None, y: DataFrame | None, threshold: float) -> DataFrame:
+    """(network_id, facts): people, pairs and refuted lines of each network of two or more, twins being one person."""
+    twins = twin_nodes(classified)
+
+    def node(df: DataFrame, col: str) -> DataFrame:
+        name = twins.select(F.col("iid").alias(col), F.col("node").alias(f"_{col}"))
+        return df.join(name, col, "left").withColumn(col, F.coalesce(f"_{col}", F.col(col).cast("string"))).drop(f"_{col}")
+
+    def pairs_of(df: DataFrame) -> DataFrame:
+        df = node(node(df, "iid1"), "iid2").where("iid1 <> iid2")
+        return df.withColumns({"a": F.least("iid1", "iid2"), "b": F.greatest("iid1", "iid2")})
+
+    names = [c.lower() for c in CLASSES]
+    # Several rows of one pair, as of twins, are averaged.
+    pairs = pairs_of(classified.select("iid1", "iid2", "pi_hat", *names)).groupBy("a", "b").agg(F.avg("pi_hat").alias("pi_hat"), *[F.avg(c).alias(c) for c in names])
+    pairs = checkpointed(pairs)
+    edges = pairs.where((F.col("pi_hat") > threshold) & (F.col("un") < F.greatest(*names[:-1]))).select(F.col("a").alias("iid1"), F.col("b").alias("iid2"))
+    # A network is called by its smallest member, of twins by the smallest of them.
+    parts = networks(edges.select(F.explode(F.array("iid1", "iid2")).alias("iid")).distinct(), edges).withColumnRenamed("network_id", "part")
+    ids = parts.groupBy("part").agg(F.min(F.split("iid", ":")[0].cast("long")).alias("network_id"))
+    members = checkpointed(parts.join(ids, "part").select("network_id", "iid"))
+
+    def inside(df: DataFrame, *fields: Column) -> DataFrame:
+        one, two = (members.select(F.col("network_id").alias(f"n{c}"), F.col("iid").alias(c)) for c in ("a", "b"))
+        held = df.join(one, "a").join(two, "b").where("na = nb")
+        return held.groupBy(F.col("na").alias("network_id")).agg(F.sort_array(F.collect_set(F.struct("a", "b", *fields))).alias("pairs"))
+
+    about = node(people.select("iid", "sex", F.col("age").cast("double").alias("age")), "iid").groupBy("iid").agg(F.max("sex").alias("sex"), F.max("age").alias("age"))
+    who = members.join(about, "iid", "left").groupBy("network_id").agg(F.sort_array(F.collect_set(F.struct("iid", "sex", "age"))).alias("people"))
+    out = who.join(inside(pairs, F.array(*[F.round(c, 6) for c in names]).alias("v")), "network_id")
+    for name, match in (("mito", mito), ("y", y)):
+        if match is not None:
+            refuted = pairs_of(match.where("match = 0").select("iid1", "iid2")).select("a", "b")
+            out = out.join(inside(refuted).withColumnRenamed("pairs", name), "network_id", "left")
+    fields = [c for c in ("people", "pairs", "mito", "y") if c in out.columns]
+    return checkpointed(out.select("network_id", F.to_json(F.struct(*fields)).alias("facts")))
+
+
+def found_states(facts: DataFrame, first: float = 0.3, retry: bool = True, max_states: int = MAX_STATES, generations: int | None = None) -> DataFrame:
+    """(network_id, cutoff, status, lnl, state) of every pedigree; one row without a state where there is none.
+
+    A network goes on alone with a lower cutoff when it fits no pedigree, and
+    stops with a status when more than ``max_states`` are open.  Nothing else
+    ends a search.  The driver sees counts only.
     """
-    edges = classified.select("iid1", "iid2")
-    members = networks(edges.select(F.explode(F.array("iid1", "iid2")).alias("iid")).distinct(), edges)
-    rows = classified.join(members.select(F.col("iid").alias("iid1"), "network_id"), "iid1")
-    facts = [people.select(F.col("iid").alias(f"iid{i}"), F.col("sex").alias(f"sex{i}"), F.col("age").alias(f"age{i}")) for i in (1, 2)]
-    rows = rows.join(facts[0], "iid1", "left").join(facts[1], "iid2", "left")
-    names = ["pc", "fs", "hag", "cgh", "dr", "un"]
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        import math
-
-        net, pairs, sex, ages, value = int(pdf.network_id.iloc[0]), [], {}, {}, {}
-        for r in pdf.itertuples():
-            a, b = str(r.iid1), str(r.iid2)
-            possible = tuple(c for c in r.possible.split(",") if c) or (r.rel,)
-            pairs.append((a, b, possible, r.pi_hat))
-            value[a, b] = {n.upper(): getattr(r, n) for n in names}
-            for p, x, g in ((a, r.sex1, r.age1), (b, r.sex2, r.age2)):
-                sex[p] = int(x) if x == x else 0
-                if g == g:
-                    ages[p] = g
-        found, status = search(pairs, sex, ages, max_states, max_steps)
-        scored = sorted(((round(sum(math.log(max(v[s.relation(a, b)], 1e-4)) for (a, b), v in value.items()), 6), s) for s in found), key=lambda x: (-x[0], sorted(map(str, x[1].form()))))
+    spark, turn = facts.sparkSession, _turn(generations)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    left, results = facts.select("network_id"), []
+    tries = cutoffs(first)[: None if retry else 1]
+    chunk_type = "array<struct<step:int,state:string>>"
+    for cutoff in tries:
+        rows = left.select("network_id", F.lit(cutoff).alias("cutoff"), F.lit(None).cast(chunk_type).alias("states"))
+        here, stopped = [], []
+        while True:
+            dealt = rows.join(facts, "network_id").select("network_id", "cutoff", "facts", "states").repartition(parts)
+            out = checkpointed(dealt.mapInArrow(turn, ROUND).groupBy("network_id", "cutoff", "done", "step", "state").agg(F.max("lnl").alias("lnl")))
+            here.append(out.where("done").select("network_id", "cutoff", "lnl", "state"))
+            waiting = out.where("not done")
+            many = checkpointed(waiting.groupBy("network_id").agg(F.count("*").alias("open")))
+            if many.isEmpty():
+                break
+            stopped.append(many.where(F.col("open") > max_states).select("network_id"))
+            held = waiting.join(many.where(F.col("open") <= max_states), "network_id")
+            # Chunks of about CHUNK states, so that a network with many is dealt to many tasks.
+            deal = F.pmod(F.xxhash64("state"), F.greatest(F.lit(1), F.expr(f"open div {CHUNK}")))
+            rows = checkpointed(held.groupBy("network_id", "cutoff", deal.alias("chunk")).agg(F.collect_list(F.struct("step", "state")).alias("states")))
+        done = here[0]
+        for more in here[1:]:
+            done = done.unionByName(more)
+        done = done.distinct()
+        over = facts.select("network_id").where("false")
+        for more in stopped:
+            over = over.unionByName(more)
+        done = checkpointed(done.join(over, "network_id", "left_anti"))
+        results.append(done.select("network_id", "cutoff", F.lit("ok").alias("status"), "lnl", "state"))
+        nothing = [F.lit(None).cast("double").alias("lnl"), F.lit(None).cast("string").alias("state")]
+        results.append(checkpointed(over.distinct().select("network_id", F.lit(cutoff).alias("cutoff"), F.lit("too_many_states").alias("status"), *nothing)))
+        left = checkpointed(left.join(done.select("network_id").distinct(), "network_id", "left_anti").join(results[-1], "network_id", "left_anti"))
+        if cutoff == tries[-1]:
+            results.append(left.select("network_id", F.lit(cutoff).alias("cutoff"), F.lit("no_pedigree").alias("status"), *nothing))
+        elif left.isEmpty():
+            break
+    out = results[0]
+    for more in results[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each person of each pedigree."""
+    for batch in batches:
         out = []
-        for k, (lnl, s) in enumerate(scored, 1):
-            for n in sorted(s.sex):
-                ps = s.parents.get(n, ())
-                known = {s.sex[p]: p for p in ps if s.sex[p]} if len({s.sex[p] for p in ps}) == len(ps) else dict(enumerate(ps, 1))
-                out.append((net, k, n, known.get(1), known.get(2), s.sex[n], lnl, status))
-        return pd.DataFrame(out or [(net, 0, None, None, None, None, None, status)], columns=["network_id", "pedigree", "iid", "pid", "mid", "sex", "lnl", "status"]).astype({"sex": "Int32"})
-
-    # Few bytes and long searches: a stated number of partitions keeps Spark from joining them into few tasks.
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "network_id").groupBy("network_id").applyInPandas(solve, OUT)
+        for r in batch.to_pylist():
+            head, tail = (r["network_id"], r["pedigree"]), (r["lnl"], r["status"], r["cutoff"])
+            if r["state"] is None:
+                out.append((*head, None, None, None, None, *tail))
+                continue
+            state = State.read(r["state"])
+            for n in sorted(state.sex):
+                both = state.parents.get(n, ())
+                by_sex = {state.sex[p]: p for p in both}
+                father, mother = (by_sex.get(1), by_sex.get(2)) if len(both) < 2 or set(by_sex) == {1, 2} else both
+                out.append((*head, n, father, mother, state.sex[n], *tail))
+        kinds = [pa.int64(), pa.int32(), *[pa.string()] * 3, pa.int32(), pa.float64(), pa.string(), pa.float64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], OUT_NAMES)
+
+
+OUT = "network_id long, pedigree int, iid string, pid string, mid string, sex int, lnl double, status string, cutoff double"
+OUT_NAMES = [f.split()[0] for f in OUT.split(", ")]
+
+
+def reconstruct(
+    classified: DataFrame,
+    people: DataFrame,
+    mito: DataFrame | None = None,
+    y: DataFrame | None = None,
+    threshold: float = 0.09375,
+    cutoff: float = 0.3,
+    retry: bool = True,
+    max_states: int = MAX_STATES,
+    max_generations: int | None = None,
+) -> DataFrame:
+    """Every pedigree of every network, person by person.
+
+    ``classified`` as from :func:`relationships.classify`, with all pairs of
+    people, unrelated ones too; a pair that it lacks counts as unrelated.
+    ``people(iid, sex, age)``; ``mito`` and ``y`` as from
+    :func:`genotypes.haploid_match`, whose mismatches refute.  Twins are one
+    person ``a:b``.  People without data are ``?1``, ``?2`` ...
+
+    Columns: network_id (the smallest member), pedigree (1, 2 ... by
+    likelihood), iid, pid, mid, sex, lnl, status, cutoff (the one that the
+    network ended at).  Status: ``ok``, ``no_pedigree`` at any cutoff, or
+    ``too_many_states``, with one row and no person.
+    """
+    found = found_states(_facts(classified, people, mito, y, threshold), cutoff, retry, max_states, max_generations)
+    order = Window.partitionBy("network_id").orderBy(F.desc("lnl"), "state")
+    ranked = found.withColumn("pedigree", F.when(F.col("state").isNull(), 0).otherwise(F.row_number().over(order)))
+    return ranked.select("network_id", "pedigree", "lnl", "status", "cutoff", "state").mapInArrow(_rows, OUT)
+
+
+def recovered(pedigrees: DataFrame, truth: DataFrame) -> DataFrame:
+    """(network_id, found): whether one of a network's pedigrees gives all its people their true parents among those with data.
+
+    ``truth(iid, pid, mid)`` names the people with data; parents that it does not hold count as unknown.
+    """
+    known = truth.select(F.col("iid").cast("string").alias("iid"))
+
+    def shown(df: DataFrame) -> DataFrame:
+        for c in ("pid", "mid"):
+            df = df.withColumn(c, F.col(c).cast("string")).join(known.withColumnRenamed("iid", c).withColumn(f"_{c}", F.lit(True)), c, "left")
+        both = F.array_sort(F.array_compact(F.array(*[F.when(F.col(f"_{c}"), F.col(c)) for c in ("pid", "mid")])))
+        return df.withColumn("known", both)
+
+    said = shown(pedigrees.join(known, "iid")).select("network_id", "pedigree", "iid", "known")
+    true = shown(truth.withColumn("iid", F.col("iid").cast("string"))).select("iid", F.col("known").alias("true"))
+    agree = said.join(true, "iid").groupBy("network_id", "pedigree").agg(F.min(F.col("known") == F.col("true")).alias("ok"))
+    return pedigrees.select("network_id").distinct().join(agree.groupBy("network_id").agg(F.max("ok").alias("found")), "network_id", "left").select("network_id", F.coalesce("found", F.lit(False)).alias("found"))

