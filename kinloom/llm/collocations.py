@@ -14,7 +14,7 @@ from kinloom.llm.jaccard_join import _BYTE, _mix, _powers
 from kinloom.operators.recovery import checkpointed, fresh_folder
 
 #: Bytes of text whose inverted lists are built together.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 
 #: What ends a piece, and what parts words within it.
 BREAKS = ".,;:!?\n\x0b\x0c\r"
@@ -95,6 +95,8 @@ class Postings:
         self.words = _mix(np.concatenate(keys) ^ seed)
         pieces = np.searchsorted(np.concatenate(ended), self.starts)
         self.positions = np.arange(len(self.words)) + np.cumsum(np.diff(pieces, prepend=0) > 0)
+        if len(text) < 1 << 30:  # places and positions stay below the bytes of the block
+            self.starts, self.ends, self.positions = (x.astype(np.int32) for x in (self.starts, self.ends, self.positions))
 
     def extended(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of occurrences that end at word ``at``, those followed by a word of their piece, and that word.
@@ -102,10 +104,10 @@ class Postings:
         A merge join of the occurrences' next positions with the postings' positions.
         """
         wanted = self.positions[at] + 1
-        found = np.searchsorted(self.positions, wanted)
+        found = np.searchsorted(self.positions, wanted).astype(self.positions.dtype)
         hit = found < len(self.positions)
         hit[hit] = self.positions[found[hit]] == wanted[hit]
-        return np.flatnonzero(hit), found[hit]
+        return np.flatnonzero(hit).astype(found.dtype), found[hit]
 
     def word(self, i: int) -> str:
         return self.text[self.starts[i] : self.ends[i]].decode()
@@ -117,6 +119,14 @@ def _pairs(p: Postings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _mix(p.words[first] * _STEP + _mix(p.words[second])), first, second
 
 
+def _distinct(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct keys and how often each occurs."""
+    held = np.concatenate(keys)
+    held.sort()
+    heads = np.flatnonzero(np.concatenate([np.ones(min(len(held), 1), bool), held[1:] != held[:-1]]))
+    return held[heads], np.diff(heads, append=len(held))
+
+
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts of one language joined to blocks of about BLOCK_BYTES, in lower case."""
     held: dict[str, list[bytes]] = {}
@@ -150,7 +160,7 @@ def _count(parts: int):
             for block, lang, text in zip(*(batch.column(i) for i in range(3))):
                 with np.errstate(over="ignore"):
                     p = Postings(_unzip(text.as_py()), lang.as_py())
-                    keys, counts = np.unique(np.concatenate([p.words, _pairs(p)[0]]), return_counts=True)
+                    keys, counts = _distinct(p.words, _pairs(p)[0])
                 cuts = [0, *np.searchsorted(keys, bounds), len(keys)]
                 rows = [(k, a, b) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
                 if rows:
@@ -164,7 +174,8 @@ def _count(parts: int):
                         ],
                         ["part", "block", "n", "keys", "counts"],
                     )
-        release_memory()
+                del p, keys, counts, rows
+                release_memory()
 
     return run
 
@@ -214,7 +225,7 @@ def _lists(parts: int):
                 with np.errstate(over="ignore"):
                     p = Postings(_unzip(text.as_py()), lang)
                     pairs, first, second = _pairs(p)
-                    keys = np.unique(np.concatenate([p.words, pairs]))
+                    keys = _distinct(p.words, pairs)[0]
                 cuts = [0, *np.searchsorted(keys, bounds), len(keys)]
                 often, own = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
                 sums = np.zeros(len(keys), np.int64)
@@ -253,7 +264,9 @@ def _lists(parts: int):
                     _, place, counts = np.unique(both, return_index=True, return_counts=True)
                     if len(place):
                         yield _rows(3, lang, left[place] * 0, left[place], right[place], counts)
-        release_memory()
+                    del at, kept, begun, last, after, good, left, right, both, place
+                del p, pairs, first, second, keys, often, own, sums, mine, frequent
+                release_memory()
 
     return run
 
