@@ -7,7 +7,6 @@ import pytest
 
 from kinloom.operators import pedigrees
 from kinloom.operators.components import connected_components
-from kinloom.operators.reconstruct import search
 from kinloom.operators.unrelated import best_set, maximal_sets
 
 
@@ -33,28 +32,6 @@ def test_maximal_sets(seed):
     assert best_set(near, score, 0)[1] in ("exact", "bounded")
 
 
-def test_parent_and_child_have_two_directions():
-    found, status = search([("a", "b", ("PC",), 0.5)], {"a": 1, "b": 2}, {})
-    assert status == "ok" and len(found) == 2
-
-
-def test_ages_settle_the_direction():
-    found, _ = search([("a", "b", ("PC",), 0.5)], {"a": 1, "b": 2}, {"a": 50, "b": 20})
-    assert len(found) == 1 and "a" in found[0].parents["b"]
-
-
-def test_trio_with_sibs():
-    pairs = [("c1", "f", ("PC",), 0.5), ("c2", "f", ("PC",), 0.5), ("c1", "m", ("PC",), 0.5), ("c2", "m", ("PC",), 0.5), ("c1", "c2", ("FS",), 0.5)]
-    found, status = search(pairs, {"f": 1, "m": 2}, {})
-    assert status == "ok" and any(s.parents.get("c1") == ("f", "m") == s.parents.get("c2") for s in found)
-
-
-def test_limits_are_reported():
-    pairs = [(f"a{i}", f"b{i}", ("PC",), 0.5) for i in range(10)]
-    assert search(pairs, {}, {}, max_states=50)[1] == "too_many_states"
-    assert search(pairs, {}, {}, max_steps=50)[1] == "too_many_steps"
-
-
 @pytest.mark.parametrize("seed", range(3))
 def test_components(spark, seed):
     rng = random.Random(seed)
