@@ -98,7 +98,29 @@ def ibd2_sibling_ln(count: Column, total: Column, ln_factorial: Column, s: Setti
 
 
 def chi2_sf(x: Column, half_df: Column) -> Column:
-    """Chi-square survival with an even number of degrees of freedom, 2 x half_df."""
-    terms = F.aggregate(F.sequence(F.lit(1), F.greatest(half_df - 1, F.lit(1))), F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")),
-                        lambda a, i: F.struct((a["t"] * x / 2 / i).alias("t"), (a["s"] + F.when(i < half_df, a["t"] * x / 2 / i).otherwise(0.0)).alias("s")), lambda a: a["s"])
-    return F.when(x <= 0, 1.0).when(x > 1400, 0.0).otherwise(F.exp(-x / 2) * terms)
+    """Chi-square survival with an even number of degrees of freedom, 2 x half_df, for x of any size.
+
+    The Poisson probabilities of fewer than half_df events at rate x / 2, each
+    from the logarithm of the one before, so that none overflows.
+    """
+    first = F.struct((-x / 2).alias("ln"), F.exp(-x / 2).alias("sum"))
+    steps = F.filter(F.sequence(F.lit(1), F.greatest(half_df - 1, F.lit(1))), lambda i: i < half_df)
+
+    def add(acc: Column, i: Column) -> Column:
+        ln = acc["ln"] + F.ln(x / 2) - F.ln(i)
+        return F.struct(ln.alias("ln"), (acc["sum"] + F.exp(ln)).alias("sum"))
+
+    return F.when(x <= 0, 1.0).otherwise(F.least(F.lit(1.0), F.aggregate(steps, first, add, lambda acc: acc["sum"])))
+
+
+def ascertained_ln(n: Column, ancestors: int, count: Column, total: Column, mixture: Column, s: Settings) -> Column:
+    """ln densities of the lengths of segments at an ascertained locus under a model; their number tells nothing."""
+    if ancestors == 0:
+        bins = (n - 1) * (s.genome / 100) + s.chromosomes
+        mean = F.when(n > 1, F.lit(s.genome) / bins).otherwise(100 * s.recombinations / s.chromosomes)
+    elif ancestors == 1:
+        mean = F.lit(s.genome) / (n * (s.genome / 100) + s.chromosomes)
+    else:
+        mean = F.when(n == 3, s.genome * 0.5 / sibling_rate(s)).otherwise(F.lit(100.0) / n)
+    plain = exponential_ln(count, total, mean)
+    return F.when(n == 2, mixture).otherwise(plain) if ancestors == 2 else plain

@@ -40,13 +40,25 @@ def splits(segments: DataFrame, s: Settings = Settings()) -> DataFrame:
     return rows.unionByName(none)
 
 
-def models(segments: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """The best split's lnL for every pair, number of ancestors and meioses."""
+def models(segments: DataFrame, s: Settings = Settings(), parts: DataFrame | None = None) -> DataFrame:
+    """The best split's lnL for every pair, number of ancestors and meioses.
+
+    ``parts`` are segments at an ascertained locus (:func:`at_locus`).  All of a
+    pair's parts are background or all are related, whichever is likelier for
+    the model; either way their number is given, and only their lengths count.
+    As this does not depend on the split, it is added to each model's best.
+    """
     n, k, b = F.col("n"), F.col("k"), F.col("s") - F.col("k")
     rows = splits(segments, s).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(s.max_meioses))))
     back = L.background_ln(b, F.col("bx"), F.col("bf"), s)
     lnl = {0: L.direct_ln(n, k, F.col("rx"), F.col("rf"), s), 1: L.one_ancestor_ln(n, k, F.col("rx"), F.col("rf"), s), 2: L.two_ancestor_ln(n, k, F.col("rx"), F.col("rm"), F.col("rf"), s)}
     best = rows.groupBy(*PAIR, "n").agg(*[F.max(back + v).alias(f"l{a}") for a, v in lnl.items()], F.max(F.when(k == 0, back)).alias("ll_null"))
+    if parts is not None:
+        x = F.abs("cm") - s.min_cm
+        held = canonical(parts).where(F.abs("cm") >= s.min_cm).groupBy(*PAIR).agg(F.count("*").alias("pc"), F.sum(x).alias("px"), F.sum(L.mixture_ln(x, s)).alias("pm"))
+        best = best.join(held, PAIR, "left").fillna({"pc": 0, "px": 0.0, "pm": 0.0})
+        apart = F.col("pc") * F.log(F.lit(s.rate)) - F.col("px") * s.rate
+        best = best.withColumns({f"l{a}": F.col(f"l{a}") + F.greatest(apart, L.ascertained_ln(n, a, F.col("pc"), F.col("px"), F.col("pm"), s)) for a in lnl} | {"ll_null": F.col("ll_null") + apart})
     one = F.explode(F.array(*[F.struct(F.lit(a).alias("ancestors"), F.col(f"l{a}").alias("lnl")) for a in lnl])).alias("m")
     out = best.select(*PAIR, F.col("n").alias("meioses"), "ll_null", one).select(*PAIR, "m.ancestors", "meioses", "m.lnl", "ll_null")
     out = out.where("ancestors = 0 or meioses > 1")
@@ -107,14 +119,89 @@ def sibling_overrides(segments: DataFrame, s: Settings = Settings()) -> DataFram
 
 
 def split_at_locus(segments: DataFrame, chrom: int | str, position: int) -> DataFrame:
-    """A segment over the ascertained locus becomes two, its cM shared by length."""
-    over = (F.col("chrom") == chrom) & (F.col("start_bp") < position) & (F.col("end_bp") > position)
+    """A segment that holds the ascertained locus, ends included, becomes two.
+
+    cM are shared by length.  The two are ``ascertained``; segments shared on
+    both homologs stay whole, and so does one without length.
+    """
+    over = (F.col("chrom") == chrom) & (F.col("start_bp") <= position) & (F.col("end_bp") >= position) & ~F.col("ibd").eqNullSafe(2) & (F.col("end_bp") > F.col("start_bp"))
     part = lambda a, b: F.struct(a.alias("start_bp"), b.alias("end_bp"))
     cut = F.lit(position).cast("long")
     parts = F.when(over, F.array(part(F.col("start_bp"), cut), part(cut, F.col("end_bp")))).otherwise(F.array(part(F.col("start_bp"), F.col("end_bp"))))
-    rows = segments.withColumn("p", F.explode(parts))
+    rows = segments.withColumn("ascertained", over).withColumn("p", F.explode(parts))
     share = F.coalesce((F.col("p.end_bp") - F.col("p.start_bp")) / F.nullif(F.col("end_bp") - F.col("start_bp"), F.lit(0)), F.lit(1.0))
-    return rows.select("id1", "id2", "chrom", F.col("p.start_bp").alias("start_bp"), F.col("p.end_bp").alias("end_bp"), F.round(F.col("cm") * share, 6).alias("cm"), "ibd")
+    return rows.select("id1", "id2", "chrom", F.col("p.start_bp").alias("start_bp"), F.col("p.end_bp").alias("end_bp"), F.round(F.col("cm") * share, 6).alias("cm"), "ibd", "ascertained")
+
+
+def at_locus(segments: DataFrame, chrom: int | str, position: int) -> tuple[DataFrame, DataFrame]:
+    """Segments off the ascertained locus, and the parts of those on it, for :func:`models`."""
+    rows = split_at_locus(segments, chrom, position)
+    return rows.where("not ascertained").drop("ascertained"), rows.where("ascertained").drop("ascertained")
+
+
+def final_estimates(
+    segments: DataFrame, s: Settings = Settings(), parts: DataFrame | None = None, masked: DataFrame | None = None, use_ibd2: bool = False, by_total: bool = True, ancestors: int | None = None
+) -> DataFrame:
+    """One estimate for each pair after all overrides.
+
+    With ``use_ibd2`` segments shared on both homologs are kept apart: where
+    they fit full siblings better than chance the pair is one (``SIB2``), and
+    else the full siblings' model is out.  Then, with ``by_total``, cM (and
+    those taken away by a mask, ``masked(id1, id2, cm)``) above what siblings
+    share make parent and offspring (``PO``), and, without ``use_ibd2``, above
+    0.625 of the genome siblings (``SIB``).  ``ancestors`` keeps models of 0, 1
+    or 2 shared ancestors only.  ``degree`` is null where the estimate does not
+    beat the null; bounds are meioses of models as likely as the estimate
+    within the confidence margin, two ancestors' less one.
+    """
+    main = segments.where("ibd is null or ibd <> 2") if use_ibd2 else segments
+    m = models(main, s, parts)
+    total = canonical(main).where((F.round("cm", 2) >= s.load_cm) & (F.abs("cm") >= s.min_cm)).groupBy(*PAIR).agg(F.sum("cm").alias("total"))
+    if masked is not None:
+        away = canonical(masked).groupBy(*PAIR).agg(F.sum("cm").alias("away"))
+        total = total.join(away, PAIR, "left").select(*PAIR, (F.col("total") + F.coalesce("away", F.lit(0.0))).alias("total"))
+    length = 100 * s.recombinations
+    limit = 0.75 * length + s.sibling_z * (0.75 * length / 100 * 4 * 625) ** 0.5
+    nothing = F.lit(None).cast("string")
+    forced = F.when(F.col("total") > limit, "PO") if by_total and ancestors in (None, 0) else F.when(F.lit(False), nothing)
+    if by_total and not use_ibd2 and ancestors in (None, 2):
+        forced = F.coalesce(forced, F.when(F.col("total") / length > 0.625, "SIB"))
+    pairs = total.withColumn("forced", forced)
+    if use_ibd2 and ancestors in (None, 2):
+        # The null that a sibling is held against counts all IBD2 segments at the rate that chance sharing on both homologs has.
+        twice = min(s.pois_mean * s.rate / s.genome, 1.0)
+        two = canonical(segments).where((F.col("ibd") == 2) & (F.round("cm", 2) >= s.load_cm) & (F.abs("cm") >= s.min_cm))
+        null = two.groupBy(*PAIR).agg(F.count("*").alias("s"), F.sum(F.abs("cm") - s.min_cm).alias("bx"))
+        factorial = F.expr("aggregate(sequence(1, s), 0D, (a, i) -> a + ln(i))")
+        null = null.select(*PAIR, (L.poisson_ln(F.lit(s.pois_mean * twice), F.col("s"), factorial) + F.col("s") * F.log(F.lit(s.rate)) - F.col("bx") * s.rate).alias("null2"))
+        sib = sibling_overrides(segments, s).where("sibling").select(*PAIR, F.col("lnl").alias("lnl2")).join(null, PAIR)
+        pairs = pairs.join(sib, PAIR, "left").withColumn("forced", F.when(F.col("lnl2").isNotNull(), "SIB2").otherwise(F.col("forced")))
+    else:
+        pairs = pairs.withColumns({"lnl2": F.lit(None).cast("double"), "null2": F.lit(None).cast("double")})
+    j = m.join(pairs, PAIR)
+    two_two = (F.col("ancestors") == 2) & (F.col("meioses") == 2)
+    right = F.when(F.col("forced") == "PO", (F.col("ancestors") == 0) & (F.col("meioses") == 1)).when(F.col("forced").isin("SIB", "SIB2"), two_two).otherwise(~two_two if use_ibd2 else F.lit(True))
+    if ancestors is not None:
+        right = right & (F.col("ancestors") == ancestors)
+    place = F.col("meioses") * 3 + F.when(F.col("ancestors") == 0, 0).when(F.col("ancestors") == 2, 1).otherwise(2)
+    best = F.max_by(F.when(right, F.struct("ancestors", "meioses", "degree", "lnl")), F.when(right, F.struct(F.round("lnl", 6), -place)))
+    model = F.struct(F.col("ancestors").alias("a"), F.col("meioses").alias("n"), F.col("lnl").alias("v"))
+    top = j.groupBy(*PAIR).agg(best.alias("b"), F.collect_list(model).alias("all"), *[F.first(c).alias(c) for c in ("ll_null", "forced", "lnl2", "null2")])
+    lnl, null = F.coalesce("lnl2", "b.lnl"), F.coalesce("null2", "ll_null")
+    out = top.withColumns({"top": lnl, "null": null})
+    bounds = []
+    for a in (2, 1, 0):
+        near = F.transform(F.filter("all", lambda x: (x["a"] == a) & (x["v"] + s.margin >= F.col("top")) & ~(F.lit(use_ibd2 and a == 2) & (x["n"] == 2))), lambda x: x["n"] - (1 if a == 2 else 0))
+        # A sibling by IBD2 is compared with no other model.
+        near = F.when(F.col("lnl2").isNotNull(), F.array(F.lit(1)) if a == 2 else F.array().cast("array<int>")).otherwise(near)
+        bounds += [F.array_min(near).alias(f"p{a}_low"), F.array_max(near).alias(f"p{a}_high")]
+    degree = F.when(F.col("null") + s.margin < F.col("top"), F.col("b.degree"))
+    return out.select(*PAIR, "b.ancestors", "b.meioses", degree.alias("degree"), F.round("top", 6).alias("lnl"), F.round("null", 6).alias("ll_null"), F.coalesce("forced", F.lit("NONE")).alias("forced"), *bounds)
+
+
+def masked_away(clipped: DataFrame) -> DataFrame:
+    """(id1, id2, cm) that a mask took from each pair's segments, as cut by :func:`clip_to_mask` (A3)."""
+    return canonical(clipped).groupBy(*PAIR).agg(F.round(F.sum(F.col("cm") - F.col("new_cm")), 6).alias("cm"))
 
 
 def control_stats(segments: DataFrame, s: Settings = Settings()) -> DataFrame:

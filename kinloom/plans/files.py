@@ -34,9 +34,9 @@ def _file(name: str, value: Callable[[], Column], read: Callable, head: str = ""
 
 
 def _estimates(s: SparkSession, d: str) -> DataFrame:
-    m = segments.models(view(s, d, "ov_segments"))
-    best = segments.best_model(m).withColumnRenamed("lnl", "ll_max")
-    bounds = segments.intervals(m).selectExpr("id1", "id2", *[f"p{a}_{x} AS {x}{a}" for a in (2, 1, 0) for x in ("low", "high")])
+    final = segments.final_estimates(view(s, d, "ov_segments"))
+    best = final.select("id1", "id2", "ancestors", "meioses", F.col("lnl").alias("ll_max"), "ll_null", "degree")
+    bounds = final.selectExpr("id1", "id2", *[f"p{a}_{x} AS {x}{a}" for a in (2, 1, 0) for x in ("low", "high")])
     path = fresh_folder(s)
     writers.write_table(writers.estimates_table(best, bounds), path)
     return readers.read_estimates(s, path)
@@ -80,7 +80,7 @@ QUERIES = {
 }
 
 
-def sql(models: str, best: str) -> dict[str, str]:
+def sql(models: str) -> dict[str, str]:
     """The same rows in SQL, from the overlays themselves; numbers that a file holds as text stay text."""
     t = lambda *names: ", ".join(f"CAST({n} AS VARCHAR) AS {n.split('.')[-1]}" for n in names)
     return {
@@ -100,7 +100,6 @@ def sql(models: str, best: str) -> dict[str, str]:
         "read_variants": f"SELECT {t('chrom')}, snp_id, CAST(0 AS DOUBLE) AS cm, pos, a1, a2 FROM ov_variants",
         "read_eigenvec": f"SELECT {t('iid')}, CAST(len(pcs) AS INT) AS n, round(CAST(pcs[2] AS DOUBLE), 5) AS pc2 FROM ov_pcs",
         "read_populations": f"SELECT {t('iid')}, pop FROM ov_pcs WHERE is_ref",
-        "estimates_file": f"WITH {models}, {best} SELECT {t('id1', 'id2')}, ancestors, degree, lnl AS ll_max, ll_null FROM best_model",
         "models_file": f"WITH {models} SELECT {t('id1', 'id2')}, ancestors, CAST(degree AS INT) AS degree, round(lnl, 6) AS lnl FROM models",
         "pedigree_file": f"SELECT {t('fid', 'iid')}, CAST(nullif(pid, 0) AS VARCHAR) AS pid, CAST(nullif(mid, 0) AS VARCHAR) AS mid, sex FROM ov_fam",
     }

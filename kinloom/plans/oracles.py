@@ -67,16 +67,16 @@ PO = """
 po AS (SELECT pid AS p, iid AS c FROM ov_fam WHERE pid <> 0 UNION SELECT mid, iid FROM ov_fam WHERE mid <> 0)
 """
 RELATIONS = PO + """,
-sib AS (SELECT x.c AS a, y.c AS b, count(*) AS k FROM po x JOIN po y ON x.p = y.p AND x.c <> y.c GROUP BY ALL),
-fs AS (SELECT a, b FROM sib WHERE k = 2), hs AS (SELECT a, b FROM sib WHERE k = 1),
-gp AS (SELECT DISTINCT x.c AS a, y.p AS b FROM po x JOIN po y ON x.p = y.c), gc AS (SELECT b AS a, a AS b FROM gp),
-av AS (SELECT DISTINCT po.c AS a, fs.b FROM po JOIN fs ON po.p = fs.a WHERE po.c <> fs.b), nn AS (SELECT DISTINCT fs.a, po.c AS b FROM fs JOIN po ON fs.b = po.p WHERE fs.a <> po.c),
-allr AS (SELECT c AS a, p AS b, 'P' AS code, 0 AS o FROM po UNION ALL SELECT p, c, 'O', 1 FROM po UNION ALL SELECT a, b, 'F', 2 FROM fs UNION ALL SELECT a, b, 'N', 3 FROM nn UNION ALL SELECT a, b, 'H', 4 FROM hs
+sib AS MATERIALIZED (SELECT x.c AS a, y.c AS b, count(*) AS k FROM po x JOIN po y ON x.p = y.p AND x.c <> y.c GROUP BY ALL),
+fs AS MATERIALIZED (SELECT a, b FROM sib WHERE k = 2), hs AS MATERIALIZED (SELECT a, b FROM sib WHERE k = 1),
+gp AS MATERIALIZED (SELECT DISTINCT x.c AS a, y.p AS b FROM po x JOIN po y ON x.p = y.c), gc AS MATERIALIZED (SELECT b AS a, a AS b FROM gp),
+av AS MATERIALIZED (SELECT DISTINCT po.c AS a, fs.b FROM po JOIN fs ON po.p = fs.a WHERE po.c <> fs.b), nn AS MATERIALIZED (SELECT DISTINCT fs.a, po.c AS b FROM fs JOIN po ON fs.b = po.p WHERE fs.a <> po.c),
+allr AS MATERIALIZED (SELECT c AS a, p AS b, 'P' AS code, 0 AS o FROM po UNION ALL SELECT p, c, 'O', 1 FROM po UNION ALL SELECT a, b, 'F', 2 FROM fs UNION ALL SELECT a, b, 'N', 3 FROM nn UNION ALL SELECT a, b, 'H', 4 FROM hs
  UNION ALL SELECT a, b, 'G', 5 FROM gp UNION ALL SELECT a, b, 'A', 6 FROM av UNION ALL SELECT a, b, 'C', 7 FROM gc
  UNION ALL SELECT gc.a, po.c, 'GC', 8 FROM gc JOIN po ON gc.b = po.p UNION ALL SELECT hs.a, po.c, 'HN', 9 FROM hs JOIN po ON hs.b = po.p UNION ALL SELECT po.c, hs.b, 'HA', 10 FROM po JOIN hs ON po.p = hs.a
  UNION ALL SELECT gp.a, po.p, 'GG', 11 FROM gp JOIN po ON gp.b = po.c UNION ALL SELECT av.a, po.c, '1C', 12 FROM av JOIN po ON av.b = po.p UNION ALL SELECT gp.a, fs.b, 'GA', 13 FROM gp JOIN fs ON gp.b = fs.a
  UNION ALL SELECT nn.a, po.c, 'GN', 14 FROM nn JOIN po ON nn.b = po.p),
-rel AS (SELECT a AS self, b AS rel, arg_min(code, o) AS code FROM allr WHERE a <> b GROUP BY a, b)
+rel AS MATERIALIZED (SELECT a AS self, b AS rel, arg_min(code, o) AS code FROM allr WHERE a <> b GROUP BY a, b)
 """
 RANKS = "rk AS (SELECT id1 % 10 AS network_id, id1, id2, count(*) % 3 AS flags, max(cm) AS lnl, id2 % 2 AS generations, id2 % 4 AS dummies FROM ov_segments WHERE cm >= 5 GROUP BY id1, id2)"
 MERGED = """
@@ -117,8 +117,7 @@ SELECT id1, id2, chrom, b AS start_bp, e AS end_bp, round(max(CASE WHEN rn = 1 T
 SELECT network_id, n, coalesce(k.e, 0) AS e, round(2.0 * coalesce(k.e, 0) / (n * (n - 1)), 6) AS density FROM s LEFT JOIN k USING (network_id) WHERE n > 1""",
     "trait_fold": "SELECT iid, round(abs(qtrait - (SELECT avg(qtrait) FROM ov_traits)), 6) AS fold, CASE btrait WHEN 2 THEN 1 WHEN 1 THEN 0 END AS affected FROM ov_traits",
     "pedigree_relations": f"WITH {RELATIONS} SELECT * FROM rel",
-    "relation_table": f"""WITH {RELATIONS} SELECT coalesce(a.self, b.rel) AS iid1, coalesce(a.rel, b.self) AS iid2, coalesce(a.code, '') AS rels12, coalesce(b.code, '') AS rels21
- FROM (SELECT * FROM rel WHERE self < rel) a FULL JOIN (SELECT * FROM rel WHERE self > rel) b ON a.self = b.rel AND a.rel = b.self""",
+    "relation_table": f"""WITH {RELATIONS} SELECT least(self, rel) AS iid1, greatest(self, rel) AS iid2, coalesce(max(code) FILTER (self < rel), '') AS rels12, coalesce(max(code) FILTER (self > rel), '') AS rels21 FROM rel GROUP BY 1, 2""",
     "pedigree_degrees": f"""WITH {RELATIONS} SELECT least(self, rel) AS iid1, greatest(self, rel) AS iid2, CAST(min(CASE WHEN code IN ('P', 'O', 'F') THEN 1 WHEN code IN ('N', 'H', 'G', 'A', 'C') THEN 2 ELSE 3 END) AS INT) AS degree FROM rel GROUP BY 1, 2""",
     "ancestor_closure": f"WITH RECURSIVE {PO}, anc(iid, ancestor, depth) AS (SELECT c, p, 1 FROM po UNION SELECT anc.iid, po.p, depth + 1 FROM anc JOIN po ON anc.ancestor = po.c) SELECT iid, ancestor, CAST(min(depth) AS INT) AS depth FROM anc GROUP BY 1, 2",
     "genetic_relatives": f"""WITH RECURSIVE {PO}, anc(iid, ancestor) AS (SELECT iid, iid FROM ov_fam UNION SELECT anc.iid, po.p FROM anc JOIN po ON anc.ancestor = po.c)
@@ -186,9 +185,9 @@ SELECT a AS iid, string_agg(CAST(b AS VARCHAR), ':' ORDER BY b) AS node FROM w G
 SELECT iid, 'no attribute' AS gap FROM p WHERE iid NOT IN (SELECT iid FROM t) UNION ALL SELECT iid, 'nobody' FROM t WHERE iid NOT IN (SELECT iid FROM p)""",
     "known_networks": f"WITH RECURSIVE {COMPONENTS} SELECT network_id, count(*) AS n_shared FROM members WHERE iid IN (SELECT iid FROM ov_fam WHERE age > 80) GROUP BY 1",
     "reference_samples": "SELECT iid, pop FROM ov_pcs WHERE is_ref AND pop IN ('CEU', 'ASW', 'JP')",
-    "ascertained_split": """SELECT id1, id2, chrom, start_bp, end_bp, cm, ibd FROM ov_segments WHERE NOT (chrom = 6 AND start_bp < 32500000 AND end_bp > 32500000)
- UNION ALL SELECT id1, id2, chrom, start_bp, 32500000, round(cm * (32500000 - start_bp) / (end_bp - start_bp), 6), ibd FROM ov_segments WHERE chrom = 6 AND start_bp < 32500000 AND end_bp > 32500000
- UNION ALL SELECT id1, id2, chrom, 32500000, end_bp, round(cm * (end_bp - 32500000) / (end_bp - start_bp), 6), ibd FROM ov_segments WHERE chrom = 6 AND start_bp < 32500000 AND end_bp > 32500000""",
+    "ascertained_split": """SELECT id1, id2, chrom, start_bp, end_bp, cm, ibd, false AS ascertained FROM ov_segments WHERE NOT (chrom = 6 AND start_bp <= 32500000 AND end_bp >= 32500000 AND ibd <> 2)
+ UNION ALL SELECT id1, id2, chrom, start_bp, 32500000, round(cm * (32500000 - start_bp) / (end_bp - start_bp), 6), ibd, true FROM ov_segments WHERE chrom = 6 AND start_bp <= 32500000 AND end_bp >= 32500000 AND ibd <> 2
+ UNION ALL SELECT id1, id2, chrom, 32500000, end_bp, round(cm * (end_bp - 32500000) / (end_bp - start_bp), 6), ibd, true FROM ov_segments WHERE chrom = 6 AND start_bp <= 32500000 AND end_bp >= 32500000 AND ibd <> 2""",
     "markers_to_remove": """WITH o AS (SELECT vid, k, count(*) AS n, regr_slope(dosage, x) AS beta, regr_r2(dosage, x) AS r2 FROM (SELECT vid, dosage, unnest([1, 2]) AS k, CAST(unnest(pcs[1:2]) AS DOUBLE) AS x FROM ov_genotypes JOIN ov_pcs USING (iid) WHERE dosage IS NOT NULL) GROUP BY vid, k)
 SELECT DISTINCT vid FROM o WHERE n > 2 AND r2 < 1 AND round(sqrt(r2 * (n - 2) / (1 - r2)), 5) > 1.5""",
 }
@@ -244,9 +243,9 @@ vl AS (SELECT pr.*, lnl, ll_null, CASE WHEN total > 9 THEN greatest(lnl, ll_null
 composite AS (SELECT net1, net2, f1, f2, degree, round(sum(v), 5) AS score, round(sum(4 - 2 * v), 5) AS aic, round(sum(-2 * (ll_null - (lnl + 2))), 5) AS chi2, count(*) AS n_pairs, round(sum(v - ll_null), 5) AS gain, round(sum(4 - 2 * v + 2 * ll_null), 5) AS aic_gain FROM vl GROUP BY 1, 2, 3, 4, 5)"""
 SQL["connection_composite"] = f"WITH RECURSIVE {_COMPOSITE} SELECT * FROM composite"
 SQL["connection_best"] = f"""WITH RECURSIVE {_COMPOSITE}, b AS (SELECT *, row_number() OVER (PARTITION BY net1, net2 ORDER BY gain DESC, f1, f2, degree) AS rn FROM composite)
-SELECT net1, net2, f1, f2, CASE WHEN gain > 0 THEN degree END AS degree, score, aic, chi2, n_pairs, CASE WHEN chi2 <= 0 THEN 1.0 WHEN chi2 > 1400 THEN 0.0
- ELSE round(exp(-chi2 / 2) * list_sum(list_transform(generate_series(0, n_pairs - 1), lambda i: exp(i * ln(chi2 / 2) - lgamma(i + 1)))), 8) END AS p FROM b WHERE rn = 1"""
-SQL |= files.sql(MODELS, BEST)
+SELECT net1, net2, f1, f2, CASE WHEN gain > 0 THEN degree END AS degree, score, aic, chi2, n_pairs, CASE WHEN chi2 <= 0 THEN 1.0
+ ELSE round(least(1.0, list_sum(list_transform(generate_series(0, n_pairs - 1), lambda i: exp(i * ln(chi2 / 2) - lgamma(i + 1) - chi2 / 2)))), 8) END AS p FROM b WHERE rn = 1"""
+SQL |= files.sql(MODELS)
 SQL["mask_clip"] = f"""WITH RECURSIVE {MERGED}, k AS (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY start_bp, end_bp) AS i FROM mask), g AS (SELECT row_number() OVER () AS sid, id1, id2, chrom, start_bp, end_bp, cm FROM ov_segments),
 w(sid, chrom, i, b, e) AS (SELECT sid, chrom, 0, start_bp, end_bp FROM g UNION ALL
  SELECT sid, w.chrom, k.i, CASE WHEN k.start_bp <= b + 1000000 AND k.end_bp > b THEN least(k.end_bp, e) ELSE b END,
@@ -256,3 +255,37 @@ SELECT id1, id2, chrom, start_bp, end_bp, b AS new_begin, e AS new_end, round(cm
 SQL["pedigree_recovery"] = "SELECT min(iid) AS network_id, true AS found FROM ov_kin_fam WHERE sampled AND gen <> 3 GROUP BY fid"
 SQL["pedigree_cutoffs"] = """SELECT min(iid) AS network_id, 'ok' AS status, CASE WHEN count(*) FILTER (k IN (2, 9)) < 2 THEN 0.3 WHEN fid % 7 = 3 THEN 0.1 WHEN fid % 7 = 5 THEN 0.1::DOUBLE / 3 / 3 ELSE 0.3 END AS cutoff
   FROM ov_kin_fam WHERE sampled AND gen <> 3 GROUP BY fid"""
+
+
+def _final(where: str, ibd2: bool) -> str:
+    """One estimate for each pair after the overrides by total and, with ibd2, by sharing on both homologs."""
+    kept = MODELS.replace("FROM ov_segments WHERE cm >= 5", f"FROM ov_segments WHERE cm >= 5 {where}")
+    sib = f"""sib AS (SELECT * FROM ({SQL["sibling_override"]}) WHERE sibling),
+nul AS (SELECT id1, id2, count(*) AS s, sum(cm - 2.5) AS bx FROM ov_segments WHERE cm >= 5 AND ibd = 2 GROUP BY 1, 2),
+two AS (SELECT id1, id2, sib.lnl AS lnl2, -(13.73 * 13.73 * {RATE / G!r}) + s * ln(13.73 * 13.73 * {RATE / G!r}) - lgamma(s + 1) + s * ln({RATE!r}) - bx * {RATE!r} AS null2 FROM sib JOIN nul USING (id1, id2)),"""
+    none = "two AS (SELECT id1, id2, lnl AS lnl2, lnl AS null2 FROM models WHERE false),"
+    free = "NOT (ancestors = 2 AND meioses = 2)" if ibd2 else "true"
+    by_total = "NULL" if ibd2 else "CASE WHEN t / 3525.48101 > 0.625 THEN 'SIB' END"
+    near = lambda a: f"ancestors = {a} AND lnl + {MARGIN} >= mx" + (" AND meioses <> 2" if ibd2 and a == 2 else "")
+    bounds = ", ".join(f"CASE WHEN lnl2 IS NOT NULL THEN {1 if a == 2 else 'NULL'} ELSE {f}(degree) FILTER ({near(a)}) END AS p{a}_{n}" for a in (2, 1, 0) for f, n in (("min", "low"), ("max", "high")))
+    return f"""WITH {kept}, {sib if ibd2 else none}
+tot AS (SELECT id1, id2, sum(cm) AS t FROM ov_segments WHERE cm >= 5 {where} GROUP BY 1, 2),
+fo AS (SELECT tot.id1, tot.id2, lnl2, null2, CASE WHEN lnl2 IS NOT NULL THEN 'SIB2' WHEN t > 0.75 * 3525.48101 + 2.33 * sqrt(0.75 * 3525.48101 / 100 * 4 * 625) THEN 'PO' ELSE {by_total} END AS forced FROM tot LEFT JOIN two ON two.id1 = tot.id1 AND two.id2 = tot.id2),
+j AS (SELECT models.*, lnl2, null2, coalesce(forced, 'NONE') AS forced, CASE WHEN forced = 'PO' THEN ancestors = 0 AND meioses = 1 WHEN forced IN ('SIB', 'SIB2') THEN ancestors = 2 AND meioses = 2 ELSE {free} END AS ok FROM models JOIN fo USING (id1, id2)),
+pick AS (SELECT *, row_number() OVER (PARTITION BY id1, id2 ORDER BY NOT ok, round(lnl, 6) DESC, meioses, CASE ancestors WHEN 0 THEN 0 WHEN 2 THEN 1 ELSE 2 END) AS rn FROM j),
+mx AS (SELECT *, max(CASE WHEN rn = 1 THEN coalesce(lnl2, lnl) END) OVER (PARTITION BY id1, id2) AS mx, coalesce(null2, ll_null) AS nl FROM pick)
+SELECT id1, id2, max(ancestors) FILTER (rn = 1) AS ancestors, max(meioses) FILTER (rn = 1) AS meioses, max(degree) FILTER (rn = 1 AND nl + {MARGIN} < mx) AS degree, round(max(mx), 6) AS lnl, round(max(nl), 6) AS ll_null, max(forced) AS forced,
+ {bounds} FROM mx GROUP BY id1, id2, lnl2"""
+
+
+SQL["segment_degree_final"] = _final("AND ibd <> 2", True)
+SQL["segment_degree_by_total"] = _final("", False)
+_LOCUS = "chrom = 6 AND start_bp <= 32500000 AND end_bp >= 32500000 AND ibd <> 2"
+SQL["ascertained_models"] = f"""WITH {MODELS.replace("WHERE cm >= 5", f"WHERE cm >= 5 AND NOT ({_LOCUS})")},
+pt AS (SELECT id1, id2, c - 2.5 AS x FROM (SELECT id1, id2, unnest([round(cm * (32500000 - start_bp) / (end_bp - start_bp), 6), round(cm * (end_bp - 32500000) / (end_bp - start_bp), 6)]) AS c FROM ov_segments WHERE {_LOCUS}) WHERE c >= 2.5),
+pp AS (SELECT id1, id2, count(*) AS c, sum(x) AS x, sum(ln({_MIX}) - x * {SPEED!r}) AS mix FROM pt GROUP BY 1, 2),
+z AS (SELECT models.*, coalesce(c, 0) AS c, coalesce(x, 0) AS x, coalesce(mix, 0) AS mix,
+ CASE WHEN ancestors = 0 THEN CASE WHEN meioses > 1 THEN {G!r} / ({G / 100!r} * (meioses - 1) + 22) ELSE 3525.48101 / 22 END WHEN ancestors = 1 THEN {G!r} / ({G / 100!r} * meioses + 22) WHEN meioses = 3 THEN {G * .5 / SIB!r} ELSE 100.0 / meioses END AS e
+ FROM models LEFT JOIN pp USING (id1, id2))
+SELECT id1, id2, ancestors, meioses, degree, round(lnl + greatest(c * ln({RATE!r}) - x * {RATE!r}, CASE WHEN ancestors = 2 AND meioses = 2 THEN mix ELSE -c * ln(e) - x / e END), 6) AS lnl, round(ll_null + c * ln({RATE!r}) - x * {RATE!r}, 6) AS ll_null FROM z"""
+SQL["estimates_file"] = f"SELECT CAST(id1 AS VARCHAR) AS id1, CAST(id2 AS VARCHAR) AS id2, ancestors, degree, lnl AS ll_max, ll_null FROM ({SQL['segment_degree_by_total']})"

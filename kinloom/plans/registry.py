@@ -56,6 +56,12 @@ def _best(s, d):
     return segments.best_model(segments.models(_seg(s, d)))
 
 
+def _at_locus(s, d):
+    rest, parts = segments.at_locus(_seg(s, d), 6, 32_500_000)
+    m = segments.models(rest, parts=parts)
+    return m.select("id1", "id2", "ancestors", "meioses", "degree", F.round("lnl", 6).alias("lnl"), F.round("ll_null", 6).alias("ll_null"))
+
+
 def _mask(s, d):
     return segments.merge_intervals(_seg(s, d).where("cm >= 49 and ibd = 2").select("chrom", "start_bp", (F.col("start_bp") + 8_000_000).alias("end_bp")), 1_000_000)
 
@@ -103,6 +109,9 @@ def _batch(col="iid"):
 QUERIES: dict[str, Query] = {
     "segment_pair_rollup": lambda s, d: segments.rollup(_seg(s, d)),
     "segment_degree_mle": lambda s, d: segments.best_model(segments.models(_seg(s, d))),
+    "segment_degree_final": lambda s, d: segments.final_estimates(_seg(s, d), use_ibd2=True),
+    "segment_degree_by_total": lambda s, d: segments.final_estimates(_seg(s, d)),
+    "ascertained_models": lambda s, d: _at_locus(s, d),
     "degree_ci": lambda s, d: segments.intervals(segments.models(_seg(s, d))),
     "degree_override": lambda s, d: segments.overrides(_seg(s, d)),
     "degree_bucket_weights": lambda s, d: segments.bucket_weights(segments.models(_seg(s, d))),
