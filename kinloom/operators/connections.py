@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from kinloom.functions.likelihood import chi2_sf
+from kinloom.operators.recovery import checkpointed, fresh_folder
 
 
 def degree_lnl(models: DataFrame) -> DataFrame:
@@ -32,6 +33,14 @@ def candidates(founders: DataFrame, depth: DataFrame, lnl: DataFrame, most: int
     return pairs.where(high >= 1).select("net1", "net2", "f1", "f2", F.explode(F.sequence(low, high.cast("int"))).alias("degree"))
 
 
+def _at_distance(most: int) -> Column:
+    """lnL of a pair ``total`` degrees apart, from its ``lnl`` at that degree or at the last, and ``ll_null``: beyond the last degree a segment comes through half as often with each."""
+    w = F.pow(F.lit(0.5), F.greatest(F.col("total") - most, F.lit(0)))
+    top = F.greatest("lnl", "ll_null")
+    far = top + F.ln(w * F.exp(F.col("lnl") - top) + (1 - w) * F.exp(F.col("ll_null") - top))
+    return F.when(F.col("total") > most, far).otherwise(F.col("lnl"))
+
+
 def composite(cand: DataFrame, depth: DataFrame, lnl: DataFrame, null_lnl: DataFrame, most: int = 9) -> DataFrame:
     """Sum of lnL over all sampled pairs under each founder link, and the AIC form."""
     d1, d2 = (depth.select(F.col("founder").alias(f"f{i}"), F.col("iid").alias(f"i{i}"), F.col("depth").alias(f"d{i}")) for i in (1, 2))
@@ -39,10 +48,7 @@ def composite(cand: DataFrame, depth: DataFrame, lnl: DataFrame, null_lnl: DataF
     p = p.withColumns({"id1": F.least("i1", "i2"), "id2": F.greatest("i1", "i2"), "at": F.least(F.col("total"), F.lit(most))})
     x = lnl.select("id1", "id2", F.col("degree").alias("at"), "lnl")
     j = p.join(x, ["id1", "id2", "at"]).join(null_lnl.select("id1", "id2", "ll_null"), ["id1", "id2"])
-    w = F.pow(F.lit(0.5), F.greatest(F.col("total") - most, F.lit(0)))
-    top = F.greatest("lnl", "ll_null")
-    far = top + F.ln(w * F.exp(F.col("lnl") - top) + (1 - w) * F.exp(F.col("ll_null") - top))
-    value = F.when(F.col("total") > most, far).otherwise(F.col("lnl"))
+    value = _at_distance(most)
     return j.groupBy("net1", "net2", "f1", "f2", "degree").agg(F.round(F.sum(value), 5).alias("score"), F.round(F.sum(4 - 2 * value), 5).alias("aic"), F.round(F.sum(-2 * (F.col("ll_null") - (F.col("lnl") + 2))), 5).alias("chi2"), F.count("*").alias("n_pairs"),
         F.round(F.sum(value - F.col("ll_null")), 5).alias("gain"), F.round(F.sum(4 - 2 * value + 2 * F.col("ll_null")), 5).alias("aic_gain"))
 
@@ -72,3 +78,91 @@ def corrected_level(founders: DataFrame, n_unrelated: int, level: float = 0.05)
     u = F.lit(n_unrelated).cast("double")
     tests = 1 + (F.col("s") * F.col("s") - F.col("q")) / 2 + F.col("s") * u + u * u
     return n.select(tests.alias("comparisons"), (F.lit(level) / tests).alias("p_cut"))
+
+
+def descents(peds: DataFrame) -> DataFrame:
+    """(network_id, pedigree, founder, iid, depth, sampled): generations from each founder down to everybody below.
+
+    ``peds(network_id, pedigree, iid, pid, mid, sampled, ...)`` with null for unknown parents.
+    Across a link between founders, two people are as far apart as the link and both depths together.
+    """
+    key = ["network_id", "pedigree"]
+    held = checkpointed(peds.select(*key, "iid", "pid", "mid", "sampled"))
+    edge = held.select(*key, F.explode(F.array("pid", "mid")).alias("parent"), F.col("iid").alias("child")).where("parent is not null")
+    path, depth = f"{fresh_folder(peds.sparkSession)}/depths", 0
+    step = held.where("pid is null and mid is null").select(*key, F.col("iid").alias("founder"), "iid", F.lit(0).alias("depth"))
+    while True:
+        step.write.mode("append").parquet(path)
+        known = peds.sparkSession.read.schema(step.schema).parquet(path)
+        last = known.where(F.col("depth") == depth)
+        if last.isEmpty():
+            break
+        depth += 1
+        below = last.join(edge.withColumnRenamed("parent", "iid"), [*key, "iid"]).select(*key, "founder", F.col("child").alias("iid")).distinct()
+        step = checkpointed(below.join(known, [*key, "founder", "iid"], "left_anti").withColumn("depth", F.lit(depth)))
+    return known.join(held.select(*key, "iid", "sampled"), [*key, "iid"])
+
+
+def nearest_sampled(down: DataFrame) -> DataFrame:
+    """The sampled people on the first level below a founder that has any; the founder itself if sampled."""
+    key = ["network_id", "pedigree", "founder"]
+    near = down.where("sampled").groupBy(*key).agg(F.min("depth").alias("near"))
+    return down.where("sampled").join(near, key).where("depth = near").select(*key, "iid", "near")
+
+
+def link_pedigrees(peds: DataFrame, lnl: DataFrame, null_lnl: DataFrame, least: int = 4, most: int = 9, mode: str = "composite") -> DataFrame:
+    """The best link of every two networks, over all their pedigrees, founders and degrees.
+
+    ``peds`` holds alternatives of each network with their ``lnl``;
+    ``lnl(id1, id2, degree, lnl)`` as from :func:`degree_lnl` and
+    ``null_lnl(id1, id2, ll_null)`` are of the estimated pairs.  A founder
+    stands for the nearest sampled people below it, so the degrees tried go
+    from ``least`` to ``most`` less the levels down to these, 1 at least.  A
+    link adds to the likelihood of no relation what its pairs gain; each
+    pedigree's own lnL comes on top, and having no link, with a null degree, is
+    one of the choices.  ``mode="aic"`` takes the least sum of AIC gains and lnL
+    as published.  Significance counts only the pairs of nearest sampled
+    people, at the degree of the link and both levels.
+
+    Founders meet only through estimated pairs below them, never all by all.
+    Columns: net1, net2, ped1, ped2, f1, f2, degree, total, n_pairs, chi2, p.
+    """
+    down = checkpointed(descents(peds))
+    near = checkpointed(nearest_sampled(down))
+    levels = near.select("network_id", "pedigree", "founder", "near").distinct()
+    own = peds.select("network_id", "pedigree", "lnl").distinct()
+    below = checkpointed(down.where("sampled").join(levels, ["network_id", "pedigree", "founder"]))
+
+    def side(df: DataFrame, k: int, *more: str) -> DataFrame:
+        names = {"network_id": f"net{k}", "pedigree": f"ped{k}", "founder": f"f{k}", "iid": f"i{k}"} | {m: f"{m}{k}" for m in more}
+        return df.select(*[F.col(a).alias(b) for a, b in names.items()])
+
+    link = ["net1", "net2", "ped1", "ped2", "f1", "f2"]
+    met = null_lnl.select("id1", "id2", "ll_null")
+    both = met.select(F.col("id1").alias("i1"), F.col("id2").alias("i2"), "ll_null").unionByName(met.select(F.col("id2").alias("i1"), F.col("id1").alias("i2"), "ll_null"))
+    pairs = checkpointed(both.join(side(below, 1, "depth", "near"), "i1").join(side(below, 2, "depth", "near"), "i2").where("net1 < net2"))
+    low = F.greatest(F.lit(1), F.lit(least) - F.col("near1") - F.col("near2"))
+    high = F.lit(most) - F.col("near1") - F.col("near2")
+    tried = pairs.where(high >= low).withColumn("degree", F.explode(F.sequence(low, high.cast("int"))))
+    tried = tried.withColumn("total", F.col("degree") + F.col("depth1") + F.col("depth2"))
+    tried = tried.withColumns({"id1": F.least("i1", "i2"), "id2": F.greatest("i1", "i2"), "at": F.least(F.col("total"), F.lit(most))})
+    by_degree = lnl.select("id1", "id2", F.col("degree").alias("at"), "lnl")
+    value = _at_distance(most)
+    scored = tried.join(by_degree, ["id1", "id2", "at"]).groupBy(*link, "degree").agg(F.round(F.sum(value - F.col("ll_null")), 5).alias("gain"), F.round(F.sum(2 * F.col("ll_null") - 2 * value), 5).alias("aic_gain"))
+    # No link at all, for every two pedigrees of networks that meet.
+    none = pairs.select("net1", "net2", "ped1", "ped2").distinct().select("net1", "net2", "ped1", "ped2", *[F.lit(None).cast(peds.schema["iid"].dataType).alias(f) for f in ("f1", "f2")], F.lit(None).cast("int").alias("degree"), F.lit(0.0).alias("gain"), F.lit(0.0).alias("aic_gain"))
+    lnls = [own.select(F.col("network_id").alias(f"net{k}"), F.col("pedigree").alias(f"ped{k}"), F.col("lnl").alias(f"lnl{k}")) for k in (1, 2)]
+    every = scored.unionByName(none).join(lnls[0], ["net1", "ped1"]).join(lnls[1], ["net2", "ped2"])
+    total = F.round((F.col("aic_gain") if mode == "aic" else F.col("gain")) + F.col("lnl1") + F.col("lnl2"), 5)
+    every = every.withColumn("total", total)
+    order = F.struct(F.col("total") if mode == "aic" else -F.col("total"), F.col("degree").isNotNull(), "ped1", "ped2", "f1", "f2", "degree")
+    best = every.groupBy("net1", "net2").agg(F.min_by(F.struct("ped1", "ped2", "f1", "f2", "degree", "total"), order).alias("b"))
+    best = checkpointed(best.select("net1", "net2", "b.*"))
+    sides = [near.select(F.col("network_id").alias(f"net{k}"), F.col("pedigree").alias(f"ped{k}"), F.col("founder").alias(f"f{k}"), F.col("iid").alias(f"i{k}"), F.col("near").alias(f"near{k}")) for k in (1, 2)]
+    few = best.join(sides[0], ["net1", "ped1", "f1"]).join(sides[1], ["net2", "ped2", "f2"])
+    few = few.select("net1", "net2", F.least("i1", "i2").alias("id1"), F.greatest("i1", "i2").alias("id2"), (F.col("degree") + F.col("near1") + F.col("near2")).alias("at"))
+    held = few.join(by_degree, ["id1", "id2", "at"]).join(met, ["id1", "id2"])
+    chi2 = held.groupBy("net1", "net2").agg(F.count("*").alias("n_pairs"), F.round(F.sum(-2 * (F.col("ll_null") - (F.col("lnl") + 2))), 5).alias("chi2"))
+    out = best.join(chi2, ["net1", "net2"], "left")
+    p = F.when(F.col("chi2").isNotNull(), F.round(chi2_sf(F.col("chi2"), F.col("n_pairs").cast("int")), 8))
+    return out.select(*link, "degree", "total", "n_pairs", "chi2", p.alias("p"))

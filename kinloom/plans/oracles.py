@@ -144,7 +144,7 @@ SELECT fid, count(*) AS n_pairs, count(code) AS n_related, round(sum(ln(greatest
     "degree_lnl": f"""WITH {MODELS}, o AS (SELECT id1, id2, degree, max(CASE WHEN ancestors = 1 THEN lnl END) AS a, max(CASE WHEN ancestors = 2 THEN lnl END) AS b FROM models WHERE ancestors > 0 GROUP BY 1, 2, 3)
 SELECT id1, id2, degree, round(CASE WHEN a > coalesce(b, -1e300) THEN a ELSE coalesce(b, a) END - 2, 6) AS lnl FROM o""",
     "connection_significance": f"WITH {MODELS}, {BEST} SELECT id1, id2, round(CASE WHEN lnl <= ll_null THEN 1.0 ELSE exp(ll_null - lnl) END, 8) AS p FROM best_model",
-    "bonferroni": """WITH n AS (SELECT 2 * fid + iid % 2 AS network_id, count(DISTINCT iid) AS f FROM ov_fam WHERE pid = 0 AND mid = 0 GROUP BY 1), t AS (SELECT 1 + (sum(f) * sum(f) - sum(f * f)) / 2.0 + sum(f) * 10.0 + 100.0 AS comparisons FROM n)
+    "bonferroni": f"""WITH RECURSIVE {COMPONENTS}, u AS (SELECT count(*)::DOUBLE AS u FROM (SELECT network_id FROM members GROUP BY 1 HAVING count(*) = 1)), n AS (SELECT 2 * fid + iid % 2 AS network_id, count(DISTINCT iid) AS f FROM ov_fam WHERE pid = 0 AND mid = 0 GROUP BY 1), t AS (SELECT 1 + (sum(f) * sum(f) - sum(f * f)) / 2.0 + sum(f) * any_value(u) + any_value(u) * any_value(u) AS comparisons FROM n, u)
 SELECT CAST(comparisons AS DOUBLE) AS comparisons, CAST(0.05 / comparisons AS DOUBLE) AS p_cut FROM t""",
     "variant_dups": "SELECT vid, snp_id, chrom, pos, n_id, n_place FROM (SELECT *, count(*) OVER (PARTITION BY snp_id) AS n_id, count(*) OVER (PARTITION BY chrom, pos) AS n_place FROM ov_variants) WHERE n_id > 1 OR n_place > 1",
     "autosomes": "SELECT * FROM ov_variants WHERE chrom BETWEEN 1 AND 22",
@@ -289,3 +289,29 @@ z AS (SELECT models.*, coalesce(c, 0) AS c, coalesce(x, 0) AS x, coalesce(mix, 0
  FROM models LEFT JOIN pp USING (id1, id2))
 SELECT id1, id2, ancestors, meioses, degree, round(lnl + greatest(c * ln({RATE!r}) - x * {RATE!r}, CASE WHEN ancestors = 2 AND meioses = 2 THEN mix ELSE -c * ln(e) - x / e END), 6) AS lnl, round(ll_null + c * ln({RATE!r}) - x * {RATE!r}, 6) AS ll_null FROM z"""
 SQL["estimates_file"] = f"SELECT CAST(id1 AS VARCHAR) AS id1, CAST(id2 AS VARCHAR) AS id2, ancestors, degree, lnl AS ll_max, ll_null FROM ({SQL['segment_degree_by_total']})"
+
+
+def _links(mode: str) -> str:
+    """The best link over pedigrees, founders and degrees, and its significance."""
+    kept = MODELS.replace("ov_segments", "ov_kin_segments")
+    total = "aic_gain" if mode == "aic" else "gain"
+    order = "total" if mode == "aic" else "-total"
+    return f"""WITH RECURSIVE {kept}, peds AS MATERIALIZED (SELECT * FROM ov_kin_peds), lk AS MATERIALIZED (SELECT id1, id2, degree, round(CASE WHEN a > coalesce(b, -1e300) THEN a ELSE coalesce(b, a) END - 2, 6) AS lnl FROM (SELECT id1, id2, degree, max(lnl) FILTER (ancestors = 1) AS a, max(lnl) FILTER (ancestors = 2) AS b FROM models WHERE ancestors > 0 GROUP BY 1, 2, 3)),
+nul AS MATERIALIZED (SELECT id1, id2, any_value(ll_null) AS ll_null FROM models GROUP BY 1, 2),
+dn(net, ped, f, iid, depth) AS (SELECT network_id, pedigree, iid, iid, 0 FROM peds WHERE pid IS NULL AND mid IS NULL UNION SELECT net, ped, f, c.iid, depth + 1 FROM dn JOIN peds c ON c.network_id = net AND c.pedigree = ped AND (c.pid = dn.iid OR c.mid = dn.iid)),
+dp AS (SELECT net, ped, f, dn.iid, min(depth) AS depth FROM dn JOIN peds p ON p.network_id = net AND p.pedigree = ped AND p.iid = dn.iid AND p.sampled GROUP BY 1, 2, 3, 4),
+nr AS MATERIALIZED (SELECT *, min(depth) OVER (PARTITION BY net, ped, f) AS near FROM dp),
+pr AS MATERIALIZED (SELECT x.net AS net1, y.net AS net2, x.ped AS ped1, y.ped AS ped2, x.f AS f1, y.f AS f2, nul.id1, nul.id2, ll_null, x.depth + y.depth AS dd, x.near + y.near AS nn FROM nul JOIN nr x ON x.iid IN (id1, id2) JOIN nr y ON y.iid = id1 + id2 - x.iid WHERE x.net < y.net),
+tr AS (SELECT *, unnest(generate_series(greatest(1, 4 - nn), 9 - nn)) AS degree FROM pr),
+vl AS (SELECT tr.*, lnl, degree + dd AS total FROM (SELECT tr.*, least(degree + dd, 9) AS at_ FROM tr) tr JOIN (SELECT id1, id2, degree AS at_, lnl FROM lk) lk USING (id1, id2, at_)),
+vv AS (SELECT *, CASE WHEN total > 9 THEN greatest(lnl, ll_null) + ln(pow(.5, total - 9) * exp(lnl - greatest(lnl, ll_null)) + (1 - pow(.5, total - 9)) * exp(ll_null - greatest(lnl, ll_null))) ELSE lnl END AS v FROM vl),
+sc AS (SELECT net1, net2, ped1, ped2, f1, f2, degree, round(sum(v - ll_null), 5) AS gain, round(sum(2 * ll_null - 2 * v), 5) AS aic_gain FROM vv GROUP BY ALL UNION ALL SELECT DISTINCT net1, net2, ped1, ped2, NULL, NULL, NULL, 0.0, 0.0 FROM pr),
+own AS (SELECT DISTINCT network_id, pedigree, lnl FROM peds),
+al AS (SELECT sc.*, round({total} + a.lnl + b.lnl, 5) AS total FROM sc JOIN own a ON a.network_id = net1 AND a.pedigree = ped1 JOIN own b ON b.network_id = net2 AND b.pedigree = ped2),
+bs AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY net1, net2 ORDER BY {order}, degree IS NOT NULL, ped1, ped2, f1, f2, degree) AS rn FROM al) WHERE rn = 1),
+few AS (SELECT bs.net1, bs.net2, count(*) AS n_pairs, round(sum(-2 * (ll_null - (lk.lnl + 2))), 5) AS chi2 FROM bs JOIN nr x ON x.net = net1 AND x.ped = ped1 AND x.f = f1 AND x.depth = x.near JOIN nr y ON y.net = net2 AND y.ped = ped2 AND y.f = f2 AND y.depth = y.near
+ JOIN nul ON id1 = least(x.iid, y.iid) AND id2 = greatest(x.iid, y.iid) JOIN lk ON lk.id1 = nul.id1 AND lk.id2 = nul.id2 AND lk.degree = bs.degree + x.near + y.near GROUP BY 1, 2)
+SELECT net1, net2, ped1, ped2, f1, f2, degree, total, n_pairs, chi2, CASE WHEN chi2 <= 0 THEN 1.0 WHEN chi2 IS NOT NULL THEN round(least(1.0, list_sum(list_transform(generate_series(0, n_pairs - 1), lambda i: exp(i * ln(chi2 / 2) - lgamma(i + 1) - chi2 / 2)))), 8) END AS p FROM bs LEFT JOIN few USING (net1, net2)"""
+
+
+SQL["pedigree_links"], SQL["pedigree_links_aic"] = _links("composite"), _links("aic")

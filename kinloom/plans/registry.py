@@ -75,6 +75,12 @@ def _families(s, d):
     return founders, depth
 
 
+def _kin_links(s, d, mode="composite"):
+    m = segments.models(view(s, d, "ov_kin_segments"))
+    null = m.groupBy("id1", "id2").agg(F.first("ll_null").alias("ll_null"))
+    return connections.link_pedigrees(view(s, d, "ov_kin_peds"), connections.degree_lnl(m), null, mode=mode)
+
+
 def _scored(s, d):
     founders, depth = _families(s, d)
     m = segments.models(_seg(s, d))
@@ -149,8 +155,10 @@ QUERIES: dict[str, Query] = {
     "degree_lnl": lambda s, d: connections.degree_lnl(segments.models(_seg(s, d))),
     "connection_composite": _scored,
     "connection_best": lambda s, d: connections.best_connections(_scored(s, d)),
+    "pedigree_links": _kin_links,
+    "pedigree_links_aic": lambda s, d: _kin_links(s, d, "aic"),
     "connection_significance": lambda s, d: connections.pair_significance(segments.best_model(segments.models(_seg(s, d)))),
-    "bonferroni": lambda s, d: connections.corrected_level(_families(s, d)[0], 10),
+    "bonferroni": lambda s, d: connections.corrected_level(_families(s, d)[0], relationships.dataset_summary(_members(s, d), _edges(s, d)).first()["n_unrelated"]),
     "variant_dups": lambda s, d: genotypes.duplicates(view(s, d, "ov_variants")),
     "autosomes": lambda s, d: genotypes.autosomes(view(s, d, "ov_variants")),
     "strand_flip": lambda s, d: genotypes.strand_actions(view(s, d, "ov_variants"), view(s, d, "ov_ref_variants")),
