@@ -315,3 +315,11 @@ SELECT net1, net2, ped1, ped2, f1, f2, degree, total, n_pairs, chi2, CASE WHEN c
 
 
 SQL["pedigree_links"], SQL["pedigree_links_aic"] = _links("composite"), _links("aic")
+SQL["unrelated_by_traits"] = f"""WITH {CLASSES.replace("ov_genome", "ov_kin_genome")}, ed AS MATERIALIZED (SELECT iid1, iid2 FROM classes WHERE pi_hat > 0.09375 AND possible <> 'UN'),
+near AS (SELECT iid, other, 1 << (other - 1) % 12 AS bit FROM (SELECT iid1 AS iid, iid2 AS other FROM ed UNION SELECT iid2, iid1 FROM ed)), nm AS (SELECT iid, sum(bit)::BIGINT AS nm FROM near GROUP BY 1),
+kin AS MATERIALIZED (SELECT f.iid, fid, 1::BIGINT << k AS bit, age, CASE WHEN f.iid % 3 = 0 THEN 1 ELSE 0 END AS cs, nm FROM ov_kin_fam f LEFT JOIN nm USING (iid) WHERE sampled),
+al AS (SELECT fid, sum(bit)::BIGINT AS al, min(iid) AS network_id FROM kin WHERE nm IS NOT NULL GROUP BY 1), ms AS (SELECT fid, network_id, m FROM al, (SELECT unnest(generate_series(1, 4095)) AS m) WHERE m | al = al),
+st AS (SELECT ms.fid, network_id, m, sum(cs) FILTER (m & bit <> 0) AS cs, round(avg(age) FILTER (m & bit <> 0), 9) AS age, count(*) FILTER (m & bit <> 0) AS n, list(iid ORDER BY iid) FILTER (m & bit <> 0) AS ids
+ FROM ms JOIN kin ON kin.fid = ms.fid AND nm IS NOT NULL GROUP BY 1, 2, 3 HAVING bool_and((m & nm = 0) = (m & bit <> 0))),
+bs AS (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY cs DESC, age, n DESC, ids) AS rn FROM st)
+SELECT network_id, unnest(ids) AS iid, 'exact' AS status FROM bs WHERE rn = 1 UNION ALL SELECT iid, iid, 'single' FROM kin WHERE nm IS NULL"""

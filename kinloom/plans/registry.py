@@ -48,6 +48,14 @@ def _kin_classes(s, d):
     return relationships.classify(view(s, d, "ov_kin_genome"), relationships.synthetic_kde(s))
 
 
+def _kin_edges(s, d):
+    return relationships.network_edges(_kin_classes(s, d))
+
+
+def _kin_members(s, d):
+    return relationships.networks(view(s, d, "ov_kin_fam").where("sampled").select("iid"), _kin_edges(s, d))
+
+
 def _kin_pedigrees(s, d):
     return reconstruct.reconstruct(_kin_classes(s, d), view(s, d, "ov_kin_fam").select("iid", "sex", "age"))
 
@@ -135,6 +143,8 @@ QUERIES: dict[str, Query] = {
     "family_networks": _members,
     "network_density": lambda s, d: relationships.density(_members(s, d), _edges(s, d)),
     "max_unrelated_set": lambda s, d: unrelated.unrelated_sets(_members(s, d), _edges(s, d), relationships.fold_traits(view(s, d, "ov_traits")).select("iid", "affected")),
+    "unrelated_by_traits": lambda s, d: unrelated.unrelated_sets(_kin_members(s, d), _kin_edges(s, d), view(s, d, "ov_kin_fam").select("iid", "age", F.when(F.col("iid") % 3 == 0, 1).otherwise(0).alias("case")), (("case", "high"), ("age", "low_average"), ("", "size"))),
+    "unrelated_methods": lambda s, d: unrelated.method_sets(_kin_members(s, d), _kin_edges(s, d), view(s, d, "ov_kin_fam").select("iid", F.when(F.col("iid") % 3 == 0, 1).otherwise(0).alias("affected"))),
     "trait_fold": lambda s, d: relationships.fold_traits(view(s, d, "ov_traits")),
     "pedigree_relations": lambda s, d: pedigrees.relations(_fam(s, d)),
     "relation_table": lambda s, d: pedigrees.relation_table(pedigrees.relations(_fam(s, d))),

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from kinloom.operators import pedigrees
+from kinloom.operators import pedigrees, unrelated
 from kinloom.operators.components import connected_components
 from kinloom.operators.unrelated import best_set, maximal_sets
 
@@ -26,10 +26,49 @@ def test_maximal_sets(seed):
             near[a].add(b), near[b].add(a)
     want = independent_sets(near)
     assert set(maximal_sets(near)) == want
-    score = {v: rng.random() for v in near}
-    found, status = best_set(near, score)
-    assert status == "exact" and frozenset(found) == max(want, key=lambda s: (len(s), sum(score[v] for v in s)))
-    assert best_set(near, score, 0)[1] in ("exact", "bounded")
+    traits = {v: (0.0, rng.randrange(3), rng.random()) for v in near}
+    for criteria in (unrelated.SIZE_THEN_AFFECTED, (("", "size"), ("a", "low"), ("b", "high")), (("", "size"), ("a", "high"), ("b", "low_average")), (("x", "low"), ("a", "high_average"), ("b", "low_average")), (("x", "high"), ("a", "high"), ("", "size"))):
+        kept = {v: t[: len(criteria)] for v, t in traits.items()}
+        found, status = best_set(near, kept, criteria)
+        assert status == "exact" and frozenset(found) == max(want, key=lambda s: unrelated.worth(s, kept, criteria)), criteria
+
+
+@pytest.mark.parametrize("criteria", [unrelated.SIZE_THEN_AFFECTED, (("affected", "high_average"), ("", "size"))])
+def test_handed_over_searches(spark, criteria):
+    """Searches handed over after each few steps find what whole ones find."""
+    rng = random.Random(7)
+    near, rows = {}, []
+    for net in range(6):
+        people = [100 * net + k for k in range(14)]
+        near[net] = {v: set() for v in people}
+        for a, b in itertools.combinations(people, 2):
+            if rng.random() < 0.3:
+                near[net][a].add(b), near[net][b].add(a)
+                rows.append((a, b))
+    score = {v: rng.randrange(3) for n in near.values() for v in n}
+    members = spark.createDataFrame([(net, v) for net, n in near.items() for v in n], "network_id long, iid long")
+    edges = spark.createDataFrame(rows, "iid1 long, iid2 long")
+    traits = spark.createDataFrame(list(score.items()), "iid long, affected int")
+    got = {}
+    for r in unrelated.unrelated_sets(members, edges, traits, criteria, turn=2).collect():
+        got.setdefault(r["network_id"], set()).add(r["iid"])
+    for net, n in near.items():
+        at = [c for c, _ in criteria].index("affected")
+        kept = {v: tuple(score[v] if k == at else 0.0 for k in range(2)) for v in n}
+        assert got[net] == best_set(n, kept, criteria)[0]
+    methods = unrelated.method_sets(members, edges, traits, criteria).toPandas()
+    assert set(methods.method) == {"pruned", "greedy", "searched"} and methods[methods.chosen].method.nunique() == 1
+    worth = {m: unrelated.worth(set(g.iid), {v: (0.0, score[v]) if at else (score[v], 0.0) for v in g.iid}, criteria)[:-1] for m, g in methods.groupby("method")}
+    order = ["pruned", "greedy", "searched"]
+    assert methods[methods.chosen].method.iloc[0] == max(order, key=lambda m: (worth[m], -order.index(m)))
+
+
+def test_large_networks_are_broken_up():
+    near = {v: set() for v in range(80)}
+    for v in range(1, 80):
+        near[0].add(v), near[v].add(0)
+    found, status = best_set(near, {v: (0.0, 0.0) for v in near})
+    assert status == "broken" and found == set(range(1, 80))
 
 
 @pytest.mark.parametrize("seed", range(3))
