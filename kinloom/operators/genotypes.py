@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from kinloom.operators.pair_blocks import dosage_sums, haploid_sums, pair_sums
+
 #: Limits on missingness, rare alleles and ancestry markers.
 MIND, GENO, MAF, AIM_P = 0.1, 0.05, 0.1, 1e-5
 #: Most different and most unknown sites of haploid sequences that match.
@@ -58,20 +60,28 @@ def cleaned(g: DataFrame, mind: float = MIND, geno: float = GENO, maf: float = M
 def ibs_pairs(g: DataFrame, min_common: int = 3) -> DataFrame:
     """Method-of-moments Z0, Z1, Z2 and PI_HAT of all pairs that share variants (Q10).
 
-    Expected sharing given IBD comes from allele frequencies without the small-sample correction.
+    Expected sharing given IBD comes from allele counts, with the published
+    correction for small samples: where a frequency is multiplied, alleles are
+    drawn without putting them back.  Variants with fewer than four known
+    alleles, or one allele only, tell nothing.
     """
-    f = frequencies(g).where("freq > 0 and freq < 1").select("vid", F.col("freq").alias("p"))
-    d = g.where("dosage is not null").join(f, "vid")
-    q = 1 - F.col("p")
-    p = F.col("p")
-    d = d.withColumns({"e00": 2 * p * p * q * q, "e10": 4 * p * p * p * q + 4 * p * q * q * q, "e11": 2 * p * p * q + 2 * p * q * q})
-    a, b = d.select("vid", F.col("iid").alias("iid1"), F.col("dosage").alias("d1"), "e00", "e10", "e11"), d.select("vid", F.col("iid").alias("iid2"), F.col("dosage").alias("d2"))
-    m = a.join(b, "vid").where("iid1 < iid2").groupBy("iid1", "iid2").agg(
-        F.count("*").alias("n"), *[F.sum((F.abs(F.col("d1") - F.col("d2")) == 2 - i).cast("int")).alias(f"ibs{i}") for i in (0, 1, 2)], *[F.sum(e).alias(e) for e in ("e00", "e10", "e11")])
-    m = m.where(F.col("n") >= min_common).withColumn("z0", F.least(F.lit(1.0), F.col("ibs0") / F.col("e00")))
-    m = m.withColumn("z1", F.greatest(F.lit(0.0), F.least(1 - F.col("z0"), (F.col("ibs1") - F.col("z0") * F.col("e10")) / F.col("e11"))))
+    n = 2 * F.count("dosage")
+    x = F.sum("dosage")
+    counts = g.groupBy("vid").agg(x.cast("double").alias("x"), (n - x).cast("double").alias("y"), n.cast("double").alias("t")).where("x > 0 and y > 0 and t >= 4")
+    x, y, t = F.col("x"), F.col("y"), F.col("t")
+    all4, all3 = t * (t - 1) * (t - 2) * (t - 3), t * (t - 1) * (t - 2)
+    x2, y2 = x * (x - 1), y * (y - 1)
+    e00 = 2 * x2 * y2 / all4
+    e10 = 4 * (x2 * (x - 2) * y + x * y2 * (y - 2)) / all4
+    e11 = 2 * (x2 * y + x * y2) / all3
+    d = g.where("dosage is not null").join(counts.select("vid", e00.alias("e00"), e10.alias("e10"), e11.alias("e11")), "vid")
+    d = d.select("iid", F.col("vid").alias("site"), F.col("dosage").alias("code"), "e00", "e10", "e11")
+    m = pair_sums(d, dosage_sums, ["n", "ibs0", "ibs1", "ibs2", "e00", "e10", "e11"], ["e00", "e10", "e11"])
+    m = m.where(F.col("n") >= min_common).withColumn("z0", F.coalesce(F.least(F.lit(1.0), F.col("ibs0") / F.nullif("e00", F.lit(0.0))), F.lit(0.0)))
+    m = m.withColumn("z1", F.greatest(F.lit(0.0), F.least(1 - F.col("z0"), F.coalesce((F.col("ibs1") - F.col("z0") * F.col("e10")) / F.nullif("e11", F.lit(0.0)), F.lit(0.0)))))
     m = m.withColumn("z2", 1 - F.col("z0") - F.col("z1"))
-    return m.select("iid1", "iid2", "n", "ibs0", "ibs1", "ibs2", F.round("z0", 6).alias("z0"), F.round("z1", 6).alias("z1"), F.round("z2", 6).alias("z2"), F.round(F.col("z1") / 2 + F.col("z2"), 6).alias("pi_hat"))
+    whole = [F.col(c).cast("long").alias(c) for c in ("n", "ibs0", "ibs1", "ibs2")]
+    return m.select("iid1", "iid2", *whole, F.round("z0", 6).alias("z0"), F.round("z1", 6).alias("z1"), F.round("z2", 6).alias("z2"), F.round(F.col("z1") / 2 + F.col("z2"), 6).alias("pi_hat"))
 
 
 def aim_scan(g: DataFrame, pcs: DataFrame) -> DataFrame:
@@ -101,11 +111,10 @@ def merge_with_reference(g: DataFrame, ref: DataFrame, actions: DataFrame, geno:
 
 def haploid_match(h: DataFrame, rate: float = HAPLOID_DIFFERENT, unknown: float = HAPLOID_UNKNOWN) -> DataFrame:
     """Match (1), mismatch (0) or unknown (-1) of all pairs of haploid sequences."""
-    a, b = h.select("site", F.col("iid").alias("iid1"), F.col("allele").alias("x")), h.select("site", F.col("iid").alias("iid2"), F.col("allele").alias("y"))
-    blank = (F.col("x") == "0") | (F.col("y") == "0")
-    m = a.join(b, "site").where("iid1 < iid2").groupBy("iid1", "iid2").agg(F.count("*").alias("length"), F.sum(blank.cast("int")).alias("nunknown"), F.sum((~blank & (F.col("x") != F.col("y"))).cast("int")).alias("ndiff"))
+    code = F.when(F.col("allele") == "0", 0).otherwise(F.shiftrightunsigned(F.xxhash64("allele"), 2) + 1)
+    m = pair_sums(h.select("iid", "site", code.alias("code")), haploid_sums, ["length", "nunknown", "ndiff"]).where("length > 0")
     match = F.when(F.col("nunknown") / F.col("length") > unknown, -1).when(F.col("ndiff") / F.col("length") <= rate, 1).otherwise(0)
-    return m.select("iid1", "iid2", match.alias("match"), "ndiff", "nunknown", "length")
+    return m.select("iid1", "iid2", match.alias("match"), *[F.col(c).cast("long").alias(c) for c in ("ndiff", "nunknown", "length")])
 
 
 def thin_by_distance(variants: DataFrame, gap: int = 2000) -> DataFrame:

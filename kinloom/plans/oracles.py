@@ -156,10 +156,11 @@ SELECT vid, n AS n_alleles, CASE WHEN r1 IS NULL THEN 'absent' WHEN amb THEN 'am
     "sample_stats": "SELECT iid, round(1 - count(dosage) / count(*), 8) AS missing, round(count(*) FILTER (dosage = 1) / count(dosage), 8) AS het FROM ov_genotypes GROUP BY iid",
     "genotype_qc": """WITH f AS (SELECT vid FROM ov_genotypes GROUP BY vid HAVING round(1 - count(dosage) / count(*), 8) <= .2 AND least(round(sum(dosage) / (2.0 * count(dosage)), 8), 1 - round(sum(dosage) / (2.0 * count(dosage)), 8)) BETWEEN .1 AND .5),
 p AS (SELECT iid FROM ov_genotypes GROUP BY iid HAVING 1 - count(dosage) / count(*) <= .1) SELECT * FROM ov_genotypes WHERE vid IN (SELECT vid FROM f) AND iid IN (SELECT iid FROM p)""",
-    "ibs_pairs": """WITH f AS (SELECT vid, round(sum(dosage) / (2.0 * count(dosage)), 8) AS p FROM ov_genotypes GROUP BY vid), d AS (SELECT g.iid, g.vid, dosage, 2*p*p*(1-p)*(1-p) AS e00, 4*p*p*p*(1-p) + 4*p*(1-p)*(1-p)*(1-p) AS e10, 2*p*p*(1-p) + 2*p*(1-p)*(1-p) AS e11
- FROM ov_genotypes g JOIN f USING (vid) WHERE p > 0 AND p < 1 AND dosage IS NOT NULL),
+    "ibs_pairs": """WITH f AS (SELECT vid, sum(dosage)::DOUBLE AS x, (2 * count(dosage) - sum(dosage))::DOUBLE AS y, (2 * count(dosage))::DOUBLE AS t FROM ov_genotypes GROUP BY vid), c AS (SELECT vid, t / (t - 1) AS k1, t / (t - 1) * t / (t - 2) AS k2, t / (t - 1) * t / (t - 2) * t / (t - 3) AS k3, x / t AS p, y / t AS q, x, y FROM f WHERE x > 0 AND y > 0 AND t >= 4),
+d AS (SELECT g.iid, g.vid, dosage, 2*p*p*q*q * (x-1)/x * (y-1)/y * k3 AS e00, (4*p*p*p*q * (x-1)/x * (x-2)/x + 4*p*q*q*q * (y-1)/y * (y-2)/y) * k3 AS e10, (2*p*p*q * (x-1)/x + 2*p*q*q * (y-1)/y) * k2 AS e11
+ FROM ov_genotypes g JOIN c USING (vid) WHERE dosage IS NOT NULL),
 m AS (SELECT a.iid AS iid1, b.iid AS iid2, count(*) AS n, count(*) FILTER (abs(a.dosage - b.dosage) = 2) AS ibs0, count(*) FILTER (abs(a.dosage - b.dosage) = 1) AS ibs1, count(*) FILTER (a.dosage = b.dosage) AS ibs2, sum(a.e00) AS e00, sum(a.e10) AS e10, sum(a.e11) AS e11
- FROM d a JOIN d b ON a.vid = b.vid AND a.iid < b.iid GROUP BY 1, 2 HAVING count(*) >= 3), z AS (SELECT *, least(1.0, ibs0 / e00) AS z0 FROM m), y AS (SELECT *, greatest(0.0, least(1 - z0, (ibs1 - z0 * e10) / e11)) AS z1 FROM z)
+ FROM d a JOIN d b ON a.vid = b.vid AND a.iid < b.iid GROUP BY 1, 2 HAVING count(*) >= 3), z AS (SELECT *, coalesce(least(1.0, ibs0 / nullif(e00, 0)), 0.0) AS z0 FROM m), y AS (SELECT *, greatest(0.0, least(1 - z0, coalesce((ibs1 - z0 * e10) / nullif(e11, 0), 0.0))) AS z1 FROM z)
 SELECT iid1, iid2, n, ibs0, ibs1, ibs2, round(z0, 6) AS z0, round(z1, 6) AS z1, round(1 - z0 - z1, 6) AS z2, round(z1 / 2 + 1 - z0 - z1, 6) AS pi_hat FROM y""",
     "aim_scan": """WITH o AS (SELECT vid, count(*) AS n, regr_slope(dosage, CAST(pcs[1] AS DOUBLE)) AS beta, regr_r2(dosage, CAST(pcs[1] AS DOUBLE)) AS r2 FROM ov_genotypes JOIN ov_pcs USING (iid) WHERE dosage IS NOT NULL GROUP BY vid)
 SELECT vid, n, round(beta, 6) AS beta, round(r2, 6) AS r2, round(sign(beta) * sqrt(r2 * (n - 2) / (1 - r2)), 5) AS t FROM o WHERE n > 2 AND r2 < 1""",

@@ -82,3 +82,46 @@ def test_thresholds_and_degrees():
 def test_connections(spark):
     out = registry.queries()["connection_best"](spark, DATA).toPandas()
     assert (out.net1 < out.net2).all() and out.p.between(0, 1).all()
+
+
+def test_sigmoids_minimize_their_loss(spark):
+    """The fitted sigmoids are where the loss with drawn-in targets is least, for easy, mixed and one-sided margins."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for label, gap in ((0, 1.0), (1, 0.2), (2, 20.0)):
+        hit = rng.random(300) < 0.3
+        rows += [(0, label, float(m), int(h)) for m, h in zip(rng.normal(gap * np.where(hit, 1, -1), 1.0), hit)]
+    rows += [(1, 0, 3.0, 0)] * 5
+    found = ancestry.sigmoids(spark.createDataFrame(rows, "fold int, label int, margin double, hit int"))
+    assert set(found) == {(0, 0), (0, 1), (0, 2), (1, 0)}
+    for key, (a, b) in found.items():
+        m, h = (np.array([r[i] for r in rows if r[:2] == key], float) for i in (2, 3))
+        t = np.where(h == 1, (h.sum() + 1) / (h.sum() + 2), 1 / (len(h) - h.sum() + 2))
+
+        def loss(a, b):
+            z = a * m + b
+            return (np.logaddexp(0, z) - (1 - t) * z).sum()
+
+        least = loss(a, b)
+        for da in (-0.02, 0, 0.02):
+            for db in (-0.02, 0, 0.02):
+                assert loss(a + da, b + db) >= least - 1e-4, key
+
+
+def test_pair_sums_by_small_blocks(spark):
+    """Blocks of a few people and sites give the same sums as all pairs and sites."""
+    from kinloom.operators.pair_blocks import dosage_sums, haploid_sums, pair_sums
+
+    rng = np.random.default_rng(3)
+    rows = [(i, s, int(rng.integers(0, 3)), float(s)) for i in range(23) for s in range(40) if rng.random() < 0.7]
+    df = spark.createDataFrame(rows, "iid long, site long, code int, w double")
+    values = {(i, s): c for i, s, c, _ in rows}
+    for people, sites in ((4, 6), (100, 100)):
+        got = {(r["iid1"], r["iid2"]): r for r in pair_sums(df, dosage_sums, ["n", "ibs0", "ibs1", "ibs2", "w"], ["w"], people, sites).collect()}
+        half = {(r["iid1"], r["iid2"]): r for r in pair_sums(df, haploid_sums, ["n", "unknown", "diff"], (), people, sites).collect()}
+        for a in range(23):
+            for b in range(a + 1, 23):
+                both = [(values[a, s], values[b, s], s) for s in range(40) if (a, s) in values and (b, s) in values]
+                r, h = got[a, b], half[a, b]
+                assert [r["n"], r["ibs0"], r["ibs1"], r["ibs2"], r["w"]] == [len(both), *(sum(abs(x - y) == 2 - k for x, y, _ in both) for k in (0, 1, 2)), sum(s for *_, s in both)]
+                assert [h["n"], h["unknown"], h["diff"]] == [len(both), sum(not x or not y for x, y, _ in both), sum(bool(x and y) and x != y for x, y, _ in both)]
