@@ -48,6 +48,11 @@ MAIN_NAMES = ("articlebody", "article-body", "post-content", "entry-content", "a
 
 #: Rules of the first pass, in code points and shares.
 SHORT, LONG, STOP_LOW, STOP_HIGH, LINKS = 70, 200, 0.2, 0.3, 0.5
+#: What a block's surroundings add to its stop words' share: in the article, and outside of the article that a page marks.
+INSIDE, OUTSIDE = 0.3, -1.0
+#: A short block that begins so is a notice of rights.
+_RIGHTS = re.compile(r"(?:©|\(c\)|copyright\b|all rights reserved)", re.I)
+_LETTERS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
 # The loop over a tag's inside never backs up, so broken quotes cost no more than their length.
 # A quoted value has any length; one with "<" in it ends where a value can end, at a quote before a space, "/" or ">",
@@ -66,7 +71,7 @@ class Block:
     linked: list[str] = field(default_factory=list)
     aside: bool = False
     main: bool = False
-    heading: bool = False
+    heading: int = 0
     begun: bool = False
     text: str = ""
     label: int | None = OPEN
@@ -158,7 +163,7 @@ def blocks_of(page: str) -> list[Block]:
             close()
             links = 0 if tag not in ("li",) else links
             if tag[0] == "h" and tag[1:].isdigit():
-                block.heading = True
+                block.heading = int(tag[1])
         if tag in VOID_TAGS or m[3].endswith("/"):
             continue
         if tag in BLOCK_TAGS - {"p", "html", "body", "head"} and not (tag[0] == "h" and tag[1:].isdigit()) or tag in ("span", "p") and m[3].strip():
@@ -175,36 +180,66 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def classify(blocks: list[Block]) -> None:
-    """Set every block's label."""
+def densities(b: Block) -> tuple[float, float]:
+    """Shares of stop words in a block's words, and of links in its characters."""
+    words = _LETTERS.findall(b.text.lower())
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words)), len(" ".join("".join(b.linked).split())) / max(1, len(b.text))
+
+
+def first_pass(blocks: list[Block]) -> list[int | None]:
+    """Labels by density, length and links; the elements around a block are one more feature of it.
+
+    An aside, a block of links and a notice of rights are bad.  A first-rank
+    heading is good where the page marks no article; other headings, and short
+    blocks but those half of links, are open.  Of the rest, long ones are good,
+    and so are those with enough stop words, where being in the article counts
+    for and being outside of the one that the page marks counts against.
+    """
     whole = any(b.main and not b.aside for b in blocks)
+    out: list[int | None] = []
     for b in blocks:
-        words = b.text.lower().split()
-        stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
-        linked = len(" ".join("".join(b.linked).split())) / max(1, len(b.text))
-        if b.aside or (whole and not b.main) or linked > LINKS:
-            b.label = BAD
+        stops, linked = densities(b)
+        size = len(b.text)
+        around = INSIDE if b.main else OUTSIDE if whole else 0.0
+        if b.aside or linked > LINKS or (size < LONG and not b.main and _RIGHTS.match(b.text)):
+            label = BAD
+        elif stops + around <= 0 and whole:
+            label = BAD
         elif b.heading:
-            continue
-        elif len(b.text) < SHORT:
-            b.label = BAD if linked > 0.3 else OPEN
-        elif b.main or stops >= STOP_HIGH or (stops >= STOP_LOW and len(b.text) > LONG):
-            b.label = GOOD
-        elif stops < STOP_LOW / 2 and len(b.text) < LONG:
-            b.label = BAD
-    near: list[tuple[int, int] | None] = [None] * len(blocks)
-    for order in (range(len(blocks)), range(len(blocks) - 1, -1, -1)):
+            label = GOOD if b.heading == 1 and not whole else OPEN
+        elif size < SHORT:
+            label = BAD if linked > 0.3 else OPEN
+        elif stops + around >= STOP_HIGH or (stops + around >= STOP_LOW or not whole) and size > LONG:
+            label = GOOD
+        else:
+            label = OPEN
+        out.append(label)
+    return out
+
+
+def second_pass(labels: list[int | None], silent: list[bool]) -> list[int]:
+    """Open blocks take the label of the nearest decided one, the one before on ties; good where none is decided.
+
+    ``silent`` blocks say nothing of their neighbours.
+    """
+    near: list[tuple[int, int] | None] = [None] * len(labels)
+    for order in (range(len(labels)), range(len(labels) - 1, -1, -1)):
         last = None
         for i in order:
-            b = blocks[i]
-            if b.label is not OPEN:
-                # In the article, what was set aside says nothing of its neighbours.
-                last = last if b.label == BAD and whole else (i, b.label)
-            elif last is not None and (near[i] is None or abs(last[0] - i) < abs(near[i][0] - i) or (abs(last[0] - i) == abs(near[i][0] - i) and last[1] == GOOD)):
+            if labels[i] is not OPEN:
+                last = last if silent[i] else (i, labels[i])
+            elif last is not None and (near[i] is None or abs(last[0] - i) < abs(near[i][0] - i)):
                 near[i] = last
-    for b, found in zip(blocks, near):
-        if b.label is OPEN:
-            b.label = GOOD if found is None else found[1]
+    return [label if label is not OPEN else GOOD if found is None else found[1] for label, found in zip(labels, near)]
+
+
+def classify(blocks: list[Block]) -> None:
+    """Set every block's label."""
+    labels = first_pass(blocks)
+    # In an article that the page marks, what was set aside says nothing of its neighbours.
+    whole = any(b.main and not b.aside for b in blocks)
+    for b, label in zip(blocks, second_pass(labels, [whole and x == BAD for x in labels])):
+        b.label = label
 
 
 def main_text(page: str) -> str:
@@ -221,11 +256,10 @@ def _extract(page: pa.Array) -> pa.Array:
 def extract_text(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
     """Add the main text of every page.
 
-    First pass: blocks in menus, headers, footers, forms, asides or elements
-    named like adverts, notices and comments are bad, and so are blocks made of
-    links; blocks in an article, or with enough stop words for their length, are
-    good.  Second pass: short blocks and headings take the label of the nearest
-    decided neighbour, good where there is none.
+    First pass: stop words' and links' shares, length, and what surrounds a
+    block (:func:`first_pass`).  Second pass: short blocks and headings take
+    the label of the nearest decided neighbour, the one before on ties, good
+    where there is none.
 
     Null and empty pages have empty text.  Rows are independent and nothing is
     shuffled; other columns stay whatever their names and nulls (one named like
