@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import bisect
 import os
 import re
 import unicodedata
@@ -11,15 +10,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from kinloom.llm.common import release_memory
 from kinloom.operators.recovery import checkpointed
 
 #: Words whose ids a worker keeps; beyond, it starts anew.
 MAX_WORDS = 1_000_000
-#: Rows of one bucket, within which pieces of one length are ranked.
-BUCKET_ROWS = 50_000
 
 #: str.split() also cuts at these four, which are not white space to the tokenizer.
 _ODD = re.compile("[\x1c-\x1f]")
@@ -109,106 +106,170 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int, id_col: str = "doc_id"
     return docs.select(id_col, text_col).mapInArrow(_cutter(path, capacity, to_arrow_schema(schema)), schema)
 
 
-def match_runs(counts: dict[int, int], capacity: int) -> np.ndarray:
-    """Supersteps over the lengths, longest first, each placing a whole length class.
+#: Rows of one range of the sort, on average.
+RANGE_ROWS = 100_000
 
-    Gaps are kept as runs of sequences alike, sorted by gap.  A step sends its
-    class, by rank, to the run with the smallest gap that holds it (the
-    successor); what a run cannot take goes on to the next, and only what no
-    gap holds opens sequences.  Filled runs come back with their new gap.  All
-    state is bounded by the capacity, whatever the number of pieces.
+_SWEPT = "side int, id long, size long, offset long, place long, mate long, at long"
 
-    Returns rows (length, first rank, last rank + 1, first sequence, offset,
-    pieces per sequence).
+
+def bracket(sides: np.ndarray) -> np.ndarray:
+    """Pieces (0) and gaps (1) in order of size to each one's partner, or -1: a gap takes the nearest free piece before it.
+
+    As brackets meet: between a piece and its gap all others have found each
+    other.  Depth decides: the pieces and gaps of one depth take turns.
+    """
+    step = np.where(sides == 0, 1, -1)
+    height = np.cumsum(step)
+    # Depth over the lowest height so far, which gaps without a piece push down.
+    floor = np.minimum.accumulate(np.minimum(height, 0))
+    depth = height - floor + (sides == 1)
+    fell = np.concatenate([[0], floor[:-1]]) != floor
+    order = np.lexsort((np.arange(len(sides)), depth))
+    order = order[~fell[order]]
+    mates = np.full(len(sides), -1)
+    left, right = order[:-1], order[1:]
+    met = (depth[left] == depth[right]) & (sides[left] == 0) & (sides[right] == 1)
+    mates[left[met]], mates[right[met]] = right[met], left[met]
+    return mates
+
+
+def _swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One range, sorted by size: what finds its partner here, and the place of the rest among those of its side."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    side, number, size, offset = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held]) for i in range(4))
+    mates = bracket(side)
+    place = np.full(len(side), -1)
+    for k in (0, 1):
+        alone = np.flatnonzero((side == k) & (mates < 0))
+        place[alone] = np.arange(len(alone))
+    # A piece learns its gap and the offset there; the gap learns the piece's length.
+    there = np.maximum(mates, 0)
+    columns = [side.astype(np.int32), number, size, offset, place, np.where(mates < 0, -1, number[there]), np.where(mates < 0, -1, np.where(side == 0, offset[there], size[there]))]
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [f.split()[0] for f in _SWEPT.split(", ")])
+
+
+def carried(counts: dict[tuple[int, int], int], ranges: int) -> list[tuple[int, int, int, int, int, int]]:
+    """How the free gaps of each range take the free pieces of the ranges before it, nearest first.
+
+    ``counts`` gives those left by (range, side).  Rows (range of the pieces,
+    first place, last + 1, range of the gaps, first place, number of the first
+    pair): the last piece goes to the first gap, and so on.
+    """
+    out, stack, number = [], [], 0
+    for r in range(ranges):
+        taken, want = 0, counts.get((r, 1), 0)
+        while taken < want and stack:
+            from_, top = stack.pop()
+            many = min(top, want - taken)
+            out.append((from_, top - many, top, r, taken, number))
+            taken, number = taken + many, number + many
+            if top > many:
+                stack.append((from_, top - many))
+        if counts.get((r, 0)):
+            stack.append((r, counts[r, 0]))
+    return out
+
+
+def _numbered(table: list[tuple]):
+    """(range, side, place) to the number of the pair that it belongs to, or null."""
+    sides = []
+    for side in (0, 1):
+        rows = [(t[0], t[1], t[2], t[5], -1) if side == 0 else (t[3], t[4], t[4] + t[2] - t[1], t[5], 1) for t in table]
+        rows = np.array(sorted(rows), np.int64).reshape(-1, 5)
+        sides.append((rows, rows[:, 0] * (1 << 40) + rows[:, 1]))
+
+    def run(ranges: pa.Array, side: pa.Array, place: pa.Array) -> pa.Array:
+        r, s, k = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (ranges, side, place))
+        out = np.full(len(r), -1)
+        for value, (rows, keys) in enumerate(sides):
+            if not len(rows):
+                continue
+            at = np.maximum(np.searchsorted(keys, r * (1 << 40) + k, "right") - 1, 0)
+            home, first, last, number, way = rows[at].T
+            good = (s == value) & (home == r) & (k >= first) & (k < last)
+            out = np.where(good, np.where(way < 0, number + last - 1 - k, number + k - first), out)
+        return pa.array(out, mask=out < 0)
+
+    run.__annotations__ = {"ranges": pa.Array, "side": pa.Array, "place": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "long")
+
+
+def sweep(pieces: DataFrame, gaps: DataFrame, rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One superstep: every gap takes the longest free piece that fits it.
+
+    Pieces and gaps are sorted by size into ranges.  Within a range they meet
+    like brackets; what is left of a range is counted, the counts, two for
+    each range, say which ranges' rest meets which, and these meet by number.
+
+    ``pieces(id, size)``, ``gaps(id, size, offset)``; gives placements (id,
+    sequence_id, offset), the pieces left and the gaps as they are now.
     """
-    runs: list[tuple] = []
-    gaps: dict[int, list[tuple[int, int]]] = {}  # gap -> runs (first sequence, how many)
-    order: list[int] = []
-    opened = 0
-
-    def put(gap: int, first: int, many: int) -> None:
-        if gap and many:
-            if gap not in gaps:
-                gaps[gap] = []
-                bisect.insort(order, gap)
-            gaps[gap].append((first, many))
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            gap = successor(order, length)
-            if gap is None:
-                per = capacity // length
-                whole, odd = divmod(left, per)
-                for many, each in ((whole, per), (1 if odd else 0, odd)):
-                    if many:
-                        runs.append((length, rank, rank + many * each, opened, 0, each))
-                        put(capacity - each * length, opened, many)
-                        rank, left, opened = rank + many * each, left - many * each, opened + many
-                break
-            first, many = gaps[gap].pop()
-            if not gaps[gap]:
-                del gaps[gap]
-                order.remove(gap)
-            per = gap // length
-            full = min(many, left // per)
-            if full:
-                runs.append((length, rank, rank + full * per, first, capacity - gap, per))
-                put(gap - per * length, first, full)
-                rank, left = rank + full * per, left - full * per
-            if full < many and left:  # fewer are left than one sequence takes
-                runs.append((length, rank, rank + left, first + full, capacity - gap, left))
-                put(gap - left * length, first + full, 1)
-                full, left = full + 1, 0
-            put(gap, first + full, many - full)
-    return np.array(runs, np.int64).reshape(-1, 6)
-
-
-def successor(gaps: list[int], length: int) -> int | None:
-    """The smallest gap that is not below the length."""
-    at = bisect.bisect_left(gaps, length)
-    return gaps[at] if at < len(gaps) else None
-
-
-def _placer(runs: np.ndarray):
-    """(length, rank) to sequence and offset, by a successor search among the runs."""
-    runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
-    keys = runs[:, 0] * (1 << 48) + runs[:, 1]
-
-    def run(length: pa.Array, rank: pa.Array) -> pa.Array:
-        size, place = length.to_numpy(zero_copy_only=False), rank.to_numpy(zero_copy_only=False)
-        at = np.searchsorted(keys, size * (1 << 48) + place, "right") - 1
-        _, first, _, sequence, offset, per = runs[at].T
-        inside = place - first
-        return pa.StructArray.from_arrays([pa.array(sequence + inside // per), pa.array(offset + inside % per * size)], ["sequence_id", "offset"])
-
-    run.__annotations__ = {"length": pa.Array, "rank": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "sequence_id long, offset long")
+    spark = pieces.sparkSession
+    n = max(1, -(-rows // RANGE_ROWS))
+    order = ["size", "side", "tie"]
+    both = pieces.select(F.lit(0).alias("side"), "id", "size", F.lit(0).cast("long").alias("offset")).unionByName(gaps.select(F.lit(1).alias("side"), "id", "size", "offset"))
+    both = both.withColumn("tie", F.xxhash64("id"))
+    dealt = (both.repartitionByRange(n, *order) if n > 1 else both.coalesce(1)).sortWithinPartitions(*order).drop("tie")
+    swept = checkpointed(dealt.mapInArrow(_swept, _SWEPT).withColumn("range", F.spark_partition_id()))
+    left = swept.where("place >= 0")
+    table = []
+    if n > 1:
+        counts = {(r["range"], r["side"]): r["n"] for r in left.groupBy("range", "side").agg(F.count("*").alias("n")).collect()}
+        table = carried(counts, n)
+    met = swept.where("place < 0")
+    placed = met.where("side = 0").select("id", F.col("mate").alias("sequence_id"), F.col("at").alias("offset"))
+    filled = met.where("side = 1").select("id", (F.col("size") - F.col("at")).alias("size"), (F.col("offset") + F.col("at")).alias("offset"))
+    if table:
+        numbered = left.withColumn("pair", _numbered(table)(F.col("range"), F.col("side"), F.col("place")))
+        far = numbered.where("pair is not null")
+        joined = far.where("side = 0").select("pair", "id", F.col("size").alias("length")).join(far.where("side = 1").select("pair", F.col("id").alias("sequence_id"), "size", "offset"), "pair")
+        joined = checkpointed(joined)
+        placed = placed.unionByName(joined.select("id", "sequence_id", "offset"))
+        filled = filled.unionByName(joined.select(F.col("sequence_id").alias("id"), (F.col("size") - F.col("length")).alias("size"), (F.col("offset") + F.col("length")).alias("offset")))
+        left = numbered.where("pair is null")
+    return placed, left.where("side = 0").select("id", "size"), filled.unionByName(left.where("side = 1").select("id", "size", "offset"))
 
 
 def pack(pieces: DataFrame, capacity: int, key: str = "doc_id") -> DataFrame:
-    """Place pieces (with ``length`` from 1 to ``capacity``) in as few sequences as best fit can.
+    """Place pieces (with ``length`` from 1 to ``capacity``) in few sequences, by supersteps of best fit.
 
     Adds ``sequence_id`` and ``offset``; offsets in a sequence follow each other
-    from 0 without gaps.  Pieces are ranked within their length by a two-level
-    count, over buckets of a hash and within a bucket, so that a length that a
-    third of all pieces share is not sorted in one task.  The supersteps see
-    counts by length only, at most ``capacity`` of them.  Pieces alike are
-    interchangeable; null keys are keys like others; no pieces give no rows.
+    from 0 without gaps.  As many sequences are opened as the tokens need at
+    least; each superstep (:func:`sweep`) gives every gap the longest free
+    piece that fits, and goes on until nothing fits; then sequences are opened
+    for what is left.  The driver sees counts and sums.  Sizes that a third of
+    all pieces share are spread over ranges by a hash; null keys are keys like
+    others; no pieces give no rows.
     """
-    pieces = checkpointed(pieces.withColumn("_h", F.xxhash64(key, "piece", "ids_crc32")))
-    rows = pieces.count()
-    deep = max(0, (rows // BUCKET_ROWS).bit_length())
-    pieces = pieces.withColumn("_b", F.shiftrightunsigned("_h", 64 - deep) if deep else F.lit(0).cast("long"))
-    counts = checkpointed(pieces.groupBy("length", "_b").agg(F.count("*").alias("n")))
-    earlier = Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("length", "_b", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("length", "_b").orderBy("_h", key, "piece", "ids_crc32")
-    ranked = pieces.withColumn("_k", F.row_number().over(inside) - 1).join(offsets, ["length", "_b"]).withColumn("_rank", F.col("_k") + F.col("_before"))
-    by_length = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    place = _placer(match_runs(by_length, capacity))(F.col("length"), F.col("_rank"))
-    out = ranked.withColumn("_p", place)
-    return out.select(*[c for c in pieces.columns if c[0] != "_"], "_p.sequence_id", "_p.offset")
+    spark = pieces.sparkSession
+    pieces = checkpointed(pieces).withColumn("_id", F.monotonically_increasing_id())
+    free = pieces.select(F.col("_id").alias("id"), F.col("length").alias("size"))
+    total = free.agg(F.count("*").alias("n"), F.sum("size").alias("tokens"), F.count(F.when(2 * F.col("size") > capacity, 1)).alias("large"), F.min("size").alias("least")).first()
+    many, least = total["n"], total["least"]
+    opened, placed = 0, []
+    gaps = spark.range(0).select("id", F.col("id").alias("size"), F.col("id").alias("offset"))
+    new = max(total["large"], -(-(total["tokens"] or 0) // capacity))
+    held = 0
+    while many:
+        if new:
+            fresh = spark.range(opened, opened + new).select("id", F.lit(capacity).cast("long").alias("size"), F.lit(0).cast("long").alias("offset"))
+            gaps, opened, held = gaps.unionByName(fresh), opened + new, held + new
+        done, free, gaps = sweep(free, gaps, many + held)
+        placed.append(done)
+        state = free.agg(F.count("*").alias("n"), F.sum("size").alias("tokens"), F.min("size").alias("least")).first()
+        took, many, least = many - state["n"], state["n"], state["least"]
+        if many:
+            gaps = gaps.where(F.col("size") >= least)
+            held = gaps.count()
+            new = 0 if took and held else max(1, -(-state["tokens"] // capacity))
+    if not placed:
+        return pieces.select(*[c for c in pieces.columns if c[0] != "_"], F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).where("false")
+    every = placed[0]
+    for more in placed[1:]:
+        every = every.unionByName(more)
+    return pieces.join(every.withColumnRenamed("id", "_id"), "_id").select(*[c for c in pieces.columns if c[0] != "_"], "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
