@@ -103,8 +103,8 @@ def train(chunks: np.ndarray, labels: np.ndarray, steps: int = 700, batch: int =
     for step in range(1, steps + 1):
         pick = np.concatenate([rng.choice(p, batch // 2) for p in pools])
         x, y = chunks[pick], labels[pick].astype(f32)[:, None]
-        # Some chunks are cut short, as those of short texts are.
-        short = np.where(y[:, 0] == 1, rng.integers(8, 256, batch), rng.integers(128, 384, batch))
+        # Some chunks are cut short, as those of short texts are, whatever their label.
+        short = rng.integers(8, 384, batch)
         x = np.where((rng.random(batch) < 0.3)[:, None] & (np.arange(CHUNK) >= short[:, None]), 0, x).astype(np.uint8)
         win = net.windows(x)
         z = (win.reshape(len(x) * length, -1) @ net.conv).reshape(len(x), length, FILTERS)
