@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from kinloom.operators.components import connected_components
-from kinloom.operators.pedigrees import parents
-from kinloom.operators.recovery import checkpointed
+from kinloom.operators.pedigrees import age_flags, parents, relations
+from kinloom.operators.recovery import checkpointed, fresh_folder
 
 
 def subpedigrees(fam: DataFrame) -> DataFrame:
@@ -122,3 +122,72 @@ def expected_matches(candidates: DataFrame, expected: DataFrame, samples: DataFr
     forms = pedigree_forms(both[0].unionByName(both[1]), gone[0].unionByName(gone[1]), "name")
     mine = forms.where("fid.side = 0").select(F.col("fid.of").alias("fid"), "form")
     return mine.join(forms.where("fid.side = 1").select(F.col("fid.of").alias("expected"), "form"), "form").select("fid", "expected")
+
+
+def generation_steps(fam: DataFrame) -> DataFrame:
+    """(iid, generation): steps down less steps up from the smallest of those joined by parents and children.
+
+    A round goes one step further, children before parents where both lead to
+    one person, so a person who can be reached in several ways has the
+    generation of the shortest.
+    """
+    p = parents(fam)
+    moves = checkpointed(p.select(F.col("parent").alias("iid"), F.col("child").alias("next"), F.lit(1).alias("move")).unionByName(p.select(F.col("child").alias("iid"), F.col("parent").alias("next"), F.lit(-1).alias("move"))))
+    spark, path, k = fam.sparkSession, f"{fresh_folder(fam.sparkSession)}/steps", 0
+    step = subpedigrees(fam).where("iid = subpedigree").select("iid", F.lit(0).alias("generation"), F.lit(0).alias("round"))
+    while True:
+        step.write.mode("append").parquet(path)
+        known = spark.read.schema(step.schema).parquet(path)
+        last = known.where(F.col("round") == k)
+        if last.isEmpty():
+            return known.select("iid", "generation")
+        k += 1
+        reached = last.join(moves, "iid").select(F.col("next").alias("iid"), (F.col("generation") + F.col("move")).alias("generation")).groupBy("iid").agg(F.max("generation").alias("generation"))
+        step = checkpointed(reached.join(known.select("iid"), "iid", "left_anti").select("iid", "generation", F.lit(k).alias("round")))
+
+
+def separate(peds: DataFrame) -> DataFrame:
+    """Alternatives of pedigrees as one table whose ids tell the alternatives apart: (iid, pid, mid, 0 unknown, network_id, pedigree, name, ...).
+
+    ``peds(network_id, pedigree, iid, pid, mid, ...)`` with null for unknown parents.
+    """
+    node = lambda c: F.when(F.col(c).isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64("network_id", "pedigree", c))
+    more = [c for c in peds.columns if c not in ("iid", "pid", "mid")]
+    return peds.select(*more, F.col("iid").alias("name"), node("iid").alias("iid"), node("pid").alias("pid"), node("mid").alias("mid"))
+
+
+def relations_across(peds: DataFrame) -> DataFrame:
+    """What two people of a network are to each other in its pedigrees.
+
+    ``peds(network_id, pedigree, iid, pid, mid, sampled, sex)``.  One row for
+    each ordered pair of sampled people that some pedigree relates: all
+    relations of ``rel`` to ``self`` that occur, sorted, UN where one has none,
+    and in how many pedigrees the commonest of them holds.
+    """
+    fam = checkpointed(separate(peds))
+    who = fam.where("sampled").select("iid", "name", "sex", "network_id", "pedigree")
+    said = relations(fam).join(who.select(F.col("iid").alias("self"), F.col("name").alias("name1"), F.col("sex").alias("sex1"), "network_id", "pedigree"), "self")
+    said = said.join(who.select(F.col("iid").alias("rel"), F.col("name").alias("name2"), F.col("sex").alias("sex2")), "rel")
+    many = peds.select("network_id", "pedigree").distinct().groupBy("network_id").agg(F.count("*").alias("many"))
+    by_code = said.groupBy("network_id", "name1", "name2", "sex1", "sex2", "code").agg(F.count("*").alias("n"))
+    held = by_code.groupBy("network_id", "name1", "name2", "sex1", "sex2").agg(F.collect_list("code").alias("codes"), F.max("n").alias("n_most"), F.sum("n").alias("n")).join(many, "network_id")
+    codes = F.when(F.col("n") < F.col("many"), F.concat("codes", F.array(F.lit("UN")))).otherwise(F.col("codes"))
+    return held.select("network_id", F.col("name1").alias("self"), F.col("name2").alias("rel"), "sex1", "sex2", F.array_join(F.array_sort(codes), ",").alias("rels"), F.greatest("n_most", F.col("many") - F.col("n")).alias("n_most"), F.col("many").alias("n_pedigrees"))
+
+
+def pedigree_measures(peds: DataFrame) -> DataFrame:
+    """(network_id, pedigree, flags, lnl, generations, dummies): what alternatives of a network are ranked by.
+
+    ``peds(network_id, pedigree, iid, pid, mid, sampled, age, lnl)``; flags
+    count implausible ages of sampled pairs, generations the span of the
+    sampled people, dummies the others.
+    """
+    fam = checkpointed(separate(peds))
+    home = fam.select("iid", "network_id", "pedigree", "sampled")
+    key = ["network_id", "pedigree"]
+    # Nobody knows the age of people without data.
+    flagged = age_flags(relations(fam), fam.where("sampled")).where("self < rel").join(home.select(F.col("iid").alias("self"), *key), "self").groupBy(*key).agg(F.count("*").alias("flags"))
+    span = generation_steps(fam).join(home.where("sampled"), "iid").groupBy(*key).agg((F.max("generation") - F.min("generation") + 1).alias("generations"))
+    size = fam.groupBy(*key).agg(F.count(F.when(~F.col("sampled"), 1)).alias("dummies"), F.max("lnl").alias("lnl"))
+    out = size.join(flagged, key, "left").join(span, key, "left")
+    return out.select(*key, F.coalesce("flags", F.lit(0)).cast("long").alias("flags"), "lnl", "generations", "dummies")

@@ -78,7 +78,6 @@ allr AS MATERIALIZED (SELECT c AS a, p AS b, 'P' AS code, 0 AS o FROM po UNION A
  UNION ALL SELECT nn.a, po.c, 'GN', 14 FROM nn JOIN po ON nn.b = po.p),
 rel AS MATERIALIZED (SELECT a AS self, b AS rel, arg_min(code, o) AS code FROM allr WHERE a <> b GROUP BY a, b)
 """
-RANKS = "rk AS (SELECT id1 % 10 AS network_id, id1, id2, count(*) % 3 AS flags, max(cm) AS lnl, id2 % 2 AS generations, id2 % 4 AS dummies FROM ov_segments WHERE cm >= 5 GROUP BY id1, id2)"
 MERGED = """
 mk AS (SELECT chrom, start_bp, start_bp + 8000000 AS end_bp FROM ov_segments WHERE cm >= 49 AND ibd = 2),
 mn AS (SELECT *, max(end_bp) OVER (PARTITION BY chrom ORDER BY start_bp, end_bp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM mk),
@@ -136,9 +135,6 @@ f AS (SELECT self, rel, code, CASE
     "pedigree_score": f"""WITH {RELATIONS}, {CLASSES}, n AS (SELECT x.fid, code, CASE WHEN code IN ('P', 'O') THEN pc WHEN code = 'F' THEN fs WHEN code IN ('N', 'H', 'G', 'A', 'C') THEN hag
  WHEN code IN ('GC', 'HN', 'HA', 'GG', '1C', 'GA', 'GN') THEN cgh ELSE un END AS v FROM hard JOIN ov_fam x ON x.iid = iid1 JOIN ov_fam y ON y.iid = iid2 AND y.fid = x.fid LEFT JOIN (SELECT self, rel AS other, code FROM rel WHERE self < rel) r ON iid1 = self AND iid2 = other)
 SELECT fid, count(*) AS n_pairs, count(code) AS n_related, round(sum(ln(greatest(v, 1e-4))), 4) AS lnl FROM n GROUP BY fid""",
-    "pedigree_rank": f"WITH {RANKS} SELECT *, CAST(rank() OVER (PARTITION BY network_id ORDER BY flags, lnl DESC, generations, dummies) AS INT) AS rank FROM rk",
-    "score_summary": f"""WITH {RANKS}, t AS (SELECT *, max(lnl) OVER (PARTITION BY network_id) AS top FROM rk) SELECT network_id, min(lnl) AS low, max(lnl) AS high, round(avg(lnl), 6) AS mean, round(median(lnl), 6) AS median,
- count(*) FILTER (lnl = top) AS n_at_max, count(*) FILTER (flags = 0) AS n_unflagged FROM t GROUP BY network_id""",
     "unnecessary_placeholders": """WITH f AS (SELECT iid FROM ov_fam WHERE iid % 5 <> 0 AND pid = 0 AND mid = 0) SELECT pid, mid, min(iid) AS child FROM ov_fam WHERE pid <> 0 AND mid <> 0 GROUP BY pid, mid
  HAVING count(*) = 1 AND pid IN (SELECT iid FROM f) AND mid IN (SELECT iid FROM f)""",
     "degree_lnl": f"""WITH {MODELS}, o AS (SELECT id1, id2, degree, max(CASE WHEN ancestors = 1 THEN lnl END) AS a, max(CASE WHEN ancestors = 2 THEN lnl END) AS b FROM models WHERE ancestors > 0 GROUP BY 1, 2, 3)
@@ -324,3 +320,17 @@ st AS (SELECT ms.fid, network_id, m, sum(cs) FILTER (m & bit <> 0) AS cs, round(
  FROM ms JOIN kin ON kin.fid = ms.fid AND nm IS NOT NULL GROUP BY 1, 2, 3 HAVING bool_and((m & nm = 0) = (m & bit <> 0))),
 bs AS (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY cs DESC, age, n DESC, ids) AS rn FROM st)
 SELECT network_id, unnest(ids) AS iid, 'exact' AS status FROM bs WHERE rn = 1 UNION ALL SELECT iid, iid, 'single' FROM kin WHERE nm IS NULL"""
+_KP = "kp AS MATERIALIZED (SELECT 4 * p.iid + pedigree AS iid, coalesce(4 * p.pid + pedigree, 0) AS pid, coalesce(4 * p.mid + pedigree, 0) AS mid, network_id, pedigree, p.iid AS name, p.sampled, lnl, sex, age FROM ov_kin_peds p JOIN ov_kin_fam f ON f.iid = p.iid)"
+_KREL = RELATIONS.replace("ov_fam", "kp")
+SQL["network_relations"] = f"""WITH {_KP}, {_KREL}, sd AS (SELECT a.network_id, a.name AS self, b.name AS rel, a.sex AS sex1, b.sex AS sex2, code, count(*) AS n FROM rel JOIN kp a ON a.iid = rel.self AND a.sampled JOIN kp b ON b.iid = rel.rel AND b.sampled GROUP BY ALL)
+SELECT network_id, self, rel, sex1, sex2, CASE WHEN sum(n) < 2 THEN array_to_string(list_sort(list_append(list(code), 'UN')), ',') ELSE array_to_string(list_sort(list(code)), ',') END AS rels, CAST(greatest(max(n), 2 - sum(n)) AS BIGINT) AS n_most, CAST(2 AS BIGINT) AS n_pedigrees FROM sd GROUP BY ALL"""
+_STEPS = "kpo AS MATERIALIZED (SELECT pid AS p, iid AS c FROM {t} WHERE pid <> 0 UNION SELECT mid, iid FROM {t} WHERE mid <> 0), kmv AS MATERIALIZED (SELECT p AS a, c AS b, 1 AS m FROM kpo UNION ALL SELECT c, p, -1 FROM kpo), kco(iid, low) AS (SELECT iid, iid FROM {t} UNION SELECT kmv.b, low FROM kco JOIN kmv ON kmv.a = kco.iid), kst AS (SELECT iid, min(low) AS low FROM kco GROUP BY 1), kgn(iid, g) AS (SELECT iid, 0 FROM kst WHERE iid = low UNION SELECT kmv.b, g + m FROM kgn JOIN kmv ON kmv.a = kgn.iid)"
+SQL["generation_steps"] = f"WITH RECURSIVE {_STEPS.format(t='ov_kin_fam')} SELECT iid, CAST(min(g) AS INT) AS generation FROM kgn GROUP BY 1"
+_FLAGS = SQL["age_flags"].replace("ov_fam", "(SELECT * FROM kp WHERE sampled)")
+_FLAGS = _FLAGS[_FLAGS.index("j AS (SELECT self"):].replace("f AS (SELECT self", "fl AS (SELECT self").replace(" FROM j) SELECT * FROM f WHERE reason IS NOT NULL", " FROM j)")
+RANKS = f"""{_KP}, {_KREL}, {_FLAGS}, {_STEPS.format(t='kp')},
+fc AS (SELECT network_id, pedigree, count(*) AS flags FROM fl JOIN kp ON kp.iid = self WHERE reason IS NOT NULL AND self < rel GROUP BY 1, 2), sn AS (SELECT network_id, pedigree, CAST(max(g) - min(g) + 1 AS INT) AS generations FROM kgn JOIN kp USING (iid) WHERE sampled GROUP BY 1, 2),
+rk AS (SELECT network_id, pedigree, coalesce(any_value(flags), 0) AS flags, max(lnl) AS lnl, any_value(generations) AS generations, count(*) FILTER (NOT sampled) AS dummies FROM kp LEFT JOIN fc USING (network_id, pedigree) LEFT JOIN sn USING (network_id, pedigree) GROUP BY 1, 2)"""
+SQL["pedigree_rank"] = f"WITH RECURSIVE {RANKS} SELECT *, CAST(rank() OVER (PARTITION BY network_id ORDER BY flags, lnl DESC, generations, dummies) AS INT) AS rank FROM rk"
+SQL["score_summary"] = f"""WITH RECURSIVE {RANKS}, t AS (SELECT *, max(lnl) OVER (PARTITION BY network_id) AS top FROM rk) SELECT network_id, min(lnl) AS low, max(lnl) AS high, round(avg(lnl), 6) AS mean, round(median(lnl), 6) AS median,
+ count(*) FILTER (lnl = top) AS n_at_max, count(*) FILTER (flags = 0) AS n_unflagged FROM t GROUP BY network_id"""

@@ -97,9 +97,12 @@ def _scored(s, d):
     return connections.composite(connections.candidates(founders, depth, null), depth, lnl, null)
 
 
+def _alternatives(s, d):
+    return view(s, d, "ov_kin_peds").join(view(s, d, "ov_kin_fam").select("iid", "sex", "age"), "iid")
+
+
 def _rank(s, d):
-    seg = segments.rollup(_seg(s, d))
-    return seg.select((F.col("id1") % 10).alias("network_id"), "id1", "id2", (F.col("n_segments") % 3).alias("flags"), F.col("longest_cm").alias("lnl"), (F.col("id2") % 2).alias("generations"), (F.col("id2") % 4).alias("dummies"))
+    return forms.pedigree_measures(_alternatives(s, d))
 
 
 def _pcs1(s, d):
@@ -148,6 +151,8 @@ QUERIES: dict[str, Query] = {
     "trait_fold": lambda s, d: relationships.fold_traits(view(s, d, "ov_traits")),
     "pedigree_relations": lambda s, d: pedigrees.relations(_fam(s, d)),
     "relation_table": lambda s, d: pedigrees.relation_table(pedigrees.relations(_fam(s, d))),
+    "network_relations": lambda s, d: forms.relations_across(_alternatives(s, d)),
+    "generation_steps": lambda s, d: forms.generation_steps(view(s, d, "ov_kin_fam")),
     "pedigree_degrees": lambda s, d: pedigrees.pedigree_degrees(pedigrees.relations(_fam(s, d))),
     "ancestor_closure": lambda s, d: pedigrees.ancestors(_fam(s, d)),
     "genetic_relatives": lambda s, d: pedigrees.relatives(_fam(s, d)),

@@ -43,7 +43,7 @@ SELECT iid1, iid2, z0, z1, 1000 - z0 - z1 AS z2, (z1 + 2 * (1000 - z0 - z1)) / C
  FROM ov_kin_fam x JOIN ov_kin_fam y ON x.fid = y.fid AND x.iid < y.iid WHERE x.sampled AND y.sampled) a) b""",
     "ov_kin_peds": """
 SELECT fid AS network_id, pedigree, iid, CASE WHEN pid = 0 OR k = 11 AND pedigree = 2 THEN NULL ELSE pid END AS pid, CASE WHEN k = 11 AND pedigree = 2 THEN iid - 8 WHEN mid = 0 THEN NULL ELSE mid END AS mid, sampled,
- -CAST(CASE pedigree WHEN 1 THEN fid % 5 ELSE fid * 3 % 5 END AS DOUBLE) AS lnl FROM ov_kin_fam x CROSS JOIN (SELECT 1 AS pedigree UNION ALL SELECT 2 AS pedigree) y""",
+ CAST(0 AS DOUBLE) - CAST(CASE pedigree WHEN 1 THEN fid % 5 ELSE fid * 3 % 5 END AS DOUBLE) AS lnl FROM ov_kin_fam x CROSS JOIN (SELECT 1 AS pedigree UNION ALL SELECT 2 AS pedigree) y""",
     "ov_kin_segments": """
 SELECT CAST(LEAST(a, b) AS BIGINT) AS id1, CAST(GREATEST(a, b) AS BIGINT) AS id2, chrom, start_bp, start_bp + CAST(cm * 1000000 AS BIGINT) AS end_bp, cm, 1 AS ibd FROM (
  SELECT x.iid AS a, 12 * (x.fid + 1 - 2 * (x.fid % 2)) + l_suppkey % 12 + 1 AS b, CAST(1 + (l_orderkey + l_linenumber) % 22 AS INT) AS chrom, CAST(((l_partkey * 7919 + l_linenumber * 31) % 200) * 1000000 AS BIGINT) AS start_bp, CAST(l_quantity AS DOUBLE) AS cm
