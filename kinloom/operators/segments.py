@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from kinloom.functions import likelihood as L
 from kinloom.functions.likelihood import Settings
+from kinloom.operators.recovery import checkpointed
 
 PAIR = ["id1", "id2"]
 
@@ -261,46 +262,74 @@ def null_exceedances(segments: DataFrame, iterations: int = 100, genome_cm: int
     return sums.select(*key, "cm", "shared_cm", (F.col("over") + none).alias("n_exceed"), F.round(F.col("total") / iterations, 4).alias("expected_cm"))
 
 
-def merge_intervals(rows: DataFrame, gap: int = 0) -> DataFrame:
-    """(chrom, start_bp, end_bp) with overlaps and gaps up to ``gap`` closed."""
-    w = Window.partitionBy("chrom").orderBy("start_bp", "end_bp")
-    reach = F.max("end_bp").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    islands = rows.withColumn("new", (reach.isNull() | (F.col("start_bp") > reach + gap)).cast("int")).withColumn("island", F.sum("new").over(w))
+#: Base pairs of a bin; what runs along a chromosome is taken within bins, on top of what the bins before bring.
+BIN = 10_000_000
+
+
+def merge_intervals(rows: DataFrame, gap: int = 0, width: int = BIN) -> DataFrame:
+    """(chrom, start_bp, end_bp) with overlaps and gaps up to ``gap`` closed.
+
+    No task holds a chromosome: the farthest end so far, and the number of
+    islands so far, are carried from bin to bin as one row each.
+    """
+    at = rows.select("chrom", "start_bp", "end_bp", F.expr(f"start_bp div {width}").alias("bin"))
+    before = Window.partitionBy("chrom").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("chrom", "bin").orderBy("start_bp", "end_bp")
+    tops = at.groupBy("chrom", "bin").agg(F.max("end_bp").alias("top")).select("chrom", "bin", F.max("top").over(before).alias("carried"))
+    reach = F.greatest(F.max("end_bp").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col("carried"))
+    begun = at.join(tops, ["chrom", "bin"]).withColumn("new", F.when(reach.isNull() | (F.col("start_bp") > reach + gap), 1).otherwise(0))
+    counts = begun.groupBy("chrom", "bin").agg(F.sum("new").alias("n")).select("chrom", "bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    islands = begun.join(counts, ["chrom", "bin"]).withColumn("island", F.col("earlier") + F.sum("new").over(inside))
     return islands.groupBy("chrom", "island").agg(F.min("start_bp").alias("start_bp"), F.max("end_bp").alias("end_bp")).drop("island")
 
 
-def clip_to_mask(segments: DataFrame, mask: DataFrame, cross: int = 1_000_000) -> DataFrame:
+def clip_to_mask(segments: DataFrame, mask: DataFrame, cross: int = 1_000_000, width: int = BIN) -> DataFrame:
     """Segments cut by masked regions in order of position; cM shrink in proportion.
 
-    A region cuts a segment only if the segment leaves it by less than ``cross``
-    on that side.  The mask is folded per chromosome.
+    A region that a segment touches cuts off each side on which the segment
+    leaves it by less than ``cross``; where both sides go, nothing is left.
+    Segments and regions meet in bins, so a segment sees the regions that it
+    touches only.
     """
-    folded = mask.groupBy("chrom").agg(F.array_sort(F.collect_list(F.struct("start_bp", "end_bp"))).alias("mask"))
-    joined = segments.join(folded, "chrom", "left").withColumn("mask", F.coalesce("mask", F.array().cast("array<struct<start_bp:bigint,end_bp:bigint>>")))
+    held = checkpointed(segments).withColumn("_sid", F.monotonically_increasing_id())
+    bins = lambda first, last: F.sequence(F.expr(f"{first} div {width}"), F.expr(f"{last} div {width}"))
+    spread = held.select("_sid", "chrom", F.col("start_bp").alias("s0"), F.col("end_bp").alias("s1"), F.explode(bins("start_bp", "end_bp")).alias("bin"))
+    regions = mask.select("chrom", F.col("start_bp").alias("r0"), F.col("end_bp").alias("r1"), F.explode(bins("start_bp", "end_bp")).alias("bin"))
+    # Two that meet in several bins count in the first of these.
+    met = spread.join(regions, ["chrom", "bin"]).where("r0 <= s1 and r1 >= s0").where(F.col("bin") == F.greatest(F.expr(f"s0 div {width}"), F.expr(f"r0 div {width}")))
+    folded = met.groupBy("_sid").agg(F.array_sort(F.collect_list(F.struct(F.col("r0").alias("start_bp"), F.col("r1").alias("end_bp")))).alias("mask"))
+    joined = held.join(folded, "_sid", "left").withColumn("mask", F.coalesce("mask", F.array().cast("array<struct<start_bp:bigint,end_bp:bigint>>")))
+
     def cut(acc, m):
-        left = (m["start_bp"] <= acc["b"] + cross) & (m["end_bp"] > acc["b"])
-        right = (m["end_bp"] >= acc["e"] - cross) & (m["start_bp"] < acc["e"])
-        b = F.when(left, F.least(m["end_bp"], acc["e"])).otherwise(acc["b"])
-        e = F.when(right & ~left, F.greatest(m["start_bp"], b)).otherwise(acc["e"])
+        touched = (acc["b"] <= m["end_bp"]) & (acc["e"] >= m["start_bp"])
+        b = F.when(touched & (acc["b"] > m["start_bp"] - cross), F.least(m["end_bp"], acc["e"])).otherwise(acc["b"])
+        e = F.when(touched & (acc["e"] < m["end_bp"] + cross), F.greatest(m["start_bp"], b)).otherwise(acc["e"])
         return F.struct(b.alias("b"), e.alias("e"))
+
     out = joined.withColumn("kept", F.aggregate("mask", F.struct(F.col("start_bp").alias("b"), F.col("end_bp").alias("e")), cut))
     share = (F.col("kept.e") - F.col("kept.b")) / (F.col("end_bp") - F.col("start_bp"))
     return out.select("id1", "id2", "chrom", "start_bp", "end_bp", F.col("kept.b").alias("new_begin"), F.col("kept.e").alias("new_end"), F.round(F.col("cm") * share, 4).alias("new_cm"))
 
 
-def map_position(positions: DataFrame, rec_map: DataFrame) -> DataFrame:
-    """cM of each (chrom, pos) by the map point before and the one at or after it.
+def map_position(positions: DataFrame, rec_map: DataFrame, width: int = BIN) -> DataFrame:
+    """cM of each (chrom, pos) by the map point before it and the one at or after it.
 
-    An as-of join as one sorted pass over positions and map points together.
+    An as-of join as one sorted pass over positions and map points together,
+    within bins; the last point of the bins before and the first one of the
+    bins after are carried, one row for each bin.
     """
     rows = positions.select("chrom", "pos").distinct().select("chrom", "pos", F.lit(None).cast("double").alias("cm"), F.lit(1).alias("kind"))
-    points = rec_map.select("chrom", "pos", "cm", F.lit(0).alias("kind"))
-    w = Window.partitionBy("chrom").orderBy("pos", "kind")
+    both = rows.unionByName(rec_map.select("chrom", "pos", "cm", F.lit(0).alias("kind"))).withColumn("bin", F.expr(f"pos div {width}"))
     point = F.when(F.col("kind") == 0, F.struct("pos", "cm"))
-    both = rows.unionByName(points).withColumns({"before": F.last(point, True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "after": F.first(point, True).over(w.rowsBetween(1, Window.unboundedFollowing))})
+    along = Window.partitionBy("chrom").orderBy("bin")
+    ends = both.groupBy("chrom", "bin").agg(F.max(point).alias("high"), F.min(point).alias("low"))
+    ends = ends.select("chrom", "bin", F.last("high", True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"), F.first("low", True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("later"))
+    w = Window.partitionBy("chrom", "bin").orderBy("pos", "kind")
+    near = both.withColumns({"before": F.last(point, True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "after": F.first(point, True).over(w.rowsBetween(1, Window.unboundedFollowing))}).where("kind = 1")
+    near = near.join(ends, ["chrom", "bin"]).withColumns({"before": F.coalesce("before", "earlier"), "after": F.coalesce("after", "later")})
     frac = (F.col("pos") - F.col("before.pos")) / (F.col("after.pos") - F.col("before.pos"))
     at = F.coalesce(F.col("before.cm") + frac * (F.col("after.cm") - F.col("before.cm")), F.col("before.cm"), F.lit(0.0))
-    return both.where("kind = 1").select("chrom", "pos", F.round(at, 6).alias("cm"))
+    return near.select("chrom", "pos", F.round(at, 6).alias("cm"))
 
 
 def keep_last(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:

@@ -245,8 +245,8 @@ SELECT net1, net2, f1, f2, CASE WHEN gain > 0 THEN degree END AS degree, score,
 SQL |= files.sql(MODELS)
 SQL["mask_clip"] = f"""WITH RECURSIVE {MERGED}, k AS (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY start_bp, end_bp) AS i FROM mask), g AS (SELECT row_number() OVER () AS sid, id1, id2, chrom, start_bp, end_bp, cm FROM ov_segments),
 w(sid, chrom, i, b, e) AS (SELECT sid, chrom, 0, start_bp, end_bp FROM g UNION ALL
- SELECT sid, w.chrom, k.i, CASE WHEN k.start_bp <= b + 1000000 AND k.end_bp > b THEN least(k.end_bp, e) ELSE b END,
- CASE WHEN k.end_bp >= e - 1000000 AND k.start_bp < e AND NOT (k.start_bp <= b + 1000000 AND k.end_bp > b) THEN greatest(k.start_bp, b) ELSE e END FROM w JOIN k ON k.chrom = w.chrom AND k.i = w.i + 1),
+ SELECT sid, chrom, i, b2, CASE WHEN t AND e < k1 + 1000000 THEN greatest(k0, b2) ELSE e END FROM (SELECT sid, w.chrom, k.i, e, k.start_bp AS k0, k.end_bp AS k1, b <= k.end_bp AND e >= k.start_bp AS t,
+ CASE WHEN b <= k.end_bp AND e >= k.start_bp AND b > k.start_bp - 1000000 THEN least(k.end_bp, e) ELSE b END AS b2 FROM w JOIN k ON k.chrom = w.chrom AND k.i = w.i + 1)),
 l AS (SELECT sid, arg_max(b, i) AS b, arg_max(e, i) AS e FROM w GROUP BY sid)
 SELECT id1, id2, chrom, start_bp, end_bp, b AS new_begin, e AS new_end, round(cm * (e - b) / (end_bp - start_bp), 4) AS new_cm FROM g JOIN l USING (sid)"""
 SQL["pedigree_recovery"] = "SELECT min(iid) AS network_id, true AS found FROM ov_kin_fam WHERE sampled AND gen <> 3 GROUP BY fid"
