@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from kinloom.operators.pair_blocks import dosage_sums, haploid_sums, pair_sums
+from kinloom.operators.recovery import checkpointed
 
 #: Limits on missingness, rare alleles and ancestry markers.
 MIND, GENO, MAF, AIM_P = 0.1, 0.05, 0.1, 1e-5
@@ -21,6 +22,16 @@ def duplicates(variants: DataFrame) -> DataFrame:
     return out.where("n_id > 1 or n_place > 1").select("vid", "snp_id", "chrom", "pos", "n_id", "n_place")
 
 
+def without_duplicates(variants: DataFrame) -> DataFrame:
+    """Variants whose id and place are theirs alone; of those that share one, none stays (Q3)."""
+    return variants.join(duplicates(variants).select("vid"), "vid", "left_anti")
+
+
+def without_parents(fam: DataFrame) -> DataFrame:
+    """Everybody as a founder, so that allele frequencies count all (Q2)."""
+    return fam.withColumns({"pid": F.lit(0).cast(fam.schema["pid"].dataType), "mid": F.lit(0).cast(fam.schema["mid"].dataType)})
+
+
 def autosomes(variants: DataFrame) -> DataFrame:
     return variants.where(F.col("chrom").between(1, 22))
 
@@ -180,7 +191,6 @@ def genotype_components(g: DataFrame, k: int = 10, extra: int = 5, rounds: int =
     import numpy as np
     import pyarrow as pa
 
-    from kinloom.operators.recovery import checkpointed
 
     p = frequencies(g).where("freq > 0 and freq < 1").select("vid", F.col("freq").alias("p"))
     z = checkpointed(g.where("dosage is not null").join(p, "vid").select("iid", "vid", ((F.col("dosage") - 2 * F.col("p")) / F.sqrt(2 * F.col("p") * (1 - F.col("p")))).alias("z")))
@@ -241,3 +251,29 @@ def analysis_branch(admixed: DataFrame, unrelated: DataFrame, remove_aims: bool
     j = admixed.join(n, "batch", "left").select("batch", "admixed", F.coalesce("n_unrelated", F.lit(0)).alias("n_unrelated"))
     drop = (F.col("admixed") | F.lit(remove_aims)) & ~F.lit(keep_aims)
     return j.select("batch", "n_unrelated", drop.alias("remove_markers"), F.when(F.col("n_unrelated") >= least, "own").otherwise("reference").alias("frequencies"))
+
+
+#: Variants from which relatedness is first estimated, and the share above which two people are related.
+THIN_COUNT, RELATED = 10_000, 0.09375
+
+
+def thinned(g: DataFrame, count: int = THIN_COUNT) -> DataFrame:
+    """Genotypes of ``count`` variants, drawn by a hash of the id so that reruns agree (Q9)."""
+    drawn = g.select("vid").distinct().orderBy(F.xxhash64(F.lit(17), "vid"), "vid").limit(count)
+    return g.join(drawn, "vid", "left_semi")
+
+
+def unrelated_samples(g: DataFrame, count: int = THIN_COUNT, related: float = RELATED, mind: float = MIND, geno: float = GENO, maf: float = MAF) -> DataFrame:
+    """(iid): a largest set of samples no two of which share more than ``related``, by estimates from thinned variants (Q9).
+
+    Samples and variants are cleaned first, variants thinned, sharing is
+    estimated for all pairs, and each network of related samples gives its
+    largest unrelated set.
+    """
+    from kinloom.operators.relationships import networks
+    from kinloom.operators.unrelated import unrelated_sets
+
+    few = checkpointed(thinned(cleaned(g, mind, geno, maf), count))
+    pairs = checkpointed(ibs_pairs(few).where(F.col("pi_hat") > related).select("iid1", "iid2", "pi_hat"))
+    people = few.select("iid").distinct()
+    return unrelated_sets(networks(people, pairs), pairs).select("iid")

@@ -334,3 +334,5 @@ rk AS (SELECT network_id, pedigree, coalesce(any_value(flags), 0) AS flags, max(
 SQL["pedigree_rank"] = f"WITH RECURSIVE {RANKS} SELECT *, CAST(rank() OVER (PARTITION BY network_id ORDER BY flags, lnl DESC, generations, dummies) AS INT) AS rank FROM rk"
 SQL["score_summary"] = f"""WITH RECURSIVE {RANKS}, t AS (SELECT *, max(lnl) OVER (PARTITION BY network_id) AS top FROM rk) SELECT network_id, min(lnl) AS low, max(lnl) AS high, round(avg(lnl), 6) AS mean, round(median(lnl), 6) AS median,
  count(*) FILTER (lnl = top) AS n_at_max, count(*) FILTER (flags = 0) AS n_unflagged FROM t GROUP BY network_id"""
+SQL["variants_once"] = "SELECT vid, snp_id, chrom, pos, a1, a2 FROM (SELECT *, count(*) OVER (PARTITION BY snp_id) AS n, count(*) OVER (PARTITION BY chrom, pos) AS m FROM ov_variants) WHERE n = 1 AND m = 1"
+SQL["all_founders"] = "SELECT iid, CAST(0 AS BIGINT) AS pid, CAST(0 AS BIGINT) AS mid, sex FROM ov_fam"

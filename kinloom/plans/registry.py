@@ -175,6 +175,9 @@ QUERIES: dict[str, Query] = {
     "connection_significance": lambda s, d: connections.pair_significance(segments.best_model(segments.models(_seg(s, d)))),
     "bonferroni": lambda s, d: connections.corrected_level(_families(s, d)[0], relationships.dataset_summary(_members(s, d), _edges(s, d)).first()["n_unrelated"]),
     "variant_dups": lambda s, d: genotypes.duplicates(view(s, d, "ov_variants")),
+    "variants_once": lambda s, d: genotypes.without_duplicates(view(s, d, "ov_variants")),
+    "all_founders": lambda s, d: genotypes.without_parents(_fam(s, d)).select("iid", "pid", "mid", "sex"),
+    "unrelated_samples": lambda s, d: genotypes.unrelated_samples(view(s, d, "ov_genotypes"), geno=0.2, mind=0.2),
     "autosomes": lambda s, d: genotypes.autosomes(view(s, d, "ov_variants")),
     "strand_flip": lambda s, d: genotypes.strand_actions(view(s, d, "ov_variants"), view(s, d, "ov_ref_variants")),
     "thin_variants": lambda s, d: genotypes.thin_by_distance(view(s, d, "ov_variants")),

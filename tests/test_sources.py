@@ -88,3 +88,24 @@ def test_written_tables_and_drawings(spark, tmp_path):
     assert text[0] == "graph network1 {" and text[-1] == "}" and len(text) == 6 and not (tmp_path / "dots" / "network_id=2").exists()
     fam = spark.createDataFrame([("f", "a", "Dummy1", None, 1)], "fid string, iid string, pid string, mid string, sex int")
     assert rows(W.pedigree_table(fam)) == [("f", "a", "Missing1", "0", 1, 0)] and W.drawing_table(fam).first().SYMBOL == "7"
+
+
+def test_marker_segments(spark, tmp_path):
+    markers = spark.createDataFrame([("4", 1, 100), ("4", 2, 200), ("4", 3, 300), ("5", 1, 7)], "chrom string, marker long, pos long")
+    rec_map = spark.createDataFrame([("4", 100, 0.0), ("4", 300, 4.0)], "chrom string, pos long, cm double")
+    path = put(tmp_path, "a b 1 3 x\nc d 2 3 x\nhead of it no number\na b 1 3\n")
+    assert rows(R.read_marker_segments(spark, path, markers, rec_map, "4")) == [("a", "b", "4", 100, 300, 4.0), ("c", "d", "4", 200, 300, 2.0)]
+
+
+def test_unrelated_samples(spark):
+    """Copies of samples are related, others are not; one of each group of copies stays."""
+    from kinloom.operators import genotypes
+
+    rng = np.random.default_rng(8)
+    p = rng.uniform(0.2, 0.8, 600)
+    own = {i: rng.binomial(2, p) for i in range(14)}
+    people = {**own, **{100 + i: own[i] for i in range(4)}, 200: own[0]}
+    g = spark.createDataFrame([(int(i), v, int(d)) for i, x in people.items() for v, d in enumerate(x)], "iid long, vid long, dosage int")
+    found = {r["iid"] for r in genotypes.unrelated_samples(g, 500, 0.3).collect()}
+    assert len(found) == 14 and all(len(found & {i, 100 + i, *((200,) if i == 0 else ())}) == 1 for i in range(4)) and set(range(4, 14)) <= found
+    assert {r["vid"] for r in genotypes.thinned(g, 50).select("vid").distinct().collect()} == {r["vid"] for r in genotypes.thinned(g, 50).select("vid").distinct().collect()}
