@@ -7,6 +7,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from kinloom.llm.common import release_memory
 from kinloom.operators.recovery import checkpointed
 
 #: Words whose ids a worker keeps; beyond, it starts anew.
-MAX_WORDS = 1_000_000
+MAX_WORDS = 600_000
 
 #: str.split() also cuts at these four, which are not white space to the tokenizer.
 _ODD = re.compile("[\x1c-\x1f]")
@@ -59,13 +60,15 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     if len(known) > MAX_WORDS:
         known.clear()
     split = [[w for w in _WHITE.split(t) if w] if _ODD.search(t) else t.split() for t in texts]
-    new = {w: _parts(w) for w in {w for words in split for w in words if w not in known}}
+    met = set(chain.from_iterable(split))
+    new = {w: _parts(w) for w in met if w not in known}
     cores = list({c for pair in new.values() for c in pair if c and c not in known})
     for e, c in zip(tokenizer.encode_batch_fast(cores, add_special_tokens=False), cores):
         known[c] = np.array(e.ids, "<u4").tobytes()
     for w, (core, tail) in new.items():
         known[w] = known[core] + known[tail] if tail else known[core]
-    return [b"".join(map(known.__getitem__, words)) for words in split]
+    here = {w: known[w] for w in met}  # small, so that looking up each occurrence stays in the CPU's caches
+    return [b"".join(map(here.__getitem__, words)) for words in split]
 
 
 def _cutter(path: str, capacity: int, schema: pa.Schema):
