@@ -188,7 +188,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows with null label or id have no links and stand alone (component = own
     id).  Only vectors of one length are compared.  Rows that repeat an id and
     vector are one vector; an id with several vectors has the links of each row's
-    own vector and one component.  An empty table gives an empty one.
+    own vector and one component.  An empty table gives an empty one.  Ids are
+    long integers, or text that reads as such.  Other columns are
+    kept or left by position, so clashing names do no harm.
     """
     base, names = intake(vectors, id_col, vector_col, label_col)
     good = F.col("_w0").isNotNull() & F.col("_w2").isNotNull() & F.forall("_w1", lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x)) & F.exists("_w1", lambda x: x != 0)

@@ -489,7 +489,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     repeat an id are one document, of which the greatest text counts.  Shingles
     are compared by 64-bit hashes (40 bits and the fragment
     once split, and 64 bits and the size for whole sets).  An
-    empty table gives an empty one.
+    empty table gives an empty one.  Texts of any length are read whole; n-grams
+    of one frequency are in the order of their hashes; columns named like the
+    operator's own do no harm.
     """
     spark = docs.sparkSession
     base, names = intake(docs, id_col, text_col)

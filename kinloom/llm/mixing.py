@@ -137,7 +137,10 @@ def mix_sources(
     ``copies`` is how often the mix takes a document's middle word: its whole
     copies when documents are not cut.  Null text has size 0 and is never
     taken.  Null ids and repeated rows are rows of their own.  An empty table,
-    or one without words, has targets 0.  Reruns give the same mix.
+    or one without words, has targets 0.  Reruns give the same mix.  Texts of any
+    length are counted whole; columns named like the operator's own do no harm.
+    Running sums over sources are taken in one task, so sources may number
+    many thousands but are not meant to be as many as the documents.
     """
     spark = docs.sparkSession
     base, names = intake(docs, id_col, text_col, source_col)

@@ -198,7 +198,8 @@ def encode_media(docs: DataFrame, text_col: str = "text", media_col: str = "medi
 
     Null and empty texts are 576 bytes of 255.  Nothing is shuffled; other
     columns stay whatever their names and nulls (one named like ``media_col``
-    is replaced); equal texts give equal streams; no rows give no rows.
+    is replaced); equal texts, and so repeated rows, give equal streams; texts of
+    any length are whole; no rows give no rows.
     """
     base, names = intake(docs, text_col)
     return outgo(base, names, {text_col: F.col("_w0"), media_col: F.arrow_udf(_write, "binary")(F.coalesce(F.col("_w0"), F.lit("")))})

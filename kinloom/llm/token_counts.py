@@ -305,7 +305,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, text_col: str =
     every executor must see.  Null and empty texts have 0 bytes and tokens; a
     special token's string inside a text is one token.  All other columns stay,
     whatever their names and nulls; rows are independent, nothing is shuffled,
-    repeated rows count alike and an empty table gives an empty one.
+    repeated rows count alike and an empty table gives an empty one.  Texts of
+    any length are counted whole.
     """
     base, names = intake(docs, text_col)
     tokens = base.withColumn("_n", _counter(path)(F.coalesce(F.col("_w0"), F.lit(""))))
