@@ -50,6 +50,27 @@ def _parts(word: str) -> tuple[str, str]:
     return (core, word[len(core) :]) if unicodedata.normalize("NFC", core).lower().isalpha() else (word, "")
 
 
+def _encode_lines(tokenizer, cores: list[str]) -> dict[str, bytes]:
+    """Ids of Latin words of letters only, from lines of them with full stops between, which costs half of a call for each word.
+
+    The stop's id is no word's; a line that does not fall into as many parts as it has words gives nothing.
+    """
+    stop = tokenizer.encode(".", add_special_tokens=False).ids
+    if len(stop) != 1:
+        return {}
+    out = {}
+    lines = [cores[i : i + LINE_WORDS] for i in range(0, len(cores), LINE_WORDS)]
+    for e, line in zip(tokenizer.encode_batch_fast([" . ".join(x) for x in lines], add_special_tokens=False), lines):
+        ids = np.array(e.ids, "<u4")
+        cuts = np.flatnonzero(ids == stop[0])
+        if len(cuts) == len(line) - 1:
+            raw, at = ids.tobytes(), 0
+            for word, end in zip(line, (4 * np.append(cuts, len(ids))).tolist()):
+                out[word] = raw[at:end]
+                at = end + 4
+    return out
+
+
 def encode(texts: list[str], path: str) -> list[bytes]:
     """The library's ids (little-endian 32 bits) of each text.
 
@@ -63,7 +84,10 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     met = set(chain.from_iterable(split))
     new = {w: _parts(w) for w in met if w not in known}
     cores = list({c for pair in new.values() for c in pair if c and c not in known})
-    for e, c in zip(tokenizer.encode_batch_fast(cores, add_special_tokens=False), cores):
+    plain = [c for c in cores if c.isalpha() and max(c) < "\u02b0"]
+    known |= _encode_lines(tokenizer, plain)
+    others = [c for c in cores if c not in known]
+    for e, c in zip(tokenizer.encode_batch_fast(others, add_special_tokens=False), others):
         known[c] = np.array(e.ids, "<u4").tobytes()
     for w, (core, tail) in new.items():
         known[w] = known[core] + known[tail] if tail else known[core]
@@ -109,6 +133,8 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int, id_col: str = "doc_id"
     return docs.select(id_col, text_col).mapInArrow(_cutter(path, capacity, to_arrow_schema(schema)), schema)
 
 
+#: Words of one line that is encoded at once.
+LINE_WORDS = 1000
 #: Rows of one range of the sort, on average.
 RANGE_ROWS = 100_000
 
