@@ -137,3 +137,31 @@ def test_chi_square_tails(spark):
     df = spark.createDataFrame([(float(x), int(d) // 2, p) for x, d, p in known], "x double, half long, p double")
     for r in df.withColumn("got", chi2_sf(F.col("x"), F.col("half"))).collect():
         assert r["got"] == pytest.approx(r["p"], abs=2e-5), r
+
+
+def test_equal_segments_split_once(spark):
+    """Exact copies of segments come in any order, so every split counts each of them once."""
+    from math import exp, lgamma, log
+
+    kept = [(1, 2, c, 1_000_000 * k, 1_000_000 * (k + cm), float(cm), 1 + c % 2) for c in range(1, 4) for k, cm in enumerate((7, 20, 20, 33, 48, 9)) for _ in range(7)]
+    df = spark.createDataFrame(kept, "id1 long, id2 long, chrom int, start_bp long, end_bp long, cm double, ibd int")
+    got = {(r["ancestors"], r["meioses"]): (r["lnl"], r["ll_null"]) for r in sg.models(df.repartition(3)).collect()}
+    g, rate, mean0 = 3525.48101, 1 / (3.197036753 - 2.5), 13.73
+    x = sorted((r[5] - 2.5 for r in kept), reverse=True)
+
+    def back(k):
+        b = len(x) - k
+        return -mean0 + b * log(mean0) - lgamma(b + 1) + b * log(rate) - sum(x[k:]) * rate
+
+    for n in (2, 5, 12, 40):
+        bins = n * g / 100 + 22
+        mean = g / bins
+        l1 = bins * exp(-2.5 / mean) * 0.5 ** (n - 1)
+        want = max(back(k) - l1 + k * log(l1) - lgamma(k + 1) - k * log(mean) - sum(x[:k]) / mean for k in range(len(x) + 1))
+        assert abs(got[1, n][0] - want) < 1e-6 and abs(got[1, n][1] - back(0)) < 1e-6, n
+    two = [r for r in kept if r[6] == 2]
+    out = sg.sibling_overrides(df.repartition(5)).first()
+    y, r2 = sorted((r[5] - 2.5 for r in two), reverse=True), (g / 100 + 22) / 4 * exp(-0.1)
+    lam = mean0 * sum(r[5] for r in kept if r[6] == 1) / g
+    every = [-lam + (len(y) - k) * log(lam * rate) - lgamma(len(y) - k + 1) - sum(y[k:]) * rate - r2 + k * log(r2) - lgamma(k + 1) - k * log(25) - sum(y[:k]) / 25 for k in range(len(y) + 1)]
+    assert abs(out["lnl"] - max(every)) < 2e-6
