@@ -90,3 +90,27 @@ def test_relations_and_measures_across_alternatives(spark):
     # Thirty years are a parent's, and a grandparent's too; the alternatives differ in generations and placeholders.
     measured = {r["pedigree"]: (r["flags"], r["lnl"], r["generations"], r["dummies"]) for r in forms.pedigree_measures(peds).collect()}
     assert measured == {1: (0, -1.0, 2, 0), 2: (0, -2.0, 3, 1)}
+
+
+def test_sweep_carries_segments_instead_of_joining(spark):
+    """Random, nested, equal and empty segments give each piece its covering ones; pieces are not joined with segments."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(160):
+        start = rng.randrange(40)
+        rows.append((1, 2 + i % 3, rng.randrange(2), rng.randrange(2), i % 2, start, start + rng.choice((0, 1, 2, 5, 5, 9, 30)), float(rng.randrange(1, 9))))
+    df = spark.createDataFrame(rows + rows[:40], "id1 long, id2 long, hap1 int, hap2 int, chrom int, start_bp long, end_bp long, cm double")
+    out = sg.ibd2_sweep(df)
+    want = {}
+    for key in {(r[0], r[1], r[4]) for r in rows}:
+        held = [r for r in rows if (r[0], r[1], r[4]) == key]
+        ends = sorted({b for r in held for b in r[5:7]})
+        for b, e in zip(ends, ends[1:]):
+            over = [r for r in held if r[5] <= b and r[6] >= e]
+            if over:
+                s = min(over, key=lambda r: ((r[5], r[6]) != (b, e), r[5], r[6], r[2], r[3], r[7]))
+                want[*key, b, e] = (round(s[7] * (e - b) / (s[6] - s[5]), 6), 2 if {2 * r[2] + r[3] for r in over} == {1, 2} else 1)
+    got = {tuple(r[:5]): r[5:] for r in map(tuple, out.collect())}
+    assert got.keys() == want.keys() and all(abs(got[k][0] - want[k][0]) < 2e-6 and got[k][1] == want[k][1] for k in want)
+    assert {v[1] for v in want.values()} == {1, 2}
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
