@@ -83,10 +83,13 @@ def classify(genome: DataFrame, kde: DataFrame, cutoff: float = 0.3, step: int =
     j = j.withColumn("total", total).select("iid1", "iid2", "pi_hat", "mz", *[F.when(F.col("total") > 0, F.col(c) / F.col("total")).otherwise(0.0).alias(c) for c in names])
     both = (F.col("pc") > cutoff) & (F.col("hag") > cutoff)
     j = j.withColumns({"pc": F.when(both, F.col("pc") + F.col("hag")).otherwise(F.col("pc")), "hag": F.when(both, 0.0).otherwise(F.col("hag"))})
-    pairs = F.array(*[F.struct(F.round(c, 6).alias("v"), F.lit(i).alias("i"), F.lit(n).alias("n")) for i, (c, n) in enumerate(zip(map(F.col, names), CLASSES))])
-    top = F.array_max(pairs)
-    possible = F.array_join(F.transform(F.filter(pairs, lambda p: p["v"] > cutoff), lambda p: p["n"]), ",")
-    return j.select("iid1", "iid2", "pi_hat", "mz", *[F.round(c, 6).alias(c) for c in names], F.when(top["v"] < cutoff, "FAIL").otherwise(top["n"]).alias("rel"), possible.alias("possible"))
+    rounded = {c: F.round(c, 6) for c in names}
+    j = j.select("iid1", "iid2", "pi_hat", "mz", *[v.alias(c) for c, v in rounded.items()])
+    top, rel = F.greatest(*names), F.lit(CLASSES[0])
+    for c, n in zip(names[1:], CLASSES[1:]):
+        rel = F.when(F.col(c) == top, n).otherwise(rel)
+    possible = F.concat_ws(",", *[F.when(F.col(c) > cutoff, n) for c, n in zip(names, CLASSES)])
+    return j.select("iid1", "iid2", "pi_hat", "mz", *names, F.when(top < cutoff, "FAIL").otherwise(rel).alias("rel"), possible.alias("possible"))
 
 
 def fuse(classified: DataFrame, weights: DataFrame) -> DataFrame:

@@ -109,3 +109,13 @@ def test_unrelated_samples(spark):
     found = {r["iid"] for r in genotypes.unrelated_samples(g, 500, 0.3).collect()}
     assert len(found) == 14 and all(len(found & {i, 100 + i, *((200,) if i == 0 else ())}) == 1 for i in range(4)) and set(range(4, 14)) <= found
     assert {r["vid"] for r in genotypes.thinned(g, 50).select("vid").distinct().collect()} == {r["vid"] for r in genotypes.thinned(g, 50).select("vid").distinct().collect()}
+
+
+def test_pairs_of_a_small_table_are_dealt_out(spark):
+    """Pairs made from one small file come from several tasks, not from one."""
+    from conftest import DATA
+    from pyspark.sql import functions as F
+
+    from kinloom.sources.overlays import view
+
+    assert view(spark, DATA, "ov_genome").select(F.spark_partition_id().alias("p")).distinct().count() > 1
