@@ -113,9 +113,8 @@ def test_unrelated_samples(spark):
 
 def test_pairs_of_a_small_table_are_dealt_out(spark):
     """Pairs made from one small file come from several tasks, not from one."""
-    from conftest import DATA
     from pyspark.sql import functions as F
 
     from kinloom.sources.overlays import view
 
-    assert view(spark, DATA, "ov_genome").select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    assert view(spark, "/root/testdata/sf0.01", "ov_genome").select(F.spark_partition_id().alias("p")).distinct().count() > 1
