@@ -56,40 +56,69 @@ def grid_point(z0: Column, z1: Column, z2: Column) -> tuple[Column, Column, Colu
     return k0, F.when(fold, F.least(F.lit(1000), k1 + k2)).otherwise(k1), F.when(fold, 0).otherwise(k2)
 
 
-def densities(genome: DataFrame, kde: DataFrame, step: int = 10) -> DataFrame:
-    """Density of every class at each pair's sharing, with hard limits where no density reaches, and twin flag."""
-    k0, k1, k2 = grid_point(F.col("z0"), F.col("z1"), F.col("z2"))
-    g = genome.withColumns({"k0": k0, "k1": k1, "k2": k2}).withColumns({"g0": F.expr(f"k0 div {step} * {step}"), "g1": F.expr(f"k1 div {step} * {step}")})
+def _limits(k0: Column, k1: Column, k2: Column) -> dict[str, Column]:
+    """What decides on classes beside the grid point: much sharing of one allele, and the class of a pair that no density reaches (1 twins, 2 second degree, 3 unrelated)."""
+    hard = F.when(k2 > 800, 1).when((k1 > 600) & (k1 < 800) & (k0 + k1 > 900), 2).when((k1 < 100) & (k0 + k2 > 900), 3).otherwise(0)
+    return {"high": k1 > 800, "hard": hard}
+
+
+def _at_point(points: DataFrame, *keep: str) -> DataFrame:
+    """Density of every class, 0 where the grid has none, from the point's densities, ``high`` and ``hard``; and the twin flag."""
     names = [c.lower() for c in CLASSES]
-    at = kde.select(F.col("k0").alias("g0"), F.col("k1").alias("g1"), *names)
-    j = g.join(at, ["g0", "g1"], "left")
     d = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in names}
-    d["pc"] = d["pc"] + F.when(F.col("k1") > 800, 1.0).otherwise(0.0)
-    none = sum(d.values(), F.lit(0.0)) < 1e-6
-    mz = none & (F.col("k2") > 800)
-    hag = none & ~mz & (F.col("k1") > 600) & (F.col("k1") < 800) & (F.col("k0") + F.col("k1") > 900)
-    un = none & ~mz & (F.col("k1") < 100) & (F.col("k0") + F.col("k2") > 900)
-    d["fs"] = d["fs"] + F.when(mz, 100.0).otherwise(0.0)
-    d["hag"] = d["hag"] + F.when(hag, 100.0).otherwise(0.0)
-    d["un"] = d["un"] + F.when(un, 100.0).otherwise(0.0)
-    return j.select("iid1", "iid2", "pi_hat", mz.alias("mz"), *[c.alias(n) for n, c in d.items()])
+    d["pc"] = d["pc"] + F.when(F.col("high"), 1.0).otherwise(0.0)
+    j = points.select(*keep, "hard", *[c.alias(n) for n, c in d.items()])
+    none = sum((F.col(c) for c in names), F.lit(0.0)) < 1e-6
+    j = j.select(*keep, F.when(none, F.col("hard")).otherwise(0).alias("hard"), *names)
+    add = {"fs": 1, "hag": 2, "un": 3}
+    return j.select(*keep, (F.col("hard") == 1).alias("mz"), *[(F.col(c) + F.when(F.col("hard") == add[c], 100.0).otherwise(0.0)).alias(c) if c in add else F.col(c) for c in names])
 
 
-def classify(genome: DataFrame, kde: DataFrame, cutoff: float = 0.3, step: int = 10) -> DataFrame:
-    """Likelihood vector, likeliest class, possible classes and twin flag of each pair."""
+def _points_of(genome: DataFrame, step: int) -> DataFrame:
+    """Each pair's grid point and limits."""
+    k0, k1, k2 = grid_point(F.col("z0"), F.col("z1"), F.col("z2"))
+    g = genome.select("iid1", "iid2", "pi_hat", k0.alias("k0"), k1.alias("k1"), k2.alias("k2"))
+    limits = _limits(F.col("k0"), F.col("k1"), F.col("k2"))
+    return g.select("iid1", "iid2", "pi_hat", F.expr(f"k0 div {step} * {step}").alias("g0"), F.expr(f"k1 div {step} * {step}").alias("g1"), *[v.alias(n) for n, v in limits.items()])
+
+
+def densities(genome: DataFrame, kde: DataFrame, step: int = 10) -> DataFrame:
+    """Density of every class at each pair's sharing, with hard limits where no density reaches, and twin flag."""
+    at = kde.select(F.col("k0").alias("g0"), F.col("k1").alias("g1"), *[c.lower() for c in CLASSES])
+    return _at_point(_points_of(genome, step).join(at, ["g0", "g1"], "left"), "iid1", "iid2", "pi_hat")
+
+
+def point_classes(kde: DataFrame, cutoff: float = 0.3, step: int = 10) -> DataFrame:
+    """What :func:`classify` says of every grid point and limits that a pair may have: at most 8 rows for each point of the square."""
     names = [c.lower() for c in CLASSES]
-    j = densities(genome, kde, step)
+    at = kde.select(F.col("k0").alias("g0"), F.col("k1").alias("g1"), *names)
+    square = kde.sparkSession.range(0, 1001, step).select(F.col("id").alias("g0"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1000).cast("long"), F.lit(step).cast("long"))).alias("g1"))
+    points = square.join(F.broadcast(at), ["g0", "g1"], "left").withColumn("high", F.explode(F.array(F.lit(False), F.lit(True)))).where(F.when(F.col("high"), F.col("g1") + step > 801).otherwise(F.col("g1") <= 800))
+    key = ["g0", "g1", "high", "hard"]
+    j = points.withColumn("hard", F.explode(F.array(*map(F.lit, range(4))))).withColumn("given", F.col("hard"))
+    j = _at_point(j, "g0", "g1", "high", "given").withColumnRenamed("given", "hard")
     total = sum((F.col(c) for c in names), F.lit(0.0))
-    j = j.withColumn("total", total).select("iid1", "iid2", "pi_hat", "mz", *[F.when(F.col("total") > 0, F.col(c) / F.col("total")).otherwise(0.0).alias(c) for c in names])
+    j = j.withColumn("total", total).select(*key, "mz", *[F.when(F.col("total") > 0, F.col(c) / F.col("total")).otherwise(0.0).alias(c) for c in names])
     both = (F.col("pc") > cutoff) & (F.col("hag") > cutoff)
     j = j.withColumns({"pc": F.when(both, F.col("pc") + F.col("hag")).otherwise(F.col("pc")), "hag": F.when(both, 0.0).otherwise(F.col("hag"))})
     rounded = {c: F.round(c, 6) for c in names}
-    j = j.select("iid1", "iid2", "pi_hat", "mz", *[v.alias(c) for c, v in rounded.items()])
+    j = j.select(*key, "mz", *[v.alias(c) for c, v in rounded.items()])
     top, rel = F.greatest(*names), F.lit(CLASSES[0])
     for c, n in zip(names[1:], CLASSES[1:]):
         rel = F.when(F.col(c) == top, n).otherwise(rel)
     possible = F.concat_ws(",", *[F.when(F.col(c) > cutoff, n) for c, n in zip(names, CLASSES)])
-    return j.select("iid1", "iid2", "pi_hat", "mz", *names, F.when(top < cutoff, "FAIL").otherwise(rel).alias("rel"), possible.alias("possible"))
+    return j.select(*key, "mz", *names, F.when(top < cutoff, "FAIL").otherwise(rel).alias("rel"), possible.alias("possible"))
+
+
+def classify(genome: DataFrame, kde: DataFrame, cutoff: float = 0.3, step: int = 10) -> DataFrame:
+    """Likelihood vector, likeliest class, possible classes and twin flag of each pair.
+
+    Classes follow from a pair's grid point and limits alone, so they are worked
+    out once for each of these and joined; with fine grids, by shuffling.
+    """
+    said = point_classes(kde, cutoff, step)
+    j = _points_of(genome, step).join(F.broadcast(said) if step >= 5 else said, ["g0", "g1", "high", "hard"])
+    return j.select("iid1", "iid2", "pi_hat", "mz", *[c.lower() for c in CLASSES], "rel", "possible")
 
 
 def fuse(classified: DataFrame, weights: DataFrame) -> DataFrame:

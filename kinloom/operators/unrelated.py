@@ -264,8 +264,12 @@ def unrelated_sets(members: DataFrame, edges: DataFrame, traits: DataFrame | Non
     published.  Nothing else ends a search: rounds go on until all rows are
     done.
     """
-    spark = members.sparkSession
-    people = checkpointed(_networks(members, edges, traits, criteria))
+    return _solved(checkpointed(_networks(members, edges, traits, criteria)), criteria, turn)
+
+
+def _solved(people: DataFrame, criteria: Criteria, turn: int = TURN) -> DataFrame:
+    """:func:`unrelated_sets` of people as from :func:`_networks`."""
+    spark = people.sparkSession
     single = people.where("near is null").select("network_id", "iid", F.lit("single").alias("status"))
     whole = people.where("near is not null").groupBy("network_id").agg(F.array_sort(F.collect_list(F.struct("iid", "near", "traits"))).alias("p"))
     whole = whole.select("network_id", F.col("p.iid").alias("iids"), F.col("p.near").alias("near"), F.col("p.traits").alias("traits"))
@@ -311,7 +315,7 @@ def method_sets(members: DataFrame, edges: DataFrame, traits: DataFrame | None =
     whole = people.where("near is not null").groupBy("network_id").agg(F.array_sort(F.collect_list(F.struct("iid", "near", "traits"))).alias("p"))
     whole = whole.select("network_id", F.col("p.iid").alias("iids"), F.col("p.near").alias("near"), F.col("p.traits").alias("traits"))
     alone = people.where("near is null").select("network_id", "iid", F.explode(F.array(F.lit("pruned"), F.lit("greedy"))).alias("method"))
-    searched = unrelated_sets(members, edges, traits, criteria).select("network_id", "iid", F.lit("searched").alias("method"))
+    searched = _solved(people, criteria).select("network_id", "iid", F.lit("searched").alias("method"))
     sets = checkpointed(whole.mapInArrow(_simple, "network_id long, iid long, method string").unionByName(alone.select("network_id", "iid", "method")).unionByName(searched))
     at = sets.join(people.select("iid", "traits"), "iid")
     totals = []

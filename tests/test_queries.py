@@ -7,6 +7,7 @@ from conftest import DATA
 
 from kinloom.operators import ancestry, relationships
 from kinloom.plans import registry
+from kinloom.sources.overlays import view
 
 SQL = registry.oracle_sql()
 
@@ -141,3 +142,23 @@ def test_models_of_links_are_computed_once(spark):
         assert "FileScan" not in frame._jdf.queryExecution().toString()
     few = fam.where("iid % 7 = 0").select("iid")
     compare(pedigrees.ancestors(fam, few).toPandas(), pedigrees.ancestors(fam).join(few, "iid", "left_semi").toPandas())
+
+
+def test_classes_are_worked_out_for_grid_points_not_for_pairs(spark):
+    points = relationships.point_classes(relationships.synthetic_kde(spark)).toPandas()
+    assert not points.duplicated(["g0", "g1", "high", "hard"]).any() and len(points) <= 8 * 101 * 101
+    z = [(1, 2, 0.5, 0, 1000, 0), (1, 3, 0.5, 5, 0, 995), (1, 4, 0.2, 250, 700, 50), (1, 5, 0.0, None, None, 20), (1, 6, 0.0, 1300, -4, 0), (1, 7, 0.5, 8, 795, 197), (1, 8, 0.5, 200, 800, 0), (1, 9, 0.5, 200, 801, 0)]
+    got = relationships.classify(spark.createDataFrame(z, "iid1 long, iid2 long, pi_hat double, z0 int, z1 int, z2 int"), relationships.synthetic_kde(spark)).toPandas().set_index("iid2").sort_index()
+    assert len(got) == len(z) and list(got.mz) == [i == 3 for i in range(2, 10)]
+    assert got.rel[2] == "PC" and got.rel[3] == "FS" and got.rel[6] == "UN" and got.rel[9] == "PC" and got.rel[8] != "PC"
+
+
+@pytest.mark.parametrize("name", ["unrelated_methods", "unrelated_by_traits"])
+def test_networks_come_from_one_pass_over_the_pairs(spark, monkeypatch, name):
+    calls, classes = [], registry._kin_classes
+    monkeypatch.setattr(registry, "_kin_classes", lambda s, d: calls.append(name) or classes(s, d))
+    assert registry.queries()[name](spark, DATA).count() and len(calls) == 1
+
+
+def test_pairs_of_families_are_dealt_out(spark):
+    assert view(spark, DATA, "ov_kin_genome").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
