@@ -5,10 +5,12 @@ nearest first, each in every way its possible classes allow; what contradicts
 any pair, related or not, goes at once, and states alike up to the names of
 placeholders are kept once.  States are rows: each round deals them out to
 tasks, which take them some way further, and the rest is dealt out again.
+Networks that allow the same but for names are searched once.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 from collections.abc import Iterator
@@ -25,7 +27,8 @@ MAX_STATES = 100_000
 #: Open states that a task goes on with, states it settles, and states in one row, before it hands over what is left.
 WIDTH, TURN, CHUNK = 256, 4000, 32
 
-ROUND = "network_id long, cutoff double, step int, done boolean, lnl double, state string"
+ROUND = "network_id long, cutoff double, step int, done boolean, state string"
+NAMED = "network_id long, cutoff double, lnl double, state string"
 
 
 def cutoffs(first: float = 0.3) -> list[float]:
@@ -142,25 +145,42 @@ def search(pairs: list[tuple], sex: dict, ages: dict, people: list[str] = (), ma
     return found, "ok" if found else "no_pedigree"
 
 
-def _family(facts: dict, cutoff: float, generations: int | None) -> Family:
-    sex = {p["iid"]: p.get("sex") or 0 for p in facts["people"]}
-    ages = {p["iid"]: p["age"] for p in facts["people"] if p.get("age") is not None}
-    allowed = {(p["a"], p["b"]): possible_classes(p["v"], cutoff) for p in facts["pairs"]}
-    lines = {k: [(p["a"], p["b"]) for p in facts.get(k) or ()] for k in ("mito", "y")}
-    return Family(list(sex), allowed, sex, ages, generations=generations, **lines)
+def _places(facts: dict) -> dict[str, str]:
+    """The place of each person among the network's sorted names, as a name that sorts alike."""
+    names = sorted(p["iid"] for p in facts["people"])
+    return {n: str(k).zfill(len(str(len(names)))) for k, n in enumerate(names)}
 
 
-def _turn(generations: int | None):
-    """Rows (network, facts, cutoff, states of one chunk) to the states they lead to."""
+def _family(facts: dict, cutoff: float, generations: int | None = None) -> Family:
+    """The network with places for names, and ranks for ages, of which only the order counts."""
+    at = _places(facts)
+    ages = {at[p["iid"]]: p["age"] for p in facts["people"] if p.get("age") is not None}
+    rank = {v: k for k, v in enumerate(sorted(set(ages.values())))}
+    allowed = {(at[p["a"]], at[p["b"]]): possible_classes(p["v"], cutoff) for p in facts["pairs"]}
+    lines = {k: sorted((at[p["a"]], at[p["b"]]) for p in facts.get(k) or ()) for k in ("mito", "y")}
+    return Family(list(at.values()), allowed, {at[p["iid"]]: p.get("sex") or 0 for p in facts["people"]}, {n: rank[v] for n, v in ages.items()}, generations=generations, **lines)
+
+
+def _form(facts: dict, cutoff: float) -> str:
+    """A digest of all that a network's search depends on: equal for networks that differ in names, or in likelihoods and ages that allow the same."""
+    f = _family(facts, cutoff)
+    said = [f.people, sorted(f.sex.items()), sorted(f.ages.items()), sorted((*k, *sorted(v)) for k, v in f.allowed.items()), f.mito, f.y]
+    return hashlib.sha256(json.dumps(said).encode()).hexdigest()
+
+
+def _batch(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], names)
+
+
+def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(network, form) of rows (network, facts, cutoff)."""
+    for batch in batches:
+        rows = [(r["network_id"], _form(json.loads(r["facts"]), r["cutoff"])) for r in batch.to_pylist()]
+        yield _batch(rows, [pa.int64(), pa.string()], ["network_id", "form"])
 
-    def likelihood(facts: dict, state: State) -> float:
-        said = state.relations(sorted(state.sex))
-        total = 0.0
-        for p in facts["pairs"]:
-            v = dict(zip(CLASSES, p["v"]))
-            rel = said.get(tuple(sorted((p["a"], p["b"]))), "UN")
-            total += math.log(max(v[rel], v["DR"], v["UN"], 1e-4) if rel in FAR else max(v[rel], 1e-4))
-        return round(total, 6)
+
+def _turn(generations: int | None):
+    """Rows (network, facts, cutoff, states of one chunk) to the states they lead to, people being called by their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
@@ -168,21 +188,45 @@ def _turn(generations: int | None):
             for row in batch.to_pylist():
                 key = (row["network_id"], row["cutoff"])
                 if last[0] != key:
-                    facts = json.loads(row["facts"])
-                    last = (key, (facts, _family(facts, row["cutoff"], generations)))
-                facts, family = last[1]
+                    last = (key, _family(json.loads(row["facts"]), row["cutoff"], generations))
+                family = last[1]
                 states = [(s["step"], s["state"]) for s in row["states"]] if row["states"] else [(0, family.start().canonical().text())]
                 waiting, finished = advance(family, states)
-                out = [(*key, step, False, None, t) for step, t in waiting] + [(*key, 0, True, likelihood(facts, State.read(t)), t) for t in finished]
+                out = [(*key, step, False, t) for step, t in waiting] + [(*key, 0, True, t) for t in finished]
                 if out:
-                    kinds = [pa.int64(), pa.float64(), pa.int32(), pa.bool_(), pa.float64(), pa.string()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["network_id", "cutoff", "step", "done", "lnl", "state"])
+                    yield _batch(out, [pa.int64(), pa.float64(), pa.int32(), pa.bool_(), pa.string()], ["network_id", "cutoff", "step", "done", "state"])
 
     return run
 
 
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (network, facts, cutoff, lead, chunk, states by places) to states by the network's names, with their likelihood."""
+    last: tuple = (None, [])
+    for batch in batches:
+        for row in batch.to_pylist():
+            facts, key = json.loads(row["facts"]), (row["lead"], row["chunk"])
+            at = _places(facts)
+            if last[0] != key:
+                states = [State.read(t) for t in row["states"]]
+                last = (key, [(s, s.relations(sorted(at.values()))) for s in states])
+            names = {p: n for n, p in at.items()}
+            pairs = [(tuple(sorted((at[p["a"]], at[p["b"]]))), dict(zip(CLASSES, p["v"]))) for p in facts["pairs"]]
+            out = []
+            for s, said in last[1]:
+                total = 0.0
+                for pair, v in pairs:
+                    rel = said.get(pair, "UN")
+                    total += math.log(max(v[rel], v["DR"], v["UN"], 1e-4) if rel in FAR else max(v[rel], 1e-4))
+                own = State({names.get(c, c): tuple(sorted(names.get(p, p) for p in both)) for c, both in s.parents.items()}, {names.get(n, n): x for n, x in s.sex.items()})
+                out.append((row["network_id"], row["cutoff"], round(total, 6), own.text()))
+            yield _batch(out, [pa.int64(), pa.float64(), pa.float64(), pa.string()], ["network_id", "cutoff", "lnl", "state"])
+
+
 def _facts(classified: DataFrame, people: DataFrame, mito: DataFrame | None, y: DataFrame | None, threshold: float) -> DataFrame:
     """(network_id, facts): people, pairs and refuted lines of each network of two or more, twins being one person."""
+    names = [c.lower() for c in CLASSES]
+    # Read twice, and dear to work out.
+    classified = checkpointed(classified.select("iid1", "iid2", "pi_hat", "mz", *names))
     twins = twin_nodes(classified)
 
     def node(df: DataFrame, col: str) -> DataFrame:
@@ -193,7 +237,6 @@ def _facts(classified: DataFrame, people: DataFrame, mito: DataFrame | None, y:
         df = node(node(df, "iid1"), "iid2").where("iid1 <> iid2")
         return df.withColumns({"a": F.least("iid1", "iid2"), "b": F.greatest("iid1", "iid2")})
 
-    names = [c.lower() for c in CLASSES]
     # Several rows of one pair, as of twins, are averaged.
     pairs = pairs_of(classified.select("iid1", "iid2", "pi_hat", *names)).groupBy("a", "b").agg(F.avg("pi_hat").alias("pi_hat"), *[F.avg(c).alias(c) for c in names])
     pairs = checkpointed(pairs)
@@ -224,7 +267,9 @@ def found_states(facts: DataFrame, first: float = 0.3, retry: bool = True, max_s
 
     A network goes on alone with a lower cutoff when it fits no pedigree, and
     stops with a status when more than ``max_states`` are open.  Nothing else
-    ends a search.  The driver sees counts only.
+    ends a search.  Of networks of one form (:func:`_form`) the smallest is
+    searched, and all take its pedigrees by their own names, with their own
+    likelihoods.  The driver sees counts only.
     """
     spark, turn = facts.sparkSession, _turn(generations)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -232,12 +277,14 @@ def found_states(facts: DataFrame, first: float = 0.3, retry: bool = True, max_s
     tries = cutoffs(first)[: None if retry else 1]
     chunk_type = "array<struct<step:int,state:string>>"
     for cutoff in tries:
-        rows = left.select("network_id", F.lit(cutoff).alias("cutoff"), F.lit(None).cast(chunk_type).alias("states"))
+        formed = checkpointed(left.join(facts, "network_id").select("network_id", "facts", F.lit(cutoff).alias("cutoff")).repartition(parts).mapInArrow(_forms, "network_id long, form string"))
+        alike = checkpointed(formed.join(formed.groupBy("form").agg(F.min("network_id").alias("lead")), "form").select("network_id", "lead"))
+        rows = alike.where("network_id = lead").select("network_id", F.lit(cutoff).alias("cutoff"), F.lit(None).cast(chunk_type).alias("states"))
         here, stopped = [], []
         while True:
             dealt = rows.join(facts, "network_id").select("network_id", "cutoff", "facts", "states").repartition(parts)
-            out = checkpointed(dealt.mapInArrow(turn, ROUND).groupBy("network_id", "cutoff", "done", "step", "state").agg(F.max("lnl").alias("lnl")))
-            here.append(out.where("done").select("network_id", "cutoff", "lnl", "state"))
+            out = checkpointed(dealt.mapInArrow(turn, ROUND).distinct())
+            here.append(out.where("done").select(F.col("network_id").alias("lead"), "state"))
             waiting = out.where("not done")
             many = checkpointed(waiting.groupBy("network_id").agg(F.count("*").alias("open")))
             if many.isEmpty():
@@ -254,11 +301,18 @@ def found_states(facts: DataFrame, first: float = 0.3, retry: bool = True, max_s
         over = facts.select("network_id").where("false")
         for more in stopped:
             over = over.unionByName(more)
-        done = checkpointed(done.join(over, "network_id", "left_anti"))
-        results.append(done.select("network_id", "cutoff", F.lit("ok").alias("status"), "lnl", "state"))
+        over = over.distinct().withColumnRenamed("network_id", "lead")
+        done = checkpointed(done.join(over, "lead", "left_anti"))
+        sizes = done.groupBy("lead").agg(F.count("*").alias("n"))
+        deal = F.pmod(F.xxhash64("state"), F.greatest(F.lit(1), F.expr(f"n div {CHUNK}")))
+        chunks = done.join(sizes, "lead").groupBy("lead", deal.alias("chunk")).agg(F.collect_list("state").alias("states"))
+        dealt = alike.join(chunks, "lead").join(facts, "network_id").select("network_id", "facts", F.lit(cutoff).alias("cutoff"), "lead", "chunk", "states")
+        # Rows of one form follow each other, as what their states say is worked out once.
+        named = checkpointed(dealt.repartition(parts, "network_id").sortWithinPartitions("lead", "chunk").mapInArrow(_named, NAMED))
+        results.append(named.select("network_id", "cutoff", F.lit("ok").alias("status"), "lnl", "state"))
         nothing = [F.lit(None).cast("double").alias("lnl"), F.lit(None).cast("string").alias("state")]
-        results.append(checkpointed(over.distinct().select("network_id", F.lit(cutoff).alias("cutoff"), F.lit("too_many_states").alias("status"), *nothing)))
-        left = checkpointed(left.join(done.select("network_id").distinct(), "network_id", "left_anti").join(results[-1], "network_id", "left_anti"))
+        results.append(checkpointed(alike.join(over, "lead").select("network_id", F.lit(cutoff).alias("cutoff"), F.lit("too_many_states").alias("status"), *nothing)))
+        left = checkpointed(alike.join(done.select("lead").distinct(), "lead", "left_anti").join(over, "lead", "left_anti").select("network_id"))
         if cutoff == tries[-1]:
             results.append(left.select("network_id", F.lit(cutoff).alias("cutoff"), F.lit("no_pedigree").alias("status"), *nothing))
         elif left.isEmpty():
@@ -284,8 +338,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 by_sex = {state.sex[p]: p for p in both}
                 father, mother = (by_sex.get(1), by_sex.get(2)) if len(both) < 2 or set(by_sex) == {1, 2} else both
                 out.append((*head, n, father, mother, state.sex[n], *tail))
-        kinds = [pa.int64(), pa.int32(), *[pa.string()] * 3, pa.int32(), pa.float64(), pa.string(), pa.float64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], OUT_NAMES)
+        yield _batch(out, [pa.int64(), pa.int32(), *[pa.string()] * 3, pa.int32(), pa.float64(), pa.string(), pa.float64()], OUT_NAMES)
 
 
 OUT = "network_id long, pedigree int, iid string, pid string, mid string, sex int, lnl double, status string, cutoff double"
