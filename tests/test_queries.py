@@ -1,5 +1,7 @@
 """Every query with SQL gives the SQL's rows; the others give rows that keep their rules."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -162,3 +164,17 @@ def test_networks_come_from_one_pass_over_the_pairs(spark, monkeypatch, name):
 
 def test_pairs_of_families_are_dealt_out(spark):
     assert view(spark, DATA, "ov_kin_genome").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_relatives_are_dealt_to_tasks_by_the_number_of_people(spark, duck, monkeypatch):
+    from kinloom.operators import pedigrees
+
+    monkeypatch.setattr(pedigrees, "PEOPLE", 10)
+    fam = view(spark, DATA, "ov_fam")
+    out = registry.queries()["pedigree_degrees"](spark, DATA)
+    tasks = -(-fam.count() // 10)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert tasks > 4 and plan.count(f", {tasks}), REPARTITION_BY_NUM") > 5
+    # The rest are known parents, two rows a person at most.
+    assert set(re.findall(r"Exchange hashpartitioning\((\w+)#\w+, (\w+)#[^)]*\), ENSURE", plan)) <= {("parent", "child")} and len(re.findall(r"hashpartitioning\([^)]*\), ENSURE", plan)) == len(re.findall(r"hashpartitioning\(parent#\w+, child#\w+, 4\), ENSURE", plan))
+    compare(out.toPandas(), duck.execute(SQL["pedigree_degrees"]).df())
